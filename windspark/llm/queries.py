@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, mixing, pieces, resharding
+from . import exact_dedup, minhash, mixing, pieces, resharding
 
 SHARDS = 24
 
@@ -64,10 +64,15 @@ FROM d
 WINDOW w AS (PARTITION BY text_sha256 ORDER BY n DESC, doc_id NULLS LAST)
 """
 
+def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_classes(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op2_sentencepiece": op2_sentencepiece,
     "op3_resharding": op3_resharding,
     "op7_mixing": op7_mixing,
     "op8_exact_dedup": op8_exact_dedup,
+    "op9_minhash": op9_minhash,
 }
 ORACLES = {"op8_exact_dedup": OP8_SQL}
