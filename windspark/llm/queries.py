@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, minhash, mixing, pieces, resharding
+from . import embedding_dedup, exact_dedup, minhash, mixing, pieces, resharding
 
 SHARDS = 24
 
@@ -68,7 +68,12 @@ def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_classes(_table(spark, sf_dir, "documents"))
 
 
+def op1_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_vectors(_table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
+    "op1_embedding_dedup": op1_embedding_dedup,
     "op2_sentencepiece": op2_sentencepiece,
     "op3_resharding": op3_resharding,
     "op7_mixing": op7_mixing,
