@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embedding_dedup, exact_dedup, minhash, mixing, pieces, quality, resharding, toxicity
+from . import embedding_dedup, exact_dedup, minhash, mixing, personal, pieces, quality, resharding, token_files, toxicity
+from .common import stored
 
 SHARDS = 24
 
@@ -78,6 +79,27 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model)
 
 
+def op5_personal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = personal.fit(personal.labelled_table(docs))
+    out = personal.find(docs, model)
+    line = "x -> concat_ws(':', x.kind, x.start, x.end)"
+    return out.select(
+        "doc_id",
+        *[F.expr(f"cast(size(filter(spans, x -> x.base and x.kind = '{k}')) as long)").alias(f"n_{k}") for k in personal.KINDS],
+        F.sha2(F.expr(f"concat_ws(',', transform(filter(spans, x -> x.base), {line}))"), 256).alias("base_sha256"),
+        F.expr(f"concat_ws(',', transform(spans, {line}))").alias("spans"),
+    )
+
+
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents as token files, and their counts from the separators alone."""
+    files = stored(token_files.pack(_table(spark, sf_dir, "documents"), tokenizer_path()))
+    counts = token_files.count_tokens(files.where("block_no is not null").select("file_id", "block_no", "ids"))
+    names = files.where("doc_no is not null").select("file_id", "doc_no", F.col("id").alias("doc_id"))
+    return counts.join(names, ["file_id", "doc_no"]).select("doc_id", "n_tokens", "file_id", "doc_no")
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     labels = _table(spark, sf_dir, "labels").where(~quality.held_out(F.col("doc_id")))
@@ -93,6 +115,8 @@ QUERIES = {
     "op2_sentencepiece": op2_sentencepiece,
     "op3_resharding": op3_resharding,
     "op4_toxicity": op4_toxicity,
+    "op5_personal": op5_personal,
+    "op6_token_counts": op6_token_counts,
     "op7_mixing": op7_mixing,
     "op8_exact_dedup": op8_exact_dedup,
     "op9_minhash": op9_minhash,
