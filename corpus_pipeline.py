@@ -4,25 +4,41 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from windspark.llm import exact_dedup, mixing
+from windspark.llm import exact_dedup, minhash, mixing, toxicity
 from windspark.llm.common import stored
 from windspark.llm.queries import op2_sentencepiece
 
 
+def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows that the severity model calls toxic go; it learns from ``labels``."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return toxicity.keep_clean(docs, toxicity.fit(docs, labels))
+
+
 def remove_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of texts equal but for white space, the longest stays."""
     return exact_dedup.drop_copies(docs)
 
 
+def remove_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies stays."""
+    return minhash.drop_near_copies(docs)
+
+
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows are repeated or left out so that the sources meet their targets."""
     return mixing.mixed(docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token counts and digests of ids and decoded text, by document."""
     return op2_sentencepiece(spark, sf_dir, docs)
 
 
 STAGES = [
+    ("toxicity", reject_toxic),
     ("exact dedup", remove_copies),
+    ("near dedup", remove_near_copies),
     ("mixing", mix_sources),
     ("sentencepiece", encode),
 ]
