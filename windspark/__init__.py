@@ -1,0 +1 @@
+"""Spark jobs for wind-turbine load studies at campaign scale."""

@@ -4,14 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .plans import queries as _q
+
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/events.parquet")
+    return _q.flagship(spark, sf_dir)
 
 
 def queries() -> dict:
-    return {}
+    return dict(_q.QUERIES)
 
 
 def oracle_sql() -> dict:
-    return {}
+    return dict(_q.SQL)

@@ -1,0 +1 @@
+"""No streaming operators: the studies read finished files only."""
