@@ -14,10 +14,10 @@ def target_times(cases: DataFrame, start: float, end: float, dt: float) -> DataF
     times carry.
     """
     stop = F.least(F.lit(float(end)), F.col("max_time"), (F.col("nt") - 1) * F.col("field_dt"))
-    last = F.floor((stop - F.lit(float(start))) / F.lit(float(dt))).cast("int")
+    last = F.floor((stop - F.lit(float(start))) / F.lit(float(dt))).cast("long")
     step = (float(start) + float(dt)) - float(start)
     rows = cases.select("case_id", last.alias("_last")).where("_last >= 1")
-    return rows.select("case_id", F.explode(F.sequence(F.lit(0), F.col("_last"))).alias("i")).withColumn(
+    return rows.select("case_id", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_last"))).alias("i")).withColumn(
         "t", F.lit(float(start)) + F.col("i") * F.lit(step)
     )
 
@@ -29,8 +29,8 @@ def resample_linear(log: DataFrame, grid: DataFrame, cols: list[str], time: str
     windows in both directions. A null sample makes its two segments null.
     """
     sample = F.struct(F.col(time).alias("t"), *cols)
-    rows = log.select("case_id", F.lit(None).cast("int").alias("i"), F.col(time).alias("t"), F.lit(0).alias("_kind"), sample.alias("_s")).unionByName(
-        grid.select("case_id", F.col("i").cast("int").alias("i"), "t", F.lit(1).alias("_kind")), allowMissingColumns=True
+    rows = log.select("case_id", F.lit(None).cast("long").alias("i"), F.col(time).alias("t"), F.lit(0).alias("_kind"), sample.alias("_s")).unionByName(
+        grid.select("case_id", F.col("i").cast("long").alias("i"), "t", F.lit(1).alias("_kind")), allowMissingColumns=True
     )
     run = Window.partitionBy("case_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     rows = rows.withColumn("_a", F.last("_s", True).over(run.orderBy("t", "_kind")))

@@ -38,7 +38,7 @@ log AS (SELECT CAST(user_id AS VARCHAR) AS case_id, event_id AS line_no,
 def case_rows(spark: SparkSession, sf: str) -> DataFrame:
     """The log's rows as aligned rows: step counts from 0 by time."""
     w = Window.partitionBy("case_id").orderBy("Time", "line_no")
-    return channel_log(spark, sf).withColumn("step", F.row_number().over(w) - 1)
+    return channel_log(spark, sf).withColumn("step", (F.row_number().over(w) - 1).cast("long"))
 
 
 CASE_ROWS = CHANNEL_LOG + """,
@@ -55,7 +55,7 @@ def wind_field(spark: SparkSession, sf: str) -> DataFrame:
     part = lambda c: F.transform(F.slice(c, 1, NY * NZ), lambda x: x.cast("double"))
     w = Window.partitionBy("label").orderBy("vec_id")
     return df.select(
-        "vec_id", F.col("label").cast("string").alias("case_id"), (F.row_number().over(w) - 1).alias("step"),
+        "vec_id", F.col("label").cast("string").alias("case_id"), (F.row_number().over(w) - 1).cast("long").alias("step"),
         F.transform(part("embedding"), lambda x: x * 4 + 8).alias("u"), part("e1").alias("v"), part("e2").alias("w"),
     )
 

@@ -256,7 +256,7 @@ def j4_align_nearest_step(spark, sf):
 @query(
     f"""WITH {fx.CHANNEL_LOG}, {fx.HEADERS}, k AS (SELECT case_id, line_no, nt, CAST(round_even("Time" / field_dt, 0) AS BIGINT) AS wind_step FROM log JOIN headers USING (case_id)),
     steps AS (SELECT unnest(range(0, 200)) AS wind_step)
-    SELECT case_id, line_no, wind_step, wind_step * 2 AS u0 FROM k JOIN steps USING (wind_step)
+    SELECT case_id, line_no, wind_step, CAST(wind_step * 2 AS INT) AS u0 FROM k JOIN steps USING (wind_step)
     WHERE case_id NOT IN (SELECT case_id FROM k WHERE wind_step < 0 OR wind_step >= nt)"""
 )
 def j5_align_strict_step(spark, sf):
@@ -386,7 +386,7 @@ def g_all_features(spark, sf):
     f"""WITH {fx.WIND_FIELD}, src AS (SELECT p, least(6, floor(x)::INT) AS lo, least(6, floor(x)::INT + 1) AS hi, x - least(6, floor(x)::INT) AS f
       FROM (SELECT p, greatest((p + 0.5::DOUBLE) * 7 / 5 - 0.5::DOUBLE, 0) AS x FROM (SELECT unnest(range(0, 5)) AS p))),
     wg AS (SELECT p, lo AS k, 1 - f AS wt FROM src UNION ALL SELECT p, hi, f FROM src)
-    SELECT vec_id, a.p AS p, b.p AS q, {q6('sum(u * a.wt * b.wt)', 'u')}, {q6('sum(v * a.wt * b.wt)', 'v')} FROM cell JOIN wg a ON a.k = i JOIN wg b ON b.k = j GROUP BY ALL"""
+    SELECT vec_id, CAST(a.p AS INT) AS p, CAST(b.p AS INT) AS q, {q6('sum(u * a.wt * b.wt)', 'u')}, {q6('sum(v * a.wt * b.wt)', 'v')} FROM cell JOIN wg a ON a.k = i JOIN wg b ON b.k = j GROUP BY ALL"""
 )
 def g28_regrid_bilinear(spark, sf):
     g = grid.regrid_bilinear(fx.wind_field(spark, sf), 7, 7, 5, 5, ["vec_id"])
@@ -704,7 +704,7 @@ def _assign_sql(place: str, n: str) -> str:
 
 
 _SPLIT = f""",
-binned AS (SELECT case_id, value, ntile(10) OVER (ORDER BY value, case_id) AS bin FROM cases),
+binned AS (SELECT case_id, value, CAST(ntile(10) OVER (ORDER BY value, case_id) AS INT) AS bin FROM cases),
 placed AS (SELECT *, row_number() OVER (PARTITION BY bin ORDER BY {_md5(42, ['case_id'])}, case_id) AS r, count(*) OVER (PARTITION BY bin) AS n FROM binned),
 splits AS (SELECT case_id, value, bin, {_assign_sql('r', 'n')} AS split FROM placed)"""
 
