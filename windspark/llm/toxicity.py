@@ -38,9 +38,9 @@ def fit_sample(docs: DataFrame, labels: DataFrame, label_col: str, id_col: str =
     """(id, y, weight, text): at most ``per_class`` labelled documents of each label 0 and 1.
 
     Picked by hash of the id, the same in every run. Weights restore the labels' shares.
-    Null labels and ids are left out.
+    Null labels and ids are left out; of differing labels of one id the larger counts.
     """
-    clean = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).dropDuplicates(["id"])
+    clean = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).groupBy("id").agg(F.max("y").alias("y"))
     total = {r.y: r["count"] for r in clean.groupBy("y").count().collect()}
     part = None
     for y in (0, 1):
@@ -51,8 +51,8 @@ def fit_sample(docs: DataFrame, labels: DataFrame, label_col: str, id_col: str =
     return docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")).join(F.broadcast(part), "id")
 
 
-def choose_features(sample: DataFrame, most: int = 1500, least_docs: int = 5) -> dict[str, float]:
-    """The features most tied to the label: name to log-odds, at most ``most``."""
+def choose_features(sample: DataFrame, most: int = 1500, least_docs: int = 5, least_gain: float = 16.0) -> dict[str, float]:
+    """The features most tied to label 1 by likelihood ratio: name to log-odds, at most ``most``."""
 
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -69,8 +69,18 @@ def choose_features(sample: DataFrame, most: int = 1500, least_docs: int = 5) ->
     counts = sample.select("y", "text").mapInArrow(explode, "f string, y int").groupBy("f").agg(F.sum("y").alias("p"), F.sum(1 - F.col("y")).alias("q"))
     p, q = (F.col("p") + 0.5) / (n1 + 1), (F.col("q") + 0.5) / (n0 + 1)
     odds = F.log(p / (1 - p)) - F.log(q / (1 - q))
-    z = odds / F.sqrt(1 / (F.col("p") + 0.5) + 1 / (F.col("q") + 0.5))
-    top = counts.where(F.col("p") + F.col("q") >= least_docs).select("f", odds.alias("odds"), z.alias("z")).where("z > 3").orderBy(F.desc("z"), "f").limit(most)
+    k, n = F.col("p") + F.col("q"), n0 + n1
+
+    def term(seen, expected):
+        return F.when(seen > 0, seen * F.log(seen / F.nullif(expected, F.lit(0.0)))).otherwise(0.0)
+
+    # likelihood ratio of one rate by label against one rate for all
+    gain = 2 * (
+        term(F.col("p"), k * n1 / max(n, 1)) + term(F.col("q"), k * n0 / max(n, 1))
+        + term(n1 - F.col("p"), (n - k) * n1 / max(n, 1)) + term(n0 - F.col("q"), (n - k) * n0 / max(n, 1))
+    )
+    scored = counts.select("f", odds.alias("odds"), gain.alias("gain"), k.alias("k")).where((F.col("k") >= least_docs) & (F.col("odds") > 0))
+    top = scored.where(F.col("gain") >= least_gain).orderBy(F.desc("gain"), "f").limit(most)
     return {r.f: r.odds for r in top.collect()}
 
 
