@@ -75,7 +75,7 @@ def tilts(hist: DataFrame, targets: DataFrame, cap: int = CAP, rounds: int = 40,
         now = rows.groupBy(*keep).agg(
             F.sum(words).alias("f"), F.sum(F.when(F.col("lam") * x < top, words * x).otherwise(0.0)).alias("g")
         )
-        step = F.col("lam") - (F.col("f") - F.col("target")) / F.col("g")
+        step = F.col("lam") - (F.col("f") - F.col("target")) / F.nullif(F.col("g"), F.lit(0.0))
         now = (
             now.withColumn("off", F.abs(F.col("f") - F.col("target")) / F.greatest("target", F.lit(1.0)))
             .withColumn("lo", F.when(F.col("f") < F.col("target"), F.col("lam")).otherwise(F.col("lo")))
@@ -129,15 +129,15 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     rate = F.exp(F.least(F.coalesce(F.col("lam") * F.col("size") / F.col("mean"), F.lit(0.0)), F.lit(math.log(CAP))))
     rows = short.groupBy("id", "source", "size").agg(F.count("*").alias("c")).join(per, F.col("source").eqNullSafe(F.col("s")))
     rows = rows.select(
-        "id", "source", "size", "source_size", "target",
+        F.col("id").cast("string").alias("id"), "source", "size", "source_size", "target",
         F.when(F.col("target") >= CAP * F.col("source_size"), F.lit(float(CAP))).otherwise(rate).alias("rate"),
         F.pmod(F.xxhash64(F.coalesce(F.col("id"), F.lit(0)), F.lit(7)), F.col("slices")).alias("slice"),
         F.explode(F.sequence(F.lit(1).cast("long"), F.col("c"))).alias("k"),
     )
-    kind = f"id {dict(docs.dtypes)[id_col]}, source {dict(docs.dtypes)[source_col]}, copies int, size long, source_size long, target double, k long"
+    kind = f"id string, source {dict(docs.dtypes)[source_col]}, copies int, size long, source_size long, target double, k long"
     out = rows.groupBy("source", "slice").applyInPandas(_diffuse, kind)
     return out.select(
-        F.col("id").alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target", "copies",
+        F.col("id").cast(dict(docs.dtypes)[id_col]).alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target", "copies",
         (F.col("copies") * F.col("size")).cast("long").alias("taken"), "k",
     )
 
@@ -148,9 +148,12 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
     Rows with the same id (and size and source) share their copies.
     """
     size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long")
-    n = mix(docs, id_col, text_col, source_col).select(
-        F.col(id_col).alias("_id"), F.col("size").alias("_size"), F.col(source_col).alias("_src"), F.col("k").alias("_k"), F.col("copies").alias("_copies"),
-    ).where("_k = 1")
-    rows = docs.withColumn("_n", size)
-    joined = rows.join(n, F.col(id_col).eqNullSafe(F.col("_id")) & F.col(source_col).eqNullSafe(F.col("_src")) & (F.col("_n") == F.col("_size")))
-    return joined.where("_copies > 0").withColumn("_c", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
+    n = mix(docs, id_col, text_col, source_col).where("k = 1").select(
+        F.col(id_col).alias("_i"), F.col("size").alias("_n"), F.col(source_col).alias("_s"), F.col("copies").alias("_copies")
+    )
+    wide = docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(id_col).alias("_id"), F.col(source_col).alias("_source"), size.alias("_size")
+    )
+    same = F.col("_id").eqNullSafe(F.col("_i")) & F.col("_source").eqNullSafe(F.col("_s")) & (F.col("_size") == F.col("_n"))
+    taken = wide.join(n, same).where("_copies > 0").withColumn("_c", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
+    return taken.select(*[F.col(f"_row.`{c}`").alias(c) for c in docs.columns])
