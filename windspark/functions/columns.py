@@ -18,6 +18,16 @@ def case_id(path: Column, root: str = "") -> Column:
     return F.replace(without_extension(F.ltrim(rel, F.lit("/"))), F.lit("/"), F.lit("__"))
 
 
+def relative_path(path: Column, root: str) -> Column:
+    """``path`` below ``root``, whatever way the scheme of either is written."""
+    import re
+
+    bare = r"^[A-Za-z][A-Za-z0-9+.-]*:/*|^/+"
+    base = re.sub(bare, "", root).rstrip("/") + "/"
+    rest = F.regexp_replace(path, bare, "")
+    return F.when(F.startswith(rest, F.lit(base)), F.substring(rest, F.lit(len(base) + 1), F.length(rest))).otherwise(rest)
+
+
 def stem(path: Column) -> Column:
     return without_extension(F.substring_index(F.regexp_replace(path, r"\\", "/"), "/", -1))
 

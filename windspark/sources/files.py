@@ -5,27 +5,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import case_id, stem, unique_names
+from ..functions.columns import case_id, relative_path, stem, unique_names
 
 
 def catalog_files(spark: SparkSession, root: str, exts: list[str]) -> DataFrame:
     """(path, length, case_id, stem, depth) of files below ``root`` with one of the endings, any case."""
-    base = root.rstrip("/")
     ends = "|".join(e.lstrip(".") for e in exts)
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path", "length")
     files = files.where(F.lower("path").rlike(rf"\.(?:{ends})$".lower()))
-    rel = F.expr(f"substring(path, instr(path, '{base}/') + {len(base) + 1})")
+    rel = relative_path(F.col("path"), root)
     return files.select("path", "length", case_id(rel).alias("case_id"), stem(F.col("path")).alias("stem"), (F.size(F.split(rel, "/")) - 1).alias("depth")).orderBy("path")
 
 
 def _log_lines(spark: SparkSession, root: str, pattern: str) -> DataFrame:
     """One row per log: names, units and data lines (position, tokens)."""
-    base = root.rstrip("/")
     raw = (
-        spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", pattern).text(root)
+        spark.read.text(root, wholetext=True, recursiveFileLookup=True, pathGlobFilter=pattern)
         .select(F.input_file_name().alias("path"), F.split("value", r"\r?\n").alias("lines"))
     )
-    rel = F.expr(f"substring(path, instr(path, '{base}/') + {len(base) + 1})")
+    rel = relative_path(F.col("path"), root)
     at = F.coalesce(F.array_position(F.transform("lines", lambda x: F.startswith(F.trim(x), F.lit("Time"))), True), F.lit(0)).cast("int")
     tokens = lambda x: F.filter(F.split(F.trim(x), r"\s+"), lambda t: t != "")
     df = raw.select("path", case_id(rel).alias("case_id"), "lines", at.alias("at"))

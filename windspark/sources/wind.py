@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.columns import case_id
+from ..functions.columns import case_id, relative_path
 
 #: Bytes before the description, little endian: int16, 4 x int32, 6 + 6 float32, int32.
 FIXED = 70
@@ -21,9 +21,8 @@ HEADER = (
 
 
 def _files(spark: SparkSession, root: str, pattern: str) -> DataFrame:
-    base = root.rstrip("/")
     df = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(root)
-    rel = F.expr(f"substring(path, instr(path, '{base}/') + {len(base) + 1})")
+    rel = relative_path(F.col("path"), root)
     return df.select(case_id(rel).alias("case_id"), "path", "length", "content")
 
 
