@@ -747,7 +747,24 @@ def l7_fix_empty_splits(spark, sf):
     return split.fix_empty_splits(s, 200)
 
 
-@query()
+def _rank_sql(most: int) -> str:
+    """Greedy ranks by recursion: each round takes the best of those left."""
+    cols = fx.FEATURES
+    rel = " UNION ALL ".join(f"SELECT {i} AS idx, '{c}' AS f, {_mi_sql(c, 'o_totalprice')} AS rel" for i, c in enumerate(cols))
+    mi = " UNION ALL ".join(f"SELECT {i} AS a, {j} AS b, {_mi_sql(cols[min(i, j)], cols[max(i, j)])} AS mi" for i in range(len(cols)) for j in range(len(cols)) if i != j)
+    return f"""WITH RECURSIVE {fx.NUMERIC_ROWS}{_binned_sql([*cols, 'o_totalprice'])}, rel AS MATERIALIZED ({rel}), mi AS MATERIALIZED ({mi}),
+    picked AS (
+      SELECT * FROM (SELECT 1 AS rank, [idx] AS chosen, idx, rel AS score, 0.0::DOUBLE AS red FROM rel ORDER BY rel DESC, idx LIMIT 1)
+      UNION ALL
+      SELECT * FROM (
+        SELECT p.rank + 1 AS rank, list_append(p.chosen, r.idx) AS chosen, r.idx, any_value(r.rel) - 0.5::DOUBLE * avg(m.mi) AS score, avg(m.mi) AS red
+        FROM picked p JOIN rel r ON NOT list_contains(p.chosen, r.idx) JOIN mi m ON m.a = r.idx AND list_contains(p.chosen, m.b)
+        WHERE p.rank < {most} GROUP BY p.rank, p.chosen, r.idx ORDER BY score DESC, r.idx LIMIT 1))
+    SELECT CAST(rel.idx AS INT) AS original_index, f AS feature_name, {q6('rel', 'relevance')}, {q6('red', 'redundancy')}, {q6('score', 'selection_score')}, CAST(rank AS INT) AS rank
+    FROM rel LEFT JOIN picked USING (idx)"""
+
+
+@query(_rank_sql(6))
 def l8_mrmr_rank(spark, sf):
     n = fx.numeric_rows(spark, sf)
     rel = stats.relevance_mi_binned(n, fx.FEATURES, ["o_totalprice"])
@@ -756,8 +773,9 @@ def l8_mrmr_rank(spark, sf):
     return rounded(mrmr.score_table(spark, ranked, rel, fx.FEATURES), ["relevance", "redundancy", "selection_score"])
 
 
-@query()
+@query(_rank_sql(4))
 def l9_select_features_mrmr(spark, sf):
+    """Four features over all rows, without samples."""
     table, _ = mrmr.select_features_mrmr(fx.numeric_rows(spark, sf), fx.FEATURES, ["o_totalprice"], fx.KEY, max_cases=None, k=4, method="binned", sample=None, per_case=10**9)
     return rounded(table, ["relevance", "redundancy", "selection_score"])
 
