@@ -44,11 +44,11 @@ def bin_uniform(df: DataFrame, cols: list[str], n_bins: int = 10) -> DataFrame:
 
     def bin_of(c):
         x, lo, hi = F.col(c).cast("double"), F.col(f"_lo_{c}").cast("double"), F.col(f"_hi_{c}").cast("double")
-        inner = [(x >= lo + (hi - lo) * (k / n_bins)).cast("int") for k in range(1, n_bins)]
-        total = inner[0]
-        for e in inner[1:]:
-            total = total + e
-        return F.when(hi > lo, total).otherwise(F.lit(0)).cast("int").alias(c)
+        edge = lambda k: lo + (hi - lo) * (k / n_bins)
+        # the number of inner edges at or below x: a guess, set right by its two neighbouring edges
+        k = F.least(F.lit(n_bins - 1.0), F.greatest(F.lit(0.0), F.floor((x - lo) / F.nullif(hi - lo, F.lit(0.0)) * n_bins).cast("double")))
+        k = k + ((k < n_bins - 1) & (x >= edge(k + 1))).cast("int") - ((k >= 1) & (x < edge(k))).cast("int")
+        return F.when(hi > lo, k).otherwise(F.lit(0)).cast("int").alias(c)
 
     rest = [c for c in df.columns if c not in cols]
     return df.crossJoin(F.broadcast(ends)).select(*rest, *[bin_of(c) for c in cols])  # one row of ends
