@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import tempfile
 import uuid
 
@@ -33,14 +34,64 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def _fingerprint(edges: DataFrame) -> tuple:
-    return tuple(
-        edges.agg(
-            F.count("*"), F.bit_xor(F.xxhash64("a", "b")), F.bit_xor(F.xxhash64("b", "a"))
-        ).first()
+def filter_bits(n: int, max_bits: int = 1 << 27) -> int:
+    """Size of a Bloom filter for ``n`` keys: 16 bits each, a power of two, bounded (16 MB)."""
+    return min(max_bits, 1 << max(20, math.ceil(math.log2(16 * max(n, 1)))))
+
+
+def _slots(key: str, bits: int) -> list:
+    return [F.pmod(F.xxhash64(key, F.lit(k)), F.lit(bits)) + 1 for k in (0, 1)]
+
+
+def key_slots(keys: DataFrame, key: str, bits: int) -> DataFrame:
+    """The two filter slots of every key, as (slot)."""
+    return keys.select(F.explode(F.array(*_slots(key, bits))).alias("slot"))
+
+
+def slot_bitmap(slots: DataFrame) -> DataFrame:
+    """(bucket, bitmap) rows of 32,768 slots each; at most bits / 8 bytes in all."""
+    return slots.groupBy(F.bitmap_bucket_number("slot").alias("bucket")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("bitmap")
     )
 
 
+def mark_in(df: DataFrame, key: str, filter_table: DataFrame, bits: int) -> DataFrame:
+    """``df`` with ``_maybe``: false only if the key is surely not in the filter.
+
+    The filter table is broadcast: at most ``bits`` / 8 bytes, whatever the input.
+    """
+    for k, slot in enumerate(_slots(key, bits)):
+        bits_k = filter_table.select(F.col("bucket").alias(f"_b{k}"), F.col("bitmap").alias(f"_m{k}"))
+        df = df.withColumn(f"_s{k}", slot).withColumn(f"_b{k}", F.bitmap_bucket_number(f"_s{k}"))
+        df = df.join(F.broadcast(bits_k), f"_b{k}", "left")
+        at = f"bitmap_bit_position(_s{k})"
+        hit = F.expr(
+            f"coalesce(shiftright(cast(conv(hex(substring(_m{k}, cast({at} div 8 as int) + 1, 1)), 16, 10)"
+            f" as int), cast({at} % 8 as int)) & 1, 0) = 1"
+        )
+        df = df.withColumn(f"_h{k}", hit).drop(f"_s{k}", f"_b{k}", f"_m{k}")
+    return df.withColumn("_maybe", F.col("_h0") & F.col("_h1")).drop("_h0", "_h1")
+
+
+def likely_in(df: DataFrame, key: str, ids: DataFrame, max_bits: int = 1 << 27) -> DataFrame:
+    """``df`` marked with ``_maybe`` for the keys in ``ids`` (same column name), before a join.
+
+    So that wide rows are only shuffled for keys that are there: a join on the marked
+    rows stays exact, the filter just spares the others the way.
+    """
+    bits = filter_bits(ids.count(), max_bits)
+    return mark_in(df, key, stored(slot_bitmap(key_slots(ids, key, bits))), bits)
+
+
+def _stars(edges: DataFrame) -> bool:
+    """Whether every node either has one neighbour or is named as neighbour only."""
+    roles = edges.select(F.col("a").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(
+        edges.select(F.col("b").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down"))
+    )
+    roles = roles.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+    return roles.where("up > 1 or (up = 1 and down = 1)").isEmpty()
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
     """Connected components of an undirected edge table: (node, component).
 
@@ -56,9 +107,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 6
         .distinct()
     )
     e = stored(e)
-    seen = _fingerprint(e)
     for _ in range(max_rounds):
-        if not seen[0]:
+        if _stars(e):
             break
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
@@ -74,10 +124,6 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 6
             .distinct()
         )
         e = stored(e)
-        now = _fingerprint(e)
-        if now == seen:
-            break
-        seen = now
     else:
         raise RuntimeError("components did not settle")
     return e.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(

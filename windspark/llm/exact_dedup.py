@@ -8,17 +8,13 @@ and grouped exactly, so a false positive of the filter costs time, never a resul
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import filter_bits, key_slots, mark_in, slot_bitmap, stored
 
 #: Deleted before texts are compared: space and the five controls 0x09 to 0x0D.
 SPACE = " \t\n\x0b\x0c\r"
-#: Bits a bitmap row of bitmap_construct_agg holds (4096 bytes).
-ROW_BITS = 32768
 
 
 def text_key(text) -> tuple:
@@ -27,10 +23,6 @@ def text_key(text) -> tuple:
     return F.sha2(F.translate(text, SPACE, ""), 256), F.length(text).cast("long")
 
 
-def _slots(key: str, bits: int) -> list:
-    return [F.pmod(F.xxhash64(key, F.lit(k)), F.lit(bits)) + 1 for k in (0, 1)]
-
-
 def repeated_slots(keys: DataFrame, key: str, max_bits: int = 1 << 27) -> tuple[DataFrame, int]:
     """(bucket, bitmap) of the filter slots hit at least twice, and the filter's size in bits.
 
@@ -38,33 +30,9 @@ def repeated_slots(keys: DataFrame, key: str, max_bits: int = 1 << 27) -> tuple[
     fills up and marks more rows than needed, up to all: then everything is shuffled,
     which is the plain method and still exact. Only 8-byte slot numbers travel here.
     """
-    n = max(1, keys.count())
-    bits = min(max_bits, 1 << max(20, math.ceil(math.log2(16 * n))))
-    slots = keys.select(F.explode(F.array(*_slots(key, bits))).alias("slot"))
-    twice = slots.groupBy("slot").agg(F.count("*").alias("n")).where("n > 1")
-    return (
-        twice.groupBy(F.bitmap_bucket_number("slot").alias("bucket"))
-        .agg(F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("bitmap")),
-        bits,
-    )
-
-
-def mark_repeated(df: DataFrame, key: str, filter_table: DataFrame, bits: int) -> DataFrame:
-    """``df`` with ``_maybe``: true if the row's key may occur more than once.
-
-    The filter table is broadcast: at most ``bits`` / 8 bytes, whatever the input.
-    """
-    for k, slot in enumerate(_slots(key, bits)):
-        bits_k = filter_table.select(F.col("bucket").alias(f"_b{k}"), F.col("bitmap").alias(f"_m{k}"))
-        df = df.withColumn(f"_s{k}", slot).withColumn(f"_b{k}", F.bitmap_bucket_number(f"_s{k}"))
-        df = df.join(F.broadcast(bits_k), f"_b{k}", "left")
-        at = f"bitmap_bit_position(_s{k})"
-        hit = F.expr(
-            f"coalesce(shiftright(cast(conv(hex(substring(_m{k}, cast({at} div 8 as int) + 1, 1)), 16, 10)"
-            f" as int), cast({at} % 8 as int)) & 1, 0) = 1"
-        )
-        df = df.withColumn(f"_h{k}", hit).drop(f"_s{k}", f"_b{k}", f"_m{k}")
-    return df.withColumn("_maybe", F.col("_h0") & F.col("_h1")).drop("_h0", "_h1")
+    bits = filter_bits(keys.count(), max_bits)
+    twice = key_slots(keys, key, bits).groupBy("slot").agg(F.count("*").alias("n")).where("n > 1")
+    return slot_bitmap(twice), bits
 
 
 def _rank(id_col):
@@ -84,7 +52,7 @@ def copy_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     sha, n = text_key(F.col(text_col))
     short = stored(docs.select(F.col(id_col).alias("id"), sha.alias("sha"), n.alias("n")))
     filter_table, bits = repeated_slots(short, "sha", max_bits)
-    marked = mark_repeated(short, "sha", stored(filter_table), bits)
+    marked = mark_in(short, "sha", stored(filter_table), bits)
     alone = marked.where(~F.col("_maybe")).select(
         "id", F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"),
         F.lit(True).alias("kept"), "sha",
@@ -122,7 +90,7 @@ def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     keys = stored(docs.select(sha.alias("_sha")))
     filter_table, bits = repeated_slots(keys, "_sha", max_bits)
     wide = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"), sha.alias("_sha"), n.alias("_n"))
-    marked = mark_repeated(wide, "_sha", stored(filter_table), bits)
+    marked = mark_in(wide, "_sha", stored(filter_table), bits)
     order = F.struct("_n", *(x.alias(f"r{i}") for i, x in enumerate(_rank(F.col(f"_row.`{id_col}`")))), F.xxhash64("_row").alias("h"))
     kept = marked.where("_maybe").groupBy("_sha").agg(F.max_by("_row", order).alias("_row"))
     return (

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_group, components, stored, tile_pairs
+from .common import by_group, components, likely_in, stored, tile_pairs
 from .pieces import Shared
 
 WORDS = 5
@@ -255,12 +255,12 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     candidates = components(by_group(pairs, ["band", "tile_a", "tile_b"], _bucket, "a long, b long"))
 
     members = candidates.withColumnRenamed("component", "grp").join(reps.select("node", "id", "size"), "node")
-    members = stored(members)
     cut = members.groupBy("grp").agg(
         F.greatest(F.ceil(F.sum("size") / tile_shingles), F.ceil(F.count("*") / tile_rows)).cast("int").alias("n_tiles")
     )
-    members = members.join(cut, "grp").withColumn("tile", F.pmod(F.xxhash64("node"), F.col("n_tiles")))
-    texts = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")).join(members.select("id", "node", "grp", "tile", "n_tiles"), "id")
+    members = stored(members.join(cut, "grp")).withColumn("tile", F.pmod(F.xxhash64("node"), F.col("n_tiles")))
+    texts = likely_in(docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")), "id", members.select("id"))
+    texts = texts.where("_maybe").drop("_maybe").join(members.select("id", "node", "grp", "tile", "n_tiles"), "id")
     texts = tile_pairs(texts, "tile", "n_tiles").select("grp", "tile_a", "tile_b", "node", "text")
     links = by_group(texts, ["grp", "tile_a", "tile_b"], _verified(idf, threshold), "a long, b long")
     classes = components(links)
@@ -281,5 +281,8 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """``docs`` without the rows of a class other than its kept one, all columns as they are."""
     rows = near_classes(docs, id_col, text_col, threshold)
-    gone = rows.groupBy(F.col(id_col).alias("_gone")).agg(F.max("kept").alias("kept")).where("not kept").select("_gone")
-    return docs.join(gone, docs[id_col] == gone["_gone"], "left_anti")
+    gone = stored(rows.groupBy(F.col(id_col).alias("_id")).agg(F.max("kept").alias("kept")).where("not kept").select("_id"))
+    wide = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(id_col).alias("_id"))
+    marked = likely_in(wide, "_id", gone)
+    some = marked.where("_maybe").join(gone, "_id", "left_anti").select("_row")
+    return marked.where("not _maybe").select("_row").unionByName(some).select(*[F.col(f"_row.`{c}`").alias(c) for c in docs.columns])
