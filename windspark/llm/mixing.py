@@ -107,7 +107,7 @@ def _diffuse(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"id": pdf["id"], "source": pdf["source"], "copies": out, "size": pdf["size"], "source_size": pdf["source_size"], "target": pdf["target"], "k": pdf["k"]})
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", slice_rows: int = 20_000) -> DataFrame:
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", slice_rows: int = 2_000) -> DataFrame:
     """One row per row of ``docs``: id, source, size, source_size, target, copies, taken.
 
     ``size`` counts words (null text: 0), ``taken`` = copies * size. A document is taken
