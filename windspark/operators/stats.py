@@ -66,21 +66,26 @@ def _mi(joint: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def _joint(df: DataFrame, pairs: list[tuple[str, str]], a: str, b: str) -> DataFrame:
-    """Counts by pair of columns and their bins; rows become pairs after one pass, with map-side sums."""
-    items = F.array(*[F.struct(F.lit(p).alias(a), F.lit(q).alias(b), F.col(p).alias("x"), F.col(q).alias("y")) for p, q in pairs])
-    cols = sorted({c for p in pairs for c in p})
-    # distinct bin vectors first: the pairs are made from these, not from the rows
-    base = df.groupBy(*cols).agg(F.count("*").alias("_n"))
-    return base.select("_n", F.explode(items).alias("i")).groupBy(f"i.{a}", f"i.{b}", "i.x", "i.y").agg(F.sum("_n").alias("n"))
+    """Counts by pair of columns and their bins (below 1,000).
+
+    A row becomes one whole number for each pair; map-side sums leave at most pairs x bins^2
+    of them in a task before the shuffle. Rows with a null bin are left out of its pairs.
+    """
+    keys = F.array(*[(F.lit(k * 1000).cast("long") + F.col(p)) * 1000 + F.col(q) for k, (p, q) in enumerate(pairs)])
+    n = df.select(F.explode(keys).alias("k")).where("k is not null").groupBy("k").agg(F.count("*").alias("n"))
+    pair = F.get(F.array(*[F.struct(F.lit(p).alias(a), F.lit(q).alias(b)) for p, q in pairs]), F.floor(F.col("k") / 1_000_000).cast("int"))
+    n = n.select(pair.alias("i"), F.floor(F.col("k") / 1000 % 1000).cast("int").alias("x"), (F.col("k") % 1000).cast("int").alias("y"), "n")
+    return n.select(f"i.{a}", f"i.{b}", "x", "y", "n")
 
 
 def pairwise_mi(binned: DataFrame, cols: list[str]) -> DataFrame:
     """(feature_a, feature_b, mi) in nats for every ordered pair, 0 on the diagonal."""
     pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i + 1 :]]
     half = _mi(_joint(binned, pairs, "feature_a", "feature_b"), ["feature_a", "feature_b"])
-    swapped = half.select(F.col("feature_b").alias("feature_a"), F.col("feature_a").alias("feature_b"), "mi")
+    both = F.array(F.struct(F.col("feature_a").alias("a"), F.col("feature_b").alias("b")), F.struct(F.col("feature_b").alias("a"), F.col("feature_a").alias("b")))
+    full = half.select(F.explode(both).alias("p"), "mi").select(F.col("p.a").alias("feature_a"), F.col("p.b").alias("feature_b"), "mi")
     diagonal = binned.sparkSession.createDataFrame([(c, c, 0.0) for c in cols], "feature_a string, feature_b string, mi double")
-    return half.unionByName(swapped).unionByName(diagonal)
+    return full.unionByName(diagonal)
 
 
 def relevance_mi_binned(df: DataFrame, cols: list[str], targets: list[str], n_bins: int = 10) -> DataFrame:
