@@ -57,14 +57,15 @@ def copy_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         "id", F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"),
         F.lit(True).alias("kept"), "sha",
     )
-    rows = marked.where("_maybe").groupBy("id", "sha", "n").agg(F.count("*").alias("c"))
+    rows = stored(marked.where("_maybe").groupBy("id", "sha", "n").agg(F.count("*").alias("c")))
     groups = rows.groupBy("sha").agg(
         F.sum("c").alias("group_size"),
         F.max(F.struct(F.col("n").alias("keep_n"), *(x.alias(f"r{i}") for i, x in enumerate(_rank(F.col("id")))))).alias("top"),
     )
-    groups = groups.select(
+    # stored, so that a hash with very many rows is a skewed join that can be split
+    groups = stored(groups.select(
         "sha", "group_size", F.col("top.keep_n").alias("keep_n"), F.when(F.col("top.r0"), -F.col("top.r1")).alias("keep_id")
-    )
+    ))
     rest = (
         rows.join(groups, "sha")
         .withColumn("k", F.explode(F.sequence(F.lit(1).cast("long"), F.col("c"))))
