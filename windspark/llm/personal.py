@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import text_batches
 from .pieces import Shared
 
 #: Fixed order of the kinds, also of the labels 1 to 4; label 0 is none.
@@ -208,9 +209,12 @@ def labelled_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             kind = pa.list_(pa.struct([("k", pa.int32()), ("a", pa.int32()), ("b", pa.int32())]))
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keep, pa.int64())), texts, pa.array(found, kind)], names=["h", "text", "spans"])
 
-    near = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")).where(
-        F.col("text").rlike("[0-9@]") & (F.length("text") <= 20_000)
-    ).select(F.xxhash64("id").alias("h"), "text").orderBy("h", "text").limit(most)
+    rows = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")).where(
+        F.col("id").isNotNull() & F.col("text").rlike("[0-9@]") & (F.length("text") <= 20_000)
+    )
+    # the ids first, so that only their texts travel; at most ``most`` of them
+    ids = rows.select("id", F.xxhash64("id").alias("h")).distinct().orderBy("h", "id").limit(most)
+    near = rows.join(F.broadcast(ids), "id").select("h", "text").orderBy("h", "text").limit(most)
     return near.mapInArrow(run, "h long, text string, spans array<struct<k:int,a:int,b:int>>").select("text", "spans")
 
 
@@ -231,6 +235,7 @@ def find(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "
     empty. ``base`` tells pattern spans from those the field adds: runs of words with one
     label that overlap no other span. Other columns are not read; nothing is shuffled.
     """
+    text_batches(docs.sparkSession)
     shared = Shared(docs.sparkSession, model)
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("base", pa.bool_())]))
 
