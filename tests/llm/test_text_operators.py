@@ -97,7 +97,7 @@ def test_near_classes(spark, odd_docs, tiles):
         want = doc if not (text or "").split() else min(members, default=None)
         assert want in got[doc], doc
     named = [x for x, (_, t) in zip(label, data) if (t or "").split()]
-    assert sum(r.kept for r in out) >= len(set(named))
+    assert sum(r.kept for r in out) == len(set(named)) + len(data) - len(named)
 
 
 def test_drop_near_copies(odd_docs):

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_group, components, likely_in, stored, tile_pairs
+from .common import by_group, components, likely_in, stored, text_batches, tile_pairs
 from .pieces import Shared
 
 WORDS = 5
@@ -46,7 +46,7 @@ class _Hashes(dict):
     def __missing__(self, word: str) -> int:
         import xxhash
 
-        if len(self) >= 300_000:
+        if len(self) >= 100_000:
             self.clear()
         self[word] = out = xxhash.xxh64_intdigest(word)
         return out
@@ -87,7 +87,7 @@ def shingles(words: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return h, tf, np.round(w[first] / WORDS, 6)
 
 
-def sample(h: np.ndarray, weight: np.ndarray, block: int = 50_000) -> np.ndarray:
+def sample(h: np.ndarray, weight: np.ndarray, block: int = 8_000) -> np.ndarray:
     """The document's consistent weighted samples, as 64-bit hashes of (shingle, t)."""
     low = np.full(SAMPLES, np.inf, np.float32)
     out = np.zeros(SAMPLES, np.uint64)
@@ -239,13 +239,15 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     same words always are in one class. Texts without words (null, empty, white space)
     are in no class: class_id is their own id. One row of each class has kept = true, the
     one with the smallest id (null ids last). Other columns are ignored; rows repeating
-    an id are separate. The links that sampling may miss: at 0.8 a pair shares none of
+    an id are separate; a text held only by rows without an id joins a class by equal
+    words alone. The links that sampling may miss: at 0.8 a pair shares none of
     the bands with p = 2e-4, above it with less.
     """
     spark = docs.sparkSession
+    text_batches(spark)
     idf = Shared(spark, word_slots(docs, text_col))
     rows = stored(signatures(docs, idf, id_col, text_col))
-    reps = rows.where("node is not null").groupBy("node").agg(F.min(F.struct("id", "size", "sketch", "bands")).alias("r"))
+    reps = rows.where("node is not null").groupBy("node").agg(F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "size", "sketch", "bands")).alias("r"))
     reps = stored(reps.select("node", "r.*"))
 
     bands = reps.select("node", "sketch", F.explode("bands").alias("band"))
@@ -265,16 +267,17 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     links = by_group(texts, ["grp", "tile_a", "tile_b"], _verified(idf, threshold), "a long, b long")
     classes = components(links)
 
-    labelled = rows.select("id", "node").join(classes, "node", "left").withColumn("class", F.coalesce("component", "node"))
+    # rows repeating an id and its words share one line here and part again at the end
+    distinct = rows.groupBy("id", "node").agg(F.count("*").alias("c"))
+    labelled = distinct.join(classes, "node", "left").withColumn("class", F.coalesce("component", "node"))
     size = labelled.where("class is not null").groupBy("class").agg(
-        F.min(F.struct(F.col("id").isNull(), "id", "node")).alias("first"), F.count("*").alias("class_size")
+        F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "node")).alias("first"), F.sum("c").alias("class_size")
     )
-    out = labelled.join(size, "class", "left")
-    # rows repeating the kept id and words: one of them stays
+    out = labelled.join(size, "class", "left").withColumn("k", F.explode(F.sequence(F.lit(1).cast("long"), F.col("c"))))
+    first = F.col("id").eqNullSafe(F.col("first.id")) & (F.col("node") == F.col("first.node")) & (F.col("k") == 1)
     return out.select(
         F.col("id").alias(id_col), F.when(F.col("class").isNull(), F.col("id")).otherwise(F.col("first.id")).alias("class_id"),
-        F.coalesce("class_size", F.lit(1)).alias("class_size"),
-        (F.col("class").isNull() | (F.col("id").eqNullSafe(F.col("first.id")) & (F.col("node") == F.col("first.node")))).alias("kept"),
+        F.coalesce("class_size", F.lit(1)).alias("class_size"), (F.col("class").isNull() | first).alias("kept"),
     )
 
 
