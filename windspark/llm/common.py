@@ -23,6 +23,17 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def text_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Arrow batches of at most ``rows`` rows in this session, as a row holds a whole text.
+
+    It keeps the buffers of a task small beside those of the heap; results are the same.
+    """
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(key, "10000"))
+    if now <= 0 or now > rows:
+        spark.conf.set(key, str(rows))
+
+
 def stored(df: DataFrame) -> DataFrame:
     """``df`` written once as Parquet to the shared folder and read back.
 
@@ -111,7 +122,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 6
         if _stars(e):
             break
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+        # stored, so that the many edges of one centre are a skewed join that can be split
+        low = stored(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")))
         e = (
             both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
             .where("a <> b").distinct()
