@@ -19,9 +19,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .common import text_batches
+
 MARK = "▁"
 #: Entries that a worker's memo tables hold before they start anew.
-MEMO = 300_000
+MEMO = 150_000
 
 
 def load_vocabulary(model_path: str) -> dict:
@@ -231,6 +233,7 @@ def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: s
     A null text counts as empty: no ids, empty text. Texts of any length are encoded
     whole. Rows are independent, so nothing is shuffled; other columns are not read.
     """
+    text_batches(docs.sparkSession)
     shared = Shared(docs.sparkSession, load_vocabulary(model_path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

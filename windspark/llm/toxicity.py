@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import text_batches
 from .pieces import Shared
 
 _WORD = re.compile(r"[^\W\d_]+")
@@ -96,7 +97,7 @@ def fit_ordinal(x: np.ndarray, grade: np.ndarray, weight: np.ndarray, grades: in
     weight = weight / weight.sum()
     for step in range(1, rounds + 1):
         theta = np.concatenate([low, low + np.cumsum(np.exp(gaps))])
-        score = x @ w
+        score = (x @ w.astype(x.dtype)).astype(float)
         up = _sigmoid(score[:, None] - theta[None, :])  # P(grade > k)
         edge = np.hstack([np.ones((len(x), 1)), up, np.zeros((len(x), 1))])
         at = np.arange(len(x))
@@ -108,7 +109,7 @@ def fit_ordinal(x: np.ndarray, grade: np.ndarray, weight: np.ndarray, grades: in
         np.add.at(d_theta, np.maximum(grade - 1, 0), np.where(grade >= 1, -slope[at, grade] / p * weight, 0))
         d_low = d_theta.sum()
         d_gaps = np.array([d_theta[k + 1 :].sum() for k in range(grades - 2)]) * np.exp(gaps)
-        grad = np.concatenate([x.T @ d_score - l2 * w / len(x) * 10, [d_low], d_gaps])
+        grad = np.concatenate([x.T @ d_score.astype(x.dtype) - l2 * w / len(x) * 10, [d_low], d_gaps])
         state[0] = 0.9 * state[0] + 0.1 * grad
         state[1] = 0.999 * state[1] + 0.001 * grad**2
         move = rate * (state[0] / (1 - 0.9**step)) / (np.sqrt(state[1] / (1 - 0.999**step)) + 1e-8)
@@ -152,29 +153,37 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     return {"words": {f: float(w[i]) for f, i in order.items()}, "theta": theta}
 
 
+def _scorer(words: dict[str, float]):
+    """Sum of the weights of a text's features, without building the features it lacks."""
+    whole = {f for f in words if f[0] != "^"}
+    begin = [(n, {f[1:]: words[f] for f in words if f[0] == "^" and len(f) == n + 1}) for n in BEGINNINGS]
+
+    def total(text: str | None) -> float:
+        seen = set(_WORD.findall((text or "").lower()))
+        out = sum(sorted(words[f] for f in seen & whole))
+        for n, table in begin:
+            out += sum(sorted(table[b] for b in {w[:n] for w in seen if len(w) > n} & table.keys()))
+        return out
+
+    return total
+
+
 def score(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: id, severity (expected grade, 0 to 3), p_toxic = P(grade > 0), toxic (p_toxic >= 0.5).
 
     Whole texts; null and empty texts have no features and so the lowest severity.
     Repeated rows get equal results; other columns are not read; nothing is shuffled.
     """
+    text_batches(docs.sparkSession)
     shared = Shared(docs.sparkSession, model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, theta = shared.value["words"], np.asarray(shared.value["theta"])
-        whole = {f for f in words if f[0] != "^"}
-        begin = {n: {f[1:]: words[f] for f in words if f[0] == "^" and len(f) == n + 1} for n in BEGINNINGS}
+        total, theta = _scorer(shared.value["words"]), np.asarray(shared.value["theta"])
         for batch in batches:
-            total = []
-            for text in batch.column(1).to_pylist():
-                seen = set(_WORD.findall((text or "").lower()))
-                s = sum(sorted(words[f] for f in seen & whole))
-                for n, table in begin.items():
-                    s += sum(sorted(table[b] for b in {w[:n] for w in seen if len(w) > n} & table.keys()))
-                total.append(s)
-            p = _sigmoid(np.array(total, float)[:, None] - theta[None, :])
+            s = np.array([total(t) for t in batch.column(1).to_pylist()], float)
+            p = _sigmoid(s[:, None] - theta[None, :])
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(p.sum(1)), pa.array(p[:, 0]), pa.array(p[:, 0] >= 0.5)], names=["id", "severity", "p_toxic", "toxic"]
+                [batch.column(0), pa.array(p.sum(1)), pa.array(p[:, 0]), pa.array(s >= theta[0])], names=["id", "severity", "p_toxic", "toxic"]
             )
 
     kind = f"id {dict(docs.dtypes)[id_col]}, severity double, p_toxic double, toxic boolean"
@@ -183,14 +192,13 @@ def score(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str =
 
 def keep_clean(docs: DataFrame, model: dict, text_col: str = "text") -> DataFrame:
     """``docs`` without the rows scored toxic, all columns as they are, nothing shuffled."""
-    names = docs.columns
+    at = docs.columns.index(text_col)
+    text_batches(docs.sparkSession)
     shared = Shared(docs.sparkSession, model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, top = shared.value["words"], float(shared.value["theta"][0])
-        at = names.index(text_col)
+        total, top = _scorer(shared.value["words"]), float(shared.value["theta"][0])
         for batch in batches:
-            keep = [sum(sorted(words[f] for f in features(t) & words.keys())) < top for t in batch.column(at).to_pylist()]
-            yield batch.filter(pa.array(keep, pa.bool_()))
+            yield batch.filter(pa.array([total(t) < top for t in batch.column(at).to_pylist()], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
