@@ -6,13 +6,19 @@ import numpy as np
 
 
 def _digamma(n: np.ndarray) -> np.ndarray:
-    top = int(n.max()) if len(n) else 1
-    harmonic = np.concatenate([[0.0], np.cumsum(1.0 / np.arange(1, top + 1))])
-    return harmonic[n.astype(int) - 1] - 0.57721566490153286
+    """Of whole numbers from 1: harmonic sums below 64, the asymptotic series from there."""
+    n = np.asarray(n).astype(int)
+    harmonic = np.concatenate([[0.0], np.cumsum(1.0 / np.arange(1, 64))])
+    z = np.maximum(n, 64).astype(float)
+    series = np.log(z) - 1 / (2 * z) - 1 / (12 * z**2) + 1 / (120 * z**4) - 1 / (252 * z**6)
+    return np.where(n < 64, harmonic[np.minimum(n, 64) - 1] - 0.57721566490153286, series)
 
 
-def _radius(x: np.ndarray, y: np.ndarray, k: int) -> np.ndarray:
-    """Max-norm distance to the k-th neighbour, searching outwards in the order of x."""
+def nearest(x: np.ndarray, y: np.ndarray, k: int) -> np.ndarray:
+    """Max-norm distances to the k nearest neighbours (inf where there are fewer), ascending.
+
+    Searches outwards in the order of x.
+    """
     order = np.argsort(x, kind="stable")
     xs, ys = x[order], y[order]
     n = len(x)
@@ -33,8 +39,8 @@ def _radius(x: np.ndarray, y: np.ndarray, k: int) -> np.ndarray:
             best[i[nearer], worst[nearer]] = d[nearer]
         live = live[gap.min(0) < best[live].max(1)]
         step += 1
-    out = np.empty(n)
-    out[order] = best.max(1)
+    out = np.empty((n, k))
+    out[order] = np.sort(best, 1)
     return out
 
 
@@ -48,8 +54,63 @@ def mutual_information(x: np.ndarray, y: np.ndarray, k: int = 3) -> float:
     n = len(x)
     if n <= k + 1:
         return 0.0
-    r = _radius(x, y, k) * (1 - 1e-10)
+    r = nearest(x, y, k)[:, -1] * (1 - 1e-10)
     nx, ny = _within(x, r), _within(y, r)
     full = np.array([n, k])
     psi_n, psi_k = _digamma(full)
     return max(0.0, float(psi_n + psi_k - _digamma(nx).mean() - _digamma(ny).mean()))
+
+
+def nearest_of(qx: np.ndarray, qy: np.ndarray, reach: np.ndarray, x: np.ndarray, y: np.ndarray, k: int) -> list[list[float]]:
+    """For each query the k smallest max-norm distances to points, those up to ``reach``."""
+    order = np.argsort(x, kind="stable")
+    x, y = x[order], y[order]
+    first, last = np.searchsorted(x, qx - reach, "left"), np.searchsorted(x, qx + reach, "right")
+    out = []
+    for i, (a, b) in enumerate(zip(first.tolist(), last.tolist())):
+        d = np.maximum(np.abs(x[a:b] - qx[i]), np.abs(y[a:b] - qy[i]))
+        out.append(np.sort(d[d <= reach[i]])[:k].tolist())
+    return out
+
+
+class Tiles:
+    """A plane cut into rectangles by halving a sample of its points, the wider side first."""
+
+    def __init__(self, x: np.ndarray, y: np.ndarray, leaf: int):
+        self.axis, self.at, self.child = [], [], []
+        self.leaves = 0
+        self.root = self._split(np.stack([x, y]), leaf)
+        self.axis, self.at, self.child = np.array(self.axis, int), np.array(self.at, float), np.array(self.child, int).reshape(-1, 2)
+
+    def _split(self, p: np.ndarray, leaf: int) -> int:
+        """Number of a node, or -1 - leaf."""
+        if p.shape[1] > leaf:
+            for axis in np.argsort(-np.ptp(p, axis=1), kind="stable").tolist():
+                at = np.median(p[axis])
+                low = p[axis] < at
+                if not low.any():
+                    continue
+                node = len(self.axis)
+                self.axis.append(axis), self.at.append(at), self.child.append(None)
+                self.child[node] = (self._split(p[:, low], leaf), self._split(p[:, ~low], leaf))
+                return node
+        self.leaves += 1
+        return -self.leaves
+
+    def touched(self, x: np.ndarray, y: np.ndarray, reach: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(query, leaf) wherever the square of half side ``reach`` meets a leaf."""
+        q, node = np.arange(len(x)), np.full(len(x), self.root)
+        done = []
+        while len(q):
+            end = node < 0
+            done.append((q[end], -1 - node[end]))
+            q, node = q[~end], node[~end]
+            v, r, at = np.where(self.axis[node] == 0, x[q], y[q]), reach[q], self.at[node]
+            low, high = v - r < at, v + r >= at
+            child = self.child[node]
+            q, node = np.concatenate([q[low], q[high]]), np.concatenate([child[low, 0], child[high, 1]])
+        return tuple(np.concatenate(c) for c in zip(*done)) if done else (q, node)
+
+    def leaf(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        q, leaf = self.touched(x, y, np.zeros(len(x)))
+        return leaf[np.argsort(q)]

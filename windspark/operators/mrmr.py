@@ -1,33 +1,131 @@
 """Relevance by nearest neighbours, greedy mRMR ranking and the whole selection job."""
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._ksg_np import mutual_information
+from ._ksg_np import Tiles, _digamma, nearest, nearest_of
 from .cases import global_downsample, limit_cases, sample_per_case
 from .stats import bin_uniform, pairwise_mi, relevance_mi_binned
 
 
-def relevance_mi(df: DataFrame, cols: list[str], targets: list[str], key: list[str], k: int = 3) -> DataFrame:
+#: Points of a sample that places the cuts: so many to a tile, and tiles at most.
+SAMPLE, MAX_TILES = 32, 8192
+
+
+def relevance_mi(df: DataFrame, cols: list[str], targets: list[str], key: list[str], k: int = 3, tile_rows: int = 8_000) -> DataFrame:
     """(feature, relevance) by k-nearest-neighbour mutual information, mean over targets.
 
-    For samples (a task holds one feature-target pair of all rows); columns are divided
-    by their deviation and get a tiny jitter from the row key, so ties break the same way each run.
+    Over all rows, exactly, in tasks of about ``tile_rows``; columns are divided by their
+    deviation and get a tiny jitter from the row key, so ties break the same way each run.
+    Rows where the feature or the target is null or NaN do not count for that pair. A sample
+    places the cuts, which do not change the result: a point whose neighbours may lie past
+    its tile asks the tiles that its distance reaches, and counts within a distance are
+    places in slices of the sorted columns.
     """
+    spark = df.sparkSession
+    pairs = [(f, t) for f in cols for t in targets]
     both = list(dict.fromkeys([*cols, *targets]))
     dev = df.agg(*[F.stddev_pop(c).alias(c) for c in both])
     scaled = df.crossJoin(F.broadcast(dev.select(F.struct(*both).alias("_d"))))
     jitter = lambda c: (F.pmod(F.xxhash64(*key, F.lit(c)), F.lit(1_000_003)) / 1_000_003.0 - 0.5) * 1e-10
     value = lambda c: F.col(c) / F.when(F.col("_d")[c] > 0, F.col("_d")[c]).otherwise(1.0) + jitter(c)
-    items = F.array(*[F.struct(F.lit(f).alias("feature"), F.lit(t).alias("target"), value(f).alias("x"), value(t).alias("y")) for f in cols for t in targets])
-    long = scaled.select(F.explode(items).alias("i")).select("i.*")
-
-    def one(group: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["x", "y"])
-        return pd.DataFrame({"feature": [group[0]], "target": [group[1]], "mi": [mutual_information(pdf.x.to_numpy(), pdf.y.to_numpy(), k)]})
-
-    mi = long.groupBy("feature", "target").applyInPandas(one, "feature string, target string, mi double")
+    items = F.array(*[F.struct(F.lit(p).alias("p"), value(f).alias("x"), value(t).alias("y")) for p, (f, t) in enumerate(pairs)])
+    long = scaled.select(F.explode(items).alias("i")).select("i.*").where("x is not null and y is not null and not isnan(x) and not isnan(y)")
+    points = long.groupBy("p", "x", "y").agg(F.count("*").alias("m")).persist()
+
+    total = {r.p: (r.n, r.d) for r in points.groupBy("p").agg(F.sum("m").alias("n"), F.count("*").alias("d")).collect()}  # one row for each pair
+    most = max((d for _, d in total.values()), default=0)
+    share = min(1.0, SAMPLE * min(MAX_TILES, most / tile_rows) / max(most, 1))
+    # bounded: SAMPLE x MAX_TILES points of each pair
+    some = points.sample(share, 42).select("p", "x", "y").toPandas() if most > tile_rows else pd.DataFrame({"p": [], "x": [], "y": []})
+    tiles, cuts = {}, {}
+    for p in range(len(pairs)):
+        x, y = some.x[some.p == p].to_numpy(), some.y[some.p == p].to_numpy()
+        tiles[p] = Tiles(x, y, SAMPLE)
+        for axis, v in enumerate((x, y)):
+            cuts[p, axis] = np.unique(np.sort(v)[SAMPLE::SAMPLE])
+
+    def place(batches):
+        for b in batches:
+            for p, part in b.groupby("p"):
+                yield part.assign(tile=tiles[p].leaf(part.x.to_numpy(), part.y.to_numpy()))
+
+    def inside(group: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        x, y = pdf.x.to_numpy(), pdf.y.to_numpy()
+        copies = np.minimum(pdf.m.to_numpy(), k + 1)  # more do not change the k nearest
+        near = nearest(np.repeat(x, copies), np.repeat(y, copies), k)[np.cumsum(copies) - copies]
+        q, leaf = tiles[group[0]].touched(x, y, near[:, -1])
+        others = [[] for _ in x]
+        for i, t in zip(q[leaf != group[1]].tolist(), leaf[leaf != group[1]].tolist()):
+            others[i].append(t)
+        return pdf[["p", "x", "y", "m"]].assign(near=near.tolist(), others=others)
+
+    def beyond(group: tuple, asks: pd.DataFrame, pdf: pd.DataFrame) -> pd.DataFrame:
+        copies = np.minimum(pdf.m.to_numpy(), k + 1)
+        near = nearest_of(asks.x.to_numpy(), asks.y.to_numpy(), asks.reach.to_numpy(), np.repeat(pdf.x.to_numpy(), copies), np.repeat(pdf.y.to_numpy(), copies), k)
+        return asks[["p", "x", "y"]].assign(m=0, near=pd.Series(near, asks.index, object))
+
+    tiled = points.mapInPandas(place, "p int, x double, y double, m long, tile int").persist()
+    first = tiled.groupBy("p", "tile").applyInPandas(inside, "p int, x double, y double, m long, near array<double>, others array<int>").persist()
+    asks = first.select("p", "x", "y", F.get("near", F.lit(k - 1)).alias("reach"), F.explode("others").alias("tile"))
+    found = asks.groupBy("p", "tile").cogroup(tiled.groupBy("p", "tile")).applyInPandas(beyond, "p int, x double, y double, m long, near array<double>")
+    open_ = first.where(F.size("others") > 0).select("p", "x", "y", "m", "near").unionByName(found).groupBy("p", "x", "y").agg(
+        F.sum("m").alias("m"), F.array_sort(F.flatten(F.collect_list("near"))).alias("near")
+    )
+    radius = first.where(F.size("others") == 0).select("p", "x", "y", "m", "near").unionByName(open_)
+    radius = radius.select("p", "x", "y", "m", (F.get("near", F.lit(k - 1)) * (1 - 1e-10)).alias("r"))
+
+    def slices(batches):
+        """Each point of an axis in the slice of its value and those of both ends."""
+        for b in batches:
+            for p, part in b.groupby("p"):
+                for axis, c in enumerate("xy"):
+                    v, r = part[c].to_numpy(), part.r.to_numpy()
+                    at = [np.searchsorted(cuts[p, axis], e, "right") for e in (v - r, v, v + r)]
+                    out = pd.DataFrame({"p": p, "axis": axis, "v": v, "w": part["yx"[axis]].to_numpy(), "r": r, "m": part.m.to_numpy()})
+                    yield out.assign(slice=at[1], own=True)
+                    yield out.assign(slice=at[0], own=False)[at[0] < at[1]]
+                    yield out.assign(slice=at[2], own=False)[at[2] > at[1]]
+
+    cut = radius.mapInPandas(slices, "p int, axis int, v double, w double, r double, m long, slice int, own boolean").persist()
+    before: dict = {}
+    sizes = cut.where("own").groupBy("p", "axis", "slice").agg(F.sum("m").alias("n"))
+    for r in sizes.collect():  # one row for each slice
+        before.setdefault((r.p, r.axis), {})[r.slice] = r.n
+    for held in (points, tiled, first):
+        held.unpersist()
+    before = {g: np.cumsum([0, *[v.get(i, 0) for i in range(len(cuts[g]) + 1)]]) for g, v in before.items()}
+
+    def count(group: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        """Digamma sums of points whose interval is within the slice, parts of the counts of others."""
+        g, at = group[:2], group[2]
+        v, r, m = pdf.v.to_numpy(), pdf.r.to_numpy(), pdf.m.to_numpy()
+        ends = [np.searchsorted(cuts[g], e, "right") == at for e in (v - r, v, v + r)]
+        order = np.argsort(v[ends[1]], kind="stable")
+        held, upto = v[ends[1]][order], np.append(0, np.cumsum(m[ends[1]][order])) + before[g][at]
+        n = np.where(ends[2], upto[np.searchsorted(held, v + r, "right")], 0) - np.where(ends[0], upto[np.searchsorted(held, v - r, "left")], 0)
+        whole, part = ends[0] & ends[2], ends[0] ^ ends[2]
+        psi = float((_digamma(n[whole]) * m[whole]).sum())
+        # the first line holds the sum
+        return pd.DataFrame({
+            "p": g[0], "axis": g[1], "v": np.append(np.nan, v[part]), "w": np.append(np.nan, pdf.w.to_numpy()[part]),
+            "m": np.append(0, m[part]), "n": np.append(0, n[part]), "psi": np.append(psi, np.zeros(part.sum())),
+        })
+
+    def digammas(batches):
+        for b in batches:
+            yield pd.DataFrame({"p": b.p, "psi": _digamma(b.n.to_numpy()) * b.m.to_numpy()})
+
+    parts = cut.groupBy("p", "axis", "slice").applyInPandas(count, "p int, axis int, v double, w double, m long, n long, psi double").persist()
+    split = parts.where("v is not null").groupBy("p", "axis", "v", "w").agg(F.sum("n").alias("n"), F.first("m").alias("m"))
+    sums = parts.where("v is null").select("p", "psi").unionByName(split.select("p", "n", "m").mapInPandas(digammas, "p int, psi double"))
+    psi = sums.groupBy("p").agg(F.sum("psi").alias("psi"))
+    counts = [total.get(p, (0, 0))[0] for p in range(len(pairs))]
+    rows = [(p, f, n, float(_digamma([n, k]).sum()) if n > k + 1 else None) for p, ((f, _), n) in enumerate(zip(pairs, counts))]
+    names = spark.createDataFrame(rows, "p int, feature string, n long, most double")
+    mi = names.join(psi, "p", "left").select("feature", F.coalesce(F.greatest(F.col("most") - F.col("psi") / F.col("n"), F.lit(0.0)), F.lit(0.0)).alias("mi"))
     return mi.groupBy("feature").agg(F.avg("mi").alias("relevance"))
 
 
