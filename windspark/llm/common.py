@@ -45,6 +45,16 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def row_keys(df: DataFrame, name: str = "_key") -> DataFrame:
+    """``df`` stored once with a number for each row, so that null and repeated ids are no matter."""
+    return stored(df.withColumn(name, F.monotonically_increasing_id()))
+
+
+def whole_rows(docs: DataFrame):
+    """All columns of a row as one struct, safe from name clashes."""
+    return F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+
+
 def filter_bits(n: int, max_bits: int = 1 << 27) -> int:
     """Size of a Bloom filter for ``n`` keys: 16 bits each, a power of two, bounded (16 MB)."""
     return min(max_bits, 1 << max(20, math.ceil(math.log2(16 * max(n, 1)))))

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_group, components, likely_in, stored, text_batches, tile_pairs
+from .common import by_group, components, likely_in, row_keys, stored, text_batches, tile_pairs, whole_rows
 from .pieces import Shared
 
 WORDS = 5
@@ -129,8 +129,8 @@ def word_slots(docs: DataFrame, text_col: str = "text") -> np.ndarray:
     return np.log((1 + n) / (1 + df)) + 1
 
 
-def signatures(docs: DataFrame, idf: Shared, id_col: str, text_col: str) -> DataFrame:
-    """(id, node, size, sketch, bands) of every row; node is null without words."""
+def signatures(keyed: DataFrame, idf: Shared) -> DataFrame:
+    """(key, id, node, size, sketch, bands) of every (key, id, text) row; node is null without words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
@@ -139,7 +139,7 @@ def signatures(docs: DataFrame, idf: Shared, id_col: str, text_col: str) -> Data
             for at in range(0, batch.num_rows, 1000):
                 part = batch.slice(at, 1000)
                 node, size, sketch, bands = [], [], [], []
-                for text in part.column(1).to_pylist():
+                for text in part.column(2).to_pylist():
                     words = word_hashes(text)
                     if not len(words):
                         node.append(None), size.append(0), sketch.append(None), bands.append(None)
@@ -155,12 +155,12 @@ def signatures(docs: DataFrame, idf: Shared, id_col: str, text_col: str) -> Data
                     sketch.append((s & np.uint64(255)).astype(np.uint8).tobytes())
                     bands.append(key.astype(np.int64).tolist())
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(node, pa.int64()), pa.array(size, pa.int64()), pa.array(sketch, pa.binary()), pa.array(bands, pa.list_(pa.int64()))],
-                    names=["id", "node", "size", "sketch", "bands"],
+                    [part.column(0), part.column(1), pa.array(node, pa.int64()), pa.array(size, pa.int64()), pa.array(sketch, pa.binary()), pa.array(bands, pa.list_(pa.int64()))],
+                    names=["key", "id", "node", "size", "sketch", "bands"],
                 )
 
-    kind = f"id {dict(docs.dtypes)[id_col]}, node long, size long, sketch binary, bands array<long>"
-    return docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")).mapInArrow(run, kind)
+    kind = f"key long, id {dict(keyed.dtypes)['id']}, node long, size long, sketch binary, bands array<long>"
+    return keyed.select("key", "id", "text").mapInArrow(run, kind)
 
 
 def _grow(n: int, alike) -> list[tuple[int, int]]:
@@ -193,13 +193,9 @@ def _bucket(cols: dict) -> list[list]:
 
 def _verified(idf: Shared, threshold: float):
     def run(cols: dict) -> list[list]:
-        import xxhash
-
         nodes, parts, weights = [], [], []
         for node, text in zip(cols["node"].tolist(), cols["text"].tolist()):
             words = word_hashes(text)
-            if not len(words) or xxhash.xxh3_64_intdigest(words.tobytes()) - (1 << 63) != node:
-                continue  # another row with the same id
             h, tf, w = shingles(words, idf.value)
             # a shingle that occurs k times is k elements: min of weights becomes set overlap
             k = np.concatenate([np.arange(c) for c in tf]) if (tf > 1).any() else np.zeros(len(h), np.int64)
@@ -239,15 +235,21 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     same words always are in one class. Texts without words (null, empty, white space)
     are in no class: class_id is their own id. One row of each class has kept = true, the
     one with the smallest id (null ids last). Other columns are ignored; rows repeating
-    an id are separate; a text held only by rows without an id joins a class by equal
-    words alone. The links that sampling may miss: at 0.8 a pair shares none of
-    the bands with p = 2e-4, above it with less.
+    an id and rows without one are rows of their own. The links that sampling may miss: at
+    0.8 a pair shares none of the bands with p = 2e-4, above it with less.
     """
-    spark = docs.sparkSession
+    keyed = row_keys(docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")), "key")
+    out = _classes(keyed, threshold, tile_rows, tile_shingles)
+    return out.select(F.col("id").alias(id_col), "class_id", "class_size", "kept")
+
+
+def _classes(keyed: DataFrame, threshold: float, tile_rows: int = 4096, tile_shingles: int = 1_000_000) -> DataFrame:
+    """(key, id, class_id, class_size, kept) of stored rows (key, id, text)."""
+    spark = keyed.sparkSession
     text_batches(spark)
-    idf = Shared(spark, word_slots(docs, text_col))
-    rows = stored(signatures(docs, idf, id_col, text_col))
-    reps = rows.where("node is not null").groupBy("node").agg(F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "size", "sketch", "bands")).alias("r"))
+    idf = Shared(spark, word_slots(keyed))
+    rows = stored(signatures(keyed, idf))
+    reps = rows.where("node is not null").groupBy("node").agg(F.min_by(F.struct("key", "size", "sketch", "bands"), F.struct(F.col("id").isNull(), "id", "key")).alias("r"))
     reps = stored(reps.select("node", "r.*"))
 
     bands = reps.select("node", "sketch", F.explode("bands").alias("band"))
@@ -256,36 +258,37 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     pairs = tile_pairs(bands, "tile", "n_tiles").select("band", "tile_a", "tile_b", "node", "sketch")
     candidates = components(by_group(pairs, ["band", "tile_a", "tile_b"], _bucket, "a long, b long"))
 
-    members = candidates.withColumnRenamed("component", "grp").join(reps.select("node", "id", "size"), "node")
+    members = candidates.withColumnRenamed("component", "grp").join(reps.select("node", "key", "size"), "node")
     cut = members.groupBy("grp").agg(
         F.greatest(F.ceil(F.sum("size") / tile_shingles), F.ceil(F.count("*") / tile_rows)).cast("int").alias("n_tiles")
     )
     members = stored(members.join(cut, "grp")).withColumn("tile", F.pmod(F.xxhash64("node"), F.col("n_tiles")))
-    texts = likely_in(docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")), "id", members.select("id"))
-    texts = texts.where("_maybe").drop("_maybe").join(members.select("id", "node", "grp", "tile", "n_tiles"), "id")
+    texts = likely_in(keyed.select("key", "text"), "key", members.select("key"))
+    texts = texts.where("_maybe").drop("_maybe").join(members.select("key", "node", "grp", "tile", "n_tiles"), "key")
     texts = tile_pairs(texts, "tile", "n_tiles").select("grp", "tile_a", "tile_b", "node", "text")
     links = by_group(texts, ["grp", "tile_a", "tile_b"], _verified(idf, threshold), "a long, b long")
     classes = components(links)
 
-    # rows repeating an id and its words share one line here and part again at the end
-    distinct = rows.groupBy("id", "node").agg(F.count("*").alias("c"))
-    labelled = distinct.join(classes, "node", "left").withColumn("class", F.coalesce("component", "node"))
+    labelled = rows.select("key", "id", "node").join(classes, "node", "left").withColumn("class", F.coalesce("component", "node"))
     size = labelled.where("class is not null").groupBy("class").agg(
-        F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "node")).alias("first"), F.sum("c").alias("class_size")
+        F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "node", "key")).alias("first"), F.count("*").alias("class_size")
     )
-    out = labelled.join(size, "class", "left").withColumn("k", F.explode(F.sequence(F.lit(1).cast("long"), F.col("c"))))
-    first = F.col("id").eqNullSafe(F.col("first.id")) & (F.col("node") == F.col("first.node")) & (F.col("k") == 1)
+    out = labelled.join(size, "class", "left")
+    alone = F.col("class").isNull()
     return out.select(
-        F.col("id").alias(id_col), F.when(F.col("class").isNull(), F.col("id")).otherwise(F.col("first.id")).alias("class_id"),
-        F.coalesce("class_size", F.lit(1)).alias("class_size"), (F.col("class").isNull() | first).alias("kept"),
+        "key", "id", F.when(alone, F.col("id")).otherwise(F.col("first.id")).alias("class_id"),
+        F.coalesce("class_size", F.lit(1)).alias("class_size"), (alone | (F.col("key") == F.col("first.key"))).alias("kept"),
     )
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """``docs`` without the rows of a class other than its kept one, all columns as they are."""
-    rows = near_classes(docs, id_col, text_col, threshold)
-    gone = stored(rows.groupBy(F.col(id_col).alias("_id")).agg(F.max("kept").alias("kept")).where("not kept").select("_id"))
-    wide = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(id_col).alias("_id"))
-    marked = likely_in(wide, "_id", gone)
-    some = marked.where("_maybe").join(gone, "_id", "left_anti").select("_row")
+    """``docs`` without the rows of a class other than its kept one, all columns as they are.
+
+    Rows are told apart by a key stored at the start, not by id.
+    """
+    wide = row_keys(docs.select(whole_rows(docs).alias("_row")))
+    keyed = wide.select(F.col("_key").alias("key"), F.col(f"_row.`{id_col}`").alias("id"), F.col(f"_row.`{text_col}`").alias("text"))
+    gone = stored(_classes(keyed, threshold).where("not kept").select(F.col("key").alias("_key")))
+    marked = likely_in(wide, "_key", gone)
+    some = marked.where("_maybe").join(gone, "_key", "left_anti").select("_row")
     return marked.where("not _maybe").select("_row").unionByName(some).select(*[F.col(f"_row.`{c}`").alias(c) for c in docs.columns])
