@@ -2,7 +2,9 @@
 
 from collections import Counter
 
-from windspark.llm import minhash
+from pyspark.sql import functions as F
+
+from windspark.llm import minhash, mixing
 
 
 def test_near_copies_by_row(spark, odd_docs):
@@ -17,3 +19,19 @@ def test_near_copies_by_row(spark, odd_docs):
     n = Counter(r.doc_id for r in out)
     assert n[1] == 1 and n[2] == n[3] == 0 and n[4] == 1 and n[20] == n[21] == 1
     assert [r.text in (long, long + " end") for r in out if r.doc_id is None] == [True]
+
+
+def test_mixed_rounds_every_row(spark):
+    """Rows sharing an id and size take their own copies, so that sources meet their targets."""
+    rows = [(None, "a b c d e f g h i j", "s1")] * 1000 + [(7, "a b c d e f g h i j", "s2")] * 700
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3).persist()
+    target = {r.source: r.target for r in mixing.mix(docs).select("source", "target").distinct().collect()}
+    got = {r.source: 10 * r.n for r in mixing.mixed(docs).groupBy("source").agg(F.count("*").alias("n")).collect()}
+    taken = {r.source: r.n for r in mixing.mix(docs).groupBy("source").agg(F.sum("taken").alias("n")).collect()}
+    assert got == taken
+    for s, t in target.items():
+        assert abs(got[s] - t) <= 20
+    sliced = mixing.mix(docs, slice_rows=100)  # a hot id is rounded in many slices
+    assert sliced.count() == 1700
+    for r in sliced.groupBy("source").agg(F.sum("taken").alias("n")).collect():
+        assert abs(r.n - target[r.source]) <= 10 * 10

@@ -15,7 +15,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import row_keys, stored, whole_rows
+from .resharding import ranked
 
 #: Words are runs of characters other than space and 0x09 to 0x0D.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -104,7 +105,7 @@ def _diffuse(pdf: pd.DataFrame) -> pd.DataFrame:
         c = min(high, max(low, round((want - got) / size))) if size else 1
         got += c * size
         out.append(c)
-    return pd.DataFrame({"id": pdf["id"], "source": pdf["source"], "copies": out, "size": pdf["size"], "source_size": pdf["source_size"], "target": pdf["target"], "k": pdf["k"]})
+    return pdf[["key", "id", "source", "size", "source_size", "target"]].assign(copies=out)
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", slice_rows: int = 2_000) -> DataFrame:
@@ -114,10 +115,22 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     zero to three times; of empty documents one copy is kept. Every source's words end
     within about one small document per slice of its target. A source is cut by hash
     into slices of about ``slice_rows`` documents, so a source with most of the rows is
-    rounded by many tasks. Same input, same result. Rows that repeat an id each count.
+    rounded by many tasks. Same input, same result. Rows that repeat an id, or have none,
+    are rounded each by itself and spread over the slices too.
     """
-    size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long")
-    short = stored(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), size.alias("size")))
+    out = _mix(row_keys(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), _words(F.col(text_col)).alias("size")), "key"), slice_rows)
+    return out.select(
+        F.col("id").alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target", "copies",
+        (F.col("copies") * F.col("size")).cast("long").alias("taken"),
+    )
+
+
+def _words(text):
+    return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
+
+
+def _mix(short: DataFrame, slice_rows: int = 2_000) -> DataFrame:
+    """(key, id, source, size, source_size, target, copies) of stored rows (key, id, source, size)."""
     targets = stored(source_targets(short))
     hist = stored(short.groupBy("source", "size").agg(F.count("*").alias("n")))
     lam = tilts(hist, targets)
@@ -127,33 +140,27 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
         .join(lam, F.col("s").eqNullSafe(F.col("source")), "left").drop("source")
     )
     rate = F.exp(F.least(F.coalesce(F.col("lam") * F.col("size") / F.col("mean"), F.lit(0.0)), F.lit(math.log(CAP))))
-    rows = short.groupBy("id", "source", "size").agg(F.count("*").alias("c")).join(per, F.col("source").eqNullSafe(F.col("s")))
+    # k tells rows of the same id, source and size apart; it is 0 for unique ids
+    rows = ranked(short, ["id", "source", "size"], [F.col("key")], "k").join(per, F.col("source").eqNullSafe(F.col("s")))
+    salt = F.xxhash64(F.coalesce(F.col("id"), F.lit(0)), F.lit(7))
     rows = rows.select(
-        F.col("id").cast("string").alias("id"), "source", "size", "source_size", "target",
+        "key", F.col("id").cast("string").alias("id"), "source", "size", "source_size", "target",
         F.when(F.col("target") >= CAP * F.col("source_size"), F.lit(float(CAP))).otherwise(rate).alias("rate"),
-        F.pmod(F.xxhash64(F.coalesce(F.col("id"), F.lit(0)), F.lit(7)), F.col("slices")).alias("slice"),
-        F.explode(F.sequence(F.lit(1).cast("long"), F.col("c"))).alias("k"),
-    )
-    kind = f"id string, source {dict(docs.dtypes)[source_col]}, copies int, size long, source_size long, target double, k long"
-    out = rows.groupBy("source", "slice").applyInPandas(_diffuse, kind)
-    return out.select(
-        F.col("id").cast(dict(docs.dtypes)[id_col]).alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target", "copies",
-        (F.col("copies") * F.col("size")).cast("long").alias("taken"), "k",
+        F.pmod(F.when(F.col("k") == 0, salt).otherwise(F.xxhash64(salt, "k")), F.col("slices")).alias("slice"), "k",
     )
+    kinds = dict(short.dtypes)
+    kind = f"key long, id string, source {kinds['source']}, size long, source_size long, target double, copies int"
+    return rows.groupBy("source", "slice").applyInPandas(_diffuse, kind).withColumn("id", F.col("id").cast(kinds["id"]))
 
 
 def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """``docs`` with every row repeated as often as :func:`mix` takes it, all columns kept.
 
-    Rows with the same id (and size and source) share their copies.
+    Every row has its own copies, by a key stored at the start.
     """
-    size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long")
-    n = mix(docs, id_col, text_col, source_col).where("k = 1").select(
-        F.col(id_col).alias("_i"), F.col("size").alias("_n"), F.col(source_col).alias("_s"), F.col("copies").alias("_copies")
-    )
-    wide = docs.select(
-        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(id_col).alias("_id"), F.col(source_col).alias("_source"), size.alias("_size")
-    )
-    same = F.col("_id").eqNullSafe(F.col("_i")) & F.col("_source").eqNullSafe(F.col("_s")) & (F.col("_size") == F.col("_n"))
-    taken = wide.join(n, same).where("_copies > 0").withColumn("_c", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
-    return taken.select(*[F.col(f"_row.`{c}`").alias(c) for c in docs.columns])
+    wide = row_keys(docs.select(whole_rows(docs).alias("_row")))
+    part = lambda c: F.col(f"_row.`{c}`")
+    short = stored(wide.select(F.col("_key").alias("key"), part(id_col).alias("id"), part(source_col).alias("source"), _words(part(text_col)).alias("size")))
+    n = _mix(short).where("copies > 0").select(F.col("key").alias("_key"), F.col("copies").alias("_copies"))
+    taken = wide.join(n, "_key").withColumn("_c", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
+    return taken.select(*[part(c).alias(c) for c in docs.columns])
