@@ -2,9 +2,11 @@
 
 from collections import Counter
 
+import pytest
 from pyspark.sql import functions as F
 
-from windspark.llm import minhash, mixing
+from windspark.llm import minhash, mixing, resharding
+from windspark.llm.common import row_keys
 
 
 def test_near_copies_by_row(spark, odd_docs):
@@ -35,3 +37,18 @@ def test_mixed_rounds_every_row(spark):
     assert sliced.count() == 1700
     for r in sliced.groupBy("source").agg(F.sum("taken").alias("n")).collect():
         assert abs(r.n - target[r.source]) <= 10 * 10
+
+
+def test_rewrite_keeps_null_and_repeated_ids(spark, odd_docs, tmp_path):
+    keyed = row_keys(odd_docs)
+    old = F.pmod(F.coalesce(F.col("doc_id"), F.lit(0)), F.lit(3))
+    placed = resharding.reshard(keyed, 4, old, row_key="_key").persist()
+    shards = resharding.rewrite_affected(placed, keyed, f"file://{tmp_path}/out", row_key="_key")
+    out = spark.read.parquet(f"file://{tmp_path}/out")
+    assert set(out.columns) == {*odd_docs.columns, "shard", "slot"}
+    assert sorted((r.shard, r.slot) for r in out.collect()) == sorted((r.shard, r.slot) for r in placed.collect() if r.shard in shards)
+    stay = Counter(r._key for r in placed.collect() if r.shard in shards)
+    want = Counter((r.doc_id, r.text) for r in keyed.collect() if stay[r._key])
+    assert Counter((r.doc_id, r.text) for r in out.collect()) == want and max(want.values()) > 1
+    with pytest.raises(ValueError, match="row key"):
+        resharding.rewrite_affected(resharding.reshard(odd_docs, 4, old), odd_docs, f"file://{tmp_path}/other")

@@ -114,21 +114,23 @@ def plan_transfers(sizes: DataFrame, shards: int) -> tuple[list[dict], list[int]
     return out, capacity
 
 
-def reshard(docs: DataFrame, shards: int, old_shard, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def reshard(docs: DataFrame, shards: int, old_shard, id_col: str = "doc_id", text_col: str = "text", row_key: str | None = None) -> DataFrame:
     """Law ``rows``: one row per row of ``docs`` with id, size, text_crc32, old_shard, shard, slot.
 
     ``old_shard`` is a column (null counts as 0; numbers past the new count empty out).
     New shards hold row counts at most one apart and are reached by moving the fewest
     bytes. Slots run from 0 without a gap in each shard. Texts stay where they are: only
     ids and sizes are shuffled, and a text equal to many others is one row like any
-    other. Empty tables give empty results; repeated ids are rows of their own.
+    other. Empty tables give empty results; repeated ids are rows of their own. ``row_key``
+    names a stored key of ``docs`` (``row_keys``) to carry through.
     """
+    key = [] if row_key is None else ["_key"]
     text = F.coalesce(F.col(text_col), F.lit(""))
     size = row_size(F.col(text_col))
     short = stored(
         docs.select(
             F.col(id_col).alias("id"), size.alias("size"), F.crc32(text).cast("long").alias("text_crc32"),
-            F.coalesce(old_shard, F.lit(0)).cast("int").alias("old_shard"),
+            F.coalesce(old_shard, F.lit(0)).cast("int").alias("old_shard"), *[F.col(row_key).alias(k) for k in key],
         ).withColumn("size_class", F.least(F.floor(F.log2("size") * 4), F.lit(CLASSES - 1)).cast("int"))
     )
     spark = docs.sparkSession
@@ -137,24 +139,30 @@ def reshard(docs: DataFrame, shards: int, old_shard, id_col: str = "doc_id", tex
         transfers = [{"old_shard": -1, "size_class": -1, "first": 0, "last": -1, "shard": 0}]
     plan = spark.createDataFrame(transfers, "old_shard int, size_class int, first long, last long, shard int")
     plan = plan.groupBy("old_shard", "size_class").agg(F.array_sort(F.collect_list(F.struct("last", "shard"))).alias("to"))
-    order = [F.col("id"), F.col("text_crc32"), F.col("size")]
+    order = [F.col("id"), F.col("text_crc32"), F.col("size"), *map(F.col, key)]
     rows = ranked(short, ["old_shard", "size_class"], order, "rank")
     # bounded: shards x size classes blocks, with at most that many transfers in all
     rows = rows.join(F.broadcast(plan), ["old_shard", "size_class"])
     rows = rows.withColumn("shard", F.expr("filter(to, x -> x.last >= rank)[0].shard")).drop("to", "rank", "size_class")
     return ranked(rows, ["shard"], order, "slot").select(
-        F.col("id").alias(id_col), "size", "text_crc32", "old_shard", "shard", "slot"
+        F.col("id").alias(id_col), "size", "text_crc32", "old_shard", "shard", "slot", *[F.col(k).alias(row_key) for k in key]
     )
 
 
-def rewrite_affected(placed: DataFrame, docs: DataFrame, path: str, id_col: str = "doc_id") -> list[int]:
+def rewrite_affected(placed: DataFrame, docs: DataFrame, path: str, id_col: str = "doc_id", row_key: str | None = None) -> list[int]:
     """Write the shards that lose or gain rows, one folder each; the others stay untouched.
 
-    Returns the shards written. Ids must be unique here.
+    Returns the shards written. With the ``row_key`` that :func:`reshard` carried, every
+    row finds its place; without one, ids that are null or repeated are an error.
     """
+    if row_key is None and not placed.groupBy(id_col).count().where((F.col("count") > 1) | F.col(id_col).isNull()).isEmpty():
+        raise ValueError(f"{id_col} is null or repeated: a row key is needed")
+    on = row_key or id_col
     moved = placed.where("shard <> old_shard")
     touched = moved.select("shard").unionByName(moved.select(F.col("old_shard").alias("shard"))).distinct()
     shards = sorted(r.shard for r in touched.collect())  # shard numbers only
-    rows = placed.where(F.col("shard").isin(shards)).select(id_col, "shard", "slot").join(docs, id_col)
+    rows = placed.where(F.col("shard").isin(shards)).select(on, "shard", "slot").join(docs, on)
+    if row_key is not None:
+        rows = rows.drop(row_key)
     rows.repartition("shard").sortWithinPartitions("shard", "slot").write.mode("overwrite").partitionBy("shard").parquet(path)
     return shards
