@@ -151,6 +151,7 @@ def test_pieces_on_random_strings(library):
         x = "".join(rng.choice(names) for _ in range(rng.randint(1, 7))) if k % 2 else "".join(chr(rng.choice([rng.randint(1, 0x7F), rng.randint(0x80, 0x24F), 0x2581, 0x20, 0x1F600])) for _ in range(rng.randint(0, 25)))
         ids = library.encode(x)
         assert c.encode(x) == ids and c.decode(ids) == library.decode(ids)
+        assert not c.single.issuperset(x) or not x or b"".join(map(c._long_word, c.words_of(pieces.MARK + x.replace(" ", pieces.MARK)))) == np.array(ids, "<i4").tobytes()
         some = [rng.choice([rng.randint(3, 258), rng.randint(0, 31_999), 1, 2, 0]) for _ in range(5)]
         assert c.decode(some) == library.decode(some)
 
@@ -168,6 +169,26 @@ def test_empty_tables(spark, odd_docs):
         assert df.count() == 0
 
 
+def test_pair_test_is_plain_merging(library):
+    import random
+
+    c, rng = pieces.Codec(pieces.load_vocabulary(queries.tokenizer_path())), random.Random(6)
+    names = list(c.pieces)
+    few = [n for n in names if len(n) <= 3]
+    for k in range(4000):
+        a, b = rng.choice(few if k % 3 else names), rng.choice(few)
+        assert c.fits(a, b) == (c.merged(a + b) == [a, b])
+
+
+def test_words_are_kept_for_two_spans_of_time(library, monkeypatch):
+    monkeypatch.setattr(pieces, "MEMO", 10)
+    c = pieces.Codec(pieces.load_vocabulary(queries.tokenizer_path()))
+    for k in range(40):
+        text = " ".join(f"word{k + j} common" for j in range(9))
+        assert c.encode(text) == library.encode(text)
+        assert len(c.words) <= 40
+
+
 # --- token files -----------------------------------------------------------------------
 
 
@@ -194,6 +215,36 @@ def test_separators_on_block_borders(spark, tmp_path):
         assert got == want + ([(int(left), False)] if left else [])
 
 
+@pytest.mark.parametrize("width", [1, 2, 4, 8])
+def test_id_widths_and_spans(spark, tmp_path, monkeypatch, width):
+    """Wider ids, files past a span of blocks, several files."""
+    monkeypatch.setattr(token_files, "SPAN", 3)
+    rng = np.random.default_rng(width)
+    want = {}
+    for name, n in (("a", 400), ("b", 0), ("c", 7), ("d", 90)):
+        ids = np.where(rng.random(n) < (0.05 if name == "a" else 0.5), 2, 9).astype(f"<u{width}")
+        (tmp_path / f"{name}.bin").write_bytes(ids.tobytes())
+        at = np.flatnonzero(ids == 2)
+        own = [(int(x), True) for x in np.diff(np.append(-1, at)) - 1]
+        left = n - 1 - (at[-1] if len(at) else -1)
+        if own or left:
+            want[name] = own + ([(int(left), False)] if left else [])
+    blocks = token_files.read_blocks(spark, f"file://{tmp_path}", id_bytes=width, block_tokens=11)
+    got = {}
+    paths = blocks.select("file_id", F.regexp_extract("path", r"(\w)\.bin", 1).alias("name")).distinct()
+    for r in token_files.count_tokens(blocks, id_bytes=width).join(paths, "file_id").orderBy("doc_no").collect():
+        got.setdefault(r.name, []).append((r.n_tokens, r.closed))
+    assert got == want
+
+
+def test_cut_ids_are_an_error(spark):
+    blocks = spark.createDataFrame([(1, 0, bytearray(b"\x02\x00\x09"))], "file_id int, block_no long, ids binary")
+    with pytest.raises(Exception, match="whole ids"):
+        token_files.count_tokens(blocks).collect()
+    with pytest.raises(ValueError, match="do not fit"):
+        token_files.pack(blocks.selectExpr("block_no as doc_id", "'a' as text"), queries.tokenizer_path(), id_bytes=1)
+
+
 # --- mixing ----------------------------------------------------------------------------
 
 

@@ -13,20 +13,25 @@ from pyspark.sql import functions as F
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
-    It is what ``spark.checkpoint.dir`` names; where that is unset (tests, local
-    mode) a temporary folder of this machine is set once and used from then on.
+    It is what ``spark.checkpoint.dir`` names. Where that is unset, in local mode a temporary
+    folder of this machine is set once and used from then on; on a cluster that is an error.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        master = spark.conf.get("spark.master", "local")
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="windspark-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
 def text_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Arrow batches of at most ``rows`` rows in this session, as a row holds a whole text.
+    """Sets this session's Arrow batches to at most ``rows`` rows, for jobs whose rows hold whole texts.
 
     It keeps the buffers of a task small beside those of the heap; results are the same.
+    Spark reads it when a plan is run, so it is a matter of the job, not of an operator: the
+    queries and the pipeline call it, the operators leave the session as it is.
     """
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     now = int(spark.conf.get(key, "10000"))
@@ -42,7 +47,17 @@ def stored(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/windspark-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Deletes tables made by :func:`stored` that nothing reads any more."""
+    for t in tables:
+        sc = t.sparkSession.sparkContext
+        path = sc._jvm.org.apache.hadoop.fs.Path(t.stored_at)
+        path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def row_keys(df: DataFrame, name: str = "_key") -> DataFrame:
@@ -131,6 +146,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 6
     for _ in range(max_rounds):
         if _stars(e):
             break
+        old = e
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         # stored, so that the many edges of one centre are a skewed join that can be split
         low = stored(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")))
@@ -138,14 +154,15 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 6
             both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
             .where("a <> b").distinct()
         )
-        low = e.groupBy("a").agg(F.min("b").alias("m"))
+        least = e.groupBy("a").agg(F.min("b").alias("m"))
         e = (
-            e.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
-            .unionByName(low.select("a", F.col("m").alias("b")))
+            e.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
+            .unionByName(least.select("a", F.col("m").alias("b")))
             .select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
             .distinct()
         )
         e = stored(e)
+        dropped(old, low)
     else:
         raise RuntimeError("components did not settle")
     return e.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_group, components, likely_in, row_keys, stored, text_batches, tile_pairs, whole_rows
+from .common import by_group, components, likely_in, row_keys, stored, tile_pairs, whole_rows
 from .pieces import Shared
 
 WORDS = 5
@@ -246,7 +246,6 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def _classes(keyed: DataFrame, threshold: float, tile_rows: int = 4096, tile_shingles: int = 1_000_000) -> DataFrame:
     """(key, id, class_id, class_size, kept) of stored rows (key, id, text)."""
     spark = keyed.sparkSession
-    text_batches(spark)
     idf = Shared(spark, word_slots(keyed))
     rows = stored(signatures(keyed, idf))
     reps = rows.where("node is not null").groupBy("node").agg(F.min_by(F.struct("key", "size", "sketch", "bands"), F.struct(F.col("id").isNull(), "id", "key")).alias("r"))

@@ -16,7 +16,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_batches
 from .pieces import Shared
 
 #: Fixed order of the kinds, also of the labels 1 to 4; label 0 is none.
@@ -235,7 +234,6 @@ def find(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "
     empty. ``base`` tells pattern spans from those the field adds: runs of words with one
     label that overlap no other span. Other columns are not read; nothing is shuffled.
     """
-    text_batches(docs.sparkSession)
     shared = Shared(docs.sparkSession, model)
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("base", pa.bool_())]))
 

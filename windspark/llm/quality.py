@@ -16,7 +16,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_batches
 from .pieces import Shared
 from .toxicity import fit_sample
 
@@ -189,7 +188,6 @@ def score(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str =
     Rows are independent: repeated texts get equal scores, nothing is shuffled, and no
     other column is read.
     """
-    text_batches(docs.sparkSession)
     shared = Shared(docs.sparkSession, model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -16,7 +16,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_batches
 from .pieces import Shared
 
 _WORD = re.compile(r"[^\W\d_]+")
@@ -174,7 +173,6 @@ def score(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str =
     Whole texts; null and empty texts have no features and so the lowest severity.
     Repeated rows get equal results; other columns are not read; nothing is shuffled.
     """
-    text_batches(docs.sparkSession)
     shared = Shared(docs.sparkSession, model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -193,7 +191,6 @@ def score(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str =
 def keep_clean(docs: DataFrame, model: dict, text_col: str = "text") -> DataFrame:
     """``docs`` without the rows scored toxic, all columns as they are, nothing shuffled."""
     at = docs.columns.index(text_col)
-    text_batches(docs.sparkSession)
     shared = Shared(docs.sparkSession, model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
