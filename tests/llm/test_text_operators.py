@@ -40,6 +40,24 @@ def test_exact_groups(odd_docs, bits):
     assert rows(kept, "doc_id") == sorted([(v[0],) for v in want.values()], key=str)
 
 
+def test_exact_with_text_ids_and_maps(spark):
+    rows = [("b", "x y", {"k": 1}), ("a", "xy", {}), (None, "x  y", None), ("c", "z", {"q": 2}), ("c", "z", {"q": 2})]
+    df = spark.createDataFrame(rows, "doc_id string, text string, extra map<string,int>")
+    got = {(r.doc_id, r.keep_id, r.group_size) for r in exact_dedup.copy_groups(df).collect()}
+    assert got == {("b", None, 3), ("a", None, 3), (None, None, 3), ("c", "c", 2)}
+    kept = exact_dedup.drop_copies(df).collect()
+    assert sorted((r.doc_id, r.extra) for r in kept if r.doc_id) == [("c", {"q": 2})] and len(kept) == 2
+
+
+@pytest.mark.parametrize("share, most", [(16, 0.03), (8, 0.08), (4, 0.2), (2, 0.5)])
+def test_exact_filter_past_its_size(spark, share, most):
+    """Shares of single rows marked, as the docstring states them."""
+    n = 1 << 20
+    df = spark.range(n // share * 2).select(F.xxhash64("id").alias("k"))
+    table, bits = exact_dedup.repeated_slots(df, "k", max_bits=n * 2)
+    assert exact_dedup.mark_in(df, "k", table, bits).where("_maybe").count() <= most * n // share * 2
+
+
 def test_exact_filter_clears_single_rows(spark):
     df = spark.range(2000).select(F.sha2(F.col("id").cast("string"), 256).alias("k"))
     table, bits = exact_dedup.repeated_slots(df.union(df.limit(10)), "k")
@@ -327,6 +345,43 @@ def test_reshard(spark, odd_docs, tmp_path):
     assert spark.read.parquet(f"file://{tmp_path}/out").count() == docs.count()
 
 
+def test_smallest_rows_leave(spark):
+    """Of a shard that must give rows away, the smallest go: the fewest bytes for the capacities."""
+    rows = [(i, "x" * (i * 37 % 101)) for i in range(100)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    out = resharding.reshard(docs, 2, F.when(F.col("doc_id") < 90, 0).otherwise(1)).collect()
+    sizes = sorted(r.size for r in out if r.old_shard == 0)
+    assert sorted(r.size for r in out if r.old_shard == 0 and r.shard == 1) == sizes[:40]
+    assert all(r.shard == 1 for r in out if r.old_shard == 1)
+
+
+def test_rewrite_leaves_other_shards_untouched(spark, tmp_path):
+    """Four shards of which two trade rows, then one that empties; null and repeated ids included."""
+    from windspark.llm.common import row_keys
+
+    path = f"file://{tmp_path}/out"
+    rows = [(None if i % 7 == 0 else i // 2, f"text {i}", i % 4 if i < 40 else 0) for i in range(48)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, old int")
+    keyed = row_keys(docs)
+    first = keyed.select("_key", F.lit(10).cast("long").alias("size"), F.lit(-1).alias("old_shard"), F.col("old").alias("shard"), F.col("_key").alias("slot"))
+    assert resharding.rewrite_affected(first, keyed, path, row_key="_key") == [-1, 0, 1, 2, 3]
+    files = {f: f.stat().st_mtime_ns for s in (2, 3) for f in (tmp_path / "out" / f"shard={s}").iterdir()}
+    now = row_keys(spark.read.parquet(path))
+    moved = now.select("_key", F.lit(10).cast("long").alias("size"), F.col("shard").alias("old_shard"), F.when((F.col("shard") == 0) & (F.col("_key") % 3 == 0), 1).otherwise(F.col("shard")).alias("shard"), F.col("slot"))
+    assert resharding.rewrite_affected(moved, now, path, row_key="_key") == [0, 1]
+    again = spark.read.parquet(path)
+    assert rows_of(again) == rows_of(docs) and files == {f: f.stat().st_mtime_ns for f in files}
+    left = row_keys(spark.read.parquet(path))
+    gone = left.select("_key", F.lit(10).cast("long").alias("size"), F.col("shard").alias("old_shard"), F.when(F.col("shard") == 3, 2).otherwise(F.col("shard")).alias("shard"), F.col("slot"))
+    assert resharding.rewrite_affected(gone, left, path, row_key="_key") == [2, 3]
+    end = spark.read.parquet(path)
+    assert rows_of(end) == rows_of(docs) and {r.shard for r in end.collect()} == {0, 1, 2}
+
+
+def rows_of(df):
+    return sorted(((r.doc_id, r.text) for r in df.collect()), key=str)
+
+
 def test_ranks_are_gapless(spark):
     df = spark.range(500).select((F.col("id") % 3).alias("g"), "id")
     for r in resharding.ranked(df, ["g"], [F.col("id")], "r", slice_rows=7).groupBy("g").agg(F.count("*").alias("n"), F.count_distinct("r").alias("d"), F.max("r").alias("m")).collect():

@@ -52,12 +52,17 @@ def stored(df: DataFrame) -> DataFrame:
     return out
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    """Deletes a folder, in whatever store Spark keeps it."""
+    sc = spark.sparkContext
+    at = sc._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(sc._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def dropped(*tables: DataFrame) -> None:
     """Deletes tables made by :func:`stored` that nothing reads any more."""
     for t in tables:
-        sc = t.sparkSession.sparkContext
-        path = sc._jvm.org.apache.hadoop.fs.Path(t.stored_at)
-        path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+        delete(t.sparkSession, t.stored_at)
 
 
 def row_keys(df: DataFrame, name: str = "_key") -> DataFrame:

@@ -33,9 +33,9 @@ def op2_sentencepiece(spark: SparkSession, sf_dir: str, docs: DataFrame | None =
 
 
 def op3_resharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents arrive in shards by source; they leave in 24 of equal row counts."""
+    """Documents arrive in shards by source and language; they leave in 24 of equal row counts."""
     docs = _table(spark, sf_dir, "documents")
-    arrived = F.pmod(F.crc32(F.coalesce("source", F.lit(""))), F.lit(SHARDS))
+    arrived = F.pmod(F.crc32(F.concat_ws("/", "source", "lang")), F.lit(SHARDS))
     return resharding.reshard(docs, SHARDS, arrived).select(
         "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot",
         F.lit(None).cast("int").alias("grown_shard"), "old_shard",

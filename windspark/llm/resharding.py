@@ -3,18 +3,21 @@
 Rows of an old shard are put in blocks by size class. A flow from blocks to new shards,
 whose capacities are the new row counts, decides how many rows of every block stay and
 where the others go; a row costs its block's mean bytes when it moves and nothing when
-it stays, so the flow moves the fewest bytes that the capacities allow. Only counts reach
-the driver, at most shards x 64 blocks; rows find their place by ranks within a block.
+it stays. Blocks are ordered by size and the smallest rows of a split block leave, so a
+shard loses its smallest rows and the flow moves the fewest bytes that the capacities
+allow. Only counts reach the driver, at most (old shards) x ``CLASSES`` blocks; rows find
+their place by ranks within a block.
 """
 
 from __future__ import annotations
 
 import heapq
+import math
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import delete, dropped, stored
 
 #: Size classes: quarter powers of two, so one class spans less than 19 % in size.
 CLASSES = 96
@@ -68,7 +71,8 @@ def ranked(df: DataFrame, group: list[str], order: list, rank: str, slice_rows:
     """``df`` with a gapless rank from 0 within each group, also for groups of any size.
 
     A group is cut by hash into slices of about ``slice_rows``; a row's rank is its place
-    in its slice plus the rows of earlier slices. Equal rows are interchangeable.
+    in its slice plus the rows of earlier slices. ``salt`` (the order where not given) must
+    tell equal rows apart, or they share a slice. Group columns are not null.
     """
     n = df.groupBy(*group).agg(F.ceil(F.count("*") / slice_rows).alias("_n"))
     keys = [F.col(c).eqNullSafe(F.col(f"_g_{c}")) for c in group]
@@ -124,13 +128,13 @@ def reshard(docs: DataFrame, shards: int, old_shard, id_col: str = "doc_id", tex
     other. Empty tables give empty results; repeated ids are rows of their own. ``row_key``
     names a stored key of ``docs`` (``row_keys``) to carry through.
     """
-    key = [] if row_key is None else ["_key"]
     text = F.coalesce(F.col(text_col), F.lit(""))
     size = row_size(F.col(text_col))
+    own = F.monotonically_increasing_id() if row_key is None else F.col(row_key)
     short = stored(
         docs.select(
             F.col(id_col).alias("id"), size.alias("size"), F.crc32(text).cast("long").alias("text_crc32"),
-            F.coalesce(old_shard, F.lit(0)).cast("int").alias("old_shard"), *[F.col(row_key).alias(k) for k in key],
+            F.coalesce(old_shard, F.lit(0)).cast("int").alias("old_shard"), own.alias("_key"),
         ).withColumn("size_class", F.least(F.floor(F.log2("size") * 4), F.lit(CLASSES - 1)).cast("int"))
     )
     spark = docs.sparkSession
@@ -139,21 +143,29 @@ def reshard(docs: DataFrame, shards: int, old_shard, id_col: str = "doc_id", tex
         transfers = [{"old_shard": -1, "size_class": -1, "first": 0, "last": -1, "shard": 0}]
     plan = spark.createDataFrame(transfers, "old_shard int, size_class int, first long, last long, shard int")
     plan = plan.groupBy("old_shard", "size_class").agg(F.array_sort(F.collect_list(F.struct("last", "shard"))).alias("to"))
-    order = [F.col("id"), F.col("text_crc32"), F.col("size"), *map(F.col, key)]
-    rows = ranked(short, ["old_shard", "size_class"], order, "rank")
+    order = [F.col("id"), F.col("text_crc32"), F.col("size"), F.col("_key")]
+    # ranks by falling size: rows of a larger size come first, those of one size follow the order
+    block = ["old_shard", "size_class"]
+    larger = short.groupBy(*block, "size").agg(F.count("*").alias("_same"))
+    larger = larger.withColumn("_larger", F.sum("_same").over(Window.partitionBy(*block).orderBy(F.desc("size"))) - F.col("_same")).drop("_same")
+    rows = ranked(short, [*block, "size"], order, "rank").join(larger, [*block, "size"]).withColumn("rank", F.col("rank") + F.col("_larger")).drop("_larger")
     # bounded: shards x size classes blocks, with at most that many transfers in all
     rows = rows.join(F.broadcast(plan), ["old_shard", "size_class"])
     rows = rows.withColumn("shard", F.expr("filter(to, x -> x.last >= rank)[0].shard")).drop("to", "rank", "size_class")
     return ranked(rows, ["shard"], order, "slot").select(
-        F.col("id").alias(id_col), "size", "text_crc32", "old_shard", "shard", "slot", *[F.col(k).alias(row_key) for k in key]
+        F.col("id").alias(id_col), "size", "text_crc32", "old_shard", "shard", "slot", *([] if row_key is None else [F.col("_key").alias(row_key)])
     )
 
 
-def rewrite_affected(placed: DataFrame, docs: DataFrame, path: str, id_col: str = "doc_id", row_key: str | None = None) -> list[int]:
-    """Write the shards that lose or gain rows, one folder each; the others stay untouched.
+def rewrite_affected(placed: DataFrame, docs: DataFrame, path: str, id_col: str = "doc_id", row_key: str | None = None, file_bytes: int = 256 << 20) -> list[int]:
+    """Write anew the shards of ``path`` that lose or gain rows; the folders of the others stay untouched.
 
-    Returns the shards written. With the ``row_key`` that :func:`reshard` carried, every
-    row finds its place; without one, ids that are null or repeated are an error.
+    ``path`` holds a folder for each shard, as this function writes them, or nothing yet.
+    ``docs`` may be what was read from there: the rows are stored before anything is
+    replaced, and its columns ``shard`` and ``slot`` give way to the new ones. A shard that
+    loses all rows loses its folder. Returns the shards affected. With the ``row_key`` that
+    :func:`reshard` carried, every row finds its place; without one, ids that are null or
+    repeated are an error. A shard is written by as many tasks as it has ``file_bytes``.
     """
     if row_key is None and not placed.groupBy(id_col).count().where((F.col("count") > 1) | F.col(id_col).isNull()).isEmpty():
         raise ValueError(f"{id_col} is null or repeated: a row key is needed")
@@ -161,8 +173,18 @@ def rewrite_affected(placed: DataFrame, docs: DataFrame, path: str, id_col: str
     moved = placed.where("shard <> old_shard")
     touched = moved.select("shard").unionByName(moved.select(F.col("old_shard").alias("shard"))).distinct()
     shards = sorted(r.shard for r in touched.collect())  # shard numbers only
-    rows = placed.where(F.col("shard").isin(shards)).select(on, "shard", "slot").join(docs, on)
+    if not shards:
+        return shards
+    own = placed.where(F.col("shard").isin(shards))
+    sizes = {r.shard: r.n for r in own.groupBy("shard").agg(F.sum("size").alias("n")).collect()}
+    rows = own.select(on, "shard", "slot").join(docs.drop("shard", "slot"), on)
     if row_key is not None:
         rows = rows.drop(row_key)
-    rows.repartition("shard").sortWithinPartitions("shard", "slot").write.mode("overwrite").partitionBy("shard").parquet(path)
+    tasks = max(len(sizes), math.ceil(sum(sizes.values()) / file_bytes))
+    rows = stored(rows)
+    dealt = rows.repartitionByRange(tasks, "shard", "slot").sortWithinPartitions("shard", "slot")
+    dealt.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("shard").parquet(path)
+    for shard in set(shards) - set(sizes):
+        delete(placed.sparkSession, f"{path}/shard={shard}")
+    dropped(rows)
     return shards
