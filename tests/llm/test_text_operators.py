@@ -71,13 +71,15 @@ def test_exact_filter_clears_single_rows(spark):
 def near_by_hand(data):
     n = len(data)
     words = [minhash.word_hashes(t) for _, t in data]
-    df = np.zeros(minhash.SLOTS)
+    df = {}
     for w in words:
-        df[np.unique(w >> np.uint64(48)).astype(int)] += 1
-    idf = np.log((1 + n) / (1 + df)) + 1
+        for x in set(w.tolist()):
+            df[x] = df.get(x, 0) + 1
+    value = lambda x: np.log((1 + n) / (1 + max(df[x], n / minhash.RARE))) + 1
+
     sets = []
     for w in words:
-        h, tf, x = minhash.shingles(w, idf)
+        h, tf, x = minhash.shingles(w, np.array([value(y) for y in w.tolist()]))
         sets.append({k: (t, y) for k, t, y in zip(h.tolist(), tf.tolist(), x.tolist())})
     label = list(range(n))
     for i in range(n):
@@ -118,6 +120,33 @@ def test_near_classes(spark, odd_docs, tiles):
     assert sum(r.kept for r in out) == len(set(named)) + len(data) - len(named)
 
 
+def test_word_hashes(monkeypatch):
+    """Equal words have equal hashes wherever they stand, in texts of any length."""
+    import random
+
+    rng = random.Random(3)
+    gaps = [" ", "\n", "\u2003", "\t ", "\x1f", "\u3000"]
+    texts = ["".join(rng.choice(["Ab", "c", "é\U0001f600", "ZZ"]) + rng.choice(["", *gaps]) for _ in range(rng.choice([0, 3, 40, 300]))) for _ in range(60)]
+    texts += [None, "", " \n", "x" * 900, "x" * 90 + " " + "y z " * 90]
+    seen: dict = {}
+    for chars in (500_000, 100):
+        monkeypatch.setattr(minhash, "_CHARS", chars)
+        for t, h in zip(texts, minhash.hash_texts(texts)):
+            words = (t or "").lower().split()
+            assert len(words) == len(h)
+            for w, x in zip(words, h.tolist()):
+                assert seen.setdefault(w, x) == x
+    assert len(set(seen.values())) == len(seen) > 60
+
+
+def test_idf_is_exact_past_the_rare(spark):
+    docs = spark.createDataFrame([(i, " ".join(f"w{j}" for j in range(60) if i % (j + 1) == 0)) for i in range(500)], "doc_id long, text string")
+    idf = minhash.document_frequencies(docs)
+    want = [np.log(501 / (1 + sum(i % (j + 1) == 0 for i in range(500)))) + 1 for j in range(60)]
+    np.testing.assert_allclose([idf[minhash.word_hashes(f"w{j}")][0] for j in range(60)], want)
+    np.testing.assert_allclose(idf[minhash.word_hashes("unseen")], np.log(501 / (1 + 500 / minhash.RARE)) + 1)
+
+
 def test_drop_near_copies(odd_docs):
     out = minhash.drop_near_copies(odd_docs)
     assert out.columns == odd_docs.columns

@@ -42,7 +42,7 @@ def load_vocabulary(model_path: str) -> dict:
     }
 
 
-class _Table:
+class Table:
     """Whole-number keys (from 0) to small numbers, looked up for many keys at once; open addressing."""
 
     def __init__(self, slots: int, kind=np.int32):
@@ -119,7 +119,7 @@ class _Automaton:
                 self.longest[state], self.shorter[state] = (state, under) if self.piece[state] >= 0 else (under, under)
         self.fail = fail
         self.arrays = [np.array(x, np.int32) for x in (fail, self.longest, self.shorter, self.piece)]
-        self.table = _Table(1 << (4 * n).bit_length())
+        self.table = Table(1 << (4 * n).bit_length())
         self.table.put(np.fromiter(self.child, np.int64, n - 1), np.fromiter(self.child.values(), np.int32, n - 1))
 
     def step(self, state: np.ndarray, code: np.ndarray) -> np.ndarray:
@@ -159,7 +159,7 @@ class Codec:
         self.before: dict[str, bytes] = {}
         # pieces that merging never gives are left out
         self.automaton = _Automaton({p: i for p, (i, _) in self.pieces.items() if self.merged(p) == [p]})
-        self.pairs = _Table(1 << 20, np.int8)
+        self.pairs = Table(1 << 20, np.int8)
         # No piece has a mark after another character, nor one of these controls: merging
         # never crosses those places, so a text is encoded piece of text by piece of text.
         self.inside = frozenset("".join(self.pieces))
@@ -221,7 +221,7 @@ class Codec:
         new = np.flatnonzero(found < 0)
         if len(new):
             if self.pairs.used > 3 * MEMO:  # bounds the memory of long runs
-                self.pairs = _Table(1 << 20, np.int8)
+                self.pairs = Table(1 << 20, np.int8)
             distinct, at = np.unique(keys[new], return_inverse=True)
             name = self.name
             ok = np.array([self.fits(name[k // self.start], name[k % self.start]) for k in distinct.tolist()], np.int8)
