@@ -278,7 +278,7 @@ def _bucket(cols: dict) -> list[list]:
     return [[int(node[i]) for i, _ in edges], [int(node[j]) for _, j in edges]]
 
 
-def _linked(rows: DataFrame, members: DataFrame, group: str, data: str, run, limits: list) -> DataFrame:
+def _linked(rows: DataFrame, members: DataFrame, group: str, data: str, run, limits: list) -> tuple[DataFrame, list[DataFrame]]:
     """Edges (a, b) of what ``run`` links within every ``group`` of (group, node, size, data) rows.
 
     ``members`` has the same rows without the data.
@@ -286,6 +286,7 @@ def _linked(rows: DataFrame, members: DataFrame, group: str, data: str, run, lim
     Groups of one tile are one task. Of larger ones each chunk meets the first member;
     members that do not link with it are cut in tiles again, and each of these tiles meets
     every tile of the group. So a group costs tiles x (tiles of members off its centre).
+    The second result lists the stored tables that the edges are read from.
     """
     cut = members.groupBy(group).agg(F.count("*").alias("_n"), F.sum("size").alias("_s"), F.min("node").alias("_centre"))
     cut = cut.where("_n > 1").select(group, F.greatest(F.lit(1.0), *limits).cast("int").alias("n_tiles"), "_centre")
@@ -298,7 +299,7 @@ def _linked(rows: DataFrame, members: DataFrame, group: str, data: str, run, lim
     links = stored(by_group(small, keys, run, kind))
     large = placed.where("n_tiles > 1")
     if large.isEmpty():
-        return links
+        return links, [placed, links]
     chunks = large.where("node <> _centre").withColumns({"tile_a": F.col("tile"), "tile_b": F.lit(0)}).select(*pick)
     centres = large.where("node = _centre").withColumns({"tile_a": F.explode(F.sequence(F.lit(0), F.col("n_tiles") - 1)), "tile_b": F.lit(0)}).select(*pick)
     near = stored(by_group(chunks.unionByName(centres), keys, run, kind))
@@ -314,7 +315,7 @@ def _linked(rows: DataFrame, members: DataFrame, group: str, data: str, run, lim
     # a member is not sent twice to the tile pair where it stands among those off the centre
     other = large.join(tiles, group).withColumns({"tile_a": F.explode(F.sequence(F.lit(0), F.col("off_tiles") - 1)), "tile_b": F.col("tile")})
     other = other.join(off.select(group, "node", F.col("off_tile").alias("tile_a"), F.lit(True).alias("there")), [group, "node", "tile_a"], "left").where("there is null").select(*pick)
-    return links.unionByName(near).unionByName(by_group(one.unionByName(other), keys, run, kind))
+    return links.unionByName(near).unionByName(by_group(one.unionByName(other), keys, run, kind)), [placed, links, near, off]
 
 
 def _verified(idf: Shared, threshold: float):
@@ -378,13 +379,16 @@ def _classes(keyed: DataFrame, threshold: float, tile_rows: int = 4096, tile_shi
 
     rows_limit, size_limit = F.ceil(F.col("_n") / tile_rows), F.ceil(F.col("_s") / tile_shingles)
     bands = reps.select("node", F.lit(1).alias("size"), "sketch", F.explode("bands").alias("band"))
-    candidates = components(_linked(bands, bands, "band", "sketch", _bucket, [rows_limit]))
+    edges, used = _linked(bands, bands, "band", "sketch", _bucket, [rows_limit])
+    candidates = components(edges)
+    dropped(*used)
 
     members = stored(candidates.withColumnRenamed("component", "grp").join(reps.select("node", "key", "size"), "node"))
     texts = likely_in(keyed.select("key", "text"), "key", members.select("key"))
     texts = texts.where("_maybe").drop("_maybe").join(members.select("key", "node", "grp", "size"), "key")
-    links = _linked(texts.select("grp", "node", "size", "text"), members, "grp", "text", _verified(idf, threshold), [rows_limit, size_limit])
-    classes = components(links)
+    edges, used = _linked(texts.select("grp", "node", "size", "text"), members, "grp", "text", _verified(idf, threshold), [rows_limit, size_limit])
+    classes = components(edges)
+    dropped(*used, members)
 
     labelled = rows.select("key", "id", "node").join(classes, "node", "left").withColumn("class", F.coalesce("component", "node"))
     size = labelled.where("class is not null").groupBy("class").agg(
