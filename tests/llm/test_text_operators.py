@@ -210,7 +210,7 @@ def test_empty_tables(spark, odd_docs):
         pieces.encode(none, queries.tokenizer_path()), exact_dedup.copy_groups(none), exact_dedup.drop_copies(none), minhash.near_classes(none),
         minhash.drop_near_copies(none), mixing.mix(none), mixing.mixed(none), resharding.reshard(none, 4, F.lit(0)),
         toxicity.score(none, toxicity.fit(none, labels)), quality.score(none, quality.fit(none, labels)),
-        personal.find(none, personal.fit(personal.labelled_table(none))),
+        personal.find(none, personal.fit(personal.labelled_table(spark, 50))),
         token_files.count_tokens(token_files.pack(none, queries.tokenizer_path()).where("block_no is not null").select("file_id", "block_no", "ids")),
     ):
         assert df.count() == 0
@@ -454,12 +454,55 @@ def test_field_learns_shapes():
     rows = []
     for k in range(60):
         words = ["call", f"+1-555-{1000 + k}", "or", f"mail{k}@host.org", "now", f"v{k}"]
-        rows.append(([personal._shape(w) for w in words], [0, 4, 0, 1, 0, 0]))
+        rows.append((personal._features(words), [0, 4, 0, 1, 0, 0]))
     m = personal.train(rows)
-    emit = np.array([m["w"][[m["features"][x] for x in personal._shape(w) if x in m["features"]]].sum(0) for w in ["see", "+1-555-9876", "and", "zz9@other.net"]])
+    words = ["see", "+1-555-9876", "and", "zz9@other.net"]
+    emit = np.array([m["w"][[m["features"][x] for x in f if x in m["features"]]].sum(0) for f in personal._features(words)])
     assert personal.viterbi([emit, emit[:1]], m["step"])[0].tolist() == [0, 4, 0, 1]
 
 
+def test_field_on_unseen_sentences(spark):
+    """Held-out sentences by the same rules with another seed: spans found and numbers left alone."""
+    model = personal.fit(personal.labelled_table(spark))
+    rows = [(i, r.text, {(s["kind"], s["start"]) for s in r.spans}) for i, r in enumerate(personal.labelled_table(spark, 400, seed=5).collect())]
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
+    hit = miss = extra = 0
+    for r in personal.find(docs, model).collect():
+        want = rows[r.doc_id][2]
+        text = rows[r.doc_id][1]
+        word = lambda at: text.rfind(" ", 0, at) + 1
+        got = {(s.kind, word(s.start)) for s in r.spans if s.kind != "card"}
+        hit, miss, extra = hit + len(want & got), miss + len(want - got), extra + len(got - want)
+    assert hit >= 0.93 * (hit + miss) and extra <= 0.07 * hit
+
+
+def test_field_finds_planted_secrets(spark):
+    sf = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    texts = {r.doc_id: r.text or "" for r in docs.collect()}
+    planted = {i for i, t in texts.items() if re.search(r'token = "[0-9a-f]{40}"', t)}
+    found, secrets = set(), set()
+    for r in personal.find(docs, personal.fit(personal.labelled_table(spark))).collect():
+        for s in r.spans:
+            if not s.base:
+                found.add(r.doc_id)
+                secrets |= {r.doc_id} if re.fullmatch("[0-9a-f]{40}", texts[r.doc_id][s.start : s.end]) else set()
+    assert len(planted) > 10 and len(planted & secrets) >= 0.9 * len(planted)
+    assert len(found - planted) <= 0.01 * len(texts)
+
+
+def test_field_reads_whole_words_and_texts(spark):
+    """Two words that differ past their first thousand characters; a text longer than any in training."""
+    long = "ab12" * 300
+    assert personal._shape(long) != personal._shape(long + "-@x.org")
+    text = "lorem ipsum " * 4000 + 'api token = "' + "0a1b2c3d4e" * 4 + '" end'
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    (r,) = personal.find(docs, personal.fit(personal.labelled_table(spark))).collect()
+    assert [(s.kind, text[s.start : s.end]) for s in r.spans] == [("secret", "0a1b2c3d4e" * 4)]
+    train = spark.createDataFrame([("lorem " * 5000 + "zz 12-34", [("identity", 30003, 30008)])], personal.labelled_table(spark, 1).schema)
+    assert personal.fit(train)["features"]
+
+
 def test_viterbi_is_best_path():
     import itertools
 

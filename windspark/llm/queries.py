@@ -102,7 +102,7 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_personal(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
-    model = personal.fit(personal.labelled_table(docs))
+    model = personal.fit(personal.labelled_table(spark))
     out = personal.find(docs, model)
     line = "x -> concat_ws(':', x.kind, x.start, x.end)"
     return out.select(
@@ -110,6 +110,7 @@ def op5_personal(spark: SparkSession, sf_dir: str) -> DataFrame:
         *[F.expr(f"cast(size(filter(spans, x -> x.base and x.kind = '{k}')) as long)").alias(f"n_{k}") for k in personal.KINDS],
         F.sha2(F.expr(f"concat_ws(',', transform(filter(spans, x -> x.base), {line}))"), 256).alias("base_sha256"),
         F.expr(f"concat_ws(',', transform(spans, {line}))").alias("spans"),
+        F.expr("cast(size(filter(spans, x -> not x.base)) as long)").alias("n_added"), (F.size("spans") > 0).alias("personal"),
     )
 
 
