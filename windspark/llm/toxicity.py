@@ -4,6 +4,10 @@ P(grade > k) = sigmoid(w . x - theta_k): one weight per feature, shared by all o
 thresholds. Features are the presence of words and of word beginnings, so that inflected
 forms of an insult weigh like the insult. The model is fitted on a bounded sample of
 labelled documents; every document is scored on its whole text.
+
+Labels are 0 and 1 only. Grades of toxic documents come from cross-fitting: models of one
+threshold, fitted without the document, score it, and thirds of these scores are the
+grades 1 to 3, so no document's grade depends on weights that were fitted to it.
 """
 
 from __future__ import annotations
@@ -21,8 +25,9 @@ from .pieces import Shared
 _WORD = re.compile(r"[^\W\d_]+")
 #: Lengths of word beginnings used as features.
 BEGINNINGS = (4, 5)
-#: Grades: 0 not toxic, 1 to 3 toxic by rising share of words that only toxic texts use.
+#: Grades: 0 not toxic, 1 to 3 toxic by rising score of models that have not seen the document.
 GRADES = 4
+FOLDS = 2
 
 
 def features(text: str | None) -> set[str]:
@@ -38,7 +43,8 @@ def fit_sample(docs: DataFrame, labels: DataFrame, label_col: str, id_col: str =
     """(id, y, weight, text): at most ``per_class`` labelled documents of each label 0 and 1.
 
     Picked by hash of the id, the same in every run. Weights restore the labels' shares.
-    Null labels and ids are left out; of differing labels of one id the larger counts.
+    Null labels and ids are left out; of differing labels of one id the larger counts, of
+    several texts of one id the one with the smallest hash.
     """
     clean = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).groupBy("id").agg(F.max("y").alias("y"))
     total = {r.y: r["count"] for r in clean.groupBy("y").count().collect()}
@@ -47,8 +53,10 @@ def fit_sample(docs: DataFrame, labels: DataFrame, label_col: str, id_col: str =
         own = clean.where(F.col("y") == y).orderBy(F.xxhash64("id", F.lit(3)), "id").limit(per_class)
         own = own.withColumn("weight", F.lit(max(1.0, total.get(y, 0) / per_class)))
         part = own if part is None else part.unionByName(own)
-    # bounded: two times per_class ids
-    return docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")).join(F.broadcast(part), "id")
+    # bounded: two times per_class ids, and one row of each
+    rows = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")).join(F.broadcast(part), "id")
+    one = F.min(F.struct(F.xxhash64("text").alias("h"), F.coalesce("text", F.lit("")).alias("text"))).alias("t")
+    return rows.groupBy("id", "y", "weight").agg(one).select("id", "y", "weight", "t.text")
 
 
 def choose_features(sample: DataFrame, most: int = 1500, least_docs: int = 5, least_gain: float = 16.0) -> dict[str, float]:
@@ -59,7 +67,7 @@ def choose_features(sample: DataFrame, most: int = 1500, least_docs: int = 5, le
             for at in range(0, batch.num_rows, 200):
                 names, ys = [], []
                 for y, t in zip(batch.column(0).slice(at, 200).to_pylist(), batch.column(1).slice(at, 200).to_pylist()):
-                    found = [f for f in features(t) if len(f) <= 40]
+                    found = features(t)
                     names += found
                     ys += [y] * len(found)
                 yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(ys, pa.int32())], names=["f", "y"])
@@ -118,12 +126,23 @@ def fit_ordinal(x: np.ndarray, grade: np.ndarray, weight: np.ndarray, grades: in
     return w, np.concatenate([low, low + np.cumsum(np.exp(gaps))])
 
 
+def cross_fitted(x: np.ndarray, y: np.ndarray, weight: np.ndarray, folds: int = FOLDS) -> np.ndarray:
+    """Scores above the threshold of models with one threshold, each fitted on the other folds."""
+    out = np.zeros(len(x))
+    fold = np.arange(len(x)) % folds
+    for k in range(folds):
+        rest = fold != k
+        if len(set(y[rest].tolist())) == 2:
+            w, theta = fit_ordinal(x[rest], y[rest], weight[rest], grades=2, rounds=150)
+            out[fold == k] = x[fold == k] @ w - theta[0]
+    return out
+
+
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_class: int = 4000) -> dict:
     """Model from 0/1 labels: feature weights and thresholds.
 
-    Labelled toxic documents get the grades 1 to 3 by thirds of their number of
-    features that (nearly) only toxic ones have. Without labels of both kinds the model
-    calls nothing toxic.
+    Labelled toxic documents get the grades 1 to 3 by thirds of their cross-fitted scores
+    (:func:`cross_fitted`). Without labels of both kinds the model calls nothing toxic.
     """
     sample = fit_sample(docs, labels, label_col, id_col, text_col, per_class).persist()
     names = choose_features(sample)
@@ -144,11 +163,11 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     for i, r in enumerate(rows):
         x[i, r.hits] = 1
     y = np.array([r.y for r in rows])
-    strong = np.array([names[f] > 4 for f in sorted(names)])
-    n_strong = x[:, strong].sum(1)
-    cut = np.quantile(n_strong[y == 1], [1 / 3, 2 / 3])
-    grade = np.where(y == 1, 1 + (n_strong > cut[0]) + (n_strong > cut[1]), 0)
-    w, theta = fit_ordinal(x, grade, np.array([r.weight for r in rows]))
+    weight = np.array([r.weight for r in rows])
+    outside = cross_fitted(x, y, weight)
+    cut = np.quantile(outside[y == 1], [1 / 3, 2 / 3])
+    grade = np.where(y == 1, 1 + (outside > cut[0]) + (outside > cut[1]), 0)
+    w, theta = fit_ordinal(x, grade, weight)
     return {"words": {f: float(w[i]) for f, i in order.items()}, "theta": theta}
 
 
