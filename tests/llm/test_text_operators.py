@@ -539,6 +539,55 @@ def test_toxicity_on_labels(spark):
     assert kept.count() == toxicity.score(docs, model).where("not toxic").count()
 
 
+def test_toxicity_query_by_brute_force(spark):
+    """Every score of the query from the model's weights, feature by feature; long joined words too."""
+    sf = "/root/testdata/sf0.001"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    long = "qx" * 40
+    rows = [(10_000_000 + i, f"calm words here {long if i % 2 else 'fine'} {i}") for i in range(60)]
+    more = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").union(spark.createDataFrame(rows, "doc_id long, text string"))
+    marks = labels.select("doc_id", "toxic").union(spark.createDataFrame([(i, (i % 2)) for i, _ in rows], "doc_id long, toxic int"))
+    model = toxicity.fit(more, marks)
+    assert long in model["words"] and model["words"][long] > 0
+    texts = {r.doc_id: r.text for r in docs.collect()} | dict(rows)
+    for r in toxicity.score(more.where("doc_id >= 10000000").union(docs.select("doc_id", "text")), model).collect():
+        s = sum(model["words"].get(f, 0.0) for f in toxicity.features(texts[r.doc_id]))
+        p = 1 / (1 + np.exp(np.array(model["theta"]) - s))
+        assert r.p_toxic == pytest.approx(p[0]) and r.severity == pytest.approx(p.sum()) and r.toxic == (s >= model["theta"][0])
+
+
+def test_sample_takes_one_row_of_an_id(spark):
+    docs = spark.createDataFrame([(1, f"text {i % 3}") for i in range(200)] + [(2, None), (None, "x")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (2, 0), (None, 1)], "doc_id long, toxic int")
+    assert sorted(r.id for r in toxicity.fit_sample(docs, labels, "toxic").collect()) == [1, 2]
+
+
+def test_quality_query_by_brute_force(spark):
+    """Every score from the model by enumeration of the chain's labels (documents of few lines)."""
+    import itertools
+
+    docs = spark.createDataFrame([(i, "\n".join(f"line {j} of {i} !!" * (1 + (i + j) % 3) for j in range(i % 7))) for i in range(40)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, quality int")
+    m = quality.fit(docs, labels)
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    for r in quality.score(docs, m).collect():
+        x, size, _ = quality.line_features([texts[r.doc_id]])
+        e = np.column_stack([np.zeros(len(x)), x @ m["w"]])
+        total, good = 0.0, np.zeros(len(x))
+        for p in itertools.product((0, 1), repeat=len(x)):
+            v = np.exp(sum(e[i, k] for i, k in enumerate(p)) + sum(m["step"][a, b] for a, b in zip(p, p[1:])))
+            total, good = total + v, good + v * np.array(p)
+        mean = (good / total * size).sum() / size.sum()
+        assert r.score == pytest.approx(1 / (1 + np.exp(-(m["a"] * mean + m["b"]))))
+
+
+def test_quality_bounds_long_documents(spark):
+    docs = spark.createDataFrame([(i, "\n".join(f"row {j}" for j in range(5000 if i == 3 else 5))) for i in range(8)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(8)], "doc_id long, quality int")
+    m = quality.fit(docs, labels, segment=10, doc_segments=3)
+    assert quality.score(docs, m).count() == 8
+
+
 def test_chain_marginals_by_enumeration():
     import itertools
 

@@ -133,21 +133,29 @@ def document_means(x, size, first, w, step) -> np.ndarray:
     return np.add.reduceat(good * size, first[:-1]) / np.add.reduceat(size, first[:-1])
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", per_class: int = 2500, segment: int = 48) -> dict:
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", per_class: int = 2500, segment: int = 48, doc_segments: int = 12) -> dict:
     """Model from at most ``per_class`` labelled documents of each label.
 
-    Only line features of these reach the driver, in chains of at most ``segment`` lines.
+    Only line features of these reach the driver, in chains of at most ``segment`` lines;
+    a document of more than ``doc_segments`` chains gives so many, evenly spaced over it.
     Without labels of both kinds every score is the share of label 1 (1 without any).
     """
     sample = fit_sample(docs, labels, label_col, id_col, text_col, per_class)
 
+    def taken(a: int, b: int) -> np.ndarray:
+        """Lines of a document that lie in the segments taken; all of them up to the bound."""
+        n = -(-(b - a) // segment)
+        lines = np.arange(a, b)
+        return lines if n <= doc_segments else lines[np.isin((lines - a) // segment, np.linspace(0, n - 1, doc_segments).astype(int))]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 200):
                 part = batch.slice(at, 200)
                 x, size, first = line_features(part.column(3).to_pylist())
-                rows = [x[a:b].astype(np.float32).tobytes() for a, b in zip(first, first[1:])]
-                yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(rows, pa.binary()), pa.array([size[a:b].tobytes() for a, b in zip(first, first[1:])], pa.binary())], names=["id", "y", "weight", "x", "size"])
+                own = [taken(a, b) for a, b in zip(first, first[1:])]
+                rows = [x[i].astype(np.float32).tobytes() for i in own]
+                yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(rows, pa.binary()), pa.array([size[i].tobytes() for i in own], pa.binary())], names=["id", "y", "weight", "x", "size"])
 
     kind = f"id {dict(docs.dtypes)[id_col]}, y int, weight double, x binary, size binary"
     rows = sorted(sample.select("id", "y", "weight", "text").mapInArrow(run, kind).collect(), key=lambda r: (r.id, r.x))  # bounded by per_class
