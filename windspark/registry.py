@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .plans import file_queries as _files  # noqa: F401 - adds its queries
 from .plans import queries as _q
 
 

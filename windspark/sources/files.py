@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import case_id, relative_path, stem, unique_names
@@ -33,11 +33,16 @@ def _log_lines(spark: SparkSession, root: str, pattern: str) -> DataFrame:
     return df.withColumn("body", F.when(F.col("at") > 0, F.transform(body, tokens)))
 
 
+def _readable() -> Column:
+    """A header is there, no row is longer than it, and numbering repeated names gave no name twice (X, X, X_1)."""
+    distinct = F.size(F.array_distinct("names")) == F.size("names")
+    return F.coalesce((F.col("at") > 0) & distinct & ~F.exists("body", lambda r: F.size(r) > F.size("names")), F.lit(False))
+
+
 def log_status(spark: SparkSession, root: str, pattern: str = "*.out") -> DataFrame:
-    """(case_id, path, log_ok): false without a header line starting with Time or with an over-long row."""
+    """(case_id, path, log_ok): false without a header line starting with Time, with an over-long row, or where numbered names collide."""
     df = _log_lines(spark, root, pattern)
-    ok = F.coalesce((F.col("at") > 0) & ~F.exists("body", lambda r: F.size(r) > F.size("names")), F.lit(False))
-    return df.select("case_id", "path", ok.alias("log_ok"))
+    return df.select("case_id", "path", _readable().alias("log_ok"))
 
 
 def read_channel_logs(spark: SparkSession, root: str, channels: list[str] | None = None, pattern: str = "*.out", on_error: str = "raise") -> DataFrame:
@@ -45,12 +50,12 @@ def read_channel_logs(spark: SparkSession, root: str, channels: list[str] | None
 
     With ``channels``: (case_id, line_no, one text column for each); a log without a
     channel has nulls there. Without: (case_id, line_no, channel_pos, channel, value). Short rows
-    end in nulls. Repeated header names become n, n_1, n_2. A log without header or with an
-    over-long row is an error, or left out with ``on_error`` = 'skip'. A log is one
+    end in nulls. Repeated header names become n, n_1, n_2. A log without header, with an over-long
+    row or with a name that numbering gives twice is an error, or left out with ``on_error`` = 'skip'. A log is one
     record, a few MB for a simulation.
     """
     df = _log_lines(spark, root, pattern)
-    ok = F.coalesce((F.col("at") > 0) & ~F.exists("body", lambda r: F.size(r) > F.size("names")), F.lit(False))
+    ok = _readable()
     if on_error == "raise":
         ok = F.when(ok, F.lit(True)).otherwise(F.raise_error(F.concat(F.lit("unreadable log: "), "path")).cast("boolean"))
     rows = df.where(ok).select("case_id", "names", F.posexplode("body").alias("line_no", "row"))
@@ -81,10 +86,15 @@ def numbered_names(df: DataFrame, case: str, pos: str, name: str) -> DataFrame:
     return df.withColumn("unique_name", F.when(k > 0, F.concat(F.col(name), F.lit("_"), k.cast("string"))).otherwise(F.col(name)))
 
 
-def read_load_tables(spark: SparkSession, root: str, columns: list[str]) -> DataFrame:
-    """CSV files of loads, one for each case, with ``columns`` as doubles by header name."""
+def read_load_tables(spark: SparkSession, root: str, columns: list[str], case: Column | None = None) -> DataFrame:
+    """CSV files of loads, one for each case, with ``columns`` as doubles by header name.
+
+    The case is the file's stem, or ``case`` over the file's name. All files have the same
+    columns in the same order; another header is an error.
+    """
     df = spark.read.option("header", True).option("enforceSchema", False).option("recursiveFileLookup", True).csv(root)
-    return df.select(stem(F.input_file_name()).alias("case_id"), *[F.col(c).try_cast("double").alias(c) for c in columns])
+    case = stem(F.input_file_name()) if case is None else case
+    return df.select(case.alias("case_id"), *[F.col(c).try_cast("double").alias(c) for c in columns])
 
 
 DESIGN = "number int, seed long, analysis_time double, usable_time double, model string, turbulence string, ref_height string, speed string, yaw string, shear string"

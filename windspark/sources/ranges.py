@@ -25,13 +25,25 @@ class Ranges:
         self._path = self._file = None
 
 
-def _open(path: str):
+def _located(path: str):
+    """(file system, name) of a path."""
     from urllib.parse import unquote
 
     from pyarrow import fs
 
     if path.startswith("file:") or "://" not in path:  # file:/x and file:///x alike
-        return fs.LocalFileSystem().open_input_file(unquote("/" + path.removeprefix("file:").lstrip("/")))
+        return fs.LocalFileSystem(), unquote("/" + path.removeprefix("file:").lstrip("/"))
     scheme, rest = path.split("://", 1)
-    system, name = fs.FileSystem.from_uri(f"{'s3' if scheme in ('s3a', 's3n') else scheme}://{rest}")
+    return fs.FileSystem.from_uri(f"{'s3' if scheme in ('s3a', 's3n') else scheme}://{rest}")
+
+
+def _open(path: str):
+    system, name = _located(path)
     return system.open_input_file(name)
+
+
+def open_output(path: str):
+    """A new file, its folders made where needed."""
+    system, name = _located(path)
+    system.create_dir(name.rsplit("/", 1)[0], recursive=True)
+    return system.open_output_stream(name)

@@ -11,82 +11,102 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.columns import case_id, relative_path
+from .ranges import Ranges, open_output
 
 #: Bytes before the description, little endian: int16, 4 x int32, 6 + 6 float32, int32.
 FIXED = 70
+_FIELDS = ["id", "nz", "ny", "n_twr", "nt", "dz", "dy", "dt", "u_hub", "z_hub", "z_bottom", "slope", "intercept", "info"]
+_KINDS = [pa.int16(), *[pa.int32()] * 4, *[pa.float32()] * 6, pa.list_(pa.float32()), pa.list_(pa.float32()), pa.string()]
 HEADER = (
     "case_id string, id short, nz int, ny int, n_twr int, nt int, dz float, dy float, dt float, u_hub float, "
     "z_hub float, z_bottom float, slope array<float>, intercept array<float>, info string"
 )
 
 
-def _files(spark: SparkSession, root: str, pattern: str) -> DataFrame:
+def _listed(spark: SparkSession, root: str, pattern: str) -> DataFrame:
+    """(case_id, path) of the files; Spark lists them and reads none of their bytes."""
     df = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(root)
-    rel = relative_path(F.col("path"), root)
-    return df.select(case_id(rel).alias("case_id"), "path", "length", "content")
+    return df.where(F.col("length") >= FIXED).select(case_id(relative_path(F.col("path"), root)).alias("case_id"), "path")
 
 
-def _int32(content: str, at: int):
-    """Little-endian int32 of a binary column, ``at`` counted from 1."""
-    h = F.hex(F.expr(f"substring({content}, {at}, 4)"))
-    swapped = F.concat(*[F.substring(h, k, 2) for k in (7, 5, 3, 1)])
-    return F.conv(swapped, 16, 10).cast("long").cast("int")
+def _headers(spark: SparkSession, root: str, pattern: str) -> DataFrame:
+    """Headers with the file's path and the place of its first record; reads 70 bytes and the description."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        files = Ranges()
+        for batch in batches:
+            rows, at = [], []
+            for path in batch.column(1).to_pylist():
+                raw = files.read(path, 0, FIXED)
+                (n,) = struct.unpack_from("<l", raw, 66)
+                text = files.read(path, FIXED, max(n, 0)).decode("latin-1").rstrip("\x00").strip()
+                scales = struct.unpack_from("<6f", raw, 42)
+                rows.append((*struct.unpack_from("<h4l", raw, 0), *struct.unpack_from("<6f", raw, 18), list(scales[0::2]), list(scales[1::2]), text))
+                at.append(FIXED + max(n, 0))
+            cols = [pa.array([r[i] for r in rows], k) for i, k in enumerate(_KINDS)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *cols, batch.column(1), pa.array(at, pa.int64())], names=["case_id", *_FIELDS, "path", "at"])
+        files.close()
 
-def _parse(raw: bytes) -> tuple:
-    first = struct.unpack_from("<h4l", raw, 0)
-    size = struct.unpack_from("<6f", raw, 18)
-    scales = struct.unpack_from("<6f", raw, 42)
-    (n,) = struct.unpack_from("<l", raw, 66)
-    text = raw[FIXED : FIXED + max(n, 0)].decode("latin-1").rstrip("\x00").strip()
-    return (*first, *size, list(scales[0::2]), list(scales[1::2]), text)
+    return _listed(spark, root, pattern).mapInArrow(run, f"{HEADER}, path string, at long")
 
 
 def read_wind_headers(spark: SparkSession, root: str, pattern: str = "*.bts") -> DataFrame:
     """One header row per field file; files too short for one are left out."""
-    kind = [pa.int16(), *[pa.int32()] * 4, *[pa.float32()] * 6, pa.list_(pa.float32()), pa.list_(pa.float32()), pa.string()]
-    names = ["id", "nz", "ny", "n_twr", "nt", "dz", "dy", "dt", "u_hub", "z_hub", "z_bottom", "slope", "intercept", "info"]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = [_parse(x) for x in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array([r[i] for r in rows], k) for i, k in enumerate(kind)]], names=["case_id", *names])
+    return _headers(spark, root, pattern).drop("path", "at")
 
-    files = _files(spark, root, pattern).where(F.col("length") >= FIXED)
-    head = files.withColumn("n", F.greatest(_int32("content", 67), F.lit(0)))
-    return head.select("case_id", F.expr(f"substring(content, 1, {FIXED} + n)").alias("raw")).mapInArrow(run, HEADER)
 
-
-def read_wind_fields(spark: SparkSession, root: str, steps_per_block: int = 500, pattern: str = "*.bts") -> DataFrame:
+def read_wind_fields(spark: SparkSession, root: str, steps_per_block: int = 500, pattern: str = "*.bts", steps: DataFrame | None = None) -> DataFrame:
     """(case_id, step, u, v, w): each component of ny * nz floats, y slow and z fast.
 
     Integers on file go component fastest, then y, then z, and tower values follow and are
-    skipped; value = (raw - intercept) / slope. Blocks of steps are spread over tasks before
-    decoding. Files are read as binary records (at most 2 GB each).
+    skipped; value = (raw - intercept) / slope. A file is cut into ranges of
+    ``steps_per_block`` steps that tasks read by themselves, so files may have any size. With
+    ``steps`` (case_id, step), only blocks that hold one of these are read, and only these
+    steps returned. A file that ends early gives the whole steps it has.
     """
-    files = _files(spark, root, pattern).where(F.col("length") >= FIXED)
-    h = files.select(
-        "case_id", "content", _int32("content", 3).alias("nz"), _int32("content", 7).alias("ny"), _int32("content", 11).alias("n_twr"),
-        _int32("content", 15).alias("nt"), F.expr("substring(content, 43, 24)").alias("scales"), F.greatest(_int32("content", 67), F.lit(0)).alias("n"),
-    )
-    h = h.withColumn("rec", (F.col("ny") * F.col("nz") + F.col("n_twr")) * 6).where("nt > 0")
-    blocks = h.withColumn("first", F.explode(F.sequence(F.lit(0), F.col("nt") - 1, F.lit(steps_per_block))))
-    blocks = blocks.select(
-        "case_id", "first", "ny", "nz", "rec", "scales",
-        F.expr(f"substring(content, {FIXED} + n + first * rec + 1, least({steps_per_block}, nt - first) * rec)").alias("raw"),
-    ).repartition("case_id", "first")
+    h = _headers(spark, root, pattern).where("nt > 0")
+    first = F.explode(F.sequence(F.lit(0), F.col("nt") - 1, F.lit(steps_per_block))).alias("first")
+    blocks = h.select("case_id", first, "path", "at", "ny", "nz", "n_twr", "nt", "slope", "intercept")
+    if steps is not None:
+        wanted = steps.select("case_id", F.col("step").cast("int").alias("step")).distinct()
+        wanted = wanted.groupBy("case_id", (F.floor(F.col("step") / steps_per_block) * steps_per_block).cast("int").alias("first")).agg(F.collect_set("step").alias("wanted"))
+        blocks = blocks.join(wanted, ["case_id", "first"])
+    else:
+        blocks = blocks.withColumn("wanted", F.lit(None).cast("array<int>"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        files = Ranges()
         for batch in batches:
-            for case, first, ny, nz, rec, scales, raw in zip(*[c.to_pylist() for c in batch.columns]):
+            for case, first, path, at, ny, nz, n_twr, nt, slope, shift, wanted in zip(*[c.to_pylist() for c in batch.columns]):
+                rec = (ny * nz + n_twr) * 6
+                raw = files.read(path, at + first * rec, min(steps_per_block, nt - first) * rec)
                 n = len(raw) // rec
+                step = np.arange(first, first + n, dtype=np.int32)
                 grid = np.frombuffer(raw, "<i2", n * rec // 2).reshape(n, rec // 2)[:, : 3 * ny * nz].reshape(n, nz, ny, 3)
-                f = np.frombuffer(scales, "<f4")
-                values = ((grid - f[1::2]) / f[0::2]).astype(np.float32).transpose(3, 0, 2, 1).reshape(3, n * ny * nz)
+                if wanted is not None:
+                    own = np.isin(step, wanted)
+                    step, grid = step[own], grid[own]
+                    n = len(step)
+                values = ((grid - np.array(shift, np.float32)) / np.array(slope, np.float32)).astype(np.float32).transpose(3, 0, 2, 1).reshape(3, n * ny * nz)
                 offsets = pa.array(np.arange(n + 1, dtype=np.int32) * (ny * nz))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([case] * n), pa.array(np.arange(first, first + n, dtype=np.int32)), *[pa.ListArray.from_arrays(offsets, pa.array(v)) for v in values]],
+                    [pa.array([case] * n, pa.string()), pa.array(step), *[pa.ListArray.from_arrays(offsets, pa.array(v)) for v in values]],
                     names=["case_id", "step", "u", "v", "w"],
                 )
+        files.close()
+
+    return blocks.repartition("path", "first").mapInArrow(run, "case_id string, step int, u array<float>, v array<float>, w array<float>")
+
 
-    return blocks.mapInArrow(run, "case_id string, step int, u array<float>, v array<float>, w array<float>")
+def write_field(path: str, grid: np.ndarray, tower: np.ndarray, sizes: tuple, slope: tuple, intercept: tuple, info: str) -> None:
+    """One field file, by the task that holds it: ``grid`` (steps, z, y, 3) and ``tower`` (steps, points, 3) as int16.
+
+    ``sizes``: dz, dy, dt, hub speed, hub height, lowest height.
+    """
+    nt, nz, ny, _ = grid.shape
+    text = info.encode("latin-1")
+    scales = [x for pair in zip(slope, intercept) for x in pair]
+    head = struct.pack("<h4l", 8, nz, ny, tower.shape[1], nt) + struct.pack("<6f", *sizes) + struct.pack("<6f", *scales) + struct.pack("<l", len(text)) + text
+    body = np.concatenate([grid.reshape(nt, -1), tower.reshape(nt, -1)], 1).astype("<i2")
+    with open_output(path) as f:
+        f.write(head + body.tobytes())
