@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -66,13 +70,37 @@ def _mi(joint: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def _joint(df: DataFrame, pairs: list[tuple[str, str]], a: str, b: str) -> DataFrame:
-    """Counts by pair of columns and their bins (below 1,000).
+    """Counts by pair of columns and their bins (0 to 999).
 
-    A row becomes one whole number for each pair; map-side sums leave at most pairs x bins^2
-    of them in a task before the shuffle. Rows with a null bin are left out of its pairs.
+    Tasks count each batch by pair and sum up over their batches, so what is shuffled is at
+    most pairs x bins^2 numbers from a task. Rows with a null bin are left out of its pairs.
     """
-    keys = F.array(*[(F.lit(k * 1000).cast("long") + F.col(p)) * 1000 + F.col(q) for k, (p, q) in enumerate(pairs)])
-    n = df.select(F.explode(keys).alias("k")).where("k is not null").groupBy("k").agg(F.count("*").alias("n"))
+    cols = list(dict.fromkeys(c for p in pairs for c in p))
+    where = [(cols.index(p), cols.index(q)) for p, q in pairs]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def summed(parts):
+            keys, at = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
+            return keys, np.bincount(at, np.concatenate([n for _, n in parts])).astype(np.int64)
+
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        n_held = 0
+        for batch in batches:
+            x = [c.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns]
+            width = max((int(c.max()) for c in x if len(c)), default=0) + 1
+            for k, (i, j) in enumerate(where):
+                ok = (x[i] >= 0) & (x[j] >= 0)
+                n = np.bincount((x[i] * width + x[j])[ok], minlength=1)
+                used = np.flatnonzero(n)
+                held.append(((k * 1000 + used // width) * 1000 + used % width, n[used]))
+                n_held += len(used)
+            if n_held > 2_000_000:
+                held = [summed(held)]
+                n_held = len(held[0][0])
+        keys, n = summed(held) if held else (np.empty(0, np.int64), np.empty(0, np.int64))
+        yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(n)], names=["k", "n"])
+
+    n = df.select(*cols).mapInArrow(run, "k long, n long").groupBy("k").agg(F.sum("n").alias("n"))
     pair = F.get(F.array(*[F.struct(F.lit(p).alias(a), F.lit(q).alias(b)) for p, q in pairs]), F.floor(F.col("k") / 1_000_000).cast("int"))
     n = n.select(pair.alias("i"), F.floor(F.col("k") / 1000 % 1000).cast("int").alias("x"), (F.col("k") % 1000).cast("int").alias("y"), "n")
     return n.select(f"i.{a}", f"i.{b}", "x", "y", "n")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -101,9 +102,11 @@ def p4_clean_log(spark, sf):
     return rounded(cases.clean_log(a.unionByName(b)), ["Time", "BldPitch1"])
 
 
-@query(f"WITH {fx.CHANNEL_LOG} SELECT case_id FROM log WHERE channel IN ('error', 'click', 'view') AND line_no % 2 = 0 GROUP BY 1 HAVING count(DISTINCT channel) = 3")
+@query(f"WITH {fx.CHANNEL_LOG} SELECT case_id FROM log WHERE channel || '_' || line_no % 8 IN ('error_1', 'click_2', 'view_3') GROUP BY 1 HAVING count(DISTINCT channel) = 3")
 def p5_require_channels(spark, sf):
-    return cases.require_channels(fx.channel_log(spark, sf).where("line_no % 2 = 0"), ["error", "click", "view"])
+    """Channels of which only some cases have all: type and last digits of each event."""
+    log = fx.channel_log(spark, sf).withColumn("channel", F.concat_ws("_", "channel", F.col("line_no") % 8))
+    return cases.require_channels(log, ["error_1", "click_2", "view_3"])
 
 
 @query(f'WITH {fx.CHANNEL_LOG} SELECT case_id, line_no, {q6s(["GenPwr", "Azimuth"])} FROM log')
@@ -132,13 +135,13 @@ def p8_skip_report(spark, sf):
 
 
 _HEAD = """,
-h AS (SELECT DISTINCT case_id, channel FROM log WHERE line_no % 4 = 0),
+h AS (SELECT DISTINCT case_id, channel || '_' || line_no % 16 AS channel FROM log),
 l AS (SELECT case_id, list(channel ORDER BY channel) AS names FROM h GROUP BY 1)"""
 
 
 @query(f"WITH {fx.CHANNEL_LOG}{_HEAD} SELECT case_id, array_to_string(names, ',') AS names FROM l WHERE names <> (SELECT names FROM l ORDER BY case_id LIMIT 1)")
 def p9_schema_consistency(spark, sf):
-    h = fx.channel_log(spark, sf).where("line_no % 4 = 0").select("case_id", "channel").distinct()
+    h = fx.channel_log(spark, sf).select("case_id", F.concat_ws("_", "channel", F.col("line_no") % 16).alias("channel")).distinct()
     h = h.withColumn("pos", F.row_number().over(Window.partitionBy("case_id").orderBy("channel")))
     return cases.inconsistent_cases(h).select("case_id", F.array_join("names", ",").alias("names"))
 
@@ -153,7 +156,14 @@ def p11_cast_precision(spark, sf):
     return cases.cast_precision(fx.channel_log(spark, sf).select("case_id", "line_no", "BldPitch3", "RotSpeed"), ["BldPitch3", "RotSpeed"])
 
 
-@query()
+def _half_sql(c: str) -> str:
+    """Nearest half-precision number of a float column, ties to even."""
+    x = f"CAST(CAST({c} AS FLOAT) AS DOUBLE)"
+    unit = f"pow(2::DOUBLE, greatest(floor(log2(greatest(abs({x}), 1e-300::DOUBLE))), -14) - 10)"
+    return f"CAST(round_even({x} / {unit}, 0) * {unit} AS FLOAT)"
+
+
+@query(f"WITH {fx.CHANNEL_LOG} SELECT case_id, line_no, " + ", ".join(f'{_half_sql(chr(34) + c + chr(34))} AS "{c}"' for c in ("BldPitch3", "RotSpeed")) + " FROM log")
 def p11_half_precision(spark, sf):
     return cases.cast_precision(fx.channel_log(spark, sf).select("case_id", "line_no", "BldPitch3", "RotSpeed"), ["BldPitch3", "RotSpeed"], "float16")
 
@@ -168,10 +178,9 @@ def p12_split_tasks(spark, sf):
     )
 
 
-@query(f"WITH {fx.WIND_FIELD} SELECT vec_id, {q6('u[1]', 'feat_0')}, {q6('u[2]', 'feat_1')}, {q6('u[3]', 'feat_2')} FROM field")
+@query(f"WITH {fx.WIND_FIELD} SELECT vec_id, " + ", ".join(q6(f"u[{i + 1}]", f"feat_{i}") for i in range(49)) + " FROM field")
 def p13_name_columns(spark, sf):
-    f = fx.wind_field(spark, sf).select("vec_id", F.slice("u", 1, 3).alias("u"))
-    return rounded(cases.name_columns(f, "u", size=3), ["feat_0", "feat_1", "feat_2"])
+    return rounded(cases.name_columns(fx.wind_field(spark, sf).select("vec_id", "u"), "u", size=49), [f"feat_{i}" for i in range(49)])
 
 
 @query(
@@ -377,7 +386,10 @@ y AS (SELECT vec_id, 0.5::DOUBLE * (var_samp(u) + var_samp(v) + var_samp(w)) AS
 _feature_query("g27_energy_cascade", ["energy_cascade_indicator"], ["e / (0.5::DOUBLE * (us*us + vs*vs + ws*ws) + 1e-8)"], _BOX, "y JOIN b USING (vec_id)")
 
 
-@query()
+_GROUPED = [SQL[k] for k in SQL if re.fullmatch(r"g\d+_\w+", k)]
+
+
+@query("SELECT * FROM " + " JOIN ".join(f"({x}) AS x{i}" + (" USING (vec_id)" if i else "") for i, x in enumerate(_GROUPED)))
 def g_all_features(spark, sf):
     return _features(spark, sf, GRID)
 
@@ -437,16 +449,15 @@ def w4_half_rotor_weights(spark, sf):
 
 
 @query(
-    f"""WITH {fx.WIND_FIELD}, t AS (SELECT vec_id, round(w[1], 2) AS t1, v[5] AS t2 FROM field WHERE case_id IN ('0', '1', '2')),
+    f"""WITH {fx.WIND_FIELD}, t AS (SELECT vec_id, round(w[1], 2) AS t1, v[5] AS t2 FROM field),
     ry AS (SELECT vec_id, rank() OVER (ORDER BY t1) + (count(*) OVER (PARTITION BY t1) - 1) / 2 AS a, rank() OVER (ORDER BY t2) + (count(*) OVER (PARTITION BY t2) - 1) / 2 AS b FROM t),
-    rx AS (SELECT vec_id, i, j, rank() OVER (PARTITION BY i, j ORDER BY u) + (count(*) OVER (PARTITION BY i, j, u) - 1) / 2 AS x FROM cell WHERE vec_id IN (SELECT vec_id FROM t)),
+    rx AS (SELECT vec_id, i, j, rank() OVER (PARTITION BY i, j ORDER BY u) + (count(*) OVER (PARTITION BY i, j, u) - 1) / 2 AS x FROM cell),
     c AS (SELECT i, j, (abs(corr(x, a)) + abs(corr(x, b))) / 2 AS weight FROM rx JOIN ry USING (vec_id) GROUP BY 1, 2)
     SELECT 'corr' AS region, CAST(i AS INT) AS i, CAST(j AS INT) AS j, {q6('weight / sum(weight) OVER ()', 'weight')} FROM c"""
 )
 def w5_spearman_weights(spark, sf):
-    """Over the first three cases, with a target that has ties."""
-    f = cases.limit_cases(fx.wind_field(spark, sf), 3)
-    rows = f.select("vec_id", "u", F.round(F.get("w", F.lit(0)), 2).alias("t1"), F.get("v", F.lit(4)).alias("t2"))
+    """Over all cases, with a target that has ties."""
+    rows = fx.wind_field(spark, sf).select("vec_id", "u", F.round(F.get("w", F.lit(0)), 2).alias("t1"), F.get("v", F.lit(4)).alias("t2"))
     return rounded(weights.spearman_weights(rows, ["t1", "t2"], 7, "vec_id"), ["weight"])
 
 
@@ -481,10 +492,10 @@ def a2_unscale(spark, sf):
     return rounded(stats.unscale(stats.scale(n, sc, cols), sc, cols).select("l_orderkey", "l_linenumber", *cols), cols)
 
 
-@query(f"WITH {fx.NUMERIC_ROWS} SELECT CAST(s_suppkey AS VARCHAR) AS case_id, round(coalesce(avg(l_quantity), 0), 6) + 0.0::DOUBLE AS value FROM supplier LEFT JOIN num ON case_id = CAST(s_suppkey AS VARCHAR) AND s_suppkey % 9 <> 0 GROUP BY 1")
+@query(f"WITH {fx.NUMERIC_ROWS} SELECT CAST(s_suppkey AS VARCHAR) AS case_id, round(coalesce(avg(l_quantity), 0), 6) + 0.0::DOUBLE AS value FROM supplier LEFT JOIN num ON case_id = CAST(s_suppkey AS VARCHAR) GROUP BY 1")
 def a3_stratify_value(spark, sf):
     c = fx.table(spark, sf, "supplier").select(F.col("s_suppkey").cast("string").alias("case_id"))
-    return rounded(stats.stratify_value(c, fx.numeric_rows(spark, sf).where("l_suppkey % 9 <> 0"), "l_quantity"), ["value"])
+    return rounded(stats.stratify_value(c, fx.numeric_rows(spark, sf), "l_quantity"), ["value"])
 
 
 @query(f"WITH {fx.WIND_FIELD}, {fx.REGION_WEIGHTS}{_weighted(['hub'])} SELECT case_id, {q6('avg(hub_u)', 'value')} FROM m JOIN field USING (vec_id) GROUP BY 1")
@@ -779,10 +790,10 @@ def l9_select_features_mrmr(spark, sf):
     return rounded(table, ["relevance", "redundancy", "selection_score"])
 
 
-@query(f"WITH {fx.CHANNEL_LOG} SELECT case_id, line_no, \"GenPwr\" FROM log WHERE line_no % 2 = 0 UNION ALL SELECT case_id, line_no, \"GenPwr\" FROM log WHERE line_no % 3 = 0")
+@query(f"WITH {fx.CHANNEL_LOG} SELECT case_id, line_no, \"GenPwr\" FROM log UNION ALL SELECT case_id, line_no, \"TTDspFA\" FROM log")
 def u1_stack_cases(spark, sf):
-    log = fx.channel_log(spark, sf).select("case_id", "line_no", "GenPwr")
-    return cases.stack_cases([log.where("line_no % 2 = 0"), log.where("line_no % 3 = 0")])
+    log = fx.channel_log(spark, sf)
+    return cases.stack_cases([log.select("case_id", "line_no", "GenPwr"), log.select("case_id", "line_no", F.col("TTDspFA").alias("GenPwr"))])
 
 
 @query(f"WITH {fx.CHANNEL_LOG}{_DIRTY} SELECT case_id, min(line_no) AS line_no FROM dirty WHERE TRY_CAST(\"Time\" AS DOUBLE) IS NOT NULL GROUP BY case_id, \"Time\"")
@@ -870,10 +881,43 @@ def m4_feature_importance(spark, sf):
     return r.select("case_id", "step", *[r6(F.col(n) * F.col("imp")[n], n) for n in names])
 
 
-@query()
-def m4_score_attentive(spark, sf):
+def _network_sql(model: dict, source: str, features: list[str], inputs: list[str], keys: list[str]) -> str:
+    """The forward pass as nested SELECTs, one for each layer."""
+    w, k = model["weights"], ", ".join(keys)
+    num = lambda x: f"{float(x)!r}::DOUBLE"
+    leaky = lambda x: f"CASE WHEN {x} > 0 THEN {x} ELSE 0.01::DOUBLE * ({x}) END"
+
+    def layer(sql, name, cols, out, keep=()):
+        sums = [" + ".join([num(b), *[f"{num(a)} * {c}" for a, c in zip(w[f"{name}.w"][:, i], cols)]]) for i, b in enumerate(w[f"{name}.b"])]
+        z = ", ".join(f"({x}) AS z{i}" for i, x in enumerate(sums))
+        rest = "".join(f", {c}" for c in keep)
+        if out is None:
+            return sums
+        acts = ", ".join(f"{leaky(f'z{i}')} AS {out}{i}" for i in range(len(sums)))
+        return f"SELECT {k}{rest}, {acts} FROM (SELECT {k}{rest}, {z} FROM ({sql}))", [f"{out}{i}" for i in range(len(sums))]
+
+    att = surrogate._softmax(w["attention"])
+    feats = [f"f{i}" for i in range(len(features))]
+    sql = f"SELECT {k}, " + ", ".join([*[f"{num(a)} * {c} AS {f}" for a, c, f in zip(att, features, feats)], *[f"{c} AS i{j}" for j, c in enumerate(inputs)]]) + f" FROM {source}"
+    sql, cols = layer(sql, "branch0", [f"i{j}" for j in range(len(inputs))], "b", feats)
+    sql, cols = layer(sql, "trunk0", [*feats, *cols], "h")
+    ((task, outs),) = model["tasks"].items()
+    sql, cols = layer(sql, f"{task}.in", cols, "m")
+    return f"SELECT {k}, " + ", ".join(f'round({x}, 6) + 0.0::DOUBLE AS "{o}"' for x, o in zip(layer(sql, f"{task}.out", cols, None), outs)) + f" FROM ({sql})"
+
+
+def _attentive():
+    import numpy as np
+
     model = surrogate.init_model(2, 2, {"root": ["RootFxb1", "RootMyb1"]}, hidden=(8,), branch=(4,), attention=True, seed=3)
-    return surrogate.score_surrogate(fx.case_rows(spark, sf), model, ["GenPwr", "RotSpeed"], ["BldPitch1", "BldPitch2"], ["case_id", "step"])
+    model["weights"]["attention"] = np.array([0.5, -0.25])
+    return model
+
+
+@query(f"WITH {fx.CASE_ROWS} " + _network_sql(_attentive(), "rows", ['"GenPwr"', '"RotSpeed"'], ['"BldPitch1"', '"BldPitch2"'], ["case_id", "step"]))
+def m4_score_attentive(spark, sf):
+    model = _attentive()
+    return rounded(surrogate.score_surrogate(fx.case_rows(spark, sf), model, ["GenPwr", "RotSpeed"], ["BldPitch1", "BldPitch2"], ["case_id", "step"]), ["RootFxb1", "RootMyb1"])
 
 
 # --- flagship: log to scaled, aligned rows ---------------------------------------------
