@@ -71,6 +71,61 @@ def test_wind_files(spark, tmp_path):
             np.testing.assert_array_equal(np.array(r[name], np.float32).reshape(3, 4), values[r.step, :, :, c].T)
 
 
+def test_wind_ranges(spark, tmp_path):
+    """Wanted steps only, blocks that cut a file, and a file that ends early."""
+    values = write_field(tmp_path / "w.bts", 3, 4, 2, 25, 0.05)
+    whole = (tmp_path / "w.bts").read_bytes()
+    rec = (3 * 4 + 2) * 6
+    (tmp_path / "cut.bts").write_bytes(whole[: len(whole) - 4 * rec - 5])
+    (tmp_path / "short.bts").write_bytes(whole[:30])
+    steps = spark.createDataFrame([("w", 0), ("w", 7), ("w", 24), ("w", 99), ("other", 3)], "case_id string, step long")
+    rows = wind.read_wind_fields(spark, f"file://{tmp_path}", 6, steps=steps).orderBy("step").collect()
+    assert [(r.case_id, r.step) for r in rows] == [("w", 0), ("w", 7), ("w", 24)]
+    for r in rows:
+        np.testing.assert_array_equal(np.array(r.v, np.float32).reshape(3, 4), values[r.step, :, :, 1].T)
+    n = {r.case_id: r["count"] for r in wind.read_wind_fields(spark, f"file://{tmp_path}", 6).groupBy("case_id").count().collect()}
+    assert n == {"w": 25, "cut": 20}
+
+
+def test_colliding_names(spark, tmp_path):
+    write_log(tmp_path / "bad.out", ["Time", "X", "X", "X_1"], ["s"] * 4, [[0, 1, 2, 3]])
+    root = f"file://{tmp_path}"
+    assert [r.log_ok for r in files.log_status(spark, root).collect()] == [False]
+    with pytest.raises(Exception, match="unreadable log"):
+        files.read_channel_logs(spark, root, ["Time", "X"]).collect()
+
+
+def test_selection_job(spark, tmp_path):
+    """Files to kept features, on two grids, with the balanced cap; relevance follows the wind."""
+    for k in range(3):
+        write_field(tmp_path / "fields" / f"c{k}.bts", 7 if k else 9, 7 if k else 5, 1, 40, 0.05, k)
+    root = f"file://{tmp_path}/fields"
+    names = ["hub_u_mean", "global_tke", "global_u_mean", "tip_u_mean"]
+    f = workloads.features_of(spark, root, fx.region_weights(spark), 7, 7, names)
+    assert f.count() == 120
+    rows = f.select("case_id", F.col("step").cast("long").alias("step"), F.col("step").cast("long").alias("wind_step"), (F.col("hub_u_mean") * 3).alias("GenPwr"))
+    for method in ("binned", "knn"):
+        table, kept = workloads.select_features(spark, rows, root, fx.region_weights(spark), 7, 7, ["GenPwr"], f"file://{tmp_path}/{method}", names, sample=100, method=method, k=2)
+        assert kept[0] == 0 and len(kept) == 2 and table.count() == 4
+        back = files.read_kept_features(spark, f"file://{tmp_path}/{method}/kept_features").orderBy("rank_pos").collect()
+        assert [r.original_index for r in back] == kept
+        info = spark.read.json(f"file://{tmp_path}/{method}/kept_features").first().info.settings
+        assert (info.subsample_size, info.per_file_cap, info.max_files) == ("100", "500", "50")
+    assert cases.default_cap(150_000, 50) == 9000 and cases.default_cap(150_000, 3) == 20_000 and cases.default_cap(10, 5) == 500
+
+
+def test_region_weights_from_files(spark, tmp_path):
+    (tmp_path / "loads").mkdir()
+    for k in range(2):
+        values = write_field(tmp_path / "fields" / f"c{k}.bts", 5, 5, 1, 30, 0.5, k)
+        lines = ["Time,M,N"] + [f"{t * 0.5},{values[t, 2, 1, 0]},{-t}" for t in range(30)]
+        (tmp_path / "loads" / f"c{k}.csv").write_text("\n".join(lines) + "\n")
+    (tmp_path / "loads" / "late.csv").write_text("Time,M,N\n99,1,2\n")
+    w = workloads.region_weights_from_files(spark, f"file://{tmp_path}/loads", ["M"], f"file://{tmp_path}/fields", 5).collect()
+    best = max(w, key=lambda r: r.weight)
+    assert (best.i, best.j) == (1, 2) and sum(r.weight for r in w) == pytest.approx(1.0)
+
+
 def test_case_dataset_round_trip(spark, tmp_path):
     rows = fx.case_rows(spark, "/root/testdata/sf0.001").withColumn("t", F.col("Time")).select("case_id", "step", "t", *INPUTS, *OUTPUTS)
     f = fx.wind_field(spark, "/root/testdata/sf0.001").select("case_id", "step", "u", "v", "w")
@@ -138,5 +193,8 @@ def test_workload_from_files(spark, tmp_path):
     assert joined.count() == rows.count()
     out = workloads.train_and_evaluate(joined, ["hub_u_mean", "global_tke"], INPUTS, OUTPUTS, (0.5, 0.25, 0.25), epochs=2, hidden=(16,), shaping={"history": 1}, lr=0.01)
     assert out["metrics"].count() == len(OUTPUTS) + 1
-    sinks.write_run_outputs(f"file://{tmp_path}/run", out["scalers"], out["splits"], out["history"], out["metrics"], {"epochs": 2})
+    sinks.write_run_outputs(f"file://{tmp_path}/run", out["scalers"], out["splits"], out["history"], out["metrics"], {"epochs": 2}, out["model"])
+    again = sinks.read_model(spark, f"file://{tmp_path}/run/model")
+    assert {k: v for k, v in again.items() if k != "weights"} == {k: v for k, v in out["model"].items() if k != "weights"}
+    assert all((again["weights"][k] == v).all() for k, v in out["model"]["weights"].items())
     assert json.loads(spark.read.text(f"file://{tmp_path}/run/config").first().value) == {"epochs": 2}

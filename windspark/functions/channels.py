@@ -7,7 +7,7 @@ INPUTS = ["BldPitch1", "BldPitch2", "BldPitch3", "Azimuth", "RotSpeed", "NacYaw"
 OUTPUTS = ["RootFxb1", "RootMyb1", "TwrBsFxt", "TwrBsMyt", "TTDspFA", "GenPwr"]
 TASKS = {"root": ["RootFxb1", "RootMyb1"], "tower": ["TwrBsFxt", "TwrBsMyt"], "dsp": ["TTDspFA"], "pwr": ["GenPwr"]}
 DERIVED = ["BldPitch1", "BldPitch2", "BldPitch3", "RotSpeed"]
-#: Output order of data sets that carry no names.
+# Output order of data sets that carry no names.
 UNNAMED_OUTPUTS = [
     "TTDspFA", "TTDspSS", "TTDspTwst", "RotTorq", "LSSGagMya", "LSSGagMza",
     "YawBrFxp", "YawBrFyp", "YawBrFzp", "YawBrMxp", "YawBrMyp", "YawBrMzp",
@@ -15,7 +15,7 @@ UNNAMED_OUTPUTS = [
     "RootFxb1", "RootFyb1", "RootFzb1", "RootMxb1", "RootMyb1", "RootMzb1",
     "TipDxb1", "TipDyb1", "TipDzb1", "GenPwr", "GenTq",
 ]
-#: Older names of two features.
+# Older names of two features.
 FEATURE_ALIASES = {
     "hub_mean_u": "hub_u_mean", "hub_mean_U": "hub_u_mean", "hub_u": "hub_u_mean", "hubU_mean": "hub_u_mean",
     "global_mean_u": "global_u_mean", "global_mean_U": "global_u_mean",

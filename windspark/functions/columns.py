@@ -65,7 +65,3 @@ def unique_names(names: Column) -> Column:
 def key_hash(seed, *cols) -> Column:
     """Order for seeded shuffles and samples: md5 of ``seed:key``, the same in every engine."""
     return F.md5(F.concat_ws(":", F.lit(str(seed)), *[c.cast("string") for c in cols]))
-
-
-def rounded_half_even(x: Column) -> Column:
-    return F.rint(x)

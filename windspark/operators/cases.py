@@ -107,8 +107,10 @@ def match_cases(logs: DataFrame, fields: DataFrame) -> DataFrame:
 
 
 def attach_design(rows: DataFrame, design: DataFrame, on: str = "stem") -> DataFrame:
-    """Experiment parameters of every row's case; unknown stems keep nulls."""
-    return rows.join(design.dropDuplicates([on]), on, "left")
+    """Experiment parameters of every row's case; unknown stems keep nulls. Of repeated stems the smallest row counts."""
+    rest = [c for c in design.columns if c != on]
+    first = design.groupBy(on).agg(F.min(F.struct(*rest)).alias("_d"))
+    return rows.join(first, on, "left").select("*", *[F.col("_d")[c].alias(c) for c in rest]).drop("_d")
 
 
 def stack_cases(parts: list[DataFrame]) -> DataFrame:
@@ -131,6 +133,7 @@ def sample_per_case(rows: DataFrame, cap: int, seed: int, key: list[str], case:
 
 
 def default_cap(total: int, cases: int) -> int:
+    """Rows of a case: three times its equal share of ``total``, 500 at least and 20,000 at most."""
     return min(max(3 * -(-total // max(cases, 1)), 500), 20_000)
 
 

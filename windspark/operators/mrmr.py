@@ -164,18 +164,19 @@ def score_table(spark, ranked: list[dict], relevance: DataFrame, names: list[str
     )
 
 
-def select_features_mrmr(rows: DataFrame, features: list[str], targets: list[str], key: list[str], max_cases: int | None = 50, per_case: int = 3000, sample: int | None = 150_000, seed: int = 42, beta: float = 0.5, k: int | None = None, threshold: float | None = None, n_bins: int = 10, method: str = "knn") -> tuple[DataFrame, list[int]]:
+def select_features_mrmr(rows: DataFrame, features: list[str], targets: list[str], key: list[str], max_cases: int | None = 50, per_case: int | None = 3000, sample: int | None = 150_000, seed: int = 42, beta: float = 0.5, k: int | None = None, threshold: float | None = None, n_bins: int = 10, method: str = "knn") -> tuple[DataFrame, list[int]]:
     """The selection job: first cases, rows per case, sample, relevance, redundancy, ranks.
 
-    ``method`` 'knn' uses the nearest-neighbour estimate on the sample, 'binned' the binned one.
+    ``per_case`` None leaves the rows of a case uncapped. ``method`` 'knn' uses the nearest-neighbour estimate on the sample, 'binned' the binned one.
     Returns the score table and the kept indices in order of rank.
     """
     df = rows if max_cases is None else limit_cases(rows, max_cases)
-    df = sample_per_case(df, per_case, seed, key)
+    if per_case is not None:
+        df = sample_per_case(df, per_case, seed, key)
     if sample:
         df = global_downsample(df, sample, seed, key)
     df = df.persist()
     rel = relevance_mi(df, features, targets, key) if method == "knn" else relevance_mi_binned(df, features, targets, n_bins)
-    rel = rel.persist()
+    rel = rows.sparkSession.createDataFrame(rel.collect(), rel.schema)  # one number for each feature, without the lineage
     ranked = mrmr_rank(rel, pairwise_mi(bin_uniform(df.select(*features), features, n_bins), features), features, beta, k, threshold)
     return score_table(rows.sparkSession, ranked, rel, features), [r["original_index"] for r in ranked]

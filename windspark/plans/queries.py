@@ -786,7 +786,7 @@ def l8_mrmr_rank(spark, sf):
 @query(_rank_sql(4))
 def l9_select_features_mrmr(spark, sf):
     """Four features over all rows, without samples."""
-    table, _ = mrmr.select_features_mrmr(fx.numeric_rows(spark, sf), fx.FEATURES, ["o_totalprice"], fx.KEY, max_cases=None, k=4, method="binned", sample=None, per_case=10**9)
+    table, _ = mrmr.select_features_mrmr(fx.numeric_rows(spark, sf), fx.FEATURES, ["o_totalprice"], fx.KEY, max_cases=None, k=4, method="binned", sample=None, per_case=None)
     return rounded(table, ["relevance", "redundancy", "selection_score"])
 
 

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.channels import INPUTS, OUTPUTS, split_tasks
-from ..operators import align, cases, grid, shape, split, stats, surrogate
+from ..operators import align, cases, grid, mrmr, shape, split, stats, surrogate, weights
+from ..operators._grid_np import FEATURES as GRID
 from ..sources import files, sinks, wind
 
 
@@ -65,6 +66,70 @@ def train_and_evaluate(rows: DataFrame, features: list[str], inputs: list[str],
     return {"model": model, "history": history, "scalers": scalers, "splits": parts, "metrics": report}
 
 
-def features_of(spark: SparkSession, fields_root: str, weights: DataFrame, ny: int, nz: int) -> DataFrame:
-    """Features of all snapshots of fields with this grid."""
-    return grid.wind_features(wind.read_wind_fields(spark, fields_root), weights, ny, nz)
+def features_of(spark: SparkSession, fields_root: str, region_weights: DataFrame, ny: int, nz: int, names: list[str] | None = None, steps: DataFrame | None = None) -> DataFrame:
+    """(case_id, step, features) of snapshots on the weights' grid of ny x nz points.
+
+    Fields on other grids are interpolated to it first. With ``steps`` (case_id, step), only
+    these snapshots are read.
+    """
+    fields = wind.read_wind_fields(spark, fields_root, steps=steps)
+    headers = wind.read_wind_headers(spark, fields_root).select("case_id", "ny", "nz")
+    sizes = [(r.ny, r.nz) for r in headers.select("ny", "nz").distinct().collect()]  # the grids of a campaign
+    out = None
+    for size in sorted(sizes):
+        own = fields
+        if len(sizes) > 1:
+            like = headers.where((F.col("ny") == size[0]) & (F.col("nz") == size[1])).select("case_id")
+            own = fields.join(F.broadcast(like) if _few(like) else like, "case_id", "left_semi")
+        own = grid.regrid_bilinear(own, *size, ny, nz)
+        own = grid.wind_features(own, region_weights, ny, nz, names)
+        out = own if out is None else out.unionByName(own)
+    return out if out is not None else grid.wind_features(fields, region_weights, ny, nz, names)
+
+
+def _few(names: DataFrame, most: int = 100_000) -> bool:
+    """Whether a list of cases is small enough to be sent to every task."""
+    return names.limit(most + 1).count() <= most
+
+
+def select_features(
+    spark: SparkSession, rows: DataFrame, fields_root: str, region_weights: DataFrame, ny: int, nz: int, targets: list[str], path: str | None = None,
+    names: list[str] = GRID, max_cases: int | None = 50, per_case: int | None = None, sample: int | None = 150_000, seed: int = 42, method: str = "knn", **ranking,
+) -> tuple[DataFrame, list[int]]:
+    """The selection job: aligned rows and field files to scores and kept features.
+
+    ``rows`` has case_id, step, wind_step and the targets; case_id is that of the field.
+    Row keys are sampled first (cases, rows per case, sample); only the snapshots that the
+    sample needs are read and reduced to features. ``per_case`` None takes the balanced
+    cap of ``cases.default_cap``. With ``path``, scores and kept features are written below.
+    Returns the score table and the kept indices by rank.
+    """
+    key = ["case_id", "step"]
+    short = cases.select_channels(rows, targets, [*key, "wind_step"], "target")
+    short = short if max_cases is None else cases.limit_cases(short, max_cases)
+    if per_case is None:
+        per_case = cases.default_cap(sample or 0, short.select("case_id").distinct().count())
+    short = cases.sample_per_case(short, per_case, seed, key)
+    short = (cases.global_downsample(short, sample, seed, key) if sample else short).persist()
+    snapshots = short.select("case_id", F.col("wind_step").alias("step")).distinct()
+    feats = features_of(spark, fields_root, region_weights, ny, nz, names, snapshots).withColumnRenamed("step", "wind_step")
+    joined = short.join(feats, ["case_id", "wind_step"]).persist()
+    table, kept = mrmr.select_features_mrmr(joined, names, targets, key, max_cases=None, per_case=None, sample=None, seed=seed, method=method, **ranking)
+    if path is not None:
+        table = table.persist()
+        sinks.write_feature_scores(table, f"{path}/feature_scores")
+        info = {"subsample_size": str(joined.count()), "per_file_cap": str(per_case), "max_files": str(max_cases)}
+        sinks.write_kept_features(table, f"{path}/kept_features", info)
+    return table, kept
+
+
+def region_weights_from_files(spark: SparkSession, loads_root: str, columns: list[str], fields_root: str, n: int, max_cases: int = 50) -> DataFrame:
+    """Correlation weights of a campaign: load tables with Time and ``columns``, strictly aligned with the fields' steps.
+
+    A case of which any row falls outside its field is left out whole.
+    """
+    loads = files.read_load_tables(spark, loads_root, ["Time", *columns]).where("Time is not null")
+    headers = wind.read_wind_headers(spark, fields_root).select("case_id", "nt", F.col("dt").cast("double").alias("field_dt"))
+    fields = wind.read_wind_fields(spark, fields_root).select("case_id", "step", "u")
+    rows = align.align_strict_step(cases.limit_cases(loads, max_cases), fields, headers)
+    return weights.spearman_weights(rows.withColumn("row_id", F.concat_ws(":", "case_id", "Time")), columns, n, "row_id")

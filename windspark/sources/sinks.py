@@ -72,8 +72,27 @@ def write_kept_features(scores: DataFrame, path: str, info: dict | None = None)
     out.coalesce(1).write.mode("overwrite").json(path)
 
 
-def write_run_outputs(path: str, scalers: DataFrame, splits: DataFrame, history: DataFrame, metrics: DataFrame, config: dict) -> None:
-    """Scalers, splits, history, metrics and configuration of a run."""
+def write_model(spark: SparkSession, model: dict, path: str) -> None:
+    """A fitted model: one row (name, shape, values) for each weight, and its structure as JSON."""
+    rows = [(k, list(map(int, v.shape)), [float(x) for x in v.ravel()]) for k, v in model["weights"].items()]
+    spark.createDataFrame(rows, "name string, shape array<int>, value array<double>").coalesce(1).write.mode("overwrite").parquet(f"{path}/weights")
+    rest = json.dumps({k: v for k, v in model.items() if k != "weights"}, sort_keys=True)
+    spark.createDataFrame([(rest,)], "structure string").coalesce(1).write.mode("overwrite").text(f"{path}/structure")
+
+
+def read_model(spark: SparkSession, path: str) -> dict:
+    """The model that :func:`write_model` wrote, ready to score."""
+    import numpy as np
+
+    out = json.loads(spark.read.text(f"{path}/structure").first().value)
+    out["hidden"], out["branch"] = tuple(out["hidden"]), tuple(out["branch"])
+    return out | {"weights": {r.name: np.array(r.value).reshape(r["shape"]) for r in spark.read.parquet(f"{path}/weights").collect()}}
+
+
+def write_run_outputs(path: str, scalers: DataFrame, splits: DataFrame, history: DataFrame, metrics: DataFrame, config: dict, model: dict | None = None) -> None:
+    """Scalers, splits, history, metrics, configuration and, where given, the model of a run."""
+    if model is not None:
+        write_model(scalers.sparkSession, model, f"{path}/model")
     for name, df in (("scalers", scalers), ("splits", splits), ("history", history), ("metrics", metrics)):
         df.coalesce(1).write.mode("overwrite").json(f"{path}/{name}")
     scalers.sparkSession.createDataFrame([(json.dumps(config, sort_keys=True),)], "config string").coalesce(1).write.mode("overwrite").text(f"{path}/config")
