@@ -39,6 +39,13 @@ def test_mixed_rounds_every_row(spark):
         assert abs(r.n - target[r.source]) <= 10 * 10
 
 
+def test_mix_with_text_ids(spark):
+    docs = spark.createDataFrame([("a-1", "one two three", "s1"), ("b", "four", "s1"), (None, "five six", None), ("", None, "s2")], "doc_id string, text string, source string")
+    rows = mixing.mix(docs).collect()
+    assert Counter(r.doc_id for r in rows) == Counter(["a-1", "b", None, ""]) and all(r.copies <= 3 for r in rows)
+    assert Counter(r.doc_id for r in mixing.mixed(docs).collect()) == Counter({r.doc_id: r.copies for r in rows if r.copies})
+
+
 def test_rewrite_keeps_null_and_repeated_ids(spark, odd_docs, tmp_path):
     keyed = row_keys(odd_docs)
     old = F.pmod(F.coalesce(F.col("doc_id"), F.lit(0)), F.lit(3))

@@ -142,7 +142,7 @@ def _mix(short: DataFrame, slice_rows: int = 2_000) -> DataFrame:
     rate = F.exp(F.least(F.coalesce(F.col("lam") * F.col("size") / F.col("mean"), F.lit(0.0)), F.lit(math.log(CAP))))
     # k tells rows of the same id, source and size apart; it is 0 for unique ids
     rows = ranked(short, ["id", "source", "size"], [F.col("key")], "k").join(per, F.col("source").eqNullSafe(F.col("s")))
-    salt = F.xxhash64(F.coalesce(F.col("id"), F.lit(0)), F.lit(7))
+    salt = F.xxhash64("id", F.lit(7))
     rows = rows.select(
         "key", F.col("id").cast("string").alias("id"), "source", "size", "source_size", "target",
         F.when(F.col("target") >= CAP * F.col("source_size"), F.lit(float(CAP))).otherwise(rate).alias("rate"),
