@@ -208,13 +208,16 @@ def score(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str =
 
 
 def keep_clean(docs: DataFrame, model: dict, text_col: str = "text") -> DataFrame:
-    """``docs`` without the rows scored toxic, all columns as they are, nothing shuffled."""
-    at = docs.columns.index(text_col)
+    """``docs`` without the rows scored toxic, all columns as they are, nothing shuffled.
+
+    Only texts go to Python and only flags come back. Null texts count as empty.
+    """
     shared = Shared(docs.sparkSession, model)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    @F.arrow_udf("boolean")
+    def clean(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         total, top = _scorer(shared.value["words"]), float(shared.value["theta"][0])
-        for batch in batches:
-            yield batch.filter(pa.array([total(t) < top for t in batch.column(at).to_pylist()], pa.bool_()))
+        for texts in batches:
+            yield pa.array([total(t) < top for t in texts.to_pylist()], pa.bool_())
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.where(clean(docs[text_col]))
