@@ -354,7 +354,7 @@ def _verified(idf: Shared, threshold: float):
     return run
 
 
-def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, tile_rows: int = 4096, tile_shingles: int = 1_000_000) -> DataFrame:
+def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, tile_rows: int = 4096, tile_shingles: int = 500_000) -> DataFrame:
     """One row per row of ``docs``: id, class_id (smallest id of its class), class_size, kept.
 
     A class is what links of weighted Jaccard >= ``threshold`` connect; texts with the
@@ -369,7 +369,7 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return out.select(F.col("id").alias(id_col), "class_id", "class_size", "kept")
 
 
-def _classes(keyed: DataFrame, threshold: float, tile_rows: int = 4096, tile_shingles: int = 1_000_000) -> DataFrame:
+def _classes(keyed: DataFrame, threshold: float, tile_rows: int = 4096, tile_shingles: int = 500_000) -> DataFrame:
     """(key, id, class_id, class_size, kept) of stored rows (key, id, text)."""
     spark = keyed.sparkSession
     idf = Shared(spark, document_frequencies(keyed))
