@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import zlib
+
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embedding_dedup, exact_dedup, minhash, mixing, personal, pieces, quality, resharding, token_files, toxicity
+from . import bpe, embedding_dedup, exact_dedup, minhash, mixing, personal, phrases, pieces, quality, resharding, runs, token_files, toxicity
 from .common import stored, text_batches
 
 SHARDS = 24
@@ -132,6 +135,69 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    out = bpe.encode(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), packed=True)
+    return out.select(
+        "doc_id", F.expr("cast(octet_length(ids) div 4 as long)").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
+def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = phrases.top(phrases.mine(_table(spark, sf_dir, "documents")), 2000)
+    return found.select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
+
+
+def planted_run(doc_id, words):
+    """Words of a document with every tenth id (by hash) repeated from some place on, by the query's contract; a null id plants none."""
+    h, n = zlib.crc32(str(doc_id).encode()), len(words)
+    if doc_id is None or h % 10 or not n:
+        return words
+    g = h // 10
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    return np.append(words[:a], words[a + np.arange(n - a) % p])
+
+
+def op13_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = runs.find(_table(spark, sf_dir, "documents"), rewrite=planted_run)
+    # sorted by start, then period: the first of equal exponents stays
+    more = "x.length * best.period > best.length * x.period"
+    best = F.expr(f"aggregate(runs, cast(null as struct<start:bigint,length:bigint,period:bigint>), (best, x) -> if(best is null or {more}, x, best))")
+    lines = F.expr("concat_ws('', transform(runs, x -> concat(x.start, ',', x.length, ',', x.period, '\n')))")
+    return found.withColumn("best", best).select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period",
+        F.expr("(1000 * best.length) div best.period").alias("exponent_milli"),
+        F.sha2(lines, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"), "n_words",
+    )
+
+
+OP12_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
+pieces AS (SELECT lang, list_filter(regexp_split_to_array(p, '[ 	]+'), lambda x: x <> '') AS w
+           FROM (SELECT lang, unnest(regexp_split_to_array(text, '[.,;:!?
+-]')) AS p FROM d)),
+total AS (SELECT lang, sum(len(w))::HUGEINT AS n FROM pieces GROUP BY lang),
+grams AS (SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase
+          FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM pieces, (SELECT unnest(range(1, 6)) AS k) WHERE len(w) >= k)),
+f AS (SELECT lang, k, phrase, string_split(phrase, ' ') AS w, count(*)::HUGEINT AS f FROM grams GROUP BY lang, k, phrase HAVING count(*) >= 100),
+longer AS (SELECT a.lang, a.phrase FROM f a JOIN
+             (SELECT lang, f, k, array_to_string(w[i:i + j - 1], ' ') AS phrase FROM
+                (SELECT lang, f, k, w, j, unnest(range(1, k - j + 2)) AS i FROM f, (SELECT unnest(range(2, 5)) AS j) WHERE j < k)) b
+           ON a.lang = b.lang AND a.phrase = b.phrase WHERE 100 * b.f >= 100 * a.f GROUP BY ALL),
+cuts AS (SELECT f.lang, f.phrase, f.f AS a, x.f AS l, y.f AS r, n, c, 1000 * f.f * n // (x.f * y.f) AS score
+         FROM (SELECT *, unnest(range(1, k)) AS c FROM f WHERE k > 1) f JOIN total USING (lang)
+         JOIN f x ON x.lang = f.lang AND x.k = c AND x.phrase = array_to_string(f.w[1:c], ' ')
+         JOIN f y ON y.lang = f.lang AND y.k = f.k - c AND y.phrase = array_to_string(f.w[c + 1:], ' ')),
+best AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, c) = 1)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase,
+       a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n::BIGINT AS n, score::BIGINT AS score
+FROM best ANTI JOIN longer USING (lang, phrase) QUALIFY rank <= 2000
+"""
+
+
 QUERIES = {
     "op1_embedding_dedup": op1_embedding_dedup,
     "op2_sentencepiece": op2_sentencepiece,
@@ -143,5 +209,8 @@ QUERIES = {
     "op8_exact_dedup": op8_exact_dedup,
     "op9_minhash": op9_minhash,
     "op10_quality": op10_quality,
+    "op11_bpe": op11_bpe,
+    "op12_phrases": op12_phrases,
+    "op13_runs": op13_runs,
 }
-ORACLES = {"op1_embedding_dedup": OP1_SQL, "op8_exact_dedup": OP8_SQL}
+ORACLES = {"op1_embedding_dedup": OP1_SQL, "op8_exact_dedup": OP8_SQL, "op12_phrases": OP12_SQL}
