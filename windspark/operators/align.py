@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .slices import ROWS, SPAN, by_step, own_rows, time_slice, with_halo
+
 
 def target_times(cases: DataFrame, start: float, end: float, dt: float) -> DataFrame:
     """(case_id, i, t) from (case_id, max_time, nt, field_dt).
@@ -22,17 +24,27 @@ def target_times(cases: DataFrame, start: float, end: float, dt: float) -> DataF
     )
 
 
-def resample_linear(log: DataFrame, grid: DataFrame, cols: list[str], time: str = "Time") -> DataFrame:
+def resample_linear(log: DataFrame, grid: DataFrame, cols: list[str], time: str = "Time", span: float = SPAN) -> DataFrame:
     """Channels at the grid's times by linear interpolation, end values held outside.
 
-    One shuffle by case; the samples before and after a time are found by running
-    windows in both directions. A null sample makes its two segments null.
+    A case is cut into slices of ``span`` seconds, so a log of any length is many tasks. Each
+    slice gets the last sample of all earlier slices and the first of all later ones, found by a
+    running window over one summary row per slice; within a slice the samples around a time are found by
+    running windows in both directions. A null sample makes its two segments null.
     """
-    sample = F.struct(F.col(time).alias("t"), *cols)
-    rows = log.select("case_id", F.lit(None).cast("long").alias("i"), F.col(time).alias("t"), F.lit(0).alias("_kind"), sample.alias("_s")).unionByName(
-        grid.select("case_id", F.col("i").cast("long").alias("i"), "t", F.lit(1).alias("_kind")), allowMissingColumns=True
-    )
-    run = Window.partitionBy("case_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    cut = lambda c: time_slice(F.col(c), span).alias("_slice")
+    samples = log.select("case_id", cut(time), F.lit(None).cast("long").alias("i"), F.col(time).alias("t"), F.lit(0).alias("_kind"), F.struct(F.col(time).alias("t"), *cols).alias("_s"))
+    times = grid.select("case_id", cut("t"), F.col("i").cast("long").alias("i"), "t", F.lit(1).alias("_kind"), F.lit(None).cast(samples.schema["_s"].dataType).alias("_s"))
+    ends = samples.groupBy("case_id", "_slice").agg(F.min_by("_s", "t").alias("lo"), F.max_by("_s", "t").alias("hi"))
+    bare = times.select("case_id", "_slice").distinct().select("*", F.lit(None).cast(samples.schema["_s"].dataType).alias("lo")).withColumn("hi", F.col("lo"))
+    ends = ends.unionByName(bare)
+    earlier = Window.partitionBy("case_id").orderBy("_slice").rangeBetween(Window.unboundedPreceding, -1)
+    later = Window.partitionBy("case_id").orderBy(F.desc("_slice")).rangeBetween(Window.unboundedPreceding, -1)
+    ends = ends.select("case_id", "_slice", F.array(F.last("hi", True).over(earlier), F.last("lo", True).over(later)).alias("_e")).dropDuplicates(["case_id", "_slice"])
+    ends = ends.select("case_id", "_slice", F.explode("_e").alias("_s")).where("_s is not null")
+    ends = ends.select("case_id", "_slice", F.lit(None).cast("long").alias("i"), F.col("_s.t").alias("t"), F.lit(0).alias("_kind"), "_s")
+    rows = samples.unionByName(times).unionByName(ends)
+    run = Window.partitionBy("case_id", "_slice").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     rows = rows.withColumn("_a", F.last("_s", True).over(run.orderBy("t", "_kind")))
     rows = rows.withColumn("_b", F.last("_s", True).over(run.orderBy(F.desc("t"), F.desc("_kind"))))
     t, a, b = F.col("t"), F.col("_a"), F.col("_b")
@@ -73,10 +85,17 @@ def align_strict_step(loads: DataFrame, fields: DataFrame, headers: DataFrame, t
     return keyed.drop("nt", "field_dt").join(good, "case_id", "left_semi").join(fields.withColumnRenamed("step", "wind_step"), ["case_id", "wind_step"])
 
 
-def pair_with_lag(rows: DataFrame, outputs: list[str], lag: int, case: str = "case_id", step: str = "step") -> DataFrame:
-    """Outputs of ``lag`` steps later beside the inputs; a case's last ``lag`` rows go."""
+def lagged(sliced: DataFrame, outputs: list[str], lag: int, case: str, step: str) -> DataFrame:
+    """As :func:`pair_with_lag` on rows in slices with ``lag`` rows behind each."""
     if lag <= 0:
-        return rows
-    w = Window.partitionBy(case).orderBy(step)
-    df = rows.withColumn("_there", F.lead(F.lit(1), lag).over(w))
+        return sliced
+    w = by_step(case, step)
+    df = sliced.withColumn("_there", F.lead(F.lit(1), lag).over(w))
     return df.withColumns({c: F.lead(c, lag).over(w) for c in outputs}).where("_there is not null").drop("_there")
+
+
+def pair_with_lag(rows: DataFrame, outputs: list[str], lag: int, case: str = "case_id", step: str = "step", slice_rows: int = ROWS) -> DataFrame:
+    """Outputs of ``lag`` steps later beside the inputs; a case's last ``lag`` rows go. Steps count from 0."""
+    if lag <= 0:
+        return rows
+    return own_rows(lagged(with_halo(rows, 0, lag, case, step, slice_rows), outputs, lag, case, step))

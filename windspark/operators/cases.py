@@ -6,13 +6,18 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import key_hash
+from .slices import SPAN, time_slice
 
 
-def clean_log(log: DataFrame, case: str = "case_id", time: str = "Time", line: str = "line_no") -> DataFrame:
-    """Numbers from text (bad text is null), rows without time dropped, first line per time kept."""
+def clean_log(log: DataFrame, case: str = "case_id", time: str = "Time", line: str = "line_no", span: float = SPAN) -> DataFrame:
+    """Numbers from text (bad text is null), rows without time dropped, first line per time kept.
+
+    Rows are shuffled by case and time slice of ``span`` seconds, as resampling needs them.
+    """
     numeric = {c: F.col(c).try_cast("double") for c, k in log.dtypes if k == "string" and c != case}
-    df = log.withColumns(numeric).dropna(subset=[time])
-    first = Window.partitionBy(case, time).orderBy(line)
+    cut = time_slice(F.col(time), span)
+    df = log.withColumns(numeric).dropna(subset=[time]).repartition(F.col(case), cut)
+    first = Window.partitionBy(F.col(case), cut, F.col(time)).orderBy(line)
     return df.withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n")
 
 

@@ -7,23 +7,29 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.channels import DERIVED
-from .align import pair_with_lag
+from .align import lagged
 from .cases import select_channels
+from .slices import ROWS, by_step, own_rows, with_halo
 
 
 def _w(case: str, step: str):
     return Window.partitionBy(case).orderBy(step)
 
 
-def add_derivatives(df: DataFrame, dt: float = 0.1, order: int = 2, case: str = "case_id", step: str = "step", names: list[str] | None = None) -> DataFrame:
-    """Backward differences per dt, dX and d2X, 0 in the first row of a case."""
+def _derived(sliced: DataFrame, dt: float, order: int, case: str, step: str, names: list[str]) -> DataFrame:
+    """A slice's first row has no difference: it is the case's first, or one of the ``order`` rows before the border."""
+    dt, w = F.lit(max(float(dt), 1e-6)), by_step(case, step)
+    change = lambda c: F.when(F.row_number().over(w) == 1, F.lit(0.0)).otherwise((F.col(c) - F.lag(c).over(w)) / dt)
+    df = sliced.withColumns({f"d{n}": change(n) for n in names})
+    return df.withColumns({f"d2{n}": change(f"d{n}") for n in names}) if order >= 2 else df
+
+
+def add_derivatives(df: DataFrame, dt: float = 0.1, order: int = 2, case: str = "case_id", step: str = "step", names: list[str] | None = None, slice_rows: int = ROWS) -> DataFrame:
+    """Backward differences per dt, dX and d2X, 0 in the first row of a case. Steps count from 0."""
     names = [n for n in (names or DERIVED) if n in df.columns]
     if order <= 0 or not names:
         return df
-    dt, w = F.lit(max(float(dt), 1e-6)), _w(case, step)
-    change = lambda c: F.when(F.row_number().over(w) == 1, F.lit(0.0)).otherwise((F.col(c) - F.lag(c).over(w)) / dt)
-    df = df.withColumns({f"d{n}": change(n) for n in names})
-    return df.withColumns({f"d2{n}": change(f"d{n}") for n in names}) if order >= 2 else df
+    return own_rows(_derived(with_halo(df, order, 0, case, step, slice_rows), dt, order, case, step, names))
 
 
 def angle_encode(df: DataFrame, mode: str = "harmonics6", keep_raw: bool = False) -> DataFrame:
@@ -46,31 +52,52 @@ def angle_encode(df: DataFrame, mode: str = "harmonics6", keep_raw: bool = False
     return out if keep_raw else out.drop("Azimuth", "NacYaw")
 
 
-def add_history(df: DataFrame, cols: list[str], k: int, case: str = "case_id", step: str = "step") -> DataFrame:
-    """Columns X_t0 ... X_tk of the last k rows in place of ``cols``; a case's first k rows go."""
+def _past(sliced: DataFrame, cols: list[str], k: int, case: str, step: str) -> DataFrame:
+    """With at least ``k`` rows before each border, a row's place in its slice tells whether k rows of its case precede it."""
     if k <= 0:
-        return df
-    w = _w(case, step)
+        return sliced
+    w = by_step(case, step)
     past = {f"{c}_t{i}": F.lag(c, i).over(w) if i else F.col(c) for i in range(k + 1) for c in cols}
-    return df.withColumns(past | {"_n": F.row_number().over(w)}).where(F.col("_n") > k).drop("_n", *cols)
+    return sliced.withColumns(past | {"_n": F.row_number().over(w)}).where(F.col("_n") > k).drop("_n", *cols)
 
 
-def history_on(df: DataFrame, wind: list[str], inputs: list[str], k: int, on: str = "both", case: str = "case_id", step: str = "step") -> DataFrame:
-    """History of wind features, and of inputs with ``both``; with ``wind`` inputs are only trimmed."""
+def add_history(df: DataFrame, cols: list[str], k: int, case: str = "case_id", step: str = "step", slice_rows: int = ROWS) -> DataFrame:
+    """Columns X_t0 ... X_tk of the last k rows in place of ``cols``; a case's first k rows go. Steps count from 0."""
+    if k <= 0:
+        return df
+    return own_rows(_past(with_halo(df, k, 0, case, step, slice_rows), cols, k, case, step))
+
+
+def _history_cols(wind: list[str], inputs: list[str], on: str) -> list[str]:
     if on not in ("both", "wind"):
         raise ValueError(f"unknown history setting: {on}")
-    return add_history(df, wind + (inputs if on == "both" else []), k, case, step)
+    return wind + (inputs if on == "both" else [])
+
+
+def history_on(df: DataFrame, wind: list[str], inputs: list[str], k: int, on: str = "both", case: str = "case_id", step: str = "step", slice_rows: int = ROWS) -> DataFrame:
+    """History of wind features, and of inputs with ``both``; with ``wind`` inputs are only trimmed."""
+    return add_history(df, _history_cols(wind, inputs, on), k, case, step, slice_rows)
+
 
+def process_case(df: DataFrame, inputs: list[str], outputs: list[str], features: list[str] | None = None, lag: int = 0, dt: float = 0.1, derivative_order: int = 2, angle_mode: str = "harmonics6", keep_raw: bool = False, history: int = 0, on: str = "both", case: str = "case_id", step: str = "step", slice_rows: int = ROWS) -> DataFrame:
+    """Selection, lag, derivatives, angles and history in this order, on one cut into slices and one shuffle.
 
-def process_case(df: DataFrame, inputs: list[str], outputs: list[str], features: list[str] | None = None, lag: int = 0, dt: float = 0.1, derivative_order: int = 2, angle_mode: str = "harmonics6", keep_raw: bool = False, history: int = 0, on: str = "both", case: str = "case_id", step: str = "step") -> DataFrame:
-    """Selection, lag, derivatives, angles and history in this order, one window order throughout."""
+    Steps count from 0 in each case without gaps.
+    """
     features = features or []
     out = select_channels(df, [*features, *inputs, *outputs], [case, step])
-    out = pair_with_lag(out, outputs, lag, case, step)
-    out = add_derivatives(out, dt, derivative_order, case, step, [n for n in DERIVED if n in inputs])
+    names = [n for n in DERIVED if n in inputs]
+    order = derivative_order if names else 0
+    sliced = lag > 0 or order > 0 or history > 0
+    if sliced:
+        out = with_halo(out, max(order, 0) + history, lag, case, step, slice_rows)
+        out = lagged(out, outputs, lag, case, step)
+        if order > 0:
+            out = _derived(out, dt, order, case, step, names)
     out = angle_encode(out, angle_mode, keep_raw)
-    shaped = [c for c in out.columns if c not in (case, step, *features, *outputs)]
-    return history_on(out, features, shaped, history, on, case, step)
+    shaped = [c for c in out.columns if c not in (case, step, *features, *outputs, "_slice", "_own")]
+    cols = _history_cols(features, shaped, on)
+    return own_rows(_past(out, cols, history, case, step)) if sliced else out
 
 
 def even_subsample(df: DataFrame, most: int = 2000, case: str = "case_id", step: str = "step") -> DataFrame:

@@ -99,7 +99,7 @@ def p4_clean_log(spark, sf):
         F.when(F.col("line_no") % 5 == 0, "bad").otherwise(F.col("BldPitch1").cast("string")).alias("BldPitch1"),
     )
     b = log.where("line_no % 3 = 0").select("case_id", (F.col("line_no") + 1_000_000).alias("line_no"), F.col("Time").cast("string").alias("Time"), F.lit("1.5").alias("BldPitch1"))
-    return rounded(cases.clean_log(a.unionByName(b)), ["Time", "BldPitch1"])
+    return rounded(cases.clean_log(a.unionByName(b), span=SPAN), ["Time", "BldPitch1"])
 
 
 @query(f"WITH {fx.CHANNEL_LOG} SELECT case_id FROM log WHERE channel || '_' || line_no % 8 IN ('error_1', 'click_2', 'view_3') GROUP BY 1 HAVING count(DISTINCT channel) = 3")
@@ -206,6 +206,7 @@ def j1_match_cases(spark, sf):
 
 
 START, END, DT = 0.0, 30 * 86400.0, 21600.0
+SPAN = 10 * 86400.0  # seconds of a time slice: three for each log
 _GRID = f""",
 stop AS (SELECT case_id, floor((least({END}::DOUBLE, max("Time"), (any_value(nt) - 1) * 14400.0::DOUBLE) - {START}::DOUBLE) / {DT}::DOUBLE) AS n
   FROM log JOIN headers USING (case_id) GROUP BY 1),
@@ -241,7 +242,7 @@ aligned AS (SELECT a.case_id, a.i, a.t, {', '.join(f'{_lin(c)} AS "{c}"' for c i
 
 def _aligned(spark, sf):
     log = fx.channel_log(spark, sf).withColumn("BldPitch1", F.when(F.col("line_no") % 23 != 0, F.col("BldPitch1")))
-    return align.resample_linear(log, _times(spark, sf), _J3)
+    return align.resample_linear(log, _times(spark, sf), _J3, span=SPAN)
 
 
 @query(f"WITH {fx.CHANNEL_LOG}, {fx.HEADERS}{_ALIGNED} SELECT case_id, i, {q6s(['t', *_J3])} FROM aligned")
@@ -801,7 +802,7 @@ def u2_first_per_time(spark, sf):
     log = fx.channel_log(spark, sf).select("case_id", "line_no", "Time")
     a = log.withColumn("Time", F.when(F.col("line_no") % 17 != 0, F.col("Time")))
     b = log.where("line_no % 3 = 0").withColumn("line_no", F.col("line_no") + 1_000_000)
-    return cases.clean_log(a.unionByName(b)).select("case_id", "line_no")
+    return cases.clean_log(a.unionByName(b), span=SPAN).select("case_id", "line_no")
 
 
 @query(f"WITH {fx.CHANNEL_LOG}, {fx.HEADERS}{_GRID} SELECT case_id, count(*) AS n_samples, {q6('min(t)', 't_start')}, {q6('max(t)', 't_end')}, 14400.0::DOUBLE AS bts_dt, '7x7' AS grid_in, 1 AS wind_saved, 'float16' AS wind_dtype, case_id AS stem FROM grid GROUP BY case_id")
