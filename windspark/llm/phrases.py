@@ -34,6 +34,9 @@ PARTS = 256
 #: A prefix is hot from this many occurrences on, and from this share of all words; so at most 20,000 are.
 HOT, HOT_SHARE = 50_000, 20_000
 
+#: Phrases of a slice when the first ones of a language are found.
+SLICE = 100_000
+
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
 
@@ -308,9 +311,7 @@ def mine(
         out = rows if out is None else out.unionByName(rows)
     if out is None:
         return docs.sparkSession.createDataFrame([], "lang string, phrase string, words int, a long, l long, r long, n long, score long")
-    ratio = f"({scale} * cast(a as decimal(19,0)) * cast(first[0] as decimal(19,0))) div (cast(first[k] as decimal(19,0)) * cast(rest[size(rest) - k] as decimal(19,0)))"
-    cuts = f"transform(sequence(1, size(rest)), k -> struct({ratio} as score, k as k, first[k] as l, rest[size(rest) - k] as r))"
-    out = out.withColumn("c", F.expr(f"array_min({cuts})")).select(
+    out = out.withColumn("c", F.expr(best_cut(scale))).select(
         "lang", "phrase", F.expr("size(first)").alias("words"), "a", "c.l", "c.r", F.expr("first[0]").alias("n"), "c.score"
     )
     out = stored(out)
@@ -318,6 +319,17 @@ def mine(
     return out
 
 
+def best_cut(scale: int) -> str:
+    """SQL of the cut with the lowest score, of equals the one with the shortest first part.
+
+    ``first`` has the number of words and the frequencies of the phrase's first 1, 2, ... words,
+    ``rest`` those of its last 1, 2, ... words.
+    """
+    number = lambda x: f"cast({x} as decimal(19,0))"
+    ratio = f"({scale} * {number('a')} * {number('first[0]')}) div ({number('first[k]')} * {number('rest[size(rest) - k]')})"
+    return f"array_min(transform(sequence(1, size(rest)), k -> struct({ratio} as score, k as k, first[k] as l, rest[size(rest) - k] as r)))"
+
+
 def stored_in(kept: list[DataFrame], df: DataFrame) -> DataFrame:
     kept.append(stored(df))
     return kept[-1]
@@ -330,7 +342,7 @@ def top(found: DataFrame, n: int) -> DataFrame:
     that no task sorts a whole language.
     """
     order = [F.desc("score"), F.desc("a"), F.asc("phrase")]
-    slices = found.count() // 100_000
+    slices = found.count() // SLICE
     while slices > 1:
         w = Window.partitionBy("lang", F.pmod(F.xxhash64("phrase"), F.lit(slices))).orderBy(*order)
         found = found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n).drop("rank")
