@@ -100,3 +100,46 @@ def test_long_case_is_many_slices(spark):
     sizes = [r["count"] for r in cut.groupBy("_slice").count().collect()]
     assert len(sizes) == 6 and max(sizes) <= slices.ROWS + 5
     assert shape.add_history(df, ["RotSpeed"], 2).count() == n - 2
+
+
+def test_running_places_and_sums(spark):
+    from pyspark.sql import functions as F
+
+    from windspark.operators.ranks import running
+
+    rng = np.random.default_rng(2)
+    data = [(int(i), int(v), int(s)) for i, (v, s) in enumerate(zip(rng.integers(0, 9, 500), rng.integers(0, 50, 500)))]
+    df = spark.createDataFrame(data, "id long, v int, s long").repartition(5)
+    got, n = running(df, [F.desc("v"), F.asc("id")], sums={"upto": "s"})
+    order = sorted(data, key=lambda r: (-r[1], r[0]))
+    assert n == 500 and {(r.id, r._place, r.upto) for r in got.collect()} == {(r[0], k + 1, sum(x[2] for x in order[: k + 1])) for k, r in enumerate(order)}
+    assert running(df.limit(0), ["v"])[0].count() == 0
+
+
+@pytest.mark.parametrize("slice_rows", [20, 1_000])
+def test_spearman_on_slices(spark, monkeypatch, slice_rows):
+    import pandas as pd
+
+    from windspark.operators import ranks, weights
+
+    monkeypatch.setattr(weights, "BLOCK_ROWS", 37)
+    monkeypatch.setattr(ranks, "HOT_SHARE", 20)
+    rng = np.random.default_rng(6)
+    n = 300
+    u = np.column_stack([rng.normal(size=n), rng.integers(0, 3, n), np.full(n, 4.0), rng.integers(0, 200, n)])  # smooth, heavily tied, constant, some ties
+    t = pd.DataFrame({"a": u[:, 0] + rng.normal(size=n), "b": np.where(rng.random(n) < 0.7, 1.0, rng.normal(size=n)), "c": np.full(n, 2.0)})
+    rows = spark.createDataFrame([(u[k].tolist(), *map(float, t.iloc[k])) for k in range(n)], "u array<double>, a double, b double, c double").repartition(4)
+    got = {(r.i, r.j): r.weight for r in weights.spearman_weights(rows, ["a", "b", "c"], 2, slice_rows=slice_rows).collect()}
+    rho = pd.DataFrame(u).rank().apply(lambda x: t.rank().corrwith(x).abs().fillna(0).mean())
+    want = (rho / rho.sum()).to_numpy()
+    np.testing.assert_allclose([got[k // 2, k % 2] for k in range(4)], want, atol=1e-9)
+    assert got[1, 0] == 0.0
+
+
+def test_no_window_over_all_cases(spark):
+    from windspark.operators import split
+
+    cases = spark.range(200).selectExpr("cast(id as string) as case_id", "cast(id % 7 as double) as value", "id % 5 as n_eff", "'train' as split")
+    for df in (split.split_stratified(cases.select("case_id", "value"), (0.7, 0.15, 0.15), 1), split.split_random(cases.select("case_id"), (0.7, 0.15, 0.15), 1), split.fix_empty_splits(cases, 9)):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "SinglePartition" not in plan and all("_slice" in line for line in plan.splitlines() if " Window [" in line)

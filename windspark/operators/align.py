@@ -76,13 +76,18 @@ def align_nearest_step(grid: DataFrame, fields: DataFrame, headers: DataFrame) -
     return keyed.join(fields.withColumnRenamed("step", "wind_step"), ["case_id", "wind_step"])
 
 
-def align_strict_step(loads: DataFrame, fields: DataFrame, headers: DataFrame, time: str = "Time") -> DataFrame:
-    """As the nearest step without clipping; a case with any time outside its field is left out whole."""
+def strict_steps(loads: DataFrame, headers: DataFrame, time: str = "Time") -> DataFrame:
+    """Rows with ``wind_step``, their nearest step; a case with any time outside its field is left out whole."""
     keyed = loads.join(headers.select("case_id", "nt", "field_dt"), "case_id")
     keyed = keyed.withColumn("wind_step", nearest_step(F.col(time), F.col("field_dt"), F.col("nt"), False))
     bad = keyed.groupBy("case_id").agg(F.min("wind_step").alias("lo"), F.max("wind_step").alias("hi"), F.max("nt").alias("n"))
     good = bad.where("lo >= 0 and hi < n").select("case_id")
-    return keyed.drop("nt", "field_dt").join(good, "case_id", "left_semi").join(fields.withColumnRenamed("step", "wind_step"), ["case_id", "wind_step"])
+    return keyed.drop("nt", "field_dt").join(good, "case_id", "left_semi")
+
+
+def align_strict_step(loads: DataFrame, fields: DataFrame, headers: DataFrame, time: str = "Time") -> DataFrame:
+    """As the nearest step without clipping; a case with any time outside its field is left out whole."""
+    return strict_steps(loads, headers, time).join(fields.withColumnRenamed("step", "wind_step"), ["case_id", "wind_step"])
 
 
 def lagged(sliced: DataFrame, outputs: list[str], lag: int, case: str, step: str) -> DataFrame:

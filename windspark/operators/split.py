@@ -1,11 +1,12 @@
-"""Splits of cases into train, val and test. These windows run over one row per case."""
+"""Splits of cases into train, val and test, by places in a total order of the cases."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import key_hash
+from .ranks import running
 
 
 def _assign(place, n, ratios):
@@ -16,17 +17,21 @@ def _assign(place, n, ratios):
 
 def split_stratified(cases: DataFrame, ratios: tuple[float, float, float], seed: int, bins: int = 10) -> DataFrame:
     """(case_id, value, bin, split) of (case_id, value): near-equal bins by value, shuffled inside."""
-    n = cases.count()
+    kept = cases.columns
+    df, n = running(cases, ["value", "case_id"])
     bins = max(2, min(bins, n))
-    df = cases.withColumn("bin", F.ntile(bins).over(Window.orderBy("value", "case_id")))
-    inside = Window.partitionBy("bin").orderBy(key_hash(seed, F.col("case_id")), "case_id")
-    size = F.count("*").over(Window.partitionBy("bin"))
-    return df.withColumn("split", _assign(F.row_number().over(inside), size, ratios))
+    size, more = divmod(n, bins)  # the first bins have one case more
+    zero = F.col("_place") - 1
+    df = df.withColumn("bin", F.when(zero < more * (size + 1), F.floor(zero / (size + 1))).otherwise(more + F.floor((zero - more * (size + 1)) / max(size, 1))).cast("int") + 1)
+    df, _ = running(df.drop("_place").withColumn("_h", key_hash(seed, F.col("case_id"))), ["bin", "_h", "case_id"])
+    start = (F.col("bin") - 1) * size + F.least(F.col("bin") - 1, F.lit(more))
+    own = F.lit(size) + (F.col("bin") <= more).cast("int")
+    return df.select(*kept, "bin", _assign(F.col("_place") - start, own, ratios).alias("split"))
 
 
 def split_random(cases: DataFrame, ratios: tuple[float, float, float], seed: int) -> DataFrame:
-    order = Window.orderBy(key_hash(seed, F.col("case_id")), "case_id")
-    return cases.withColumn("split", _assign(F.row_number().over(order), F.count("*").over(Window.partitionBy()), ratios))
+    df, n = running(cases.withColumn("_h", key_hash(seed, F.col("case_id"))), ["_h", "case_id"])
+    return df.withColumn("split", _assign(F.col("_place"), F.lit(n), ratios)).drop("_h", "_place")
 
 
 def split_summary(splits: DataFrame) -> DataFrame:
@@ -42,41 +47,31 @@ def fix_empty_splits(splits: DataFrame, min_effective: int = 1) -> DataFrame:
     Val, then test, takes the largest train case if it has none; then val takes more
     until it has ``min_effective`` rows, then test; one case always stays in train. The
     order of moves is the order of train cases by effective rows, so the numbers of moves
-    follow from running sums over it.
+    follow from running sums over it: they are looked up, not walked.
     """
-    order = Window.orderBy(F.desc("n_eff"), "case_id")
-    train = splits.where("split = 'train'").withColumn("k", F.row_number().over(order))
-    train = train.withColumn("cum", F.sum("n_eff").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    counts = splits.agg(
-        F.sum((F.col("split") == "train").cast("long")).alias("n_train"), F.sum((F.col("split") == "val").cast("long")).alias("n_val"),
-        F.sum((F.col("split") == "test").cast("long")).alias("n_test"), F.coalesce(F.sum(F.when(F.col("split") == "val", F.col("n_eff"))), F.lit(0)).alias("e_val"),
-        F.coalesce(F.sum(F.when(F.col("split") == "test", F.col("n_eff"))), F.lit(0)).alias("e_test"),
-    )
-    first_val = F.when((F.col("n_val") == 0) & (F.col("n_train") > 1), 1).otherwise(0)
-    counts = counts.withColumn("v0", first_val)
-    counts = counts.withColumn("t0", F.when((F.col("n_test") == 0) & (F.col("n_train") - F.col("v0") > 1), 1).otherwise(0))
-    df = train.crossJoin(F.broadcast(counts))  # one row
-    size_at = lambda k: F.max(F.when(F.col("k") == k, F.col("n_eff"))).over(Window.partitionBy())
-    # places 1..v0 go to val and v0+1..v0+t0 to test at first
-    df = df.withColumn("e_val1", F.col("e_val") + F.when(F.col("v0") > 0, size_at(1)).otherwise(0))
-    df = df.withColumn("e_test1", F.col("e_test") + F.when(F.col("t0") > 0, size_at(F.col("v0") + 1)).otherwise(0))
-    df = df.withColumn("used0", F.col("v0") + F.col("t0"))
-    base = F.coalesce(F.max(F.when(F.col("k") == F.col("used0"), F.col("cum"))).over(Window.partitionBy()), F.lit(0))
-    df = df.withColumn("base", base)
-    may = F.col("k") < F.col("n_train")  # one stays in train
-    before = F.col("cum") - F.col("n_eff") - F.col("base")
-    to_val = (F.col("k") > F.col("used0")) & may & (F.col("e_val1") + before < min_effective)
-    df = df.withColumn("to_val", to_val)
-    df = df.withColumn("used1", F.col("used0") + F.sum(F.col("to_val").cast("int")).over(Window.partitionBy()))
-    base1 = F.coalesce(F.max(F.when(F.col("k") == F.col("used1"), F.col("cum"))).over(Window.partitionBy()), F.lit(0))
-    df = df.withColumn("base1", base1)
-    to_test = (F.col("k") > F.col("used1")) & may & (F.col("e_test1") + F.col("cum") - F.col("n_eff") - F.col("base1") < min_effective)
-    now = (
-        F.when(F.col("k") <= F.col("v0"), "val").when(F.col("k") <= F.col("used0"), "test").when(F.col("to_val"), "val")
-        .when(to_test, "test").otherwise("train")
-    )
-    moved = df.select("case_id", "n_eff", now.alias("split"))
-    return moved.unionByName(splits.where("split <> 'train'").select("case_id", "n_eff", "split"))
+    splits = splits.select("case_id", "n_eff", "split")
+    train, n_train = running(splits.where("split = 'train'"), [F.desc("n_eff"), F.asc("case_id")], "k", {"cum": "n_eff"})
+    had = {r.split: (r.n, r.e or 0) for r in splits.groupBy("split").agg(F.count("*").alias("n"), F.sum("n_eff").alias("e")).collect()}
+    (n_val, e_val), (n_test, e_test) = had.get("val", (0, 0)), had.get("test", (0, 0))
+
+    def upto(k):  # effective rows of the k largest
+        return train.where(F.col("k") == k).select("cum").head()[0] if k else 0
+
+    def moves(used, have):
+        """How many more cases a split takes that has ``have`` effective rows, after the first ``used``."""
+        if have >= min_effective:
+            return 0
+        before = F.col("cum") - F.col("n_eff") - upto(used)
+        return train.where((F.col("k") > used) & (F.col("k") < n_train) & (have + before < min_effective)).count()
+
+    first_val = int(n_val == 0 and n_train > 1)
+    first_test = int(n_test == 0 and n_train - first_val > 1)
+    used = first_val + first_test
+    to_val = moves(used, e_val + upto(first_val))
+    to_test = moves(used + to_val, e_test + upto(used) - upto(first_val))
+    k = F.col("k")
+    now = F.when(k <= first_val, "val").when(k <= used, "test").when(k <= used + to_val, "val").when(k <= used + to_val + to_test, "test").otherwise("train")
+    return train.select("case_id", "n_eff", now.alias("split")).unionByName(splits.where("split <> 'train'"))
 
 
 def repair_report(before: DataFrame, after: DataFrame) -> DataFrame:

@@ -2,9 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.scratch import written
+from .ranks import doubled_ranks
+
 
 def _points(spark: SparkSession, n: int) -> DataFrame:
     c = (n - 1) / 2
@@ -58,26 +65,95 @@ def half_rotor_weights(spark: SparkSession, n: int, plane_m: float, radius_m: fl
     return out
 
 
-def _average_rank(df: DataFrame, value: str, keys: list[str]) -> DataFrame:
-    ties = Window.partitionBy(*keys, value)
-    return df.withColumn("rk", F.rank().over(Window.partitionBy(*keys).orderBy(value)) + (F.count("*").over(ties) - 1) / 2)
+#: Rows of a slice of one point's values, and slices of a point at most (a broadcast of points x slices numbers).
+SLICE_ROWS, MAX_SLICES = 200_000, 4_096
+#: Rows that a task packs together.
+BLOCK_ROWS = 16_384
+
 
+def _matrix(col: pa.Array) -> np.ndarray:
+    """Rows x points of a list column; null counts as NaN."""
+    flat = col.flatten().to_numpy(zero_copy_only=False).astype(float)
+    return flat.reshape(len(col), -1) if len(col) else np.zeros((0, 0))
 
-def spearman_weights(rows: DataFrame, targets: list[str], nz: int, row_key: str = "row_id") -> DataFrame:
+
+def spearman_weights(rows: DataFrame, targets: list[str], nz: int, row_key: str | None = None, slice_rows: int = SLICE_ROWS) -> DataFrame:
     """Mean over targets of |Spearman(u at point, target)|, as region 'corr'.
 
-    ``rows`` has (row_key, u array, target columns). Points are ranked point by point, one
-    shuffle with even keys; targets are ranked by name. Undefined correlations count 0.
+    ``rows`` has (u array, target columns) and, if named, a ``row_key`` without repeats;
+    without one the rows are stored with a number. Undefined correlations count 0; null and NaN of
+    u rank last together.
+
+    Targets are ranked first and their ranks go along with the rows. A sample, of a size bound by points and
+    slices, places cuts by point, which do not change the result: every point's values are
+    dealt out to slices of about ``slice_rows``, equal values to one slice and summed up by task, so a
+    column of few values stays small. A slice ranks its own values and sums up products of ranks; the
+    places before it, a prefix sum over one row per slice, are added to these sums afterwards.
     """
-    t = rows.select(row_key, F.explode(F.array(*[F.struct(F.lit(c).alias("target"), F.col(c).cast("double").alias("y")) for c in targets])).alias("t")).select(row_key, "t.*")
-    t = _average_rank(t, "y", ["target"]).select(row_key, "target", F.col("rk").alias("ry"))
-    packed = t.groupBy(row_key).agg(F.map_from_entries(F.collect_list(F.struct("target", "ry"))).alias("ry"))
-    p = rows.select(row_key, F.posexplode("u").alias("point", "x"))
-    p = _average_rank(p, "x", ["point"]).select(row_key, "point", F.col("rk").alias("rx")).join(packed, row_key)
-    found = p.groupBy("point").agg(*[F.abs(F.corr("rx", F.col("ry")[c])).alias(f"c{k}") for k, c in enumerate(targets)])
-    safe = [F.coalesce(F.nanvl(F.col(f"c{k}"), F.lit(0.0)), F.lit(0.0)) for k in range(len(targets))]
-    total = safe[0]
-    for s in safe[1:]:
-        total = total + s
-    df = found.select(F.floor(F.col("point") / nz).cast("int").alias("i"), (F.col("point") % nz).cast("int").alias("j"), (total / len(targets)).alias("weight"))
+    spark = rows.sparkSession
+    if row_key is None:
+        row_key = "_row"
+        rows = written(rows.select("u", *targets).withColumn("_row", F.monotonically_increasing_id()))
+    ranks, n = doubled_ranks(rows.select(row_key, *targets), row_key, targets)
+    slices = max(1, min(MAX_SLICES, -(-n // slice_rows)))
+    cuts = None
+    if slices > 1:
+        share = min(1.0, 32 * slices / n)
+        some = rows.select("u").sample(share, 42).toArrow().column(0).combine_chunks()  # 32 rows for each slice
+        cuts = np.quantile(_matrix(some), np.arange(1, slices) / slices, axis=0) if len(some) else None
+    shared = spark.sparkContext.broadcast(cuts)
+    n_targets = len(targets)
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(point, slice, distinct values, rows of each, sums of target ranks of each)."""
+        for batch in batches:
+            for at in range(0, batch.num_rows, BLOCK_ROWS):
+                part = batch.slice(at, BLOCK_ROWS)
+                u = _matrix(part.column(0))
+                ry = np.column_stack([part.column(1 + k).to_numpy(zero_copy_only=False) for k in range(n_targets)]).astype(np.int64)
+                out: list[list] = [[], [], [], [], []]
+                for p in range(u.shape[1]):
+                    order = np.argsort(u[:, p], kind="stable")
+                    x = u[order, p]
+                    new = np.flatnonzero(np.append(True, (x[1:] != x[:-1]) & ~(np.isnan(x[1:]) & np.isnan(x[:-1]))))
+                    sums = np.add.reduceat(ry[order], new)
+                    m, x = np.diff(np.append(new, len(x))), x[new]
+                    place = np.searchsorted(shared.value[:, p], x, "right") if shared.value is not None else np.zeros(len(x), np.int64)
+                    first = np.flatnonzero(np.append(True, place[1:] != place[:-1]))
+                    for a, b in zip(first, np.append(first[1:], len(x))):
+                        for o, v in zip(out, (p, int(place[a]), x[a:b], m[a:b], sums[a:b].ravel())):
+                            o.append(v)
+                yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32()), pa.array(out[1], pa.int32()), *(pa.array(o, pa.list_(k)) for o, k in zip(out[2:], (pa.float64(), pa.int64(), pa.int64())))], names=["point", "slice", "x", "m", "s"])
+
+    def add_up(key: tuple, t: pa.Table) -> pa.Table:
+        """Sums over one slice with ranks from its own start, doubled: rows, r, r r, and by target y, r y."""
+        x, m = (t.column(c).combine_chunks().flatten().to_numpy(zero_copy_only=False) for c in ("x", "m"))
+        s = t.column("s").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, n_targets).astype(float)
+        value, at = np.unique(x, return_inverse=True, equal_nan=True)
+        m = np.bincount(at, m, len(value))
+        r = 2 * np.cumsum(m) - m + 1
+        y = np.column_stack([np.bincount(at, s[:, k], len(value)) for k in range(n_targets)])
+        out = [key[0].as_py(), key[1].as_py(), float(m.sum()), float((m * r).sum()), float((m * r * r).sum()), y.sum(0).tolist(), (r[:, None] * y).sum(0).tolist()]
+        return pa.table({c: [v] for c, v in zip(("point", "slice", "n", "r", "rr", "y", "ry"), out)})
+
+    dealt = rows.select(row_key, "u").join(ranks, row_key).select("u", *[f"r{k}" for k in range(n_targets)])
+    dealt = dealt.mapInArrow(deal, "point int, slice int, x array<double>, m array<bigint>, s array<bigint>")
+    sums = dealt.groupBy("point", "slice").applyInArrow(add_up, "point long, slice long, n double, r double, rr double, y array<double>, ry array<double>")
+    before = F.coalesce(2 * F.sum("n").over(Window.partitionBy("point").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    sums = sums.withColumn("b", before)  # doubled places before the slice; one row for each slice
+    whole = [F.sum("n").alias("n"), F.sum(F.expr("r + b * n")).alias("r"), F.sum(F.expr("rr + 2 * b * r + b * b * n")).alias("rr")]
+    whole += [F.sum(F.expr(f"ry[{k}] + b * y[{k}]")).alias(f"ry{k}") for k in range(n_targets)]
+    found = sums.groupBy("point").agg(*whole)
+    about = ranks.agg(*[F.sum(F.col(f"r{k}").cast("double")).alias(f"y{k}") for k in range(n_targets)], *[F.sum(F.pow(F.col(f"r{k}").cast("double"), 2)).alias(f"yy{k}") for k in range(n_targets)])
+    found = found.crossJoin(F.broadcast(about))  # one row
+
+    def correlation(k):
+        x, y = F.expr("n * rr - r * r"), F.expr(f"n * yy{k} - y{k} * y{k}")
+        varied = (x > 1e-12 * F.expr("n * rr")) & (y > 1e-12 * F.expr(f"n * yy{k}"))
+        return F.when(varied, F.abs(F.expr(f"n * ry{k} - r * y{k}")) / F.sqrt(x) / F.sqrt(y)).otherwise(0.0)
+
+    total = correlation(0)
+    for k in range(1, n_targets):
+        total = total + correlation(k)
+    df = found.select(F.floor(F.col("point") / nz).cast("int").alias("i"), (F.col("point") % nz).cast("int").alias("j"), (total / n_targets).alias("weight"))
     return _normalised(df, "corr")

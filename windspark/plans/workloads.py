@@ -101,15 +101,16 @@ def select_features(
     ``rows`` has case_id, step, wind_step and the targets; case_id is that of the field.
     Row keys are sampled first (cases, rows per case, sample); only the snapshots that the
     sample needs are read and reduced to features. ``per_case`` None takes the balanced
-    cap of ``cases.default_cap``. With ``path``, scores and kept features are written below.
+    cap of ``cases.default_cap``, and no cap without a sample. With ``path``, scores and kept features are written below.
     Returns the score table and the kept indices by rank.
     """
     key = ["case_id", "step"]
     short = cases.select_channels(rows, targets, [*key, "wind_step"], "target")
     short = short if max_cases is None else cases.limit_cases(short, max_cases)
-    if per_case is None:
-        per_case = cases.default_cap(sample or 0, short.select("case_id").distinct().count())
-    short = cases.sample_per_case(short, per_case, seed, key)
+    if per_case is None and sample:
+        per_case = cases.default_cap(sample, short.select("case_id").distinct().count())
+    if per_case is not None:
+        short = cases.sample_per_case(short, per_case, seed, key)
     short = (cases.global_downsample(short, sample, seed, key) if sample else short).persist()
     snapshots = short.select("case_id", F.col("wind_step").alias("step")).distinct()
     feats = features_of(spark, fields_root, region_weights, ny, nz, names, snapshots).withColumnRenamed("step", "wind_step")
@@ -126,10 +127,12 @@ def select_features(
 def region_weights_from_files(spark: SparkSession, loads_root: str, columns: list[str], fields_root: str, n: int, max_cases: int = 50) -> DataFrame:
     """Correlation weights of a campaign: load tables with Time and ``columns``, strictly aligned with the fields' steps.
 
-    A case of which any row falls outside its field is left out whole.
+    A case of which any row falls outside its field is left out whole. Rows count one by
+    one, also those of equal times. Of the fields only the steps of the chosen cases are read.
     """
     loads = files.read_load_tables(spark, loads_root, ["Time", *columns]).where("Time is not null")
     headers = wind.read_wind_headers(spark, fields_root).select("case_id", "nt", F.col("dt").cast("double").alias("field_dt"))
-    fields = wind.read_wind_fields(spark, fields_root).select("case_id", "step", "u")
-    rows = align.align_strict_step(cases.limit_cases(loads, max_cases), fields, headers)
-    return weights.spearman_weights(rows.withColumn("row_id", F.concat_ws(":", "case_id", "Time")), columns, n, "row_id")
+    rows = align.strict_steps(cases.limit_cases(loads, max_cases), headers).persist()
+    steps = rows.select("case_id", F.col("wind_step").alias("step")).distinct()
+    fields = wind.read_wind_fields(spark, fields_root, steps=steps).select("case_id", F.col("step").alias("wind_step"), "u")
+    return weights.spearman_weights(rows.join(fields, ["case_id", "wind_step"]), columns, n)
