@@ -23,16 +23,17 @@ from pyspark.sql import functions as F
 
 from .common import dropped, filter_bits, slot_bitmap, stored
 from .pieces import Shared
-from .words import LOWER, byte_kinds, by_size, cut, joined, spaced
+from .words import LOWER, byte_kinds, by_size, cut, joined, spaced, values_of
 
 #: Fixed by contract: what stands between words, and between pieces that phrases never cross.
 BLANKS, BREAKS = b" \t", b".,;:!?\n\x0b\x0c\r"
 #: Bytes of text whose stripes a task makes together, and entries that it adds up together.
 BLOCK, ENTRIES = 8_000_000, 400_000
-#: Stripes of hot prefixes are kept in so many parts, by the next word.
+#: Stripes of hot prefixes are kept in parts by the next word, at most so many.
 PARTS = 256
 #: A prefix is hot from this many occurrences on, and from this share of all words; so at most 20,000 are.
-HOT, HOT_SHARE = 50_000, 20_000
+#: It has a part for each so many occurrences: fewer would cut stripes up that fit in a task.
+HOT, HOT_SHARE = 5_000_000, 20_000
 
 #: Phrases of a slice when the first ones of a language are found.
 SLICE = 100_000
@@ -41,11 +42,17 @@ _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
 
 def _word_hashes(words: pa.Array) -> np.ndarray:
-    import pandas as pd
-
-    out = np.empty(len(words), object)
-    out[:] = words.to_pylist()
-    return pd.util.hash_array(out, categorize=False) if len(out) else np.zeros(0, np.uint64)
+    """64-bit numbers of words: polynomials of their bytes, mixed. A clash lets a phrase through the filter, no more."""
+    if not len(words):
+        return np.zeros(0, np.uint64)
+    data, offsets = values_of(words)
+    sizes = np.diff(offsets)
+    data = data[offsets[0] : offsets[-1]].astype(np.uint64) + np.uint64(1)
+    powers = np.cumprod(np.append(np.uint64(1), np.full(int(sizes.max()), _M1)))
+    at = np.arange(len(data)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    sums = np.append(np.uint64(0), np.cumsum(data * powers[at]))
+    h = np.diff(sums[np.append(0, np.cumsum(sizes))]) ^ sizes.astype(np.uint64)
+    return _next_hash(np.full(len(h), _M2), h)
 
 
 def _next_hash(h: np.ndarray, word: np.ndarray) -> np.ndarray:
@@ -68,8 +75,17 @@ def _hashes_of(langs: pa.Array, phrases: pa.Array) -> np.ndarray:
 class Filter:
     """Phrases of one length that may be frequent, and the hot ones, for tasks."""
 
-    def __init__(self, bits: int, bitmap: bytes, hot: np.ndarray):
-        self.bits, self.bitmap, self.hot = bits, np.frombuffer(bitmap, np.uint8), hot
+    def __init__(self, bits: int, bitmap: bytes, hot: dict[int, int]):
+        self.bits, self.bitmap = bits, np.frombuffer(bitmap, np.uint8)
+        self.hot = np.array(sorted(hot), np.uint64)
+        self.parts = np.array([hot[h] for h in sorted(hot)], np.int64)
+
+    def parts_of(self, h: np.ndarray) -> np.ndarray:
+        """Parts of the stripes of these phrases, 0 if they are not hot."""
+        if not len(self.hot):
+            return np.zeros(len(h), np.int64)
+        at = np.searchsorted(self.hot, h)
+        return np.where(self.hot[np.minimum(at, len(self.hot) - 1)] == h, self.parts[np.minimum(at, len(self.hot) - 1)], 0)
 
     def holds(self, h: np.ndarray) -> np.ndarray:
         out = np.ones(len(h), bool)
@@ -94,9 +110,9 @@ def _filter_of(rows: DataFrame, hot_from: int) -> Filter:
     bitmap = bytearray(bits // 8)
     for bucket, part in slot_bitmap(slots).collect():
         bitmap[4096 * (bucket - 1) : 4096 * bucket] = part
-    hot = [r.h for r in hashed.where(F.col("a") > hot_from).select("h").collect()]
+    hot = {r.h % (1 << 64): min(PARTS, 1 + r.a // hot_from) for r in hashed.where(F.col("a") > hot_from).collect()}
     dropped(hashed)
-    return Filter(bits, bytes(bitmap), np.sort(np.array(hot, np.int64).view(np.uint64)))
+    return Filter(bits, bytes(bitmap), hot)
 
 
 def _pairs(a: np.ndarray, b: np.ndarray, **more):
@@ -117,7 +133,7 @@ def _block_stripes(langs: pa.Array, texts: pa.Array, k: int, known: Filter | Non
     word_hash = _word_hashes(w.distinct)
     if k == 0:
         starts, follow, code = np.arange(n), ids, lang
-        hot = np.ones(n, bool)
+        parts = np.full(n, PARTS)
     else:
         h = _word_hashes(lang_names.cast(pa.large_binary()))[lang]
         last = n - k + 1  # places where k words are left
@@ -135,11 +151,12 @@ def _block_stripes(langs: pa.Array, texts: pa.Array, k: int, known: Filter | Non
         code = lang[starts]
         for j in range(k):
             code = _pairs(code, ids[starts + j], return_inverse=True)[1]
-        hot = np.isin(h[starts], known.hot)
+        parts = known.parts_of(h[starts])
     _, one, counts = _pairs(code, follow + 1, return_index=True, return_counts=True)
     code, follow = code[one], follow[one]
-    part = np.where(hot[one], 1 + (word_hash[follow] % np.uint64(PARTS)).astype(np.int64), 0) if n else follow
-    part[follow < 0] = hot[one][follow < 0]  # the rest of a hot prefix lies in its part 1
+    parts = parts[one]
+    part = np.where(parts > 0, 1 + (word_hash[follow] % np.maximum(parts, 1).astype(np.uint64)).astype(np.int64), 0) if n else follow
+    part[follow < 0] = parts[follow < 0] > 0  # the rest of a hot prefix lies in its part 1
     by = np.lexsort((part, code))
     one, code, follow, part, counts = one[by], code[by], follow[by], part[by], counts[by]
     new = np.flatnonzero(np.append(True, (code[1:] != code[:-1]) | (part[1:] != part[:-1])) if len(code) else np.zeros(0, bool))
