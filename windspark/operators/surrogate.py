@@ -1,4 +1,4 @@
-"""The load surrogate as Spark passes: scoring, fitting by averaged local steps, best epoch."""
+"""The load surrogate as Spark passes: scoring, fitting by local steps of one carried optimiser, best epoch."""
 
 from __future__ import annotations
 
@@ -47,11 +47,11 @@ def _relu(x):
     return np.where(x > 0, x, SLOPE * x)
 
 
-def forward(model: dict, feats: np.ndarray, inputs: np.ndarray, keep: dict | None = None) -> dict[str, np.ndarray]:
-    """Outputs by task; ``keep`` collects what the gradient needs."""
+def forward(model: dict, feats: np.ndarray, inputs: np.ndarray, keep: dict | None = None, dropout: float = 0.0, rng: np.random.Generator | None = None) -> dict[str, np.ndarray]:
+    """Outputs by task; ``keep`` collects what the gradient needs. With ``rng``, units of branch and trunk drop out."""
     w = model["weights"]
 
-    def block(x, name):
+    def block(x, name, drops=True):
         z = x @ w[f"{name}.w"] + w[f"{name}.b"]
         a = z
         if f"{name}.g" in w:
@@ -62,7 +62,13 @@ def forward(model: dict, feats: np.ndarray, inputs: np.ndarray, keep: dict | Non
                 keep[f"{name}.n"], keep[f"{name}.sd"] = n, sd
         if keep is not None:
             keep[f"{name}.x"], keep[f"{name}.a"] = x, a
-        return _relu(a)
+        out = _relu(a)
+        if rng is not None and dropout > 0 and drops:
+            mask = (rng.random(out.shape) >= dropout) / (1.0 - dropout)
+            out = out * mask
+            if keep is not None:
+                keep[f"{name}.d"] = mask
+        return out
 
     x = inputs
     for k in range(len(model["branch"])):
@@ -73,22 +79,24 @@ def forward(model: dict, feats: np.ndarray, inputs: np.ndarray, keep: dict | Non
         h = block(h, f"trunk{k}")
     out = {}
     for t in model["tasks"]:
-        mid = block(h, f"{t}.in")
+        mid = block(h, f"{t}.in", False)
         if keep is not None:
             keep[f"{t}.out.x"] = mid
         out[t] = mid @ w[f"{t}.out.w"] + w[f"{t}.out.b"]
     return out
 
 
-def gradient(model: dict, feats: np.ndarray, inputs: np.ndarray, truth: dict[str, np.ndarray]) -> tuple[dict[str, np.ndarray], float]:
+def gradient(model: dict, feats: np.ndarray, inputs: np.ndarray, truth: dict[str, np.ndarray], dropout: float = 0.0, rng: np.random.Generator | None = None) -> tuple[dict[str, np.ndarray], float]:
     """Gradient and value of the mean squared error over all outputs."""
     w, keep = model["weights"], {}
-    out = forward(model, feats, inputs, keep)
+    out = forward(model, feats, inputs, keep, dropout, rng)
     n = sum(o.size for o in out.values())
     grad = {k: np.zeros_like(v) for k, v in w.items()}
     loss = 0.0
 
     def back(name, d):
+        if f"{name}.d" in keep:
+            d = d * keep[f"{name}.d"]
         d = d * np.where(keep[f"{name}.a"] > 0, 1.0, SLOPE)
         if f"{name}.g" in w:
             norm = keep[f"{name}.n"]
@@ -146,66 +154,176 @@ def feature_importance(spark, model: dict, features: list[str]) -> DataFrame:
     return spark.createDataFrame(list(zip(features, _softmax(model["weights"]["attention"]).tolist())), "feature string, importance double")
 
 
-def fit_epoch(df: DataFrame, model: dict, features: list[str], inputs: list[str], lr: float = 1e-3, decay: float = 1e-4, batch_rows: int = 4096, clip: float | None = None) -> tuple[dict, float]:
-    """One pass: each partition takes AdamW steps from the same weights; results are averaged by rows.
+def start_state(model: dict) -> dict:
+    """An optimiser that has made no step: both moments of every weight, and the number of steps."""
+    zero = lambda: {k: np.zeros_like(v) for k, v in model["weights"].items()}
+    return {"m": zero(), "v": zero(), "step": 0.0}
+
+
+def adamw(weights: dict, grad: dict, state: dict, lr: float, decay: float, clip: float | None) -> None:
+    """One AdamW step in place; ``clip`` bounds the norm of the whole gradient."""
+    if clip:
+        norm = np.sqrt(sum(float((x * x).sum()) for x in grad.values()))
+        grad = {k: x * min(1.0, clip / (norm + 1e-6)) for k, x in grad.items()}
+    state["step"] += 1
+    m, v, n = state["m"], state["v"], state["step"]
+    for k, g in grad.items():
+        m[k] = 0.9 * m[k] + 0.1 * g
+        v[k] = 0.999 * v[k] + 0.001 * g**2
+        weights[k] *= 1 - lr * decay
+        weights[k] -= lr * (m[k] / (1 - 0.9**n)) / (np.sqrt(v[k] / (1 - 0.999**n)) + 1e-8)
+
+
+def _copied(model: dict, state: dict) -> tuple[dict, dict]:
+    own = {**model, "weights": {k: v.copy() for k, v in model["weights"].items()}}
+    return own, {"m": dict(state["m"]), "v": dict(state["v"]), "step": state["step"]}
+
+
+def _flat(parts: list[dict], names: list[str]) -> np.ndarray:
+    return np.concatenate([p[k].ravel() for p in parts for k in names])
+
+
+def _shaped(flat: np.ndarray, like: dict, names: list[str], at: int) -> tuple[dict, int]:
+    out = {}
+    for k in names:
+        size = like[k].size
+        out[k] = flat[at : at + size].reshape(like[k].shape)
+        at += size
+    return out, at
+
+
+def _truth(model: dict, y: np.ndarray) -> dict[str, np.ndarray]:
+    out, at = {}, 0
+    for t, v in model["tasks"].items():
+        out[t] = y[:, at : at + len(v)]
+        at += len(v)
+    return out
+
+
+def _batches_of(batches: Iterator[pa.RecordBatch], n_cols: int, rows: int) -> Iterator[np.ndarray]:
+    """The same rows in matrices of ``rows`` rows, whatever Arrow's batches; the last is shorter."""
+    held, n = [], 0
+    for batch in batches:
+        x = _matrix(batch, list(range(n_cols)))
+        while len(x):
+            take = min(rows - n, len(x))
+            held.append(x[:take])
+            n += take
+            x = x[take:]
+            if n == rows:
+                yield np.concatenate(held)
+                held, n = [], 0
+    if n:
+        yield np.concatenate(held)
+
+
+def _summed(df: DataFrame, run) -> np.ndarray:
+    """Sums by position of the (at, x) rows of ``run``, which are of the size of the model."""
+    sums = df.mapInArrow(run, "at long, x double").groupBy("at").agg(F.sum("x").alias("x")).toPandas()
+    if not len(sums):
+        raise ValueError("no rows to fit")
+    return sums.sort_values("at")["x"].to_numpy()
 
-    What returns is the size of the model, summed by position in Spark.
+
+def _positions(flat: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat))), pa.array(flat)], names=["at", "x"])
+
+
+def fit_step(df: DataFrame, model: dict, features: list[str], inputs: list[str], lr: float = 1e-3, decay: float = 1e-4, clip: float | None = None, state: dict | None = None) -> tuple[dict, float, dict]:
+    """(model, loss before, optimiser state) after one step along the gradient over all rows.
+
+    Tasks sum up the gradients of their rows; a step costs one pass and moves numbers of the
+    size of the model.
     """
     names = list(model["weights"])
+    outs = [o for v in model["tasks"].values() for o in v]
+    nf, ni = len(features), len(inputs)
     shared = df.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = None
+        for x in _batches_of(batches, nf + ni + len(outs), 4096):
+            g, loss = gradient(shared.value, x[:, :nf], x[:, nf : nf + ni], _truth(shared.value, x[:, nf + ni :]))
+            flat = np.append(_flat([g], names), [loss, 1.0]) * len(x)
+            total = flat if total is None else total + flat
+        if total is not None:
+            yield _positions(total)
+
+    flat = _summed(df.select(*features, *inputs, *outs), run)
+    flat = flat / flat[-1]
+    grad, _ = _shaped(flat, model["weights"], names, 0)
+    model, state = _copied(model, state or start_state(model))
+    adamw(model["weights"], grad, state, lr, decay, clip)
+    return model, float(flat[-2]), state
+
+
+def fit_epoch(
+    df: DataFrame, model: dict, features: list[str], inputs: list[str], lr: float = 1e-3, decay: float = 1e-4, batch_rows: int = 4096, clip: float | None = None,
+    state: dict | None = None, dropout: float = 0.0, seed: int = 0, shuffled: bool = True,
+) -> tuple[dict, float, dict]:
+    """(model, mean loss, optimiser state) after one pass of mini-batches.
+
+    Each partition takes AdamW steps from the same weights and the same moments, in an order
+    of rows that ``seed`` gives; weights and moments are then averaged by rows and go on into the
+    next pass. With one partition this is a plain loop with one optimiser. Rows are put in order by a
+    hash of seed and values, so an order does not depend on how rows came in. What returns is
+    three times the size of the model, summed by position in Spark.
+    """
+    names = list(model["weights"])
     outs = [o for v in model["tasks"].values() for o in v]
     nf, ni = len(features), len(inputs)
+    shared = df.sparkSession.sparkContext.broadcast((model, state or start_state(model)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = {**shared.value, "weights": {k: v.copy() for k, v in shared.value["weights"].items()}}
-        m = {k: np.zeros_like(v) for k, v in own["weights"].items()}
-        v2 = {k: np.zeros_like(v) for k, v in own["weights"].items()}
-        step, rows, loss = 0, 0, 0.0
-        for batch in batches:
-            for at in range(0, batch.num_rows, batch_rows):
-                part = batch.slice(at, batch_rows)
-                y = _matrix(part, list(range(nf + ni, nf + ni + len(outs))))
-                truth, c = {}, 0
-                for t, v in own["tasks"].items():
-                    truth[t] = y[:, c : c + len(v)]
-                    c += len(v)
-                g, e = gradient(own, _matrix(part, list(range(nf))), _matrix(part, list(range(nf, nf + ni))), truth)
-                if clip:
-                    norm = np.sqrt(sum(float((x * x).sum()) for x in g.values()))
-                    g = {k: x * min(1.0, clip / (norm + 1e-6)) for k, x in g.items()}
-                step += 1
-                rows += part.num_rows
-                loss += e * part.num_rows
-                for k in g:
-                    m[k] = 0.9 * m[k] + 0.1 * g[k]
-                    v2[k] = 0.999 * v2[k] + 0.001 * g[k] ** 2
-                    own["weights"][k] *= 1 - lr * decay
-                    own["weights"][k] -= lr * (m[k] / (1 - 0.9**step)) / (np.sqrt(v2[k] / (1 - 0.999**step)) + 1e-8)
+        from pyspark import TaskContext
+
+        own, moments = _copied(*shared.value)
+        task = TaskContext.get()
+        rng = np.random.default_rng([seed, task.partitionId() if task else 0])
+        rows, loss = 0, 0.0
+        for x in _batches_of(batches, nf + ni + len(outs), batch_rows):
+            g, e = gradient(own, x[:, :nf], x[:, nf : nf + ni], _truth(own, x[:, nf + ni :]), dropout, rng)
+            adamw(own["weights"], g, moments, lr, decay, clip)
+            rows += len(x)
+            loss += e * len(x)
         if rows:
-            flat = np.concatenate([own["weights"][k].ravel() for k in names] + [[loss / rows, 1.0]]) * rows
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat))), pa.array(flat)], names=["at", "x"])
+            flat = _flat([own["weights"], moments["m"], moments["v"]], names)
+            yield _positions(np.append(flat, [moments["step"], loss / rows, 1.0]) * rows)
 
-    sums = df.select(*features, *inputs, *outs).mapInArrow(run, "at long, x double").groupBy("at").agg(F.sum("x").alias("x")).toPandas()
-    if not len(sums):
-        raise ValueError("no rows to fit")
-    flat = sums.sort_values("at")["x"].to_numpy()
+    own = df.select(*features, *inputs, *outs)
+    if shuffled:
+        own = own.sortWithinPartitions(F.xxhash64(F.lit(seed), *own.columns), *own.columns)
+    flat = _summed(own, run)
     flat = flat / flat[-1]
-    new, at = {}, 0
-    for k in names:
-        shape = model["weights"][k].shape
-        size = int(np.prod(shape))
-        new[k] = flat[at : at + size].reshape(shape)
-        at += size
-    return {**model, "weights": new}, float(flat[-2])
+    like, at = model["weights"], 0
+    parts = []
+    for _ in range(3):
+        part, at = _shaped(flat, like, names, at)
+        parts.append(part)
+    return {**model, "weights": parts[0]}, float(flat[-2]), {"m": parts[1], "v": parts[2], "step": float(flat[-3])}
 
 
-def fit_surrogate(train: DataFrame, val: DataFrame, model: dict, features: list[str], inputs: list[str], epochs: int = 10, **kw) -> tuple[dict, DataFrame]:
-    """(best model, history of epoch, loss, r2) - validation R2 after every epoch, the best is kept."""
+def fit_surrogate(train: DataFrame, val: DataFrame, model: dict, features: list[str], inputs: list[str], epochs: int = 10, seed: int = 0, averages: int = 1, **kw) -> tuple[dict, DataFrame]:
+    """(best model, history of epoch, loss, r2) - validation R2 after every epoch, the best is kept.
+
+    One optimiser goes through all epochs. With ``averages`` above 1, partitions are averaged so
+    many times in an epoch, after each share of the rows, which are dealt out anew by epoch.
+    """
     outs = [o for v in model["tasks"].values() for o in v]
     train, val = train.persist(), val.persist()
-    history, best = [], None
+    history, best, state = [], None, None
     for epoch in range(1, epochs + 1):
-        model, loss = fit_epoch(train, model, features, inputs, **kw)
+        losses = []
+        for k in range(averages):
+            part = train
+            if averages > 1:
+                part = train.where(F.pmod(F.xxhash64(F.lit(seed), F.lit(epoch), *features, *inputs, *outs), F.lit(averages)) == k)
+                if part.isEmpty():
+                    continue
+            model, loss, state = fit_epoch(part, model, features, inputs, state=state, seed=seed * 1_000_003 + epoch, **kw)
+            losses.append(loss)
+        if not losses:
+            raise ValueError("no rows to fit")
         keyed = val.withColumn("_k", F.struct(*outs))
         pred = score_surrogate(keyed, model, features, inputs, ["_k"])
         e = F.lit(0.0)
@@ -214,7 +332,7 @@ def fit_surrogate(train: DataFrame, val: DataFrame, model: dict, features: list[
             e = e + F.sum(F.pow(F.col("_k")[o] - F.col(o), 2))
             t = t + F.count("*") * F.var_pop(F.col("_k")[o])
         r2 = pred.agg((1 - e / (t + 1e-12)).alias("r2")).first()[0]
-        history.append((epoch, loss, r2))
+        history.append((epoch, float(np.mean(losses)), r2))
         if best is None or (r2 is not None and r2 > best[0]):
             best = (r2 if r2 is not None else float("-inf"), model)
     train.unpersist(), val.unpersist()

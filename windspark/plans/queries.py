@@ -845,11 +845,10 @@ def m1_score_surrogate(spark, sf):
 def _fit(spark, sf, epochs=3):
     r = fx.case_rows(spark, sf)
     cols = [*INPUTS, "TTDspFA", "GenPwr"]
-    sc = stats.fit_scalers(r, {"all": cols})
-    s = stats.scale(r, sc, cols).repartition(4, "case_id")
     held = F.pmod(F.xxhash64("case_id"), F.lit(5)) == 0
+    s = stats.scale(r, stats.fit_scalers(r.where(~held), {"all": cols}), cols)  # moments of the training rows
     model = surrogate.init_model(1, len(INPUTS), {"dsp": ["TTDspFA"]}, hidden=(16,), branch=(8,))
-    return surrogate.fit_surrogate(s.where(~held), s.where(held), model, ["GenPwr"], INPUTS, epochs, lr=0.01, batch_rows=256)
+    return surrogate.fit_surrogate(s.where(~held), s.where(held), model, ["GenPwr"], INPUTS, epochs, lr=0.01, batch_rows=256, dropout=0.05)
 
 
 @query()
@@ -857,6 +856,33 @@ def m2_fit_surrogate(spark, sf):
     return _fit(spark, sf)[1]
 
 
+_STEP = f""",
+n1 AS (SELECT "RotSpeed" - 10 AS f, "BldPitch1" / 100 AS p, "BldPitch2" / 100 AS q, "GenPwr" / 1000 AS y, 0.5::DOUBLE * p - 0.25::DOUBLE * q + 0.1::DOUBLE AS zb FROM rows),
+n2 AS (SELECT *, {_lrelu('zb')} AS b, 0.3::DOUBLE * f + 0.7::DOUBLE * b - 0.2::DOUBLE AS zh FROM n1),
+n3 AS (SELECT *, {_lrelu('zh')} AS h, 2 * h + 0.5::DOUBLE AS zm, {_lrelu('zm')} AS m, 3 * m + 1 AS o, 2 * (o - y) / count(*) OVER () AS e FROM n2),
+n4 AS (SELECT *, e * 3 * (CASE WHEN zm > 0 THEN 1 ELSE 0.01::DOUBLE END) AS dm, dm * 2 * (CASE WHEN zh > 0 THEN 1 ELSE 0.01::DOUBLE END) AS dh, dh * 0.7::DOUBLE * (CASE WHEN zb > 0 THEN 1 ELSE 0.01::DOUBLE END) AS db FROM n3),
+g AS (SELECT unnest([
+  {{'name': 'branch0.w', 'at': 0, 'w': 0.5::DOUBLE, 'g': sum(db * p)}}, {{'name': 'branch0.w', 'at': 1, 'w': -0.25, 'g': sum(db * q)}}, {{'name': 'branch0.b', 'at': 0, 'w': 0.1, 'g': sum(db)}},
+  {{'name': 'trunk0.w', 'at': 0, 'w': 0.3, 'g': sum(dh * f)}}, {{'name': 'trunk0.w', 'at': 1, 'w': 0.7, 'g': sum(dh * b)}}, {{'name': 'trunk0.b', 'at': 0, 'w': -0.2, 'g': sum(dh)}},
+  {{'name': 'pwr.in.w', 'at': 0, 'w': 2, 'g': sum(dm * h)}}, {{'name': 'pwr.in.b', 'at': 0, 'w': 0.5, 'g': sum(dm)}},
+  {{'name': 'pwr.out.w', 'at': 0, 'w': 3, 'g': sum(e * m)}}, {{'name': 'pwr.out.b', 'at': 0, 'w': 1, 'g': sum(e)}}]) AS x FROM n4)"""
+
+
+@query(
+    f"WITH {fx.CASE_ROWS}{_STEP} SELECT x.name AS name, x.at AS at, {q6('x.w * (1 - 0.01::DOUBLE * 0.0001::DOUBLE) - 0.01::DOUBLE * x.g / (abs(x.g) + 1e-8::DOUBLE)', 'value')} FROM g"
+    + f" UNION ALL SELECT 'loss', 0, {q6('avg((o - y) * (o - y))', 'value')} FROM n4"
+)
+def m2_full_batch_step(spark, sf):
+    """Loss and weights of a small network after one optimiser step over all rows."""
+    r = fx.case_rows(spark, sf).select((F.col("RotSpeed") - 10).alias("f"), *[(F.col(c) / 100).alias(c) for c in ("BldPitch1", "BldPitch2")], (F.col("GenPwr") / 1000).alias("GenPwr"))
+    model, loss, _ = surrogate.fit_step(r, _tiny_model(), ["f"], ["BldPitch1", "BldPitch2"], lr=0.01)
+    rows = [("loss", 0, loss)]
+    for name, w in model["weights"].items():
+        at = range(w.size) if w.size < 32 else [0]  # the other units of the head have no weights
+        rows += [(name, i, float(w.ravel()[i])) for i in at]
+    return rounded(spark.createDataFrame(rows, "name string, at int, value double"), ["value"])
+
+
 @query("SELECT l_linenumber AS epoch, avg(l_discount) AS r2 FROM lineitem GROUP BY 1 ORDER BY round(avg(l_discount), 12) DESC, 1 LIMIT 1")
 def m3_keep_best(spark, sf):
     """The line number with the highest mean discount stands for the best epoch."""
@@ -864,6 +890,12 @@ def m3_keep_best(spark, sf):
     return surrogate.keep_best(h)
 
 
+@query()
+def m3_best_epoch_of_fit(spark, sf):
+    """The best epoch of a fit's own history."""
+    return surrogate.keep_best(_fit(spark, sf)[1])
+
+
 _ATT = [0.5, 1.5, -0.5]
 
 
