@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ._ksg_np import Tiles, _digamma, nearest, nearest_of
 from .cases import global_downsample, limit_cases, sample_per_case
-from .stats import bin_uniform, pairwise_mi, relevance_mi_binned
+from .stats import bin_uniform, binned_information, pairwise_mi
 
 
 #: Points of a sample that places the cuts: so many to a tile, and tiles at most.
@@ -175,8 +175,13 @@ def select_features_mrmr(rows: DataFrame, features: list[str], targets: list[str
         df = sample_per_case(df, per_case, seed, key)
     if sample:
         df = global_downsample(df, sample, seed, key)
-    df = df.persist()
-    rel = relevance_mi(df, features, targets, key) if method == "knn" else relevance_mi_binned(df, features, targets, n_bins)
-    rel = rows.sparkSession.createDataFrame(rel.collect(), rel.schema)  # one number for each feature, without the lineage
-    ranked = mrmr_rank(rel, pairwise_mi(bin_uniform(df.select(*features), features, n_bins), features), features, beta, k, threshold)
+    df = df.select(*dict.fromkeys([*key, *features, *targets])).persist()
+    if method == "knn":
+        rel = relevance_mi(df, features, targets, key)
+        rel = rows.sparkSession.createDataFrame(rel.collect(), rel.schema)  # one number for each feature, without the lineage
+        mi = pairwise_mi(bin_uniform(df.select(*features), features, n_bins), features)
+    else:
+        rel, mi = binned_information(df, features, targets, n_bins)
+    ranked = mrmr_rank(rel, mi, features, beta, k, threshold)
+    df.unpersist()
     return score_table(rows.sparkSession, ranked, rel, features), [r["original_index"] for r in ranked]

@@ -43,19 +43,25 @@ def stratify_value(cases: DataFrame, rows: DataFrame, key: str, case: str = "cas
 
 
 def bin_uniform(df: DataFrame, cols: list[str], n_bins: int = 10) -> DataFrame:
-    """Ordinals of equal-width bins between each column's ends; a constant column is 0."""
-    ends = df.agg(*[F.min(c).alias(f"_lo_{c}") for c in cols], *[F.max(c).alias(f"_hi_{c}") for c in cols])
+    """Ordinals of equal-width bins between each column's ends; a constant column is 0.
 
-    def bin_of(c):
-        x, lo, hi = F.col(c).cast("double"), F.col(f"_lo_{c}").cast("double"), F.col(f"_hi_{c}").cast("double")
-        edge = lambda k: lo + (hi - lo) * (k / n_bins)
-        # the number of inner edges at or below x: a guess, set right by its two neighbouring edges
-        k = F.least(F.lit(n_bins - 1.0), F.greatest(F.lit(0.0), F.floor((x - lo) / F.nullif(hi - lo, F.lit(0.0)) * n_bins).cast("double")))
-        k = k + ((k < n_bins - 1) & (x >= edge(k + 1))).cast("int") - ((k >= 1) & (x < edge(k))).cast("int")
-        return F.when(hi > lo, k).otherwise(F.lit(0)).cast("int").alias(c)
+    The ends, one row, are read first, so that a bin is the number of inner edges, plain
+    numbers, at or below a value.
+    """
+    value = lambda c: F.col(c).cast("double")
+    ends = df.agg(*[f(value(c)).alias(f"{k}{i}") for i, c in enumerate(cols) for k, f in (("lo", F.min), ("hi", F.max))]).head() if cols else None
+
+    def bin_of(i, c):
+        lo, hi = ends[f"lo{i}"], ends[f"hi{i}"]
+        if lo is None or not hi > lo:
+            return F.lit(0).alias(c)
+        x, out = value(c), F.lit(0)
+        for k in range(1, n_bins):
+            out = out + (x >= F.lit(lo + (hi - lo) * (k / n_bins))).cast("int")
+        return out.alias(c)
 
     rest = [c for c in df.columns if c not in cols]
-    return df.crossJoin(F.broadcast(ends)).select(*rest, *[bin_of(c) for c in cols])  # one row of ends
+    return df.select(*rest, *[bin_of(i, c) for i, c in enumerate(cols)])
 
 
 def _mi(joint: DataFrame, keys: list[str]) -> DataFrame:
@@ -124,6 +130,23 @@ def relevance_mi_binned(df: DataFrame, cols: list[str], targets: list[str], n_bi
     return mi.groupBy("feature").agg(F.avg("mi").alias("relevance"))
 
 
+def binned_information(df: DataFrame, cols: list[str], targets: list[str], n_bins: int = 10) -> tuple[DataFrame, DataFrame]:
+    """(relevance, pairwise information) as above, from one binning and one count of all pairs.
+
+    Both are tables of numbers of features, read once.
+    """
+    both = list(dict.fromkeys([*cols, *targets]))
+    pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i + 1 :]]
+    pairs += [(c, t) for c in cols for t in targets if c != t and (c, t) not in pairs]
+    found = _mi(_joint(bin_uniform(df.select(*both), both, n_bins), pairs, "a", "b"), ["a", "b"]).collect()  # one number for each pair
+    mi = {(r.a, r.b): r.mi for r in found} | {(r.b, r.a): r.mi for r in found}
+    spark = df.sparkSession
+    relevance = [(c, [mi[c, t] for t in targets if c != t and (c, t) in mi]) for c in cols]
+    relevance = spark.createDataFrame([(c, float(np.mean(v))) for c, v in relevance if v], "feature string, relevance double")
+    square = [(a, b, 0.0 if a == b else mi[a, b]) for a in cols for b in cols if a == b or (a, b) in mi]
+    return relevance, spark.createDataFrame(square, "feature_a string, feature_b string, mi double")
+
+
 def metrics(df: DataFrame, y: str = "y_true", p: str = "y_pred", eps: float = 1e-8) -> DataFrame:
     """mse, mae and mape (percent) over all rows."""
     e = F.col(p) - F.col(y)
