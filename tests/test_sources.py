@@ -87,6 +87,63 @@ def test_wind_ranges(spark, tmp_path):
     assert n == {"w": 25, "cut": 20}
 
 
+def test_filters_reach_the_files(spark, tmp_path):
+    """A filter on the case opens one file, one on steps reads their blocks only."""
+    from windspark.sources.wind_table import read_wind_table
+
+    a = write_field(tmp_path / "sub" / "a.bts", 3, 4, 2, 25, 0.05, 1)
+    b = write_field(tmp_path / "b.BTS.bts", 5, 3, 0, 12, 0.05, 2)
+    root = f"file://{tmp_path}"
+    whole = read_wind_table(spark, root, 6)
+    assert whole.rdd.getNumPartitions() == 5 + 2
+    rows = {(r.case_id, r.step): r for r in whole.collect()}
+    assert len(rows) == 37 and {(r.ny, r.nz) for k, r in rows.items() if k[0] == "b.BTS"} == {(5, 3)}
+    other = {(r.case_id, r.step): r for r in wind.read_wind_fields(spark, root, 7, sizes=True).collect()}
+    assert rows == other
+    np.testing.assert_array_equal(np.array(rows["sub__a", 7].v, np.float32).reshape(3, 4), a[7, :, :, 1].T)
+    np.testing.assert_array_equal(np.array(rows["b.BTS", 11].w, np.float32).reshape(5, 3), b[11, :, :, 2].T)
+    (tmp_path / "poison.bts").write_bytes(b"\xff" * 500)
+    with pytest.raises(Exception, match="no field header"):
+        read_wind_table(spark, root, 6).count()
+    t = read_wind_table(spark, root, 6)  # the poisoned file is never opened from here on
+    one = t.where("case_id = 'sub__a'")
+    assert one.rdd.getNumPartitions() == 5 and one.count() == 25
+    for condition, parts, n in (
+        ("case_id = 'sub__a' and step = 7", 1, 1), ("case_id in ('sub__a', 'b.BTS') and step >= 18", 2, 7), ("case_id = 'sub__a' and step in (0, 24, 99)", 2, 2),
+        ("case_id = 'sub__a' and step > 5 and step < 7", 1, 1), ("case_id = 'sub__a' and step <= 5", 1, 6), ("case_id = 'nowhere'", 1, 0), ("case_id = 'b.BTS' and step % 2 = 0", 2, 6),
+    ):
+        part = t.where(condition)
+        assert (part.rdd.getNumPartitions(), part.count()) == (parts, n), condition
+    assert t.where("case_id = 'b.BTS'").select("step", F.size("u")).distinct().count() == 12
+
+
+def test_many_grids_are_read_once(spark, tmp_path):
+    for k, (ny, nz) in enumerate([(7, 7), (9, 5), (5, 9)]):
+        write_field(tmp_path / f"c{k}.bts", ny, nz, 1, 8, 0.05, k)
+    f = workloads.features_of(spark, f"file://{tmp_path}", fx.region_weights(spark), 7, 7, ["global_u_mean"])
+    plan = f._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Scan binaryFile") == 1 or plan.count("FileScan binaryFile") == 1
+    got = {(r.case_id, r.step): r.global_u_mean for r in f.collect()}
+    assert len(got) == 24
+    from windspark.operators import grid
+
+    fields, headers = wind.read_wind_fields(spark, f"file://{tmp_path}"), wind.read_wind_headers(spark, f"file://{tmp_path}")
+    for h in headers.select("case_id", "ny", "nz").collect():
+        own = grid.regrid_bilinear(fields.where(F.col("case_id") == h.case_id), h.ny, h.nz, 7, 7)
+        for r in grid.wind_features(own, fx.region_weights(spark), 7, 7, ["global_u_mean"]).collect():
+            assert r.global_u_mean == pytest.approx(got[r.case_id, r.step])
+
+
+def test_repeated_times_in_load_tables(spark, tmp_path):
+    (tmp_path / "loads").mkdir()
+    values = write_field(tmp_path / "fields" / "c.bts", 5, 5, 1, 30, 0.5, 1)
+    lines = ["Time,M"] + [f"{t * 0.5},{values[t, 2, 1, 0]}" for t in range(30) for _ in range(2)]
+    (tmp_path / "loads" / "c.csv").write_text("\n".join(lines) + "\n")
+    w = workloads.region_weights_from_files(spark, f"file://{tmp_path}/loads", ["M"], f"file://{tmp_path}/fields", 5).collect()
+    best = max(w, key=lambda r: r.weight)
+    assert (best.i, best.j) == (1, 2)
+
+
 def test_colliding_names(spark, tmp_path):
     write_log(tmp_path / "bad.out", ["Time", "X", "X", "X_1"], ["s"] * 4, [[0, 1, 2, 3]])
     root = f"file://{tmp_path}"

@@ -69,6 +69,35 @@ def regrid_bilinear(fields: DataFrame, ny: int, nz: int, to_ny: int, to_nz: int,
     return fields.select(*keys, "u", "v", "w").mapInArrow(run, schema)
 
 
+def regrid_mixed(fields: DataFrame, to_ny: int, to_nz: int, keys: list[str] | None = None) -> DataFrame:
+    """Snapshots with their own ``ny`` and ``nz`` on one grid, in one pass whatever the number of grids."""
+    keys = keys or ["case_id", "step"]
+    k = len(keys)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[tuple[int, int], tuple] = {}
+        for batch in batches:
+            ny, nz = (batch.column(k + c).to_numpy() for c in (0, 1))
+            cut = np.flatnonzero((np.diff(ny) != 0) | (np.diff(nz) != 0)) + 1
+            for a, b in zip([0, *cut], [*cut, batch.num_rows]):
+                if a == b:
+                    continue
+                part, size = batch.slice(a, b - a), (int(ny[a]), int(nz[a]))
+                if size not in known:
+                    known[size] = (resize_matrix(size[0], to_ny), resize_matrix(size[1], to_nz))
+                out, offsets = [], pa.array(np.arange(part.num_rows + 1, dtype=np.int32) * (to_ny * to_nz))
+                for c in range(2, 5):
+                    x = _grids(part, k + c, *size)
+                    if size != (to_ny, to_nz):
+                        x = np.einsum("pi,nij,qj->npq", known[size][0], x, known[size][1], optimize=True)
+                    out.append(pa.ListArray.from_arrays(offsets, pa.array(x.reshape(-1))))
+                yield pa.RecordBatch.from_arrays([*part.columns[:k], *out], names=[*keys, "u", "v", "w"])
+
+    kinds = dict(fields.dtypes)
+    schema = ", ".join([f"`{c}` {kinds[c]}" for c in keys] + [f"{c} array<double>" for c in "uvw"])
+    return fields.select(*keys, "ny", "nz", "u", "v", "w").mapInArrow(run, schema)
+
+
 def field_summary(fields: DataFrame, headers: DataFrame | None = None, ny: int | None = None, nz: int | None = None) -> DataFrame:
     """Per case: means of u, v, w, the mean of u at the centre, and the hub speed where headers have it."""
     total = lambda c: F.aggregate(F.col(c), F.lit(0.0), lambda acc, x: acc + x.cast("double"))

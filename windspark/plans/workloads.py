@@ -69,27 +69,11 @@ def train_and_evaluate(rows: DataFrame, features: list[str], inputs: list[str],
 def features_of(spark: SparkSession, fields_root: str, region_weights: DataFrame, ny: int, nz: int, names: list[str] | None = None, steps: DataFrame | None = None) -> DataFrame:
     """(case_id, step, features) of snapshots on the weights' grid of ny x nz points.
 
-    Fields on other grids are interpolated to it first. With ``steps`` (case_id, step), only
-    these snapshots are read.
+    Fields on other grids are interpolated to it first; a campaign of many grids is still
+    read once. With ``steps`` (case_id, step), only these snapshots are read.
     """
-    fields = wind.read_wind_fields(spark, fields_root, steps=steps)
-    headers = wind.read_wind_headers(spark, fields_root).select("case_id", "ny", "nz")
-    sizes = [(r.ny, r.nz) for r in headers.select("ny", "nz").distinct().collect()]  # the grids of a campaign
-    out = None
-    for size in sorted(sizes):
-        own = fields
-        if len(sizes) > 1:
-            like = headers.where((F.col("ny") == size[0]) & (F.col("nz") == size[1])).select("case_id")
-            own = fields.join(F.broadcast(like) if _few(like) else like, "case_id", "left_semi")
-        own = grid.regrid_bilinear(own, *size, ny, nz)
-        own = grid.wind_features(own, region_weights, ny, nz, names)
-        out = own if out is None else out.unionByName(own)
-    return out if out is not None else grid.wind_features(fields, region_weights, ny, nz, names)
-
-
-def _few(names: DataFrame, most: int = 100_000) -> bool:
-    """Whether a list of cases is small enough to be sent to every task."""
-    return names.limit(most + 1).count() <= most
+    fields = wind.read_wind_fields(spark, fields_root, steps=steps, sizes=True)
+    return grid.wind_features(grid.regrid_mixed(fields, ny, nz), region_weights, ny, nz, names)
 
 
 def select_features(

@@ -23,6 +23,35 @@ HEADER = (
 )
 
 
+def parsed_header(raw: bytes) -> tuple:
+    """(values of the fixed part up to the scales, slopes, intercepts, bytes of the description) of a file's first 70 bytes."""
+    (n,) = struct.unpack_from("<l", raw, 66)
+    scales = struct.unpack_from("<6f", raw, 42)
+    return (*struct.unpack_from("<h4l", raw, 0), *struct.unpack_from("<6f", raw, 18)), list(scales[0::2]), list(scales[1::2]), max(n, 0)
+
+
+def record_size(ny: int, nz: int, n_twr: int) -> int:
+    return (ny * nz + n_twr) * 6
+
+
+def decoded(raw: bytes, ny: int, nz: int, n_twr: int, slope: list[float], shift: list[float], kept: np.ndarray | None = None) -> np.ndarray:
+    """(component, step, ny * nz) of whole records: component fastest on file, then y, then z; tower values are skipped."""
+    rec = record_size(ny, nz, n_twr)
+    n = len(raw) // rec
+    grid = np.frombuffer(raw, "<i2", n * rec // 2).reshape(n, rec // 2)[:, : 3 * ny * nz].reshape(n, nz, ny, 3)
+    grid = grid if kept is None else grid[kept]
+    return ((grid - np.array(shift, np.float32)) / np.array(slope, np.float32)).astype(np.float32).transpose(3, 0, 2, 1).reshape(3, len(grid), ny * nz)
+
+
+def as_batch(case: str, step: np.ndarray, values: np.ndarray, sizes: tuple[int, int] | None = None) -> pa.RecordBatch:
+    offsets = pa.array(np.arange(len(step) + 1, dtype=np.int32) * values.shape[2])
+    cols = [pa.array([case] * len(step), pa.string()), pa.array(step)]
+    if sizes is not None:
+        cols += [pa.array(np.full(len(step), n, np.int32)) for n in sizes]
+    cols += [pa.ListArray.from_arrays(offsets, pa.array(v.reshape(-1))) for v in values]
+    return pa.RecordBatch.from_arrays(cols, names=["case_id", "step", *(["ny", "nz"] if sizes is not None else []), "u", "v", "w"])
+
+
 def _listed(spark: SparkSession, root: str, pattern: str) -> DataFrame:
     """(case_id, path) of the files; Spark lists them and reads none of their bytes."""
     df = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(root)
@@ -37,12 +66,10 @@ def _headers(spark: SparkSession, root: str, pattern: str) -> DataFrame:
         for batch in batches:
             rows, at = [], []
             for path in batch.column(1).to_pylist():
-                raw = files.read(path, 0, FIXED)
-                (n,) = struct.unpack_from("<l", raw, 66)
-                text = files.read(path, FIXED, max(n, 0)).decode("latin-1").rstrip("\x00").strip()
-                scales = struct.unpack_from("<6f", raw, 42)
-                rows.append((*struct.unpack_from("<h4l", raw, 0), *struct.unpack_from("<6f", raw, 18), list(scales[0::2]), list(scales[1::2]), text))
-                at.append(FIXED + max(n, 0))
+                fixed, slope, shift, n = parsed_header(files.read(path, 0, FIXED))
+                text = files.read(path, FIXED, n).decode("latin-1").rstrip("\x00").strip()
+                rows.append((*fixed, slope, shift, text))
+                at.append(FIXED + n)
             cols = [pa.array([r[i] for r in rows], k) for i, k in enumerate(_KINDS)]
             yield pa.RecordBatch.from_arrays([batch.column(0), *cols, batch.column(1), pa.array(at, pa.int64())], names=["case_id", *_FIELDS, "path", "at"])
         files.close()
@@ -55,8 +82,8 @@ def read_wind_headers(spark: SparkSession, root: str, pattern: str = "*.bts") ->
     return _headers(spark, root, pattern).drop("path", "at")
 
 
-def read_wind_fields(spark: SparkSession, root: str, steps_per_block: int = 500, pattern: str = "*.bts", steps: DataFrame | None = None) -> DataFrame:
-    """(case_id, step, u, v, w): each component of ny * nz floats, y slow and z fast.
+def read_wind_fields(spark: SparkSession, root: str, steps_per_block: int = 500, pattern: str = "*.bts", steps: DataFrame | None = None, sizes: bool = False) -> DataFrame:
+    """(case_id, step, u, v, w), with ``sizes`` also ny and nz: each component of ny * nz floats, y slow and z fast.
 
     Integers on file go component fastest, then y, then z, and tower values follow and are
     skipped; value = (raw - intercept) / slope. A file is cut into ranges of
@@ -78,24 +105,15 @@ def read_wind_fields(spark: SparkSession, root: str, steps_per_block: int = 500,
         files = Ranges()
         for batch in batches:
             for case, first, path, at, ny, nz, n_twr, nt, slope, shift, wanted in zip(*[c.to_pylist() for c in batch.columns]):
-                rec = (ny * nz + n_twr) * 6
+                rec = record_size(ny, nz, n_twr)
                 raw = files.read(path, at + first * rec, min(steps_per_block, nt - first) * rec)
-                n = len(raw) // rec
-                step = np.arange(first, first + n, dtype=np.int32)
-                grid = np.frombuffer(raw, "<i2", n * rec // 2).reshape(n, rec // 2)[:, : 3 * ny * nz].reshape(n, nz, ny, 3)
-                if wanted is not None:
-                    own = np.isin(step, wanted)
-                    step, grid = step[own], grid[own]
-                    n = len(step)
-                values = ((grid - np.array(shift, np.float32)) / np.array(slope, np.float32)).astype(np.float32).transpose(3, 0, 2, 1).reshape(3, n * ny * nz)
-                offsets = pa.array(np.arange(n + 1, dtype=np.int32) * (ny * nz))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([case] * n, pa.string()), pa.array(step), *[pa.ListArray.from_arrays(offsets, pa.array(v)) for v in values]],
-                    names=["case_id", "step", "u", "v", "w"],
-                )
+                step = np.arange(first, first + len(raw) // rec, dtype=np.int32)
+                own = None if wanted is None else np.isin(step, wanted)
+                values = decoded(raw, ny, nz, n_twr, slope, shift, own)
+                yield as_batch(case, step if own is None else step[own], values, (ny, nz) if sizes else None)
         files.close()
 
-    return blocks.repartition("path", "first").mapInArrow(run, "case_id string, step int, u array<float>, v array<float>, w array<float>")
+    return blocks.repartition("path", "first").mapInArrow(run, f"case_id string, step int, {'ny int, nz int, ' if sizes else ''}u array<float>, v array<float>, w array<float>")
 
 
 def write_field(path: str, grid: np.ndarray, tower: np.ndarray, sizes: tuple, slope: tuple, intercept: tuple, info: str) -> None:
