@@ -11,7 +11,7 @@ from windspark.functions.channels import INPUTS, OUTPUTS
 from windspark.operators import cases, mrmr
 from windspark.plans import fixtures as fx
 from windspark.plans import workloads
-from windspark.sources import files, sinks, wind
+from windspark.sources import files, logs, sinks, wind
 
 
 def write_log(path, names, units, rows):
@@ -48,6 +48,38 @@ def test_channel_logs(spark, tmp_path):
     assert [(r.case_id, r.stem, r.depth) for r in listed] == [("two", "two", 0), ("x__one", "one", 1)]
 
 
+@pytest.mark.parametrize("block", [1, 7, 40, 333, 1 << 20])
+def test_logs_cut_anywhere(spark, tmp_path, block):
+    """Blocks that end inside lines, line ends and blank lines; the last line has no end."""
+    names = ["Time", "A", "Bé", "A"]
+    rng = np.random.default_rng(block)
+    rows = [[k / 10, rng.integers(0, 10**9), "x" * int(rng.integers(0, 60)) + "é", k] for k in range(30)]
+    write_log(tmp_path / "one.out", names, ["s"] * 4, rows)
+    (tmp_path / "two.out").write_bytes(b"pre\r\n  Time A\r\n(s) (m)\r\n" + b"".join(b"%d %d\r\n\r\n" % (k, k * k) for k in range(25)) + b"99 7")
+    (tmp_path / "bare.out").write_bytes(b"Time A")
+    root = f"file://{tmp_path}"
+    found = logs.parse_logs(spark, root, ["Time", "A", "Bé", "A_1"], block=block)
+    got = {}
+    for r in found.usable.orderBy("case_id", "line_no").collect():
+        got.setdefault(r.case_id, []).append((r.Time, r.A, r["Bé"], r.A_1))
+    split = [r[2].split() or [None] for r in rows]
+    assert got["one"] == [(str(r[0]), str(r[1]), s[0], str(r[3])) for r, s in zip(rows, split)]
+    assert got["two"] == [*[(str(k), str(k * k), None, None) for k in range(25)], ("99", "7", None, None)] and "bare" not in got
+    assert {r.case_id: r.log_ok for r in found.status.collect()} == {"one": True, "two": True, "bare": True}
+    assert {(r.case_id, r.channel): r.unit for r in found.units.collect()}["two", "A"] == "(m)"
+    plan = found.rows._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Scan parquet") == 1 and "MapInArrow" not in plan  # names, units, status and rows from what one parse stored
+    if block < 333:
+        assert logs.parsed(found.table, ["A"], block).selectExpr("line_no div 4294967296 as b").distinct().count() > 3
+
+
+def test_header_past_the_first_bytes(spark, tmp_path, monkeypatch):
+    (tmp_path / "late.out").write_text("".join(f"line {k} of a long preamble\n" for k in range(5000)) + "Time\tA\n(s)\t(m)\n1\t2\n")
+    r = files.read_channel_logs(spark, f"file://{tmp_path}", ["Time", "A"]).collect()
+    assert [(x.line_no, x.Time, x.A) for x in r] == [(0, "1", "2")]
+    assert files.read_channel_logs(spark, f"file://{tmp_path}").where("channel = 'A'").first().value == "2"
+
+
 def test_unreadable_logs(spark, tmp_path):
     (tmp_path / "none.out").write_text("no header\n1 2\n")
     write_log(tmp_path / "wide.out", ["Time", "A"], ["s", "m"], [[0, 1, 2]])
@@ -245,12 +277,22 @@ def test_workload_from_files(spark, tmp_path):
     m = manifest.orderBy("case_id").collect()
     assert [r.case_id for r in m] == ["c0", "c1", "c2", "c3"] and m[0].n_samples == 101 and m[0].grid_in == "7x7"
     assert {(r.reason, r.n) for r in skips.collect()} == {("field missing", 1), ("time range too short", 1)}
+    workloads.write_campaign(spark, f"file://{tmp_path}/logs", f"file://{tmp_path}/fields", f"file://{tmp_path}/data", 1.0, 11.0, 0.1, store_wind=True)
+    written = spark.read.option("header", True).csv(f"file://{tmp_path}/data/manifest").orderBy("case_id").collect()
+    assert [r.case_id for r in written] == ["c0", "c1", "c2", "c3"] and written[1].out_path.endswith("/logs/c1.out") and written[1].bts_path.endswith("/fields/c1.bts")
+    assert written[0].npz_path == f"file://{tmp_path}/data/rows" and written[0].n_samples == "101"
+    units = spark.read.parquet(f"file://{tmp_path}/data/units")
+    assert units.select("case_id").distinct().count() == 4 and {r.unit for r in units.collect()} == {"-"}
+    assert spark.read.parquet(f"file://{tmp_path}/data/rows").count() == rows.count() == 404
+    assert spark.read.parquet(f"file://{tmp_path}/data/wind").select("case_id", "step").distinct().count() == rows.select("case_id", "wind_step").distinct().count()
     f = workloads.features_of(spark, f"file://{tmp_path}/fields", fx.region_weights(spark), 7, 7).select("case_id", F.col("step").cast("long").alias("wind_step"), "hub_u_mean", "global_tke")
     joined = rows.join(f, ["case_id", "wind_step"])
     assert joined.count() == rows.count()
     out = workloads.train_and_evaluate(joined, ["hub_u_mean", "global_tke"], INPUTS, OUTPUTS, (0.5, 0.25, 0.25), epochs=2, hidden=(16,), shaping={"history": 1}, lr=0.01)
     assert out["metrics"].count() == len(OUTPUTS) + 1
-    sinks.write_run_outputs(f"file://{tmp_path}/run", out["scalers"], out["splits"], out["history"], out["metrics"], {"epochs": 2}, out["model"])
+    sinks.write_run_outputs(f"file://{tmp_path}/run", out["scalers"], out["splits"], out["history"], out["metrics"], {"epochs": 2}, out["model"], {k: out[k] for k in ("split_summary", "repair")})
+    assert {r.split: r.cases for r in spark.read.json(f"file://{tmp_path}/run/repair").collect()} == {"train": 2, "val": 1, "test": 1}
+    assert spark.read.json(f"file://{tmp_path}/run/split_summary").count() >= 1
     again = sinks.read_model(spark, f"file://{tmp_path}/run/model")
     assert {k: v for k, v in again.items() if k != "weights"} == {k: v for k, v in out["model"].items() if k != "weights"}
     assert all((again["weights"][k] == v).all() for k, v in out["model"]["weights"].items())

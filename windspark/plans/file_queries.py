@@ -3,7 +3,6 @@ formats, read back by the library and compared with the tables they were made fr
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 import pyarrow as pa
@@ -11,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.channels import INPUTS, OUTPUTS
+from ..functions.scratch import shared_folder
 from ..operators import mrmr, stats
 from ..sources import files, sinks, wind
 from . import fixtures as fx
@@ -19,12 +19,7 @@ from .queries import _GROUPS, _SCALERS, _rank_sql, q6, q6s, query, r6, rounded
 
 def new_folder(spark: SparkSession) -> str:
     """An own folder where driver and executors see the same files."""
-    top = spark.conf.get("spark.checkpoint.dir", None)
-    if not top:
-        if not spark.conf.get("spark.master", "local").startswith("local"):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
-        top = "file://" + tempfile.mkdtemp(prefix="windspark-")
-    return f"{top.rstrip('/')}/files-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/files-{uuid.uuid4().hex}"
 
 
 # --- channel logs ----------------------------------------------------------------------

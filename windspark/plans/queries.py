@@ -805,9 +805,11 @@ def u2_first_per_time(spark, sf):
     return cases.clean_log(a.unionByName(b), span=SPAN).select("case_id", "line_no")
 
 
-@query(f"WITH {fx.CHANNEL_LOG}, {fx.HEADERS}{_GRID} SELECT case_id, count(*) AS n_samples, {q6('min(t)', 't_start')}, {q6('max(t)', 't_end')}, 14400.0::DOUBLE AS bts_dt, '7x7' AS grid_in, 1 AS wind_saved, 'float16' AS wind_dtype, case_id AS stem FROM grid GROUP BY case_id")
+@query(f"WITH {fx.CHANNEL_LOG}, {fx.HEADERS}{_GRID} SELECT case_id, count(*) AS n_samples, {q6('min(t)', 't_start')}, {q6('max(t)', 't_end')}, 14400.0::DOUBLE AS bts_dt, '7x7' AS grid_in, 1 AS wind_saved, 'float16' AS wind_dtype, case_id AS stem, 'logs/' || case_id || '.out' AS out_path, 'fields/' || case_id || '.bts' AS bts_path, 'data/rows' AS npz_path FROM grid GROUP BY case_id")
 def s10_build_manifest(spark, sf):
-    return rounded(sinks.build_manifest(_times(spark, sf), fx.headers(spark, sf)), ["t_start", "t_end"])
+    path = lambda top, end: F.concat(F.lit(top), "case_id", F.lit(end))
+    h = fx.headers(spark, sf).withColumns({"out_path": path("logs/", ".out"), "bts_path": path("fields/", ".bts")})
+    return rounded(sinks.build_manifest(_times(spark, sf), h, data_path="data"), ["t_start", "t_end"])
 
 
 # --- surrogate -------------------------------------------------------------------------

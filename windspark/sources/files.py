@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import case_id, relative_path, stem, unique_names
+from ..functions.columns import case_id, relative_path, stem
+from . import logs
 
 
 def catalog_files(spark: SparkSession, root: str, exts: list[str]) -> DataFrame:
@@ -17,67 +18,45 @@ def catalog_files(spark: SparkSession, root: str, exts: list[str]) -> DataFrame:
     return files.select("path", "length", case_id(rel).alias("case_id"), stem(F.col("path")).alias("stem"), (F.size(F.split(rel, "/")) - 1).alias("depth")).orderBy("path")
 
 
-def _log_lines(spark: SparkSession, root: str, pattern: str) -> DataFrame:
-    """One row per log: names, units and data lines (position, tokens)."""
-    raw = (
-        spark.read.text(root, wholetext=True, recursiveFileLookup=True, pathGlobFilter=pattern)
-        .select(F.input_file_name().alias("path"), F.split("value", r"\r?\n").alias("lines"))
-    )
-    rel = relative_path(F.col("path"), root)
-    at = F.coalesce(F.array_position(F.transform("lines", lambda x: F.startswith(F.trim(x), F.lit("Time"))), True), F.lit(0)).cast("int")
-    tokens = lambda x: F.filter(F.split(F.trim(x), r"\s+"), lambda t: t != "")
-    df = raw.select("path", case_id(rel).alias("case_id"), "lines", at.alias("at"))
-    df = df.withColumn("names", F.when(F.col("at") > 0, unique_names(tokens(F.get("lines", F.col("at") - 1)))))
-    df = df.withColumn("units", F.when(F.col("at") > 0, tokens(F.coalesce(F.get("lines", F.col("at")), F.lit("")))))
-    body = F.filter(F.slice("lines", F.col("at") + 2, F.greatest(F.size("lines") - F.col("at") - 1, F.lit(0))), lambda x: F.trim(x) != "")
-    return df.withColumn("body", F.when(F.col("at") > 0, F.transform(body, tokens)))
-
-
-def _readable() -> Column:
-    """A header is there, no row is longer than it, and numbering repeated names gave no name twice (X, X, X_1)."""
-    distinct = F.size(F.array_distinct("names")) == F.size("names")
-    return F.coalesce((F.col("at") > 0) & distinct & ~F.exists("body", lambda r: F.size(r) > F.size("names")), F.lit(False))
-
-
 def log_status(spark: SparkSession, root: str, pattern: str = "*.out") -> DataFrame:
     """(case_id, path, log_ok): false without a header line starting with Time, with an over-long row, or where numbered names collide."""
-    df = _log_lines(spark, root, pattern)
-    return df.select("case_id", "path", _readable().alias("log_ok"))
+    return logs.parse_logs(spark, root, [], pattern).status
 
 
-def read_channel_logs(spark: SparkSession, root: str, channels: list[str] | None = None, pattern: str = "*.out", on_error: str = "raise") -> DataFrame:
-    """Simulator logs as rows.
+def read_channel_logs(spark: SparkSession, root: str, channels: list[str] | None = None, pattern: str = "*.out", on_error: str = "raise", block: int = logs.BLOCK) -> DataFrame:
+    """Simulator logs as rows, each log cut into tasks of ``block`` bytes.
 
     With ``channels``: (case_id, line_no, one text column for each); a log without a
     channel has nulls there. Without: (case_id, line_no, channel_pos, channel, value). Short rows
     end in nulls. Repeated header names become n, n_1, n_2. A log without header, with an over-long
-    row or with a name that numbering gives twice is an error, or left out with ``on_error`` = 'skip'. A log is one
-    record, a few MB for a simulation.
+    row or with a name that numbering gives twice is an error, or left out with ``on_error`` = 'skip', for which
+    rows are stored first. See ``logs.parse_logs`` for names, units, status and rows from one parse.
     """
-    df = _log_lines(spark, root, pattern)
-    ok = _readable()
     if on_error == "raise":
-        ok = F.when(ok, F.lit(True)).otherwise(F.raise_error(F.concat(F.lit("unreadable log: "), "path")).cast("boolean"))
-    rows = df.where(ok).select("case_id", "names", F.posexplode("body").alias("line_no", "row"))
-    if channels is None:
-        return rows.select("case_id", "line_no", "row", F.posexplode("names").alias("channel_pos", "channel")).select(
-            "case_id", "line_no", "channel_pos", "channel", F.get("row", F.col("channel_pos")).alias("value")
-        )
-    value = lambda c: F.get("row", (F.nullif(F.array_position("names", c), F.lit(0)) - 1).cast("int")).alias(c)
-    return rows.select("case_id", F.col("line_no").cast("long").alias("line_no"), *[value(c) for c in channels])
+        table = logs.log_table(spark, root, pattern)
+        distinct = F.coalesce(F.size(F.array_distinct("names")) == F.size("names"), F.lit(False))
+        error = lambda c: F.raise_error(F.concat(F.lit("unreadable log: "), c)).cast("boolean")
+        table = table.where(F.when(distinct, F.lit(True)).otherwise(error(F.col("path"))))
+        rows = logs.parsed(table, channels, block)
+        rows = rows.where(F.when(~F.col("too_long"), F.lit(True)).otherwise(error(F.col("case_id")))).drop("too_long")
+    else:
+        found = logs.parse_logs(spark, root, channels, pattern, block)
+        table, rows = found.table, found.usable
+    if channels is not None:
+        return rows
+    rows = rows.join(table.select("case_id", "names"), "case_id")
+    return rows.select("case_id", "line_no", "row", F.posexplode("names").alias("channel_pos", "channel")).select(
+        "case_id", "line_no", "channel_pos", "channel", F.get("row", F.col("channel_pos")).alias("value")
+    )
 
 
 def log_headers(spark: SparkSession, root: str, pattern: str = "*.out") -> DataFrame:
-    return _log_lines(spark, root, pattern).select("case_id", F.posexplode("names").alias("pos", "channel"))
+    return logs.log_table(spark, root, pattern).select("case_id", F.posexplode("names").alias("pos", "channel"))
 
 
 def channel_units(spark: SparkSession, root: str, pattern: str = "*.out") -> DataFrame:
     """(case_id, channel, unit); units are '' where their number is not that of the names."""
-    df = _log_lines(spark, root, pattern)
-    same = F.size("units") == F.size("names")
-    return df.select("case_id", "units", same.alias("same"), F.posexplode("names").alias("pos", "channel")).select(
-        "case_id", "channel", F.when(F.col("same"), F.get("units", F.col("pos"))).otherwise("").alias("unit")
-    )
+    return logs.Logs(logs.log_table(spark, root, pattern), None).units
 
 
 def numbered_names(df: DataFrame, case: str, pos: str, name: str) -> DataFrame:

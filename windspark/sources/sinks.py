@@ -36,12 +36,18 @@ def read_case_dataset(spark: SparkSession, path: str, inputs: list[str], outputs
     return out
 
 
-def build_manifest(rows: DataFrame, headers: DataFrame, wind_saved: bool = True, wind_dtype: str = "float16") -> DataFrame:
-    """One row per case: samples, first and last time, field step and grid."""
+def build_manifest(rows: DataFrame, headers: DataFrame, wind_saved: bool = True, wind_dtype: str = "float16", data_path: str | None = None) -> DataFrame:
+    """One row per case: samples, first and last time, field step and grid, and where its log, field and rows are.
+
+    ``headers`` may have ``out_path`` and ``bts_path``; ``data_path`` is the folder of a written
+    data set. What is not known is null.
+    """
     own = rows.groupBy("case_id").agg(F.count("*").alias("n_samples"), F.min("t").alias("t_start"), F.max("t").alias("t_end"))
-    h = headers.select("case_id", F.col("dt").cast("double").alias("bts_dt"), F.format_string("%dx%d", "ny", "nz").alias("grid_in"))
+    place = [F.col(c) if c in headers.columns else F.lit(None).cast("string").alias(c) for c in ("out_path", "bts_path")]
+    h = headers.select("case_id", F.col("dt").cast("double").alias("bts_dt"), F.format_string("%dx%d", "ny", "nz").alias("grid_in"), *place)
+    rows_path = F.lit(f"{data_path}/rows" if data_path else None).cast("string")
     return own.join(h, "case_id", "left").withColumns(
-        {"wind_saved": F.lit(int(wind_saved)), "wind_dtype": F.lit(wind_dtype), "stem": F.substring_index("case_id", "__", -1)}
+        {"wind_saved": F.lit(int(wind_saved)), "wind_dtype": F.lit(wind_dtype), "stem": F.substring_index("case_id", "__", -1), "npz_path": rows_path}
     )
 
 
@@ -89,10 +95,10 @@ def read_model(spark: SparkSession, path: str) -> dict:
     return out | {"weights": {r.name: np.array(r.value).reshape(r["shape"]) for r in spark.read.parquet(f"{path}/weights").collect()}}
 
 
-def write_run_outputs(path: str, scalers: DataFrame, splits: DataFrame, history: DataFrame, metrics: DataFrame, config: dict, model: dict | None = None) -> None:
-    """Scalers, splits, history, metrics, configuration and, where given, the model of a run."""
+def write_run_outputs(path: str, scalers: DataFrame, splits: DataFrame, history: DataFrame, metrics: DataFrame, config: dict, model: dict | None = None, reports: dict[str, DataFrame] | None = None) -> None:
+    """Scalers, splits, history, metrics, configuration and, where given, the model and further small tables of a run."""
     if model is not None:
         write_model(scalers.sparkSession, model, f"{path}/model")
-    for name, df in (("scalers", scalers), ("splits", splits), ("history", history), ("metrics", metrics)):
+    for name, df in {"scalers": scalers, "splits": splits, "history": history, "metrics": metrics, **(reports or {})}.items():
         df.coalesce(1).write.mode("overwrite").json(f"{path}/{name}")
     scalers.sparkSession.createDataFrame([(json.dumps(config, sort_keys=True),)], "config string").coalesce(1).write.mode("overwrite").text(f"{path}/config")
