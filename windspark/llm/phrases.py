@@ -1,8 +1,8 @@
 """Phrase collocations by stripes.
 
 Each prefix of k words keys a counter of the words that follow it. Tasks make stripes of blocks of
-text, equal prefixes meet in a shuffle and their counters are added elementwise. One merged stripe
-gives the prefix's total (its frequency), its frequent extensions (the phrases of k + 1 words) and
+text and pack those of one bucket of prefixes into one compressed record; equal prefixes meet in a
+shuffle by bucket and their counters are added elementwise. One merged stripe gives the prefix's total (its frequency), its frequent extensions (the phrases of k + 1 words) and
 the largest extension, which tells whether a longer phrase subsumes it. The first stripe, of the
 empty prefix, gives the words and the number of all words.
 
@@ -14,6 +14,7 @@ more through when it fills up, and never drops a frequent phrase: counts stay ex
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -23,12 +24,14 @@ from pyspark.sql import functions as F
 
 from .common import dropped, filter_bits, slot_bitmap, stored
 from .pieces import Shared
-from .words import LOWER, byte_kinds, by_size, cut, joined, spaced, values_of
+from .words import LOWER, byte_kinds, by_size, cut, spaced, values_of
 
 #: Fixed by contract: what stands between words, and between pieces that phrases never cross.
 BLANKS, BREAKS = b" \t", b".,;:!?\n\x0b\x0c\r"
 #: Bytes of text whose stripes a task makes together, and entries that it adds up together.
-BLOCK, ENTRIES = 8_000_000, 400_000
+BLOCK, ENTRIES = 8_000_000, 1_000_000
+#: Words of the corpus for each bucket of prefixes; buckets at least and at most.
+BUCKET_WORDS, BUCKETS = 3_000_000, (32, 100_000)
 #: Stripes of hot prefixes are kept in parts by the next word, at most so many.
 PARTS = 256
 #: A prefix is hot from this many occurrences on, and from this share of all words; so at most 20,000 are.
@@ -119,25 +122,62 @@ def _pairs(a: np.ndarray, b: np.ndarray, **more):
     return np.unique(a * (int(b.max(initial=0)) + 1) + b, **more)
 
 
-def _block_stripes(langs: pa.Array, texts: pa.Array, k: int, known: Filter | None) -> pa.RecordBatch:
-    """Stripes of prefixes of ``k`` words in one block: (lang, prefix, part, nexts, counts).
+class Stripes(NamedTuple):
+    """Stripes in arrays: by stripe lang, prefix, part and number of entries; by entry a place in ``words`` and a count."""
+
+    lang: pa.Array
+    prefix: pa.Array
+    part: np.ndarray
+    sizes: np.ndarray
+    words: pa.Array
+    word: np.ndarray
+    counts: np.ndarray
+
+
+def _packed(s: Stripes) -> bytes:
+    """One compressed record; each word that follows is written once."""
+    langs, words = s.lang.dictionary_encode(), s.words.take(pa.array(s.word)).dictionary_encode()
+    parts = [np.asarray(langs.indices), s.part, s.sizes, np.asarray(words.indices), s.counts]
+    for strings in (langs.dictionary, s.prefix, words.dictionary):
+        data, offsets = values_of(strings)
+        parts += [np.diff(offsets), data[offsets[0] : offsets[-1]]]
+    out = [np.array([len(p) for p in parts], np.int32).tobytes()]
+    out += [p.astype(np.uint8 if k in (6, 8, 10) else np.int32).tobytes() for k, p in enumerate(parts)]
+    raw = b"".join(out)
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, "zstd", asbytes=True)
+
+
+def _unpacked(record: bytes) -> Stripes:
+    raw = pa.decompress(record[8:], int.from_bytes(record[:8], "little"), "zstd", asbytes=True)
+    at, parts = 44, []
+    for k, n in enumerate(np.frombuffer(raw, np.int32, 11).tolist()):
+        parts.append(np.frombuffer(raw, np.uint8 if k in (6, 8, 10) else np.int32, n, at))
+        at += n * (1 if k in (6, 8, 10) else 4)
+    strings = []
+    for sizes, data in (parts[5:7], parts[7:9], parts[9:11]):
+        offsets = np.append(0, np.cumsum(sizes)).astype(np.int64)
+        strings.append(pa.Array.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(data.tobytes())]))
+    return Stripes(strings[0].take(pa.array(parts[0])), strings[1], parts[1].astype(np.int64), parts[2].astype(np.int64), strings[2], parts[3].astype(np.int64), parts[4].astype(np.int64))
+
+
+def _block_stripes(langs: pa.Array, texts: pa.Array, k: int, known: Filter | None, buckets: int) -> Iterator[tuple[int, Stripes]]:
+    """(bucket, stripes of prefixes of ``k`` words) of one block.
 
     The next word '' counts the occurrences that nothing counted follows, so that a
     stripe's sum is the frequency of its prefix.
     """
     w = cut(texts, byte_kinds(BLANKS, BREAKS), LOWER)
     ids, n = w.ids, len(w.ids)
-    lang_of = langs.dictionary_encode()
-    lang_names = lang_of.dictionary
+    if not n:
+        return
+    lang_of = langs.cast(pa.large_binary()).dictionary_encode()
     lang = np.repeat(lang_of.indices.to_numpy(zero_copy_only=False).astype(np.int64), np.diff(w.first))
-    word_hash = _word_hashes(w.distinct)
+    word_hash, h = _word_hashes(w.distinct), _word_hashes(lang_of.dictionary)[lang]
     if k == 0:
         starts, follow, code = np.arange(n), ids, lang
         parts = np.full(n, PARTS)
     else:
-        h = _word_hashes(lang_names.cast(pa.large_binary()))[lang]
-        last = n - k + 1  # places where k words are left
-        h = h[: max(last, 0)]
+        h = h[: max(n - k + 1, 0)]  # places where k words are left
         for j in range(k):
             h = _next_hash(h, word_hash[ids[j : j + len(h)]])
         ok = known.holds(h)
@@ -146,113 +186,108 @@ def _block_stripes(langs: pa.Array, texts: pa.Array, k: int, known: Filter | Non
         starts = np.flatnonzero(ok)
         follow = np.full(len(starts), -1, np.int64)
         more = starts + k < n
-        more[more] = ok[starts[more] + 1] & (w.piece[starts[more] + k] == w.piece[starts[more]])
+        more[more] = ok[np.minimum(starts[more] + 1, len(ok) - 1)] & (w.piece[starts[more] + k] == w.piece[starts[more]])
         follow[more] = ids[starts[more] + k]
         code = lang[starts]
         for j in range(k):
             code = _pairs(code, ids[starts + j], return_inverse=True)[1]
         parts = known.parts_of(h[starts])
     _, one, counts = _pairs(code, follow + 1, return_index=True, return_counts=True)
-    code, follow = code[one], follow[one]
-    parts = parts[one]
-    part = np.where(parts > 0, 1 + (word_hash[follow] % np.maximum(parts, 1).astype(np.uint64)).astype(np.int64), 0) if n else follow
+    code, follow, parts = code[one], follow[one], parts[one]
+    part = np.where(parts > 0, 1 + (word_hash[follow] % np.maximum(parts, 1).astype(np.uint64)).astype(np.int64), 0)
     part[follow < 0] = parts[follow < 0] > 0  # the rest of a hot prefix lies in its part 1
-    by = np.lexsort((part, code))
-    one, code, follow, part, counts = one[by], code[by], follow[by], part[by], counts[by]
+    bucket = (_next_hash(h[starts[one]], part.astype(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+    by = np.lexsort((part, code, bucket))
+    one, code, follow, part, counts, bucket = one[by], code[by], follow[by], part[by], counts[by], bucket[by]
     new = np.flatnonzero(np.append(True, (code[1:] != code[:-1]) | (part[1:] != part[:-1])) if len(code) else np.zeros(0, bool))
     row = starts[one[new]]
-    prefix = spaced(w.distinct, ids[(row[:, None] + np.arange(k)).ravel()], np.full(len(row), k))
-    nexts = pc.fill_null(w.distinct.take(pa.array(follow, mask=follow < 0)), b"").cast(pa.string())
-    offsets = pa.array(np.append(new, len(code)).astype(np.int32))
-    return pa.RecordBatch.from_arrays(
-        [lang_names.take(pa.array(lang[row])), prefix.cast(pa.string()), pa.array(part[new].astype(np.int32)),
-         pa.ListArray.from_arrays(offsets, nexts), pa.ListArray.from_arrays(offsets, pa.array(counts))],
-        names=["lang", "prefix", "part", "nexts", "counts"],
-    )
-
-
-STRIPE = "lang string, prefix string, part int, nexts array<string>, counts array<bigint>"
-
-
-def stripes(docs: DataFrame, k: int, known: Filter | None) -> DataFrame:
-    """Stripes of all blocks of ``docs`` (lang, text), not yet merged."""
+    prefix = spaced(w.distinct, ids[(row[:, None] + np.arange(k)).ravel()], np.full(len(row), k)).cast(pa.large_binary())
+    names = lang_of.dictionary.take(pa.array(lang[row]))
+    words = pa.concat_arrays([w.distinct, pa.array([b""], pa.large_binary())])
+    follow = np.where(follow < 0, len(w.distinct), follow)
+    ends = np.append(new, len(code))
+    first = np.flatnonzero(np.append(True, bucket[new][1:] != bucket[new][:-1]) if len(new) else np.zeros(0, bool))
+    for a, b in zip(first, np.append(first[1:], len(new))):
+        entries = slice(ends[a], ends[b])
+        yield int(bucket[new[a]]), Stripes(names.slice(a, b - a), prefix.slice(a, b - a), part[new[a:b]], np.diff(ends[a : b + 1]), words, follow[entries], counts[entries])
+
+
+def stripes(docs: DataFrame, k: int, known: Filter | None, buckets: int) -> DataFrame:
+    """(bucket, packed stripes) of all blocks of ``docs`` (lang, text), not yet merged."""
     shared = Shared(docs.sparkSession, known)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in by_size(batches, 1, BLOCK):
-            out = _block_stripes(block.column(0), block.column(1), k, shared.value)
-            for at in range(0, out.num_rows, 20_000):
-                yield out.slice(at, 20_000)
-
-    return docs.mapInArrow(run, STRIPE)
-
-
-def _added(rows: pa.RecordBatch):
-    """Stripes sorted by key, those of one key added elementwise: (first row, entries before it, next words, counts) by key."""
-    new = np.zeros(rows.num_rows, bool)
-    new[:1] = True
-    for c in range(3):
-        col = rows.column(c)
-        new[1:] |= pc.not_equal(col.slice(1), col.slice(0, rows.num_rows - 1)).to_numpy(zero_copy_only=False)
-    group = np.cumsum(new) - 1
-    sizes = pc.list_value_length(rows.column(3)).to_numpy(zero_copy_only=False)
-    words = rows.column(3).flatten().dictionary_encode()
-    code = words.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-    counts = rows.column(4).flatten().to_numpy(zero_copy_only=False)
-    of = np.repeat(group, sizes)
-    pair = of * (len(words.dictionary) + 1) + code
-    by = np.argsort(pair, kind="stable")
-    first = np.flatnonzero(np.append(True, pair[by][1:] != pair[by][:-1]) if len(by) else np.zeros(0, bool))
-    sums = np.add.reduceat(counts[by], first) if len(first) else np.zeros(0, np.int64)
-    of, code = of[by][first], code[by][first]
-    return np.flatnonzero(new), np.searchsorted(of, np.arange(int(new.sum()) + 1)), words.dictionary.take(pa.array(code)), sums
+            rows = [(b, _packed(s)) for b, s in _block_stripes(block.column(0), block.column(1), k, shared.value, buckets)]
+            for at in range(0, len(rows), 500):
+                part = rows[at : at + 500]
+                yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in part], pa.int32()), pa.array([x for _, x in part], pa.binary())], names=["bucket", "stripes"])
+
+    return docs.mapInArrow(run, "bucket int, stripes binary")
+
+
+def added(held: list[Stripes]) -> Stripes:
+    """All stripes sorted by key, the counters of one key added elementwise."""
+    langs = pa.concat_arrays([s.lang for s in held]).dictionary_encode()
+    prefixes = pa.concat_arrays([s.prefix for s in held]).dictionary_encode()
+    words = pa.concat_arrays([s.words for s in held]).dictionary_encode()
+    places = words.indices.to_numpy().astype(np.int64)
+    shift = np.cumsum([0, *(len(s.words) for s in held)])
+    word = np.concatenate([places[shift[i] + s.word] for i, s in enumerate(held)])
+    code = langs.indices.to_numpy().astype(np.int64) * len(prefixes.dictionary) + prefixes.indices.to_numpy()
+    code = code * (PARTS + 1) + np.concatenate([s.part for s in held])
+    keys, first, at = np.unique(code, return_index=True, return_inverse=True)
+    entry = np.repeat(at, np.concatenate([s.sizes for s in held])) * (len(words.dictionary) + 1) + word
+    counts = np.concatenate([s.counts for s in held])
+    by = np.argsort(entry, kind="stable")
+    entry = entry[by]
+    new = np.flatnonzero(np.append(True, entry[1:] != entry[:-1]))
+    sums = np.add.reduceat(counts[by], new)
+    of, word = entry[new] // (len(words.dictionary) + 1), entry[new] % (len(words.dictionary) + 1)
+    take = lambda x: x.dictionary.take(x.indices.take(pa.array(first)))
+    return Stripes(take(langs), take(prefixes), keys % (PARTS + 1), np.bincount(of, minlength=len(keys)), words.dictionary, word, sums)
+
+
+def _finished(s: Stripes, min_count: int) -> pa.RecordBatch:
+    at = np.append(0, np.cumsum(s.sizes))
+    none = pc.equal(s.words, pa.scalar(b"", pa.large_binary())).to_numpy(zero_copy_only=False)[s.word]
+    total = np.add.reduceat(s.counts, at[:-1])
+    best = np.maximum.reduceat(np.where(none, 0, s.counts), at[:-1])
+    keep = ~none & (s.counts >= min_count)
+    offsets = pa.array(np.append(0, np.cumsum(keep))[at].astype(np.int32))
+    nexts = s.words.take(pa.array(s.word[keep])).cast(pa.binary()).cast(pa.string())
+    text = [x.cast(pa.binary()).cast(pa.string()) for x in (s.lang, s.prefix)]
+    lists = [pa.ListArray.from_arrays(offsets, x) for x in (nexts, pa.array(s.counts[keep]))]
+    out = pa.RecordBatch.from_arrays([*text, pa.array(s.part.astype(np.int32)), pa.array(total), pa.array(best), *lists], names=["lang", "prefix", "part", "total", "best", "nexts", "counts"])
+    return out.filter(pa.array((s.part > 0) | (total >= min_count)))
 
 
 def merged(pieces: DataFrame, min_count: int) -> DataFrame:
-    """One row per prefix (and part): total, best extension, extensions of at least ``min_count`` with their counts."""
-
-    def rows_of(rows: pa.RecordBatch, last: bool):
-        """(merged rows, what the last key has so far or None)."""
-        first, at, words, counts = _added(rows)
-        rest = None
-        if not last:
-            a = int(at[-2])
-            held = pa.ListArray.from_arrays(pa.array([0, len(counts) - a], pa.int32()), words.slice(a))
-            sums = pa.ListArray.from_arrays(pa.array([0, len(counts) - a], pa.int32()), pa.array(counts[a:]))
-            row = int(first[-1])
-            rest = pa.RecordBatch.from_arrays([*(rows.column(c).slice(row, 1) for c in range(3)), held, sums], names=rows.schema.names)
-            first, at, words, counts = first[:-1], at[:-1], words.slice(0, a), counts[:a]
-        if not len(first):
-            return None, rest
-        none = pc.equal(words, "").to_numpy(zero_copy_only=False)
-        total = np.add.reduceat(counts, at[:-1])
-        best = np.maximum.reduceat(np.where(none, 0, counts), at[:-1])
-        keep = ~none & (counts >= min_count)
-        offsets = np.append(0, np.cumsum(keep))[at]
-        part = rows.column(2).to_numpy(zero_copy_only=False)[first]
-        lists = [pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), x) for x in (words.filter(pa.array(keep)), pa.array(counts[keep]))]
-        take = pa.array(first)
-        out = [rows.column(0).take(take), rows.column(1).take(take), rows.column(2).take(take), pa.array(total), pa.array(best), *lists]
-        out = pa.RecordBatch.from_arrays(out, names=["lang", "prefix", "part", "total", "best", "nexts", "counts"])
-        return out.filter(pa.array((part > 0) | (total >= min_count))), rest
+    """One row per prefix (and part): total, best extension, extensions of at least ``min_count`` with their counts.
+
+    A task holds the different entries of one bucket, not its records.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, n = [], 0
-        for b in batches:
-            held.append(b)
-            n += len(b.column(3).flatten())
-            if n >= ENTRIES:
-                out, rest = rows_of(joined(held), False)
-                held, n = [rest], len(rest.column(3).flatten()) // 2  # a stripe of many words still takes new ones in bulk
-                if out is not None:
-                    yield out
-        held = [b for b in held if b.num_rows]
+        held: list[Stripes] = []
+        now, n, most = None, 0, ENTRIES
+        for batch in batches:
+            for bucket, record in zip(batch.column(0).to_pylist(), batch.column(1)):
+                if bucket != now and held:
+                    yield _finished(added(held), min_count)
+                    held, n, most = [], 0, ENTRIES
+                now = bucket
+                held.append(_unpacked(record.as_buffer().to_pybytes()))
+                n += len(held[-1].word)
+                if n > most:
+                    held = [added(held)]
+                    n = len(held[0].word)
+                    most = max(ENTRIES, 2 * n)  # a bucket of many entries still takes new ones in bulk
         if held:
-            yield rows_of(joined(held), True)[0]
+            yield _finished(added(held), min_count)
 
-    keys = ["lang", "prefix", "part"]
     kind = "lang string, prefix string, part int, total long, best long, nexts array<string>, counts array<bigint>"
-    return pieces.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, kind)
+    return pieces.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, kind)
 
 
 def _lookup(df: DataFrame, by: str, table: DataFrame, hot_from: int) -> DataFrame:
@@ -286,15 +321,16 @@ def mine(
         raise ValueError("phrases have two words and one occurrence at least")
     texts = docs.select(F.coalesce(docs[lang_col].cast("string"), F.lit("und")).alias("lang"), docs[text_col].alias("text"))
     known, levels, temporary = None, [], []
-    hot_from = HOT
+    hot_from, buckets = HOT, PARTS
     for k in range(max_words):
-        found = stored(merged(stripes(texts, k, known), min_count))
+        found = stored(merged(stripes(texts, k, known, buckets), min_count))
         temporary.append(found)
         if k == 0:
             before = found.groupBy("lang").agg(F.sum("total").alias("a")).select(
                 "lang", F.lit("").alias("phrase"), "a", F.expr("cast(array() as array<bigint>)").alias("first"), F.expr("cast(array() as array<bigint>)").alias("rest")
             )
-            hot_from = max(HOT, (found.agg(F.sum("total")).head()[0] or 0) // HOT_SHARE)
+            n = found.agg(F.sum("total")).head()[0] or 0
+            hot_from, buckets = max(HOT, n // HOT_SHARE), min(max(BUCKETS[0], n // BUCKET_WORDS), BUCKETS[1])
         else:
             best = found.groupBy("lang", "prefix").agg(F.max("best").alias("right")).withColumnRenamed("prefix", "phrase")
             levels[-1] = levels[-1].join(best, ["lang", "phrase"], "left")
