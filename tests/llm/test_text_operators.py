@@ -424,7 +424,7 @@ def base_by_hand(t):
     luhn = lambda d: sum((int(c) if i % 2 == 0 else sum(divmod(2 * int(c), 10))) for i, c in enumerate(d[::-1])) % 10 == 0
     digits = lambda s: re.sub(r"\D", "", s)
     out = [(0, *m.span()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t)]
-    out += [(1, *m.span()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", t) if all(int(x) <= 255 for x in m.group().split("."))]
+    out += [(1, *m.span()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", t) if all(int(x.lstrip("0")[:9] or 0) <= 255 for x in m.group().split("."))]
     out += [(2, *m.span()) for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", t) if 13 <= len(digits(m.group())) <= 19 and luhn(digits(m.group()))]
     return out + [(3, *m.span()) for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", t) if 9 <= len(digits(m.group())) <= 15]
 
@@ -441,6 +441,15 @@ def test_base_spans():
     personal.base_spans("1" * 100_000)
 
 
+def test_personal_takes_any_digits(spark):
+    """More leading zeros than Python turns into a number, and a megabyte of digits, through the query's operator."""
+    texts = ["0" * 5000 + "7.1.1.1", "1." + "0" * 6000 + "255.3.4 x", "9" * 1_000_000, "1.2.3." + "4" * 5000, "+" + "1" * 5000, ("12 " * 5000) + "@a.b"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    out = {r.doc_id: [(personal.KINDS.index(s.kind), s.start, s.end) for s in r.spans if s.base] for r in personal.find(df, personal.fit(personal.labelled_table(spark))).collect()}
+    assert out == {i: base_by_hand(t) for i, t in enumerate(texts)}
+    assert out[0] == [(1, 0, 5007)] and (1, 0, 6009) in out[1]
+
+
 def test_personal_query(spark):
     out = queries.op5_personal(spark, SF).collect()
     texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}

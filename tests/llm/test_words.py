@@ -263,7 +263,22 @@ def test_runs_of_long_texts_stay_cheap():
     while len(b) < 20_000:
         a, b = b, b + a
     w = np.array(list(map(int, b)), np.int64)[:20_000]
-    assert [r[1:] for r in one(w)][:300] == runs_by_hand(w[:4000].tolist())[:300]
+    inside = lambda found: [r for r in found if r[0] + r[1] < 4000]
+    assert inside([r[1:] for r in one(w)]) == inside(runs_by_hand(w[:4000].tolist()))
+
+
+def test_packed_stripes_come_back():
+    rng = random.Random(1)
+    stripe = phrases.Stripes(
+        pa.array([b"en", b"", "é".encode()], pa.large_binary()).slice(0, 3), pa.array([b"a b", b"", b"c"], pa.large_binary()), np.array([0, 3, 256]), np.array([2, 1, 4]),
+        pa.array([b"x", b"", "é漢".encode()], pa.large_binary()), np.array([0, 1, 2, 0, 1, 2, 2]), np.array([rng.randint(1, 10**6) for _ in range(7)]),
+    )
+    back = phrases._unpacked(phrases._packed(stripe))
+    assert back.lang.to_pylist() == stripe.lang.to_pylist() and back.prefix.to_pylist() == stripe.prefix.to_pylist()
+    words = lambda s: s.words.take(pa.array(s.word)).to_pylist()
+    assert words(back) == words(stripe) and back.counts.tolist() == stripe.counts.tolist() and back.part.tolist() == [0, 3, 256] and back.sizes.tolist() == [2, 1, 4]
+    both = phrases.added([back, stripe])
+    assert sorted(both.counts.tolist()) == sorted((2 * c for c in [*stripe.counts[:5], stripe.counts[5] + stripe.counts[6]]))
 
 
 def query_by_hand(i, text):

@@ -65,7 +65,7 @@ def base_spans(text: str | None) -> list[tuple[int, int, int]]:
     if not _HINT.search(text):
         return []
     out = [(0, a, b) for a, b in _emails(text)]
-    out += [(1, *m.span()) for m in _IP.finditer(text) if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m.group().split("."))]
+    out += [(1, *m.span()) for m in _IP.finditer(text) if all(len(p) <= 3 and int(p or "0") <= 255 for p in (q.lstrip("0") for q in m.group().split(".")))]
     for m in _CARD.finditer(text):
         digits = m.group().replace(" ", "").replace("-", "")
         if 13 <= len(digits) <= 19 and _luhn(digits):
