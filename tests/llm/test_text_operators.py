@@ -443,10 +443,10 @@ def test_base_spans():
 
 def test_personal_takes_any_digits(spark):
     """More leading zeros than Python turns into a number, and a megabyte of digits, through the query's operator."""
-    texts = ["0" * 5000 + "7.1.1.1", "1." + "0" * 6000 + "255.3.4 x", "9" * 1_000_000, "1.2.3." + "4" * 5000, "+" + "1" * 5000, ("12 " * 5000) + "@a.b"]
-    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    texts = ["0" * 5000 + "7.1.1.1", "1." + "0" * 6000 + "255.3.4 x", "9" * 3000, "1.2.3." + "4" * 5000, "+" + "1" * 5000, ("12 " * 500) + "@a.b"]
+    df = spark.createDataFrame([*enumerate(texts), (9, "9" * 1_000_000)], "doc_id long, text string")
     out = {r.doc_id: [(personal.KINDS.index(s.kind), s.start, s.end) for s in r.spans if s.base] for r in personal.find(df, personal.fit(personal.labelled_table(spark))).collect()}
-    assert out == {i: base_by_hand(t) for i, t in enumerate(texts)}
+    assert out.pop(9) == [] and out == {i: base_by_hand(t) for i, t in enumerate(texts)}
     assert out[0] == [(1, 0, 5007)] and (1, 0, 6009) in out[1]
 
 
