@@ -131,10 +131,33 @@ def limit_cases(rows: DataFrame, n: int, case: str = "case_id") -> DataFrame:
     return rows.join(F.broadcast(first), case, "left_semi")  # n names
 
 
+#: Cases that are thinned before their rows are ordered, the largest first; a broadcast of so many counts at most.
+THINNED = 1_000_000
+#: Standard deviations by which a thinned case is meant to exceed its cap.
+MARGIN = 6.0
+
+
 def sample_per_case(rows: DataFrame, cap: int, seed: int, key: list[str], case: str = "case_id") -> DataFrame:
-    """At most ``cap`` rows of each case, those with the smallest key hashes."""
-    order = Window.partitionBy(case).orderBy(key_hash(seed, *[F.col(k) for k in key]), *key)
-    return rows.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= cap).drop("_n")
+    """At most ``cap`` rows of each case, those with the smallest key hashes.
+
+    Cases are counted first. Of a case with far more rows only those are shuffled whose hash is
+    below a threshold that leaves a little more than ``cap``; a case that falls short, as
+    happens once in a billion, takes all its rows. So about ``cap`` rows of a case are ordered,
+    and the result does not depend on the threshold.
+    """
+    hashed = rows.withColumn("_h", key_hash(seed, *[F.col(k) for k in key]))
+    place = F.conv(F.substring("_h", 1, 8), 16, 10).cast("double") / float(1 << 32)
+    want = cap + MARGIN * cap**0.5 + 10
+    large = rows.groupBy(case).agg(F.count("*").alias("_n")).where(F.col("_n") > 2 * want).orderBy(F.desc("_n"), case).limit(THINNED)
+    large = large.select(case, (F.lit(want) / F.col("_n")).alias("_below"))
+    marked = hashed.join(F.broadcast(large), case, "left")
+    thin = marked.where(F.col("_below").isNull() | (place < F.col("_below")))
+    left = thin.where("_below is not null").groupBy(case).agg(F.count("*").alias("_k"))
+    short = large.join(left, case, "left").where(F.coalesce("_k", F.lit(0)) < cap).select(case)
+    short = F.broadcast(short)  # some of the thinned cases
+    both = thin.join(short, case, "left_anti").unionByName(marked.join(short, case, "left_semi")).drop("_below")
+    order = Window.partitionBy(case).orderBy("_h", *key)
+    return both.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= cap).select(*rows.columns)
 
 
 def default_cap(total: int, cases: int) -> int:
@@ -147,8 +170,20 @@ def global_downsample(rows: DataFrame, n: int, seed: int, key: list[str]) -> Dat
     return rows.orderBy(key_hash(seed, *[F.col(k) for k in key]), *key).limit(n)
 
 
+def case_array_blocks(rows: DataFrame, groups: dict[str, list[str]], block_rows: int = 10_000, case: str = "case_id", step: str = "step") -> DataFrame:
+    """(case, block, first step, ordered matrices): ``block_rows`` steps to a block, so cases of any size are records of bounded size.
+
+    Blocks in order, one after another, are the case's matrices.
+    """
+    block = F.floor(F.col(step) / F.lit(block_rows)).alias("block")
+    packed = F.array_sort(F.collect_list(F.struct(step, *[F.array(*cols).alias(g) for g, cols in groups.items()])))
+    out = rows.groupBy(case, block).agg(packed.alias("_rows"))
+    field = lambda g: F.transform("_rows", lambda x: x[g]).alias(g)
+    return out.select(case, "block", F.get("_rows", F.lit(0))[step].alias("first_step"), *[field(g) for g in groups])
+
+
 def case_arrays(rows: DataFrame, groups: dict[str, list[str]], case: str = "case_id", step: str = "step") -> DataFrame:
-    """One row per case with ordered matrices; a case must fit in a record."""
+    """One row per case with ordered matrices; a case must fit in a record, else see :func:`case_array_blocks`."""
     packed = F.array_sort(F.collect_list(F.struct(step, *[F.array(*cols).alias(g) for g, cols in groups.items()])))
     out = rows.groupBy(case).agg(packed.alias("_rows"))
     field = lambda g: F.transform("_rows", lambda x: x[g]).alias(g)

@@ -11,10 +11,11 @@ from pyspark.sql import functions as F
 
 from ..functions.channels import INPUTS, OUTPUTS
 from ..functions.scratch import shared_folder
-from ..operators import mrmr, stats
+from ..operators import mrmr, shape, stats
 from ..sources import files, sinks, wind
+from ..sources.wind_table import read_wind_table
 from . import fixtures as fx
-from .queries import _GROUPS, _SCALERS, _rank_sql, q6, q6s, query, r6, rounded
+from .queries import _GROUPS, _SCALERS, SQL, _rank_sql, q6, q6s, query, r6, rounded
 
 
 def new_folder(spark: SparkSession) -> str:
@@ -113,6 +114,14 @@ def s6_read_wind_fields(spark, sf):
     return cells.select("case_id", "step", "k", *[(F.round(F.col(f"x.{c}").cast("double"), 4) + 0.0).alias(c) for c in "uvw"])
 
 
+@query(f"WITH {fx.WIND_FIELD} SELECT 'sub__f' || case_id AS case_id, CAST(step AS INT) AS step, CAST(i * 7 + j AS INT) AS k, round({_stored_value('u', 0)}, 4) + 0.0::DOUBLE AS u FROM cell WHERE case_id = '3' AND step >= 2 AND step < 9")
+def s6_filtered_fields(spark, sf):
+    """A filter on case and step that reaches the files: one is opened, and one block of it read."""
+    f = read_wind_table(spark, written_fields(spark, sf), 37).where("case_id = 'sub__f3' and step >= 2 and step < 9")
+    cells = f.select("case_id", "step", F.posexplode("u").alias("k", "u"))
+    return cells.withColumn("u", F.round(F.col("u").cast("double"), 4) + 0.0)
+
+
 # --- tables, data sets, outputs --------------------------------------------------------
 
 
@@ -126,6 +135,27 @@ def s8_read_load_tables(spark, sf):
     return rounded(loads, ["GenPwr", "RootFxb1"])
 
 
+@query(f"WITH {fx.CHANNEL_LOG} SELECT case_id, {q6s(['GenPwr', 'RootFxb1'])} FROM log WHERE CAST(case_id AS BIGINT) % 3 < 2")
+def s8_load_tables_by_header(spark, sf):
+    """Files of three layouts: two orders of the columns, and one layout without one of them, whose cases are left out."""
+    path = new_folder(spark)
+    log = fx.channel_log(spark, sf).withColumn("case", F.col("case_id"))
+    for k, names in enumerate((["RootFxb1", "TTDspFA", "GenPwr"], ["GenPwr", "RootFxb1"], ["TTDspFA", "GenPwr"])):
+        part = log.where(F.col("case_id").cast("long") % 3 == k).select("case", *names)
+        part.repartition("case").write.partitionBy("case").option("header", True).csv(f"{path}/layout{k}")
+    loads = files.read_load_tables(spark, path, ["GenPwr", "RootFxb1"], case=F.regexp_extract(F.input_file_name(), "/case=([^/]*)/", 1))
+    return rounded(loads, ["GenPwr", "RootFxb1"])
+
+
+@query(SQL["t5_process_case"])
+def s9_case_table(spark, sf):
+    """Shaping of rows that a bucketed table gives without a shuffle."""
+    path = new_folder(spark)
+    sinks.write_case_table(fx.case_rows(spark, sf).select("case_id", "step", "BldPitch1", "RotSpeed", "NacYaw", "GenPwr"), path, 8)
+    out = shape.process_case(sinks.read_case_table(spark, path), ["BldPitch1", "RotSpeed", "NacYaw"], ["GenPwr"], lag=3, derivative_order=1, angle_mode="sincos", history=1)
+    return rounded(out, [c for c in out.columns if c not in ("case_id", "step")])
+
+
 _SET = ["RotSpeed", "TTDspFA"]
 
 

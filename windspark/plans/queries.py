@@ -687,6 +687,14 @@ def s12_case_arrays(spark, sf):
     return a.select("case_id", F.size("inputs").cast("long").alias("n"), r6(total, "weighted"))
 
 
+@query(f'WITH {fx.CASE_ROWS} SELECT case_id, step // 16 AS block, min(step) AS first_step, count(*) AS n, {q6("sum(x)", "weighted")} FROM (SELECT case_id, step, "BldPitch1" * (step % 16 + 1) AS x FROM rows) GROUP BY 1, 2')
+def s12_case_array_blocks(spark, sf):
+    """Matrices in blocks of 16 steps, summed with their positions."""
+    a = cases.case_array_blocks(fx.case_rows(spark, sf), {"inputs": INPUTS, "outputs": OUTPUTS}, 16)
+    total = F.aggregate(F.transform("inputs", lambda x, i: x[0] * (i + 1)), F.lit(0.0), lambda p, q: p + q)
+    return a.select("case_id", "block", "first_step", F.size("inputs").cast("long").alias("n"), r6(total, "weighted"))
+
+
 # --- sampling, splits, selection -------------------------------------------------------
 
 
@@ -694,6 +702,13 @@ def _md5(seed: int, cols: list[str]) -> str:
     return "md5(concat_ws(':', '" + str(seed) + "', " + ", ".join(f"CAST({c} AS VARCHAR)" for c in cols) + "))"
 
 
+@query(f"SELECT l_returnflag AS case_id, l_orderkey, l_linenumber FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_returnflag ORDER BY {_md5(42, ['l_orderkey', 'l_linenumber'])}, l_orderkey, l_linenumber) <= 300")
+def l1_sample_large_cases(spark, sf):
+    """Return flags as cases of many rows, of which few are ordered."""
+    rows = fx.table(spark, sf, "lineitem").select(F.col("l_returnflag").alias("case_id"), "l_orderkey", "l_linenumber")
+    return cases.sample_per_case(rows, 300, 42, ["l_orderkey", "l_linenumber"])
+
+
 @query(f"WITH {fx.CHANNEL_LOG} SELECT case_id, line_no, {q6('\"GenPwr\"', 'GenPwr')} FROM log QUALIFY row_number() OVER (PARTITION BY case_id ORDER BY {_md5(42, ['line_no'])}, line_no) <= 25")
 def l1_sample_per_case(spark, sf):
     return rounded(cases.sample_per_case(fx.channel_log(spark, sf).select("case_id", "line_no", "GenPwr"), 25, 42, ["line_no"]), ["GenPwr"])

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from ..functions.columns import case_id, relative_path, stem
 from . import logs
+from .ranges import Ranges
 
 
 def catalog_files(spark: SparkSession, root: str, exts: list[str]) -> DataFrame:
@@ -65,15 +68,48 @@ def numbered_names(df: DataFrame, case: str, pos: str, name: str) -> DataFrame:
     return df.withColumn("unique_name", F.when(k > 0, F.concat(F.col(name), F.lit("_"), k.cast("string"))).otherwise(F.col(name)))
 
 
+def load_headers(spark: SparkSession, root: str) -> DataFrame:
+    """(path, names) of every CSV file below ``root``, by its first line."""
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).where("length > 0").select("path", "length")
+
+    def run(batches):
+        import csv
+
+        opened = Ranges()
+        for batch in batches:
+            names = []
+            for path, length in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                raw = b""
+                while b"\n" not in raw and len(raw) < length:
+                    raw += opened.read(path, len(raw), min(logs.HEAD, length - len(raw)))
+                line = raw.split(b"\n", 1)[0].decode("utf-8", "replace").strip("\ufeff\r")
+                names.append(logs.numbered([c.strip() for c in next(csv.reader([line]), [])]))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.list_(pa.string()))], names=["path", "names"])
+        opened.close()
+
+    return listed.mapInArrow(run, "path string, names array<string>")
+
+
 def read_load_tables(spark: SparkSession, root: str, columns: list[str], case: Column | None = None) -> DataFrame:
-    """CSV files of loads, one for each case, with ``columns`` as doubles by header name.
+    """CSV files of loads, one for each case, with ``columns`` as doubles by each file's own header.
 
-    The case is the file's stem, or ``case`` over the file's name. All files have the same
-    columns in the same order; another header is an error.
+    The case is the file's stem, or ``case`` over the file's name. Files may have their
+    columns in any order and further ones; a file without one of ``columns`` is left out. Files are read
+    together by header, of which a campaign has few; names of files are listed as Spark lists them.
     """
-    df = spark.read.option("header", True).option("enforceSchema", False).option("recursiveFileLookup", True).csv(root)
     case = stem(F.input_file_name()) if case is None else case
-    return df.select(case.alias("case_id"), *[F.col(c).try_cast("double").alias(c) for c in columns])
+    by_header: dict[tuple, list[str]] = {}
+    need = F.array_contains("names", columns[0]) if columns else F.lit(True)
+    for c in columns[1:]:
+        need = need & F.array_contains("names", c)
+    for r in load_headers(spark, root).where(need).collect():
+        by_header.setdefault(tuple(r.names), []).append(r.path)
+    out = spark.createDataFrame([], ", ".join(["case_id string", *(f"`{c}` double" for c in columns)]))
+    for names, paths in sorted(by_header.items()):
+        schema = StructType([StructField(n or f"_c{k}", StringType()) for k, n in enumerate(names)])
+        df = spark.read.option("header", True).option("enforceSchema", True).schema(schema).csv(sorted(paths))
+        out = out.unionByName(df.select(case.alias("case_id"), *[F.col(f"`{c}`").try_cast("double").alias(c) for c in columns]))
+    return out
 
 
 DESIGN = "number int, seed long, analysis_time double, usable_time double, model string, turbulence string, ref_height string, speed string, yaw string, shear string"

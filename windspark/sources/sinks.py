@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import json
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..operators.cases import cast_precision, select_channels
 
@@ -36,6 +38,33 @@ def read_case_dataset(spark: SparkSession, path: str, inputs: list[str], outputs
     return out
 
 
+def write_case_table(rows: DataFrame, path: str, buckets: int = 64) -> None:
+    """Aligned rows below ``path`` in buckets of cases, sorted by case and step, for :func:`read_case_table`.
+
+    Windows over slices of cases, groups and joins by case then need no shuffle of these rows. A
+    case is then in one task, so this suits cases of at most a few million rows.
+    """
+    spark = rows.sparkSession
+    name = f"case_rows_{uuid.uuid4().hex}"
+    out = rows.repartition(buckets, "case_id")
+    out.write.bucketBy(buckets, "case_id").sortBy("case_id", "step").option("path", f"{path}/rows").saveAsTable(name)
+    spark.sql(f"DROP TABLE {name}")  # the files stay
+    layout = json.dumps({"buckets": buckets, "schema": rows.schema.json()})
+    spark.createDataFrame([(layout,)], "layout string").coalesce(1).write.mode("overwrite").text(f"{path}/layout")
+
+
+def read_case_table(spark: SparkSession, path: str, inputs: list[str] | None = None, outputs: list[str] | None = None, features: list[str] | None = None) -> DataFrame:
+    """Rows that :func:`write_case_table` wrote, known to Spark as bucketed by case; all columns, or those named."""
+    layout = json.loads(spark.read.text(f"{path}/layout").first().value)
+    name = f"case_rows_{uuid.uuid4().hex}"
+    cols = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in StructType.fromJson(json.loads(layout["schema"])).fields)
+    spark.sql(f"CREATE TABLE {name} ({cols}) USING parquet CLUSTERED BY (case_id) SORTED BY (case_id, step) INTO {layout['buckets']} BUCKETS LOCATION '{path}/rows'")
+    df = spark.table(name)
+    if inputs is None and outputs is None and features is None:
+        return df
+    return select_channels(df, [*(features or []), *(inputs or []), *(outputs or [])], ["case_id", "step"])
+
+
 def build_manifest(rows: DataFrame, headers: DataFrame, wind_saved: bool = True, wind_dtype: str = "float16", data_path: str | None = None) -> DataFrame:
     """One row per case: samples, first and last time, field step and grid, and where its log, field and rows are.
 
