@@ -550,6 +550,25 @@ def a7_relevance_mi(spark, sf):
     return mrmr.relevance_mi(fx.numeric_rows(spark, sf), ["l_extendedprice", "p_retailprice"], ["o_totalprice"], fx.KEY)
 
 
+_NEAR = """WITH c AS (SELECT c_custkey AS id, c_acctbal AS x, sum(o_totalprice) AS y FROM customer JOIN orders ON o_custkey = c_custkey GROUP BY ALL),
+s AS MATERIALIZED (SELECT id, x / (SELECT stddev_pop(x) FROM c) AS x, y / (SELECT stddev_pop(y) FROM c) AS y FROM c),
+d AS (SELECT a.id, greatest(abs(a.x - b.x), abs(a.y - b.y)) AS d FROM s a JOIN s b ON a.id <> b.id),
+r AS MATERIALIZED (SELECT id, d * (1 - 1e-10::DOUBLE) AS r FROM d QUALIFY row_number() OVER (PARTITION BY id ORDER BY d) = 3),
+n AS (SELECT a.id, count(*) FILTER (abs(a.x - b.x) <= r) AS nx, count(*) FILTER (abs(a.y - b.y) <= r) AS ny FROM s a JOIN r USING (id) CROSS JOIN s b GROUP BY a.id),
+psi AS (SELECT i AS n, -0.57721566490153286::DOUBLE + coalesce(sum(1 / i::DOUBLE) OVER (ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS p FROM range(1, (SELECT count(*) + 1 FROM s)) AS t(i))
+SELECT 'x' AS feature, round(greatest((SELECT p FROM psi WHERE n = (SELECT count(*) FROM s)) + (SELECT p FROM psi WHERE n = 3) - avg(a.p + b.p), 0), 3) + 0.0::DOUBLE AS relevance
+FROM n JOIN psi a ON a.n = nx JOIN psi b ON b.n = ny"""
+
+
+@query(_NEAR)
+def a7_relevance_of_balances(spark, sf):
+    """Nearest-neighbour information of customers' balances about their orders' totals; the SQL compares all pairs of customers."""
+    c = fx.table(spark, sf, "customer").join(fx.table(spark, sf, "orders"), F.col("o_custkey") == F.col("c_custkey"))
+    c = c.groupBy(F.col("c_custkey").alias("id"), F.col("c_acctbal").alias("x")).agg(F.sum("o_totalprice").alias("y"))
+    found = mrmr.relevance_mi(c.withColumns({v: F.col(v).cast("double") for v in "xy"}), ["x"], ["y"], ["id"])
+    return found.withColumn("relevance", F.round("relevance", 3) + 0.0)
+
+
 _REL = ["l_quantity", "l_discount", "p_retailprice"]
 
 
