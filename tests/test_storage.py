@@ -82,3 +82,15 @@ def test_case_table_needs_no_shuffle(spark, tmp_path):
     assert sorted(map(tuple, shaped(back).collect())) == sorted(map(tuple, shaped(df).collect()))
     with pytest.raises(KeyError, match="missing"):
         sinks.read_case_table(spark, f"file://{tmp_path}/set", ["Azimuth"])
+
+
+def test_scratch_tables_go(spark, monkeypatch):
+    from windspark.functions import scratch
+
+    monkeypatch.setattr(scratch, "_WRITTEN", {})
+    tables = [scratch.written(spark.range(10)) for _ in range(2)]
+    paths = [p.removeprefix("file://") for v in scratch._WRITTEN.values() for p in v]
+    import os
+
+    assert all(os.path.isdir(p) for p in paths) and tables[0].count() == 10
+    assert scratch.clear(spark) == 2 and not any(os.path.exists(p) for p in paths) and scratch.clear(spark) == 0
