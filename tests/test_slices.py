@@ -136,6 +136,19 @@ def test_spearman_on_slices(spark, monkeypatch, slice_rows):
     assert got[1, 0] == 0.0
 
 
+def test_spearman_with_gaps(spark):
+    """NaN, null and missing arrays, and no rows at all."""
+    from windspark.operators import weights
+
+    rng = np.random.default_rng(3)
+    rows = [([float(x), None if k % 7 == 0 else float(-x)], float(x)) for k, x in enumerate(rng.normal(size=60))] + [(None, 1.0), ([float("nan"), 2.0], 0.5)]
+    df = spark.createDataFrame(rows, "u array<double>, a double").repartition(3)
+    for n in (9, 1000):
+        got = {(r.i, r.j): r.weight for r in weights.spearman_weights(df, ["a"], 2, slice_rows=n).collect()}
+        assert len(got) == 2 and got[0, 0] > got[0, 1] > 0
+    assert weights.spearman_weights(df.limit(0), ["a"], 2).count() == 0
+
+
 def test_no_window_over_all_cases(spark):
     from windspark.operators import split
 

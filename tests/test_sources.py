@@ -288,7 +288,9 @@ def test_workload_from_files(spark, tmp_path):
     f = workloads.features_of(spark, f"file://{tmp_path}/fields", fx.region_weights(spark), 7, 7).select("case_id", F.col("step").cast("long").alias("wind_step"), "hub_u_mean", "global_tke")
     joined = rows.join(f, ["case_id", "wind_step"])
     assert joined.count() == rows.count()
-    out = workloads.train_and_evaluate(joined, ["hub_u_mean", "global_tke"], INPUTS, OUTPUTS, (0.5, 0.25, 0.25), epochs=2, hidden=(16,), shaping={"history": 1}, lr=0.01)
+    out = workloads.train_and_evaluate(joined, ["hub_u_mean", "global_tke"], INPUTS, OUTPUTS, (0.5, 0.25, 0.25), epochs=2, hidden=(16,), shaping={"history": 1}, lr=0.01, path=f"file://{tmp_path}/own", dropout=0.1, clip=1.0)
+    own = json.loads(spark.read.text(f"file://{tmp_path}/own/config").first().value)
+    assert own["dropout"] == 0.1 and own["shaping"] == {"history": 1} and spark.read.json(f"file://{tmp_path}/own/repair").count() == 3
     assert out["metrics"].count() == len(OUTPUTS) + 1
     sinks.write_run_outputs(f"file://{tmp_path}/run", out["scalers"], out["splits"], out["history"], out["metrics"], {"epochs": 2}, out["model"], {k: out[k] for k in ("split_summary", "repair")})
     assert {r.split: r.cases for r in spark.read.json(f"file://{tmp_path}/run/repair").collect()} == {"train": 2, "val": 1, "test": 1}

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator
 
 import numpy as np
@@ -82,7 +83,7 @@ def spearman_weights(rows: DataFrame, targets: list[str], nz: int, row_key: str
 
     ``rows`` has (u array, target columns) and, if named, a ``row_key`` without repeats;
     without one the rows are stored with a number. Undefined correlations count 0; null and NaN of
-    u rank last together.
+    u rank last together; rows without an array count in the targets' ranks only.
 
     Targets are ranked first and their ranks go along with the rows. A sample, of a size bound by points and
     slices, places cuts by point, which do not change the result: every point's values are
@@ -99,8 +100,10 @@ def spearman_weights(rows: DataFrame, targets: list[str], nz: int, row_key: str
     cuts = None
     if slices > 1:
         share = min(1.0, 32 * slices / n)
-        some = rows.select("u").sample(share, 42).toArrow().column(0).combine_chunks()  # 32 rows for each slice
-        cuts = np.quantile(_matrix(some), np.arange(1, slices) / slices, axis=0) if len(some) else None
+        some = rows.where("u is not null").select("u").sample(share, 42).toArrow().column(0).combine_chunks()  # 32 rows for each slice
+        with warnings.catch_warnings():
+            warnings.simplefilter("ignore", RuntimeWarning)  # points without numbers have no cuts
+            cuts = np.nanquantile(_matrix(some), np.arange(1, slices) / slices, axis=0) if len(some) else None
     shared = spark.sparkContext.broadcast(cuts)
     n_targets = len(targets)
 
@@ -136,7 +139,7 @@ def spearman_weights(rows: DataFrame, targets: list[str], nz: int, row_key: str
         out = [key[0].as_py(), key[1].as_py(), float(m.sum()), float((m * r).sum()), float((m * r * r).sum()), y.sum(0).tolist(), (r[:, None] * y).sum(0).tolist()]
         return pa.table({c: [v] for c, v in zip(("point", "slice", "n", "r", "rr", "y", "ry"), out)})
 
-    dealt = rows.select(row_key, "u").join(ranks, row_key).select("u", *[f"r{k}" for k in range(n_targets)])
+    dealt = rows.where("u is not null").select(row_key, "u").join(ranks, row_key).select("u", *[f"r{k}" for k in range(n_targets)])
     dealt = dealt.mapInArrow(deal, "point int, slice int, x array<double>, m array<bigint>, s array<bigint>")
     sums = dealt.groupBy("point", "slice").applyInArrow(add_up, "point long, slice long, n double, r double, rr double, y array<double>, ry array<double>")
     before = F.coalesce(2 * F.sum("n").over(Window.partitionBy("point").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))

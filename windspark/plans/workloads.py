@@ -65,9 +65,10 @@ def _built(spark, logs_root, fields_root, start, end, dt, inputs, outputs) -> tu
     return rows, usable, cases.skip_report(checks), parsed.units
 
 
-def train_and_evaluate(rows: DataFrame, features: list[str], inputs: list[str], outputs: list[str], ratios=(0.7, 0.15, 0.15), seed: int = 42, stratify: str | None = None, bins: int = 10, epochs: int = 10, shaping: dict | None = None, hidden=(256, 256), lr: float = 1e-3, **fitting) -> dict:
+def train_and_evaluate(rows: DataFrame, features: list[str], inputs: list[str], outputs: list[str], ratios=(0.7, 0.15, 0.15), seed: int = 42, stratify: str | None = None, bins: int = 10, epochs: int = 10, shaping: dict | None = None, hidden=(256, 256), lr: float = 1e-3, path: str | None = None, **fitting) -> dict:
     """Split by case, shape, scale, fit and evaluate on the test cases.
 
+    With ``path``, model, scalers, splits, reports, history, metrics and settings are written below it.
     ``fitting`` goes to ``surrogate.fit_surrogate`` (batch_rows, clip, dropout, averages). The result has, beside model and
     metrics, the splits and two reports on them: ``split_summary`` before and ``repair`` after empty splits were filled.
     """
@@ -95,7 +96,12 @@ def train_and_evaluate(rows: DataFrame, features: list[str], inputs: list[str],
     test = scaled.where("split = 'test'")
     pred = surrogate.score_surrogate(test, model, wind_cols, input_cols, ["case_id", "step"])
     report = stats.evaluate(pred, test, scalers, outputs, ["case_id", "step"])
-    return {"model": model, "history": history, "scalers": scalers, "splits": parts, "metrics": report, "split_summary": summary, "repair": split.repair_report(before, parts)}
+    out = {"model": model, "history": history, "scalers": scalers, "splits": parts, "metrics": report, "split_summary": summary, "repair": split.repair_report(before, parts)}
+    if path is not None:
+        config = {"ratios": list(ratios), "seed": seed, "stratify": stratify, "bins": bins, "epochs": epochs, "hidden": list(hidden), "lr": lr, "shaping": settings, **fitting}
+        config |= {"features": features, "inputs": inputs, "outputs": outputs}
+        sinks.write_run_outputs(path, scalers, parts, history, report, config, model, {k: out[k] for k in ("split_summary", "repair")})
+    return out
 
 
 def features_of(spark: SparkSession, fields_root: str, region_weights: DataFrame, ny: int, nz: int, names: list[str] | None = None, steps: DataFrame | None = None) -> DataFrame:
