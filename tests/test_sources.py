@@ -48,7 +48,7 @@ def test_channel_logs(spark, tmp_path):
     assert [(r.case_id, r.stem, r.depth) for r in listed] == [("two", "two", 0), ("x__one", "one", 1)]
 
 
-@pytest.mark.parametrize("block", [1, 7, 40, 333, 1 << 20])
+@pytest.mark.parametrize("block", [1, 40, 1 << 20])
 def test_logs_cut_anywhere(spark, tmp_path, block):
     """Blocks that end inside lines, line ends and blank lines; the last line has no end."""
     names = ["Time", "A", "Bé", "A"]
