@@ -35,15 +35,13 @@ def resample_linear(log: DataFrame, grid: DataFrame, cols: list[str], time: str
     cut = lambda c: time_slice(F.col(c), span).alias("_slice")
     samples = log.select("case_id", cut(time), F.lit(None).cast("long").alias("i"), F.col(time).alias("t"), F.lit(0).alias("_kind"), F.struct(F.col(time).alias("t"), *cols).alias("_s"))
     times = grid.select("case_id", cut("t"), F.col("i").cast("long").alias("i"), "t", F.lit(1).alias("_kind"), F.lit(None).cast(samples.schema["_s"].dataType).alias("_s"))
-    ends = samples.groupBy("case_id", "_slice").agg(F.min_by("_s", "t").alias("lo"), F.max_by("_s", "t").alias("hi"))
-    bare = times.select("case_id", "_slice").distinct().select("*", F.lit(None).cast(samples.schema["_s"].dataType).alias("lo")).withColumn("hi", F.col("lo"))
-    ends = ends.unionByName(bare)
-    earlier = Window.partitionBy("case_id").orderBy("_slice").rangeBetween(Window.unboundedPreceding, -1)
-    later = Window.partitionBy("case_id").orderBy(F.desc("_slice")).rangeBetween(Window.unboundedPreceding, -1)
-    ends = ends.select("case_id", "_slice", F.array(F.last("hi", True).over(earlier), F.last("lo", True).over(later)).alias("_e")).dropDuplicates(["case_id", "_slice"])
-    ends = ends.select("case_id", "_slice", F.explode("_e").alias("_s")).where("_s is not null")
-    ends = ends.select("case_id", "_slice", F.lit(None).cast("long").alias("i"), F.col("_s.t").alias("t"), F.lit(0).alias("_kind"), "_s")
-    rows = samples.unionByName(times).unionByName(ends)
+    rows = samples.unionByName(times)
+    ends = rows.groupBy("case_id", "_slice").agg(F.min("_s").alias("lo"), F.max("_s").alias("hi"))  # by time; null where a slice has no sample
+    slices = Window.partitionBy("case_id")
+    earlier = F.last("hi", True).over(slices.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1))
+    later = F.last("lo", True).over(slices.orderBy(F.desc("_slice")).rowsBetween(Window.unboundedPreceding, -1))
+    ends = ends.select("case_id", "_slice", F.array(earlier, later).alias("_e")).select("case_id", "_slice", F.explode("_e").alias("_s")).where("_s is not null")
+    rows = rows.unionByName(ends.select("case_id", "_slice", F.lit(None).cast("long").alias("i"), F.col("_s.t").alias("t"), F.lit(0).alias("_kind"), "_s"))
     run = Window.partitionBy("case_id", "_slice").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     rows = rows.withColumn("_a", F.last("_s", True).over(run.orderBy("t", "_kind")))
     rows = rows.withColumn("_b", F.last("_s", True).over(run.orderBy(F.desc("t"), F.desc("_kind"))))
