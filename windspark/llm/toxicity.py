@@ -2,17 +2,19 @@
 
 P(grade > k) = sigmoid(w . x - theta_k): one weight per feature, shared by all ordered
 thresholds. Features are the presence of words and of word beginnings, so that inflected
-forms of an insult weigh like the insult. The model is fitted on a bounded sample of
-labelled documents; every document is scored on its whole text.
+forms of an insult weigh like the insult, and of beginnings that two or three different
+words share. Weights have both signs. The model is fitted on a bounded sample of labelled
+documents; every document is scored on its whole text.
 
 Labels are 0 and 1 only. Grades of toxic documents come from cross-fitting: models of one
-threshold, fitted without the document, score it, and thirds of these scores are the
-grades 1 to 3, so no document's grade depends on weights that were fitted to it.
+threshold, fitted without the document on features chosen without it, score it, and thirds
+of these scores are the grades 1 to 3, so no document's grade depends on its own label.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,19 +26,26 @@ from .pieces import Shared
 
 _WORD = re.compile(r"[^\W\d_]+")
 #: Lengths of word beginnings used as features.
-BEGINNINGS = (4, 5)
+BEGINNINGS = (4, 5, 6, 7, 8)
 #: Grades: 0 not toxic, 1 to 3 toxic by rising score of models that have not seen the document.
 GRADES = 4
 FOLDS = 2
 
 
+def _shared(words: set[str], n: int) -> Iterator[str]:
+    """Beginnings of ``n`` letters: ^ marks those of one longer word, 2^ and 3^ those of so many."""
+    for begin, k in Counter(w[:n] for w in words if len(w) > n).items():
+        yield "^" + begin
+        if k > 1:
+            yield "2^" + begin
+        if k > 2:
+            yield "3^" + begin
+
+
 def features(text: str | None) -> set[str]:
-    """Words and word beginnings (marked ^) of a whole text, lower case."""
+    """Words and word beginnings of a whole text, lower case."""
     words = set(_WORD.findall((text or "").lower()))
-    out = set(words)
-    for n in BEGINNINGS:
-        out.update({"^" + w[:n] for w in words if len(w) > n})
-    return out
+    return words.union(*[_shared(words, n) for n in BEGINNINGS])
 
 
 def fit_sample(docs: DataFrame, labels: DataFrame, label_col: str, id_col: str = "doc_id", text_col: str = "text", per_class: int = 4000) -> DataFrame:
@@ -59,37 +68,44 @@ def fit_sample(docs: DataFrame, labels: DataFrame, label_col: str, id_col: str =
     return rows.groupBy("id", "y", "weight").agg(one).select("id", "y", "weight", "t.text")
 
 
-def choose_features(sample: DataFrame, most: int = 1500, least_docs: int = 5, least_gain: float = 16.0) -> dict[str, float]:
-    """The features most tied to label 1 by likelihood ratio: name to log-odds, at most ``most``."""
+def choose_features(sample: DataFrame, most: int = 2000, least_docs: int = 3, least_gain: float = 8.0) -> list[list[str]]:
+    """The features most tied to the label by likelihood ratio, at most ``most`` of them in each list.
+
+    First those of the whole ``sample`` (fold, y, text), then for each fold those that the other folds give.
+    """
 
-    def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 200):
-                names, ys = [], []
-                for y, t in zip(batch.column(0).slice(at, 200).to_pylist(), batch.column(1).slice(at, 200).to_pylist()):
-                    found = features(t)
-                    names += found
-                    ys += [y] * len(found)
-                yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(ys, pa.int32())], names=["f", "y"])
-
-    n = {r.y: r["count"] for r in sample.groupBy("y").count().collect()}
-    n0, n1 = n.get(0, 0), n.get(1, 0)
-    counts = sample.select("y", "text").mapInArrow(explode, "f string, y int").groupBy("f").agg(F.sum("y").alias("p"), F.sum(1 - F.col("y")).alias("q"))
-    p, q = (F.col("p") + 0.5) / (n1 + 1), (F.col("q") + 0.5) / (n0 + 1)
-    odds = F.log(p / (1 - p)) - F.log(q / (1 - q))
-    k, n = F.col("p") + F.col("q"), n0 + n1
+                part = batch.slice(at, 200)
+                seen = Counter()
+                for fold, y, t in zip(*[c.to_pylist() for c in part.columns]):
+                    seen.update((f, fold, y) for f in features(t))
+                keys = list(zip(*seen)) or [(), (), ()]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(keys[0], pa.string()), pa.array(keys[1], pa.int32()), pa.array(keys[2], pa.int32()), pa.array(list(seen.values()), pa.int64())],
+                    names=["f", "fold", "y", "n"],
+                )
+
+    size = {(r.fold, r.y): r["count"] for r in sample.groupBy("fold", "y").count().collect()}
+    cells = [F.sum(F.when((F.col("fold") == k) & (F.col("y") == y), F.col("n")).otherwise(0)).alias(f"n{k}{y}") for k in range(FOLDS) for y in (0, 1)]
+    counts = sample.select("fold", "y", "text").mapInArrow(count, "f string, fold int, y int, n long").groupBy("f").agg(*cells).persist()
 
     def term(seen, expected):
         return F.when(seen > 0, seen * F.log(seen / F.nullif(expected, F.lit(0.0)))).otherwise(0.0)
 
-    # likelihood ratio of one rate by label against one rate for all
-    gain = 2 * (
-        term(F.col("p"), k * n1 / max(n, 1)) + term(F.col("q"), k * n0 / max(n, 1))
-        + term(n1 - F.col("p"), (n - k) * n1 / max(n, 1)) + term(n0 - F.col("q"), (n - k) * n0 / max(n, 1))
-    )
-    scored = counts.select("f", odds.alias("odds"), gain.alias("gain"), k.alias("k")).where((F.col("k") >= least_docs) & (F.col("odds") > 0))
-    top = scored.where(F.col("gain") >= least_gain).orderBy(F.desc("gain"), "f").limit(most)
-    return {r.f: r.odds for r in top.collect()}
+    def top(folds: list[int]) -> list[str]:
+        n0, n1 = (sum(size.get((k, y), 0) for k in folds) for y in (0, 1))
+        q, p = (sum(F.col(f"n{k}{y}") for k in folds) for y in (0, 1))
+        k, n = p + q, max(n0 + n1, 1)
+        # likelihood ratio of one rate by label against one rate for all
+        gain = 2 * (term(p, k * n1 / n) + term(q, k * n0 / n) + term(n1 - p, (n - k) * n1 / n) + term(n0 - q, (n - k) * n0 / n))
+        scored = counts.select("f", gain.alias("gain"), k.alias("k")).where((F.col("k") >= least_docs) & (F.col("gain") >= least_gain))
+        return sorted(r.f for r in scored.orderBy(F.desc("gain"), "f").limit(most).collect())
+
+    out = [top(list(range(FOLDS)))] + [top([j for j in range(FOLDS) if j != k]) for k in range(FOLDS)]
+    counts.unpersist()
+    return out
 
 
 def _sigmoid(x):
@@ -126,15 +142,17 @@ def fit_ordinal(x: np.ndarray, grade: np.ndarray, weight: np.ndarray, grades: in
     return w, np.concatenate([low, low + np.cumsum(np.exp(gaps))])
 
 
-def cross_fitted(x: np.ndarray, y: np.ndarray, weight: np.ndarray, folds: int = FOLDS) -> np.ndarray:
-    """Scores above the threshold of models with one threshold, each fitted on the other folds."""
+def cross_fitted(x: np.ndarray, y: np.ndarray, weight: np.ndarray, fold: np.ndarray, columns: list[list[int]]) -> np.ndarray:
+    """Scores above the threshold of models with one threshold, each fitted on the other folds.
+
+    ``columns`` names for each fold the features that its model may use.
+    """
     out = np.zeros(len(x))
-    fold = np.arange(len(x)) % folds
-    for k in range(folds):
+    for k, own in enumerate(columns):
         rest = fold != k
-        if len(set(y[rest].tolist())) == 2:
-            w, theta = fit_ordinal(x[rest], y[rest], weight[rest], grades=2, rounds=150)
-            out[fold == k] = x[fold == k] @ w - theta[0]
+        if own and len(set(y[rest].tolist())) == 2:
+            w, theta = fit_ordinal(x[np.ix_(rest, own)], y[rest], weight[rest], grades=2, rounds=150)
+            out[~rest] = x[np.ix_(~rest, own)] @ w - theta[0]
     return out
 
 
@@ -144,44 +162,48 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     Labelled toxic documents get the grades 1 to 3 by thirds of their cross-fitted scores
     (:func:`cross_fitted`). Without labels of both kinds the model calls nothing toxic.
     """
-    sample = fit_sample(docs, labels, label_col, id_col, text_col, per_class).persist()
-    names = choose_features(sample)
-    order = {f: i for i, f in enumerate(sorted(names))}
+    fold = F.pmod(F.xxhash64("id", F.lit(5)), F.lit(FOLDS)).cast("int").alias("fold")
+    sample = fit_sample(docs, labels, label_col, id_col, text_col, per_class).select(fold, "y", "weight", "text").persist()
+    whole, *by_fold = choose_features(sample)
+    order = {f: i for i, f in enumerate(sorted(set(whole).union(*by_fold)))}
     chosen = Shared(docs.sparkSession, order)
 
     def hits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            got = [sorted(chosen.value[f] for f in features(t) & chosen.value.keys()) for t in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(got, pa.list_(pa.int32()))], names=["y", "weight", "hits"])
+            got = [sorted(chosen.value[f] for f in features(t) & chosen.value.keys()) for t in batch.column(3).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(got, pa.list_(pa.int32()))], names=["fold", "y", "weight", "hits"])
 
-    rows = sample.select("y", "weight", "text").mapInArrow(hits, "y int, weight double, hits array<int>").collect()  # bounded by per_class
+    rows = sample.mapInArrow(hits, "fold int, y int, weight double, hits array<int>").collect()  # bounded by per_class
     sample.unpersist()
-    if not order or len({r.y for r in rows}) < 2:
+    if not whole or len({r.y for r in rows}) < 2:
         return {"words": {}, "theta": np.array([9.0, 10.0, 11.0])}
-    rows.sort(key=lambda r: (r.y, r.weight, r.hits))
+    rows.sort(key=lambda r: (r.y, r.fold, r.weight, r.hits))
     x = np.zeros((len(rows), len(order)), np.float32)
     for i, r in enumerate(rows):
         x[i, r.hits] = 1
     y = np.array([r.y for r in rows])
     weight = np.array([r.weight for r in rows])
-    outside = cross_fitted(x, y, weight)
+    outside = cross_fitted(x, y, weight, np.array([r.fold for r in rows]), [[order[f] for f in own] for own in by_fold])
     cut = np.quantile(outside[y == 1], [1 / 3, 2 / 3])
     grade = np.where(y == 1, 1 + (outside > cut[0]) + (outside > cut[1]), 0)
-    w, theta = fit_ordinal(x, grade, weight)
-    return {"words": {f: float(w[i]) for f, i in order.items()}, "theta": theta}
+    w, theta = fit_ordinal(x[:, [order[f] for f in whole]], grade, weight)
+    return {"words": dict(zip(whole, w.tolist())), "theta": theta}
 
 
 def _scorer(words: dict[str, float]):
     """Sum of the weights of a text's features, without building the features it lacks."""
-    whole = {f for f in words if f[0] != "^"}
-    begin = [(n, {f[1:]: words[f] for f in words if f[0] == "^" and len(f) == n + 1}) for n in BEGINNINGS]
+    whole = {f for f in words if "^" not in f}
+    marked = {f for f in words if "^" in f}
+    first = {f.partition("^")[2][: BEGINNINGS[0]] for f in marked}
 
     def total(text: str | None) -> float:
         seen = set(_WORD.findall((text or "").lower()))
-        out = sum(sorted(words[f] for f in seen & whole))
-        for n, table in begin:
-            out += sum(sorted(table[b] for b in {w[:n] for w in seen if len(w) > n} & table.keys()))
-        return out
+        found = seen & whole
+        some = {w for w in seen if w[: BEGINNINGS[0]] in first}
+        if some:
+            for n in BEGINNINGS:
+                found.update(marked.intersection(_shared(some, n)))
+        return sum(sorted(words[f] for f in found))
 
     return total
 
