@@ -619,6 +619,55 @@ def test_quality_bounds_long_documents(spark):
     assert quality.score(docs, m).count() == 8
 
 
+def test_quality_in_stretches_of_bytes(monkeypatch):
+    """Scores by stretches and odds equal those of all features at once and the plain chain, wherever the cuts fall."""
+    rng = np.random.default_rng(4)
+    alphabet = list("aB3 .,#é\n\n\t")
+    texts = ["".join(rng.choice(alphabet, int(n))) for n in rng.integers(0, 400, 60)] + [None, "", "\n" * 50, "word " * 300, "x" * 900]
+    x, size, first = quality.line_features(texts)
+    w, step = rng.normal(0, 1.5, x.shape[1]), rng.normal(0, 1, (2, 2))
+    plain, _ = quality.marginals(np.column_stack([np.zeros(len(x)), x @ w]), step, first)
+    for chunk in (1, 7, 64, 1 << 18):
+        monkeypatch.setattr(quality, "CHUNK", chunk)
+        assert np.array_equal(x, quality.line_features(texts)[0])
+        score, weight, start = quality.line_scores(texts, w)
+        assert np.allclose(score, x @ w, rtol=0, atol=1e-9) and np.array_equal(weight, size) and np.array_equal(start, first)
+        assert np.allclose(quality.line_odds(score, step, start), plain, rtol=0, atol=1e-9)
+    far = quality.line_odds(np.array([1e4, -1e4, 1e4, 0.0]), step, np.array([0, 2, 4]))
+    assert np.isfinite(far).all() and far[0] > 0.99 and far[1] < 0.01
+
+
+def test_quality_slices_by_bytes(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(quality, "SLICE", 10)
+    texts = ["abcd", None, "efgh", "ij", "k" * 40, "", "l", "m" * 10, "n"]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts)], names=["t"])
+    parts = [p.column(0).to_pylist() for p in quality._parts(batch, 0)]
+    assert parts == [["abcd", None, "efgh", "ij"], ["k" * 40], ["", "l"], ["m" * 10], ["n"]]
+
+
+def test_quality_memory_of_a_long_text():
+    """A text of 50 MB costs a bounded multiple of its size, in short lines and in one line."""
+    import subprocess
+    import sys
+
+    code = """
+import resource, sys
+import numpy as np
+from windspark.llm import quality
+w, step = np.ones(quality.line_features([""])[0].shape[1]) * 0.01, np.zeros((2, 2))
+before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+text = {text}
+mean = quality.document_means(*quality.line_scores([text], w), step)
+assert len(mean) == 1 and 0 < mean[0] < 1
+print((resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before) // 1024)
+"""
+    for text in ("'a line of forty letters, more or less...\\n' * 1250000", "'some words on one line ' * 2200000"):
+        out = subprocess.run([sys.executable, "-c", code.replace("{text}", text)], capture_output=True, text=True, check=True)
+        assert int(out.stdout) < 600
+
+
 def test_chain_marginals_by_enumeration():
     import itertools
 
