@@ -2,6 +2,7 @@
 
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -59,3 +60,33 @@ def test_rewrite_keeps_null_and_repeated_ids(spark, odd_docs, tmp_path):
     assert Counter((r.doc_id, r.text) for r in out.collect()) == want and max(want.values()) > 1
     with pytest.raises(ValueError, match="row key"):
         resharding.rewrite_affected(resharding.reshard(odd_docs, 4, old), odd_docs, f"file://{tmp_path}/other")
+
+
+def test_tilts_solve_the_dual(spark):
+    """Every source's tilt equals a direct solution: bisection over its own documents."""
+    rng = np.random.default_rng(8)
+    sizes = {"a": rng.integers(1, 50, 300), "b": np.append(rng.integers(1, 2000, 400), 20_000), "c": rng.integers(30, 40, 60), None: rng.integers(0, 9, 90)}
+    rows = [(s, int(z)) for s, own in sizes.items() for z in own]
+    short = spark.createDataFrame(rows, "source string, size long").persist()
+    hist = short.groupBy("source", "size").agg(F.count("*").alias("n"))
+    for share in (1e-3, 0.9, 2.9):
+        targets = short.groupBy("source").agg(F.sum("size").alias("source_size")).withColumn("target", share * F.col("source_size"))
+        for r in mixing.tilts(hist, targets).collect():
+            z = sizes[r.source][sizes[r.source] > 0].astype(float)
+            assert r["mean"] == pytest.approx(z.mean())
+            words = lambda lam: (z * np.exp(np.minimum(lam * z / z.mean(), np.log(3)))).sum()
+            low, high = -60 * z.mean(), np.log(3) * z.mean() / z.min()
+            for _ in range(200):
+                mid = (low + high) / 2
+                low, high = (mid, high) if words(mid) < share * z.sum() else (low, mid)
+            assert words(r.lam) == pytest.approx(share * z.sum(), rel=2e-6, abs=2e-6)
+            assert r.lam == pytest.approx(low, rel=1e-3, abs=1e-4)
+    with pytest.raises(RuntimeError, match="misses its target"):
+        mixing.tilts(hist, targets, rounds=1)
+
+
+def test_row_key_never_hides_a_column(spark):
+    docs = spark.createDataFrame([(1, "a", 7)], "doc_id long, text string, _KEY int")
+    with pytest.raises(ValueError, match="column already"):
+        row_keys(docs)
+    assert row_keys(docs, "other").columns == ["doc_id", "text", "_KEY", "other"]

@@ -66,7 +66,12 @@ def dropped(*tables: DataFrame) -> None:
 
 
 def row_keys(df: DataFrame, name: str = "_key") -> DataFrame:
-    """``df`` stored once with a number for each row, so that null and repeated ids are no matter."""
+    """``df`` stored once with a number for each row, so that null and repeated ids are no matter.
+
+    A column of ``df`` with that name would be lost and is an error; give another ``name``.
+    """
+    if name.lower() in {c.lower() for c in df.columns}:
+        raise ValueError(f"{name} is a column already: name the row key otherwise")
     return stored(df.withColumn(name, F.monotonically_increasing_id()))
 
 

@@ -50,13 +50,14 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, cap: int = CAP) -> DataFra
     )
 
 
-def tilts(hist: DataFrame, targets: DataFrame, cap: int = CAP, rounds: int = 40, tolerance: float = 1e-6) -> DataFrame:
+def tilts(hist: DataFrame, targets: DataFrame, cap: int = CAP, rounds: int = 200, tolerance: float = 1e-6) -> DataFrame:
     """(source, mean, lam): the dual solution by safeguarded Newton steps.
 
     ``hist`` has (source, size, n). A step sums words and their derivative at the
     present tilt by source, and keeps a bracket so that it always converges. Sources at
     the cap have no finite tilt; they end at the upper end of the bracket, where every
-    rate is ``cap``.
+    rate is ``cap``. Steps end when every source is within ``tolerance`` of its target (or of one word);
+    sources that are not after ``rounds`` steps are an error.
     """
     top = math.log(cap)
     state = stored(
@@ -90,6 +91,8 @@ def tilts(hist: DataFrame, targets: DataFrame, cap: int = CAP, rounds: int = 40,
         worst = state.agg(F.max("off")).first()[0]
         if worst is None or worst <= tolerance:
             break
+    else:
+        raise RuntimeError(f"a source misses its target by {worst:.2g} of it after {rounds} steps")
     return state.select("source", "mean", "lam")
 
 
