@@ -1,5 +1,7 @@
 """Edge cases, brute-force comparisons and recorded numbers."""
 
+import re
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -150,3 +152,14 @@ def test_surrogate_gradient_and_fit(spark):
     assert h[-1].loss < h[0].loss and surrogate.keep_best(history).first().r2 > 0.9
     imp = surrogate.feature_importance(spark, surrogate.init_model(4, 1, {"a": ["x"]}, attention=True), list("wxyz")).collect()
     assert sum(r.importance for r in imp) == pytest.approx(1)
+
+
+def test_exploded_sides_of_alignment_are_not_broadcast(spark):
+    """One row a case looks small to Spark, its steps are not."""
+    h = spark.range(40).select(F.col("id").cast("string").alias("case_id"), F.lit(50).alias("nt"), F.lit(2.0).alias("field_dt")).repartition(2)
+    fields = h.select("case_id", F.explode(F.sequence(F.lit(0), F.lit(49))).alias("step")).withColumn("u", F.col("step") * 3)
+    loads = h.select("case_id", F.explode(F.array(F.lit(0.0), F.lit(41.0), F.lit(98.0))).alias("t"))
+    for out in (align.align_strict_step(loads, fields, h, "t"), align.align_nearest_step(loads, fields, h)):
+        assert sorted((r.wind_step, r.u) for r in out.collect()) == sorted([(0, 0), (20, 60), (49, 147)] * 40)
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert re.search(r"\w+Join", plan)[0] == "SortMergeJoin"  # the last join comes first

@@ -71,7 +71,13 @@ def align_nearest_step(grid: DataFrame, fields: DataFrame, headers: DataFrame) -
     """
     keyed = grid.join(headers.select("case_id", "nt", "field_dt"), "case_id")
     keyed = keyed.withColumn("wind_step", nearest_step(F.col("t"), F.col("field_dt"), F.col("nt"))).drop("nt", "field_dt")
-    return keyed.join(fields.withColumnRenamed("step", "wind_step"), ["case_id", "wind_step"])
+    return _at_step(keyed, fields)
+
+
+def _at_step(keyed: DataFrame, fields: DataFrame) -> DataFrame:
+    """Rows with the snapshot of their step. Both sides may be exploded from one row a case, which Spark's sizes
+    do not show, so neither is ever broadcast."""
+    return keyed.join(fields.withColumnRenamed("step", "wind_step").hint("merge"), ["case_id", "wind_step"])
 
 
 def strict_steps(loads: DataFrame, headers: DataFrame, time: str = "Time") -> DataFrame:
@@ -85,7 +91,7 @@ def strict_steps(loads: DataFrame, headers: DataFrame, time: str = "Time") -> Da
 
 def align_strict_step(loads: DataFrame, fields: DataFrame, headers: DataFrame, time: str = "Time") -> DataFrame:
     """As the nearest step without clipping; a case with any time outside its field is left out whole."""
-    return strict_steps(loads, headers, time).join(fields.withColumnRenamed("step", "wind_step"), ["case_id", "wind_step"])
+    return _at_step(strict_steps(loads, headers, time), fields)
 
 
 def lagged(sliced: DataFrame, outputs: list[str], lag: int, case: str, step: str) -> DataFrame:
