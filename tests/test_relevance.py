@@ -41,3 +41,26 @@ def test_a7_relevance_mi_reads_every_row(spark, monkeypatch):
     sf = "/root/testdata/sf0.001"
     out = queries.QUERIES["a7_relevance_mi"](spark, sf).collect()
     assert seen == [fx.numeric_rows(spark, sf).count()] and len(out) == 2 and all(r.relevance >= 0 for r in out)
+
+
+@pytest.mark.parametrize("name", ["a6_pairwise_mi", "l8_mrmr_rank", "s13_write_feature_scores", "s14_read_kept_features"])
+def test_rows_to_bin_are_made_once(spark, monkeypatch, name):
+    """Every row passes the join of its tables once, whatever reads the bins."""
+    from __spark_entry__ import queries
+    from windspark.plans import fixtures as fx
+
+    sf = "/root/testdata/sf0.001"
+    n, seen, real = fx.numeric_rows(spark, sf).count(), spark.sparkContext.accumulator(0), fx.numeric_rows
+
+    def counted(spark, sf):
+        df = real(spark, sf)
+
+        def run(batches):
+            for b in batches:
+                seen.add(b.num_rows)
+                yield b
+
+        return df.mapInArrow(run, df.schema)
+
+    monkeypatch.setattr(fx, "numeric_rows", counted)
+    assert queries()[name](spark, sf).count() > 0 and seen.value == n

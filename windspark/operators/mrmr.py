@@ -175,13 +175,15 @@ def select_features_mrmr(rows: DataFrame, features: list[str], targets: list[str
         df = sample_per_case(df, per_case, seed, key)
     if sample:
         df = global_downsample(df, sample, seed, key)
-    df = df.select(*dict.fromkeys([*key, *features, *targets])).persist()
+    df = df.select(*dict.fromkeys([*key, *features, *targets]))
     if method == "knn":
+        df = df.persist()
         rel = relevance_mi(df, features, targets, key)
         rel = rows.sparkSession.createDataFrame(rel.collect(), rel.schema)  # one number for each feature, without the lineage
         mi = pairwise_mi(bin_uniform(df.select(*features), features, n_bins), features)
     else:
         rel, mi = binned_information(df, features, targets, n_bins)
     ranked = mrmr_rank(rel, mi, features, beta, k, threshold)
-    df.unpersist()
+    if method == "knn":
+        df.unpersist()
     return score_table(rows.sparkSession, ranked, rel, features), [r["original_index"] for r in ranked]

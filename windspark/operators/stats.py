@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.scratch import written
+
 
 def fit_scalers(df: DataFrame, groups: dict[str, list[str]]) -> DataFrame:
     """(grp, column, mean, std) over all rows, population std + 1e-8, in one pass."""
@@ -46,8 +48,9 @@ def bin_uniform(df: DataFrame, cols: list[str], n_bins: int = 10) -> DataFrame:
     """Ordinals of equal-width bins between each column's ends; a constant column is 0.
 
     The ends, one row, are read first, so that a bin is the number of inner edges, plain
-    numbers, at or below a value.
+    numbers, at or below a value. Rows are stored before, so that what makes them runs once.
     """
+    df = written(df) if cols else df
     value = lambda c: F.col(c).cast("double")
     ends = df.agg(*[f(value(c)).alias(f"{k}{i}") for i, c in enumerate(cols) for k, f in (("lo", F.min), ("hi", F.max))]).head() if cols else None
 

@@ -811,9 +811,7 @@ def _rank_sql(most: int) -> str:
 
 @query(_rank_sql(6))
 def l8_mrmr_rank(spark, sf):
-    n = fx.numeric_rows(spark, sf)
-    rel = stats.relevance_mi_binned(n, fx.FEATURES, ["o_totalprice"])
-    mi = stats.pairwise_mi(stats.bin_uniform(n.select(*fx.FEATURES), fx.FEATURES), fx.FEATURES)
+    rel, mi = stats.binned_information(fx.numeric_rows(spark, sf), fx.FEATURES, ["o_totalprice"])
     ranked = mrmr.mrmr_rank(rel, mi, fx.FEATURES)
     return rounded(mrmr.score_table(spark, ranked, rel, fx.FEATURES), ["relevance", "redundancy", "selection_score"])
 
