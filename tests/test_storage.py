@@ -94,3 +94,23 @@ def test_scratch_tables_go(spark, monkeypatch):
 
     assert all(os.path.isdir(p) for p in paths) and tables[0].count() == 10
     assert scratch.clear(spark) == 2 and not any(os.path.exists(p) for p in paths) and scratch.clear(spark) == 0
+
+
+def test_files_of_many_cases_lie_in_few_folders(spark, tmp_path):
+    """Listing asks for folders, not for one of each case, and each file is whole."""
+    rows = spark.range(900).select(F.format_string("case=%d.csv", F.col("id") % 300).alias("file"), "id", F.col("id").cast("string").alias("line"))
+    sinks.write_text_files(rows, f"file://{tmp_path}/out", F.concat(F.lit("n of "), "file"), ["id"], 8)
+    made = list((tmp_path / "out").rglob("*"))
+    assert sum(p.is_dir() for p in made) <= 8 and len(made) - sum(p.is_dir() for p in made) == 300
+    for p in made:
+        if p.is_file():
+            k = int(p.stem.removeprefix("case="))
+            assert p.read_text() == "".join(f"{x}\n" for x in (f"n of case={k}.csv", k, k + 300, k + 600))
+
+
+def test_written_logs_lie_in_few_folders(spark):
+    from windspark.plans import file_queries
+
+    path = file_queries.written_logs(spark, "/root/testdata/sf0.01")
+    listed = files.catalog_files(spark, path, ["txt"])
+    assert listed.count() == 150 and listed.select(F.regexp_extract("path", "^(.*)/", 1)).distinct().count() <= 64

@@ -47,3 +47,33 @@ def open_output(path: str):
     system, name = _located(path)
     system.create_dir(name.rsplit("/", 1)[0], recursive=True)
     return system.open_output_stream(name)
+
+
+class Lines:
+    """Writes text files one after another, each under a hidden name until it is whole."""
+
+    def __init__(self):
+        import uuid
+
+        self._made, self._path, self._end = set(), None, f".{uuid.uuid4().hex}"
+
+    def write(self, path: str, head: str, lines: list[str]) -> None:
+        """Adds ``lines`` to the open file, or to a new one that starts with ``head``."""
+        if path != self._path:
+            self.close()
+            system, name = _located(path)
+            folder, own = name.rsplit("/", 1)
+            if folder not in self._made:
+                system.create_dir(folder, recursive=True)
+                self._made.add(folder)
+            self._path, self._place = path, (system, f"{folder}/.{own}{self._end}", name)
+            self._file = system.open_output_stream(self._place[1])
+            self._file.write(head.encode() + b"\n")
+        self._file.write("".join(f"{x}\n" for x in lines).encode())
+
+    def close(self) -> None:
+        if self._path is not None:
+            self._file.close()
+            system, hidden, name = self._place
+            system.move(hidden, name)
+        self._path = None
