@@ -114,3 +114,25 @@ def test_written_logs_lie_in_few_folders(spark):
     path = file_queries.written_logs(spark, "/root/testdata/sf0.01")
     listed = files.catalog_files(spark, path, ["txt"])
     assert listed.count() == 150 and listed.select(F.regexp_extract("path", "^(.*)/", 1)).distinct().count() <= 64
+
+
+@pytest.mark.parametrize("block", [5, 1 << 20])
+def test_loads_by_blocks(spark, tmp_path, block):
+    """Long files are several tasks; quotes, short and long rows, blank lines and a missing last line end change nothing."""
+    (tmp_path / "a.csv").write_text('x,"p, q",y\n' + "".join(f'{i},"a ""b"", c\\"d",{i * 2}\n' for i in range(50)) + "\n7\n8,,9,10\n\r\n11,z,12")
+    rows = files.read_load_tables(spark, f"file://{tmp_path}", ["y", "x"], block=block)
+    want = [*((float(i), 2.0 * i) for i in range(50)), (7.0, None), (8.0, 9.0), (11.0, 12.0)]
+    assert sorted(((r.x, r.y) for r in rows.collect()), key=str) == sorted(want, key=str)
+
+
+def test_headers_of_loads_are_not_collected(spark, tmp_path):
+    """Files of two layouts are read without a job that brings their names to the driver."""
+    for i in range(40):
+        (tmp_path / f"{i}.csv").write_text(f"{'x,y' if i % 2 else 'y,x'}\n1,2\n")
+    spark.sparkContext.setJobGroup("defined", "")
+    try:
+        rows = files.read_load_tables(spark, f"file://{tmp_path}", ["x", "y"])
+        assert spark.sparkContext.statusTracker().getJobIdsForGroup("defined") == []
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert {(int(r.case_id) % 2, r.x) for r in rows.collect()} == {(1, 1.0), (0, 2.0)}

@@ -5,7 +5,6 @@ from __future__ import annotations
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType, StructField, StructType
 
 from ..functions.columns import case_id, relative_path, stem
 from . import logs
@@ -68,48 +67,66 @@ def numbered_names(df: DataFrame, case: str, pos: str, name: str) -> DataFrame:
     return df.withColumn("unique_name", F.when(k > 0, F.concat(F.col(name), F.lit("_"), k.cast("string"))).otherwise(F.col(name)))
 
 
-def load_headers(spark: SparkSession, root: str) -> DataFrame:
-    """(path, names) of every CSV file below ``root``, by its first line."""
-    listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).where("length > 0").select("path", "length")
+def load_headers(spark: SparkSession, root: str, case: Column | None = None) -> DataFrame:
+    """(case_id, path, length, names, at) of every CSV file below ``root``, by its first line; ``at`` is where rows start."""
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).where("length > 0")
+    listed = listed.select((stem(F.input_file_name()) if case is None else case).alias("case_id"), "path", "length")
 
     def run(batches):
-        import csv
-
         opened = Ranges()
         for batch in batches:
-            names = []
-            for path, length in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            names, at = [], []
+            for path, length in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
                 raw = b""
                 while b"\n" not in raw and len(raw) < length:
                     raw += opened.read(path, len(raw), min(logs.HEAD, length - len(raw)))
-                line = raw.split(b"\n", 1)[0].decode("utf-8", "replace").strip("\ufeff\r")
-                names.append(logs.numbered([c.strip() for c in next(csv.reader([line]), [])]))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.list_(pa.string()))], names=["path", "names"])
+                line = raw.split(b"\n", 1)[0]
+                at.append(min(len(line) + 1, length))
+                names.append(logs.numbered([c.strip() for c in _values(line.decode("utf-8", "replace").strip("\ufeff\r"))]))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names, pa.list_(pa.string())), pa.array(at, pa.int64())], names=["case_id", "path", "length", "names", "at"])
         opened.close()
 
-    return listed.mapInArrow(run, "path string, names array<string>")
+    return listed.mapInArrow(run, "case_id string, path string, length long, names array<string>, at long")
+
+
+def _values(line: str) -> list[str]:
+    if '"' not in line:
+        return line.split(",")
+    import csv
 
+    csv.field_size_limit(1 << 31)
+    return next(csv.reader([line], escapechar="\\"), [])
 
-def read_load_tables(spark: SparkSession, root: str, columns: list[str], case: Column | None = None) -> DataFrame:
+
+def read_load_tables(spark: SparkSession, root: str, columns: list[str], case: Column | None = None, block: int = logs.BLOCK) -> DataFrame:
     """CSV files of loads, one for each case, with ``columns`` as doubles by each file's own header.
 
     The case is the file's stem, or ``case`` over the file's name. Files may have their
     columns in any order and further ones; a file without one of ``columns`` is left out. Files are read
-    together by header, of which a campaign has few; names of files are listed as Spark lists them.
+    in tasks of ``block`` bytes, so neither their number nor their names reach the driver by way of their headers.
+    A value may be quoted but not hold a line end.
     """
-    case = stem(F.input_file_name()) if case is None else case
-    by_header: dict[tuple, list[str]] = {}
-    need = F.array_contains("names", columns[0]) if columns else F.lit(True)
-    for c in columns[1:]:
-        need = need & F.array_contains("names", c)
-    for r in load_headers(spark, root).where(need).collect():
-        by_header.setdefault(tuple(r.names), []).append(r.path)
-    out = spark.createDataFrame([], ", ".join(["case_id string", *(f"`{c}` double" for c in columns)]))
-    for names, paths in sorted(by_header.items()):
-        schema = StructType([StructField(n or f"_c{k}", StringType()) for k, n in enumerate(names)])
-        df = spark.read.option("header", True).option("enforceSchema", True).schema(schema).csv(sorted(paths))
-        out = out.unionByName(df.select(case.alias("case_id"), *[F.col(f"`{c}`").try_cast("double").alias(c) for c in columns]))
-    return out
+    own = load_headers(spark, root, case).where("at < length")
+    for c in columns:
+        own = own.where(F.array_contains("names", c))
+    first = F.explode(F.sequence(F.col("at"), F.col("length") - 1, F.lit(block))).alias("first")
+    blocks = own.select("case_id", "path", "length", "at", "names", first)
+
+    def run(batches):
+        opened = Ranges()
+        for batch in batches:
+            for case_id, path, length, at, names, first in zip(*[c.to_pylist() for c in batch.columns]):
+                where = [names.index(c) for c in columns]
+                lines = logs.block_lines(opened, path, first, min(first + block, length), at, length)
+                for k in range(0, len(lines), 20_000):
+                    texts = [x.decode("utf-8", "replace").rstrip("\r") for x in lines[k : k + 20_000]]
+                    rows = [_values(x) for x in texts if x.strip()]
+                    out = [pa.array([case_id] * len(rows), pa.string()), *[pa.array([r[i] if i < len(r) else None for r in rows], pa.string()) for i in where]]
+                    yield pa.RecordBatch.from_arrays(out, names=["case_id", *columns])
+        opened.close()
+
+    text = blocks.repartition("path", "first").mapInArrow(run, ", ".join(["case_id string", *(f"`{c}` string" for c in columns)]))
+    return text.select("case_id", *[F.col(f"`{c}`").try_cast("double").alias(c) for c in columns])
 
 
 DESIGN = "number int, seed long, analysis_time double, usable_time double, model string, turbulence string, ref_height string, speed string, yaw string, shear string"
