@@ -64,3 +64,23 @@ def test_rows_to_bin_are_made_once(spark, monkeypatch, name):
 
     monkeypatch.setattr(fx, "numeric_rows", counted)
     assert queries()[name](spark, sf).count() > 0 and seen.value == n
+
+
+def test_nearest_neighbours_cost_the_same_in_larger_tiles(monkeypatch):
+    """Distances are those of the plain search; those taken for a point do not grow with the points."""
+    from windspark.operators import _ksg_np as ksg
+
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=5000)
+    steep = np.exp(3 * rng.normal(size=5000))
+    copies = np.repeat(rng.normal(size=1700), 3)[:5000]
+    for a, b in ((x, x + rng.normal(size=5000) / 9), (x, steep), (copies, copies), (np.round(x), steep), (np.zeros(300), np.ones(300)), (x[:65], x[:65]), (x[:3], x[:3])):
+        np.testing.assert_array_equal(ksg.nearest(a, b, 3), ksg._outwards(a, b, 3))
+    real, taken = np.maximum, []
+    monkeypatch.setattr(ksg.np, "maximum", lambda a, b: taken.append(np.size(a)) or real(a, b))
+    per_point = []
+    for n in (4_000, 32_000):
+        taken.clear()
+        ksg.nearest(rng.uniform(size=n), rng.uniform(size=n), 3)
+        per_point.append(sum(taken) / n)
+    assert per_point[1] < 1.3 * per_point[0]

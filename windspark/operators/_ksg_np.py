@@ -14,11 +14,48 @@ def _digamma(n: np.ndarray) -> np.ndarray:
     return np.where(n < 64, harmonic[np.minimum(n, 64) - 1] - 0.57721566490153286, series)
 
 
+#: Points of a rectangle whose distances are all taken.
+LEAF = 64
+
+
 def nearest(x: np.ndarray, y: np.ndarray, k: int) -> np.ndarray:
     """Max-norm distances to the k nearest neighbours (inf where there are fewer), ascending.
 
-    Searches outwards in the order of x.
+    Points are compared with those of their own small rectangle, then of the rectangles within the distance found,
+    so the work for a point does not grow with their number.
     """
+    n = len(x)
+    tree = Tiles(x, y, LEAF)
+    leaf = tree.leaf(x, y)
+    sizes = np.bincount(leaf, minlength=tree.leaves)
+    if n <= LEAF or sizes.max() > 4 * LEAF:  # equal points are not cut
+        return _outwards(x, y, k)
+    order = np.argsort(leaf, kind="stable")
+    held = np.full((tree.leaves, max(sizes.max(), k)), n)  # n is a point that is far from all
+    held[leaf[order], np.arange(n) - (np.cumsum(sizes) - sizes)[leaf[order]]] = order
+    far = np.append(np.stack([x, y]), [[np.inf], [np.inf]], axis=1)
+
+    def among(q, leaf):
+        out = [np.empty((0, k))]
+        for i in range(0, len(q), 8192):
+            own, p = q[i : i + 8192, None], held[leaf[i : i + 8192]]
+            d = np.maximum(np.abs(far[0][p] - x[own]), np.abs(far[1][p] - y[own]))
+            d[p == own] = np.inf
+            out.append(np.partition(d, k - 1, axis=1)[:, :k])
+        return np.concatenate(out)
+
+    first = among(np.arange(n), leaf)
+    q, other = tree.touched(x, y, first.max(1))
+    q, other = q[other != leaf[q]], other[other != leaf[q]]
+    owner = np.repeat(np.append(np.arange(n), q), k)
+    d = np.append(first, among(q, other))
+    order = np.lexsort((d, owner))
+    start = np.searchsorted(owner[order], np.arange(n))
+    return d[order][start[:, None] + np.arange(k)]
+
+
+def _outwards(x: np.ndarray, y: np.ndarray, k: int) -> np.ndarray:
+    """As :func:`nearest`, searching outwards in the order of x."""
     order = np.argsort(x, kind="stable")
     xs, ys = x[order], y[order]
     n = len(x)
