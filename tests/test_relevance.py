@@ -84,3 +84,60 @@ def test_nearest_neighbours_cost_the_same_in_larger_tiles(monkeypatch):
         ksg.nearest(rng.uniform(size=n), rng.uniform(size=n), 3)
         per_point.append(sum(taken) / n)
     assert per_point[1] < 1.3 * per_point[0]
+
+
+def test_rows_of_a7_are_joined_once(spark, monkeypatch):
+    from windspark.plans import fixtures as fx
+    from windspark.plans import queries
+
+    sf = "/root/testdata/sf0.001"
+    n, seen, real = fx.numeric_rows(spark, sf).count(), spark.sparkContext.accumulator(0), fx.numeric_rows
+
+    def counted(spark, sf):
+        df = real(spark, sf)
+
+        def run(batches):
+            for b in batches:
+                seen.add(b.num_rows)
+                yield b
+
+        return df.mapInArrow(run, df.schema)
+
+    monkeypatch.setattr(fx, "numeric_rows", counted)
+    assert len(queries.QUERIES["a7_relevance_mi"](spark, sf).collect()) == 2 and seen.value == n
+
+
+def test_relevance_mi_shuffles_few_bytes(spark):
+    """A point of a pair takes two coordinates to its tile, and with its distance one each to a slice of x and of y."""
+    n = 40_000
+    df = spark.range(n).select("id", F.randn(1).alias("a"), F.randn(2).alias("t")).withColumn("b", F.col("a") + F.col("t")).persist()
+    df.count()
+
+    def stages():
+        jvm, gate = spark._jvm, spark.sparkContext._gateway
+        got = spark._jsc.sc().statusStore().stageList(jvm.java.util.ArrayList(), False, False, gate.new_array(jvm.double, 0), jvm.java.util.ArrayList())
+        return {(s.stageId(), s.attemptId()): s.shuffleWriteBytes() for s in (got.apply(i) for i in range(got.size()))}
+
+    before = stages()
+    assert len(mrmr.relevance_mi(df, ["a", "b"], ["t"], ["id"], 3, 2000).collect()) == 2
+    spark._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    written = sum(b for s, b in stages().items() if s not in before)
+    df.unpersist()
+    assert 16 < written / (2 * n) < 80
+
+
+def test_questions_to_other_rectangles_are_exact(monkeypatch):
+    """Neighbours asked of other points are those of the plain search, whatever the reach and with gaps, copies and steep tails."""
+    from windspark.operators import _ksg_np as ksg
+
+    rng = np.random.default_rng(4)
+    x, y = rng.normal(size=3000), np.exp(3 * rng.normal(size=3000))
+    x[:600], y[:300] = np.round(x[:600]), 1.0
+    x[1000:1200], y[1000:1200] = x[1200:1400], y[1200:1400]
+    qx, qy = rng.normal(size=200), np.exp(3 * rng.normal(size=200))
+    d = np.sort(np.maximum(np.abs(qx[:, None] - x), np.abs(qy[:, None] - y)), 1)[:, :3]
+    np.testing.assert_array_equal(ksg.nearest_of(qx, qy, np.full(200, np.inf), x, y, 3), d)
+    reach = d[:, 1] * rng.uniform(0.5, 1.5, size=200)
+    got = ksg.nearest_of(qx, qy, reach, x, y, 3)
+    np.testing.assert_array_equal(np.where(d < reach[:, None], got, 0), np.where(d < reach[:, None], d, 0))
+    assert np.isinf(ksg.nearest_of(qx, qy, reach, x[:0], y[:0], 3)).all() and ((x[:5] == ksg.unpack(ksg.pack(x[:5]))).all())

@@ -10,12 +10,13 @@ def _digamma(n: np.ndarray) -> np.ndarray:
     n = np.asarray(n).astype(int)
     harmonic = np.concatenate([[0.0], np.cumsum(1.0 / np.arange(1, 64))])
     z = np.maximum(n, 64).astype(float)
-    series = np.log(z) - 1 / (2 * z) - 1 / (12 * z**2) + 1 / (120 * z**4) - 1 / (252 * z**6)
+    w = 1 / (z * z)
+    series = np.log(z) - 0.5 / z - w * (1 / 12 - w * (1 / 120 - w / 252))
     return np.where(n < 64, harmonic[np.minimum(n, 64) - 1] - 0.57721566490153286, series)
 
 
-#: Points of a rectangle whose distances are all taken.
-LEAF = 64
+#: Points of a rectangle whose distances are all taken, at most.
+LEAF = 32
 
 
 def nearest(x: np.ndarray, y: np.ndarray, k: int) -> np.ndarray:
@@ -24,34 +25,88 @@ def nearest(x: np.ndarray, y: np.ndarray, k: int) -> np.ndarray:
     Points are compared with those of their own small rectangle, then of the rectangles within the distance found,
     so the work for a point does not grow with their number.
     """
-    n = len(x)
-    tree = Tiles(x, y, LEAF)
-    leaf = tree.leaf(x, y)
-    sizes = np.bincount(leaf, minlength=tree.leaves)
-    if n <= LEAF or sizes.max() > 4 * LEAF:  # equal points are not cut
+    if len(x) <= LEAF:
         return _outwards(x, y, k)
-    order = np.argsort(leaf, kind="stable")
-    held = np.full((tree.leaves, max(sizes.max(), k)), n)  # n is a point that is far from all
-    held[leaf[order], np.arange(n) - (np.cumsum(sizes) - sizes)[leaf[order]]] = order
-    far = np.append(np.stack([x, y]), [[np.inf], [np.inf]], axis=1)
-
-    def among(q, leaf):
-        out = [np.empty((0, k))]
-        for i in range(0, len(q), 8192):
-            own, p = q[i : i + 8192, None], held[leaf[i : i + 8192]]
-            d = np.maximum(np.abs(far[0][p] - x[own]), np.abs(far[1][p] - y[own]))
-            d[p == own] = np.inf
-            out.append(np.partition(d, k - 1, axis=1)[:, :k])
-        return np.concatenate(out)
-
-    first = among(np.arange(n), leaf)
-    q, other = tree.touched(x, y, first.max(1))
-    q, other = q[other != leaf[q]], other[other != leaf[q]]
-    owner = np.repeat(np.append(np.arange(n), q), k)
-    d = np.append(first, among(q, other))
-    order = np.lexsort((d, owner))
-    start = np.searchsorted(owner[order], np.arange(n))
-    return d[order][start[:, None] + np.arange(k)]
+    held = _Held(x, y, k)
+    leaves, width = held.at.shape
+    best = np.empty((leaves, width, k))
+    for i in _pieces(leaves, 65_536 // width**2 + 1):
+        d = np.maximum(np.abs(held.px[i, :, None] - held.x[i, None]), np.abs(held.py[i, :, None] - held.y[i, None]))
+        d[:, np.arange(width), np.arange(width)] = np.inf
+        best[i] = _least(d, k)
+    reach = np.where(held.real, best[..., -1], -np.inf)
+    # rectangles near that of a point first, then near the point
+    own, other = held.near(held.px.min(1), held.px.max(1), held.py.min(1), held.py.max(1), reach.max(1))
+    own, other = own[own != other], other[own != other]
+    left, right, low, high = held.boxes[0]
+    found = []
+    for i in _pieces(len(own), 65_536 // width + 1):
+        a, b = own[i], other[i, None]
+        gap = np.maximum(np.maximum(left[b] - held.px[a], held.px[a] - right[b]), np.maximum(low[b] - held.py[a], held.py[a] - high[b]))
+        pair, place = np.nonzero(gap < reach[a])
+        found.append((a[pair] * width + place, other[i][pair]))
+    q, leaf = (np.concatenate(c) for c in zip(*found)) if found else (own, other)
+    best = held.nearer(best.reshape(-1, k), held.px.ravel(), held.py.ravel(), q, leaf)
+    out = np.empty((len(x), k))
+    out[held.at[held.real]] = best[held.real.ravel()]
+    return out
+
+
+def _pieces(n: int, size: int) -> list[slice]:
+    return [slice(i, i + size) for i in range(0, n, size)]
+
+
+def _least(d: np.ndarray, k: int) -> np.ndarray:
+    return np.sort(np.partition(d, k - 1, axis=-1)[..., :k], axis=-1)
+
+
+class _Held:
+    """Points halved into small rectangles of as many each, a row of coordinates for each rectangle."""
+
+    def __init__(self, x: np.ndarray, y: np.ndarray, k: int):
+        n = len(x)
+        levels = max(0, int(np.ceil(np.log2(n / LEAF))))
+        width = -(-n // 2**levels)
+        spare = width * 2**levels - n  # so many points stand in two places
+        at, real = np.append(np.arange(n), np.linspace(0, n - 1, spare).astype(int))[None], (np.arange(n + spare) < n)[None]
+        for _ in range(levels):
+            px, py = x[at], y[at]
+            v = np.where((np.ptp(px, axis=1) >= np.ptp(py, axis=1))[:, None], px, py)
+            half = v.shape[1] // 2
+            order = np.argpartition(v, half, axis=1)
+            at, real = (np.take_along_axis(c, order, 1).reshape(-1, half) for c in (at, real))
+        self.at, self.real, self.px, self.py = at, real, x[at], y[at]
+        self.x, self.y = np.full((2, len(at), max(width, k)), np.inf)  # second places are far from all
+        self.x[:, :width], self.y[:, :width] = np.where(real, self.px, np.inf), np.where(real, self.py, np.inf)
+        self.boxes = [(self.px.min(1), self.px.max(1), self.py.min(1), self.py.max(1))]
+        for _ in range(levels):
+            two = [c.reshape(-1, 2) for c in self.boxes[-1]]
+            self.boxes.append((two[0].min(1), two[1].max(1), two[2].min(1), two[3].max(1)))
+
+    def near(self, x0, x1, y0, y1, reach) -> tuple[np.ndarray, np.ndarray]:
+        """(query, rectangle) of points nearer than ``reach`` to the box of a query."""
+        q, node = np.arange(len(x0)), np.zeros(len(x0), int)
+        for level, (left, right, low, high) in enumerate(reversed(self.boxes)):
+            if level:
+                q, node = np.repeat(q, 2), (2 * node[:, None] + [0, 1]).ravel()
+            r = reach[q]
+            ok = (left[node] - x1[q] < r) & (x0[q] - right[node] < r) & (low[node] - y1[q] < r) & (y0[q] - high[node] < r)
+            q, node = q[ok], node[ok]
+        return q, node
+
+    def nearer(self, best: np.ndarray, x, y, q, leaf) -> np.ndarray:
+        """``best`` with the points of rectangle ``leaf`` for each query ``q``, which may come more than once."""
+        k = best.shape[1]
+        order = np.argsort(q, kind="stable")
+        q, leaf = q[order], leaf[order]
+        turn = np.arange(len(q)) - np.searchsorted(q, q)
+        for i in range(turn.max(initial=-1) + 1):
+            now = np.flatnonzero(turn == i)
+            for part in _pieces(len(now), 65_536 // self.x.shape[1] + 1):
+                at, to = q[now[part]], leaf[now[part]]
+                d = np.maximum(np.abs(self.x[to] - x[at, None]), np.abs(self.y[to] - y[at, None]))
+                best[at] = np.sort(np.concatenate([best[at], np.partition(d, k - 1, axis=1)[:, :k]], axis=1), axis=1)[:, :k]
+        return best
 
 
 def _outwards(x: np.ndarray, y: np.ndarray, k: int) -> np.ndarray:
@@ -98,56 +153,82 @@ def mutual_information(x: np.ndarray, y: np.ndarray, k: int = 3) -> float:
     return max(0.0, float(psi_n + psi_k - _digamma(nx).mean() - _digamma(ny).mean()))
 
 
-def nearest_of(qx: np.ndarray, qy: np.ndarray, reach: np.ndarray, x: np.ndarray, y: np.ndarray, k: int) -> list[list[float]]:
-    """For each query the k smallest max-norm distances to points, those up to ``reach``."""
-    order = np.argsort(x, kind="stable")
-    x, y = x[order], y[order]
-    first, last = np.searchsorted(x, qx - reach, "left"), np.searchsorted(x, qx + reach, "right")
-    out = []
-    for i, (a, b) in enumerate(zip(first.tolist(), last.tolist())):
-        d = np.maximum(np.abs(x[a:b] - qx[i]), np.abs(y[a:b] - qy[i]))
-        out.append(np.sort(d[d <= reach[i]])[:k].tolist())
-    return out
+def nearest_of(qx: np.ndarray, qy: np.ndarray, reach: np.ndarray, x: np.ndarray, y: np.ndarray, k: int) -> np.ndarray:
+    """For each query the k smallest max-norm distances to points, those below ``reach`` at least; inf where there are fewer."""
+    best = np.full((len(qx), k), np.inf)
+    if not len(x):
+        return best
+    held = _Held(x, y, k)
+    return held.nearer(best, qx, qy, *held.near(qx, qx, qy, qy, reach))
 
 
 class Tiles:
     """A plane cut into rectangles by halving a sample of its points, the wider side first."""
 
     def __init__(self, x: np.ndarray, y: np.ndarray, leaf: int):
-        self.axis, self.at, self.child = [], [], []
-        self.leaves = 0
-        self.root = self._split(np.stack([x, y]), leaf)
-        self.axis, self.at, self.child = np.array(self.axis, int), np.array(self.at, float), np.array(self.child, int).reshape(-1, 2)
-
-    def _split(self, p: np.ndarray, leaf: int) -> int:
+        self.axis, self.at, self.child, self.box = [], [], [], []
+        root = self._split(np.stack([x, y]), leaf, (-np.inf, -np.inf, np.inf, np.inf))
+        # leaves are nodes after the others that lead to themselves
+        inner, self.leaves = len(self.axis), len(self.box)
+        self.inner, self.box = inner, np.array(self.box)
+        child = np.array(self.child, int).reshape(-1, 2)
+        ends = inner + np.arange(self.leaves)
+        self.child = np.concatenate([np.where(child < 0, inner - 1 - child, child), np.stack([ends, ends], 1)])
+        self.axis, self.at = np.append(np.array(self.axis, int), 0 * ends), np.append(np.array(self.at, float), 0.0 * ends)
+        self.root = inner - 1 - root if root < 0 else root
+
+    def _split(self, p: np.ndarray, leaf: int, box: tuple) -> int:
         """Number of a node, or -1 - leaf."""
         if p.shape[1] > leaf:
             for axis in np.argsort(-np.ptp(p, axis=1), kind="stable").tolist():
-                at = np.median(p[axis])
-                low = p[axis] < at
-                if not low.any():
-                    continue
+                v = p[axis]
+                at = np.median(v)
+                low = v < at
+                if not low.any():  # more than half are equal
+                    low = v <= at
+                    if low.all():
+                        continue
+                    at = v[~low].min()
                 node = len(self.axis)
                 self.axis.append(axis), self.at.append(at), self.child.append(None)
-                self.child[node] = (self._split(p[:, low], leaf), self._split(p[:, ~low], leaf))
+                below, above = list(box), list(box)
+                below[2 + axis] = above[axis] = at
+                self.child[node] = (self._split(p[:, low], leaf, tuple(below)), self._split(p[:, ~low], leaf, tuple(above)))
                 return node
-        self.leaves += 1
-        return -self.leaves
-
-    def touched(self, x: np.ndarray, y: np.ndarray, reach: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(query, leaf) wherever the square of half side ``reach`` meets a leaf."""
-        q, node = np.arange(len(x)), np.full(len(x), self.root)
-        done = []
+        self.box.append(box)
+        return -len(self.box)
+
+    def touched(self, x: np.ndarray, y: np.ndarray, reach: np.ndarray, own=None) -> tuple[np.ndarray, np.ndarray]:
+        """(query, leaf) wherever the square of half side ``reach`` meets a leaf, but the ``own`` leaf of each."""
+        q = np.arange(len(x))
+        if own is not None:  # most meet no other
+            left, low, right, high = self.box[own].T
+            q = np.flatnonzero((x - left <= reach) | (right - x <= reach) | (y - low <= reach) | (high - y <= reach))
+        node = np.full(len(q), self.root)
+        done = [(q[:0], q[:0])]
         while len(q):
-            end = node < 0
-            done.append((q[end], -1 - node[end]))
+            end = node >= self.inner
+            done.append((q[end], node[end] - self.inner))
             q, node = q[~end], node[~end]
             v, r, at = np.where(self.axis[node] == 0, x[q], y[q]), reach[q], self.at[node]
-            low, high = v - r < at, v + r >= at
+            low, high = v - at <= r, at - v <= r
             child = self.child[node]
             q, node = np.concatenate([q[low], q[high]]), np.concatenate([child[low, 0], child[high, 1]])
-        return tuple(np.concatenate(c) for c in zip(*done)) if done else (q, node)
+        q, leaf = (np.concatenate(c) for c in zip(*done))
+        other = slice(None) if own is None else leaf != own[q]
+        return q[other], leaf[other]
 
     def leaf(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
-        q, leaf = self.touched(x, y, np.zeros(len(x)))
-        return leaf[np.argsort(q)]
+        node = np.full(len(x), self.root)
+        while (node < self.inner).any():
+            node = self.child[node, (np.where(self.axis[node] == 0, x, y) >= self.at[node]).astype(int)]
+        return node - self.inner
+
+
+def pack(v: np.ndarray) -> bytes:
+    """8-byte numbers with all their first bytes first, then the second ...: those of near numbers are equal and compress."""
+    return np.ascontiguousarray(v).view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def unpack(packed: bytes, kind: type = float) -> np.ndarray:
+    return np.frombuffer(packed, np.uint8).reshape(8, -1).T.copy().view(kind).ravel()
