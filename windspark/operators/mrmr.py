@@ -85,7 +85,7 @@ def relevance_mi(df: DataFrame, cols: list[str], targets: list[str], key: list[s
             cuts[p, axis] = np.unique(np.sort(v)[step::step])
     n_tiles = sum(t.leaves for t in tiles.values())
     # enough tasks for all cores, and few tiles to a task
-    parts = max(min(n_tiles, 2 * spark.sparkContext.defaultParallelism), n_tiles // 32)
+    parts = max(min(n_tiles, 2 * spark.sparkContext.defaultParallelism), n_tiles // 16)
 
     def place(batches):
         def deal(table):
@@ -166,8 +166,8 @@ def relevance_mi(df: DataFrame, cols: list[str], targets: list[str], key: list[s
     def cut(batches):
         """Each point of an axis in the slice of its value, the ends of its distance in theirs if another."""
         for b in batches:
-            out = []
             for p, tile, *xy, m, near in zip(b.p, b.tile, b.x, b.y, b.m, b.near):
+                out = []
                 m = unpack(m, int) if m else np.ones(len(near) // 8, int)
                 r = unpack(near) * (1 - 1e-10)
                 for axis, v in enumerate(xy):
@@ -184,7 +184,7 @@ def relevance_mi(df: DataFrame, cols: list[str], targets: list[str], key: list[s
                         for s, i in _groups(at):
                             i = part[i]
                             out.append((p, axis, s, side, tile, pack(v[i] + side * r[i]), b"", _ones(m[i]), pack(i)))
-            yield pd.DataFrame(out, columns=["p", "axis", "slice", "side", "tile", "v", "r", "m", "i"])
+                yield pd.DataFrame(out, columns=["p", "axis", "slice", "side", "tile", "v", "r", "m", "i"])
 
     def count(group: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         """Digamma sums of points whose distance ends within the slice, places in the slice for ends of others."""
